@@ -25,8 +25,8 @@ from ._sample import Lookup
 from ._store import extended, text_of
 from ._tokens import WORDS, inside_text, tokenize, window_hashes
 
-#: Position masks of weight 6 or 7; with any one or two substitutions in SPAN tokens one of them still hits.
-MASKS = ("1111111", "11101001011", "110010101111", "1101110011", "1010011011001")
+#: Position masks of weight 7: with any two substitutions in SPAN tokens one of them still hits.
+MASKS = ("1111111", "11110111", "11101111", "1110100111")
 SPAN, AGREE, LEAST, BLOCK = 13, 0.75, 5, 500_000
 #: Pairs lined up at a time, in tokens compared.
 PAIRS = 1 << 20
