@@ -99,7 +99,7 @@ def x23_prices(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(numbers.normalize_price(written) * 100).cast("long").alias("cents"))
 
 
-@query("SELECT p_partkey, p_size + 0.5 AS km, CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5 END AS strict_km, CAST(p_size * 1000 AS BIGINT) AS n FROM part")
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) + 0.5 AS km, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) + 0.5 END AS strict_km, CAST(p_size * 1000 AS BIGINT) AS n FROM part")
 def x24_distances(spark, d):
     """Distances, strict ones, and whole numbers with dots."""
     size = F.col("p_size").cast("string")
