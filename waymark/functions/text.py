@@ -86,7 +86,7 @@ def utf16_slice(x: Text, start: int, end: int) -> Column:
     c = _c(x)
     chars = F.split(c, "")
     wide = F.transform(chars, lambda ch: F.when(ch.rlike(r"[\x{10000}-\x{10FFFF}]"), 2).otherwise(1))
-    ends = F.aggregate(wide, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + n)))
+    ends = F.aggregate(wide, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
     inside = F.filter(F.arrays_zip(chars.alias("ch"), wide.alias("n"), ends.alias("e")), lambda s: (s["e"] - s["n"] >= start) & (s["e"] <= end))
     return F.when(~c.rlike(r"[\x{10000}-\x{10FFFF}]"), F.substring(c, start + 1, end - start)).otherwise(F.array_join(F.transform(inside, lambda s: s["ch"]), ""))
 

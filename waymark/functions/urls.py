@@ -69,8 +69,9 @@ def identity(url: Text, routes: tuple[Route, ...] = ROUTES) -> Column:
         path = part(url, "PATH")
         found = F.regexp_extract(path, r.path, r.group)
         if r.parameter:
-            values = F.filter(F.split(F.coalesce(part(url, "QUERY"), F.lit("")), "&"), lambda p, r=r: p.startswith(f"{r.parameter}="))
-            value = F.regexp_extract(values[0], "=(.*)$", 1)
+            name = f"{r.parameter}="
+            values = F.filter(F.split(F.coalesce(part(url, "QUERY"), F.lit("")), "&"), lambda p: p.startswith(name))  # noqa: B023
+            value = F.regexp_extract(F.get(values, F.lit(0)), "=(.*)$", 1)
             ok = (F.size(values) == 1) & value.rlike(r"^\d+$")
             found = F.when(ok & (found != ""), F.concat(F.upper(found), F.lit(":"), value))
         else:

@@ -131,7 +131,7 @@ def calendar_rows(df: DataFrame, key: str, html: str, link_pattern: str) -> Data
     """Event rows of a calendar page: title and link, with day and place from up to two rows before, not beyond another event."""
     rows = df.select(key, F.posexplode(table_rows(F.col(html))).alias("row", "cells"))
     text = F.array_join(F.transform("cells", lambda c: c["text"]), " | ")
-    href = F.filter(F.flatten(F.transform("cells", lambda c: c["hrefs"])), lambda h: h.rlike(link_pattern))[0]
+    href = F.get(F.filter(F.flatten(F.transform("cells", lambda c: c["hrefs"])), lambda h: h.rlike(link_pattern)), F.lit(0))
     flat = rows.select(key, "row", text.alias("text"), href.alias("href"))
     before = W.partitionBy(key).orderBy("row")
     event = flat.withColumn("is_event", F.col("href").isNotNull())
@@ -216,7 +216,7 @@ def selected_record(df: DataFrame, key: str, records: str, page_url: str) -> Dat
     with_url = F.filter(records, lambda r: F.get_json_object(r, "$.url").isNotNull())
     n, m, u = F.size(records), F.size(hits), F.size(with_url)
     how = F.when(n == 0, "absent").when(m == 1, "unique_match").when(m > 1, "ambiguous").when((n == 1) & (u == 0), "single").when(u > 0, "url_mismatch").otherwise("ambiguous")
-    return df.select(key, how.alias("selection"), F.when(how == "unique_match", hits[0]).when(how == "single", F.get(F.col(records), F.lit(0))).alias("record"))
+    return df.select(key, how.alias("selection"), F.when(how == "unique_match", F.get(hits, F.lit(0))).when(how == "single", F.get(F.col(records), F.lit(0))).alias("record"))
 
 
 def normalized_payload(df: DataFrame, payload: str, carried: list[str] = ()) -> DataFrame:
@@ -273,10 +273,16 @@ def strict_pages(df: DataFrame, group: str, offset: str, rows: str, total: str,
     return df.select(group, offset, bad.alias("error"))
 
 
+#: Bytes 80 to 9F as Latin-1 reads them, and as windows-1252 does; five stand for nothing there and stay.
+C1 = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+C1 = [(a, b) for a, b in C1 if b]
+
+
 def decoded(raw: Column, declared: Column) -> Column:
-    """Bytes as text: in the declared charset, else UTF-8 if valid, else windows-1252."""
-    as_text = raw.cast("string")
-    return F.when(F.lower(declared).isin("iso-8859-1", "latin-1", "latin1"), F.decode(raw, "ISO-8859-1")).when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(raw, "windows-1252"))
+    """Bytes as text: in the declared charset, else UTF-8 if valid, else windows-1252 (a Latin-1 reading with its 27 other characters)."""
+    as_text, latin = raw.cast("string"), F.decode(raw, "ISO-8859-1")
+    western = F.translate(latin, "".join(a for a, _ in C1), "".join(b for _, b in C1))
+    return F.when(F.lower(declared).isin("iso-8859-1", "latin-1", "latin1"), latin).when(F.is_valid_utf8(as_text), as_text).otherwise(western)
 
 
 def explicit_days(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -27,8 +27,8 @@ def sessions(stream: DataFrame, at: str, key: str, gap: str = "75 seconds", late
     return found.select(key, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "events")
 
 
-def sliding_limiter(stream: DataFrame, key: str, at: str, order: str, limit: int, seconds: float, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Decisions under at most `limit` allowed requests in any `seconds`; the state is the allowed times, and ends with the key's silence."""
+def sliding_limiter(stream: DataFrame, key: str, at: str, order: str, limit: int, seconds: float, late: str = "1 hour", ttl_ms: int = 3_600_000) -> DataFrame:
+    """Decisions under at most `limit` allowed requests in any `seconds`; the state is the allowed times, and ends when the watermark passes the key's last request by ttl_ms."""
     kinds = dict(stream.dtypes)
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean"
 
@@ -45,11 +45,11 @@ def sliding_limiter(stream: DataFrame, key: str, at: str, order: str, limit: int
             if allowed[-1]:
                 held.append(float(s))
         state.update((held,))
-        state.setTimeoutDuration(ttl_ms)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["__s"].iloc[-1] * 1000)) + ttl_ms)
         yield pd.DataFrame({key: [k[0]] * len(rows), order: rows[order].to_numpy(), "allowed": allowed})
 
-    rows = stream.select(key, order, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("__s"))
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.withWatermark(at, late).select(key, order, at, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("__s"))
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def page_ledger(stream: DataFrame, group: str, url: str) -> DataFrame:
