@@ -24,13 +24,14 @@ import gc
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import dropped, fold_of, text_of, written
+from ._store import fold_of, text_of, written
 from ._tokens import BY_SPACE, mixed, tokenize
 
-BLOCK, BUCKET, LEVELS, GRAIN, ROUNDS, PRIOR = 12_000_000, 12_000_000, 40, 4, 60, 20.0
+BLOCK, BUCKET, LEVELS, GRAIN, ROUNDS, PRIOR = 12_000_000, 8_000_000, 40, 4, 60, 20.0
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 PAIR = np.uint64(0xD1342543DE82EF95)
 #: Fixed values of the base score: added count.
@@ -73,43 +74,77 @@ def pieces(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, np.searchsorted(bucket, np.arange(buckets + 1))
 
 
-REQUEST = "bucket int, block int, keys binary, train binary, held binary"
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, in as many bytes as the greatest of them needs."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_keys(raw: memoryview) -> np.ndarray:
+    width = raw[0]
+    part = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
+    steps = np.zeros((len(part), 8), np.uint8)
+    steps[:, :width] = part
+    return np.cumsum(steps.view(np.uint64).ravel())
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, the few great ones behind them, compressed."""
+    great = np.flatnonzero(counts >= 255)
+    parts = [np.array([len(great)], np.int64), great.astype(np.int64), counts[great].astype(np.int64), np.minimum(counts, 255).astype(np.uint8)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    at, great = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.int64, n, 8 + 8 * n)
+    out = np.frombuffer(data, np.uint8, offset=8 + 16 * n).astype(np.int64)
+    out[at] = great
+    return out
+
+
+REQUEST = "bucket int, block int, keys binary, counts binary"
 REPLY = "bucket int, block int, train binary, held binary, n_train long, n_held long, v_train long, v_rest long"
 
 
 def _ask(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        block, rows = Block(table["text"]), {k: [] for k in ("bucket", "keys", "train", "held")}
-        fold = table["fold"].to_numpy()
-        train, held = block.counts(fold != 0), block.counts(fold == 1)
+        block, rows = Block(table["text"]), {k: [] for k in ("bucket", "keys", "counts")}
+        counts = block.counts(table["fold"].to_numpy() != 0)
         for kind, keys in enumerate((block.words, block.pairs)):
             _, cut = pieces(keys, buckets)
             for b in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[b], cut[b + 1])
                 rows["bucket"].append(kind * buckets + int(b))
-                rows["keys"].append(keys[own].tobytes())
-                rows["train"].append(train[kind][own].astype(np.uint32).tobytes())
-                rows["held"].append(held[kind][own].astype(np.uint32).tobytes())
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(rows["bucket"]), pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("keys", "train", "held")}})
+                rows["keys"].append(pack_keys(keys[own]))
+                rows["counts"].append(pack_counts(counts[kind][own]))
+        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(rows["bucket"]), pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("keys", "counts")}})
 
     return run
 
 
-def _answer(buckets: int):
+def _answer(buckets: int, first_held: int):
+    """Blocks from first_held on hold the fold that is left out of the counts the weights are learned on; only they are told its totals."""
+
     def run(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        join = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
-        keys = join("keys", np.uint64)
+        bucket, asked = table["bucket"][0].as_py(), table["block"].to_numpy()
+        keys = [unpack_keys(memoryview(x.as_buffer())) for x in table["keys"]]
+        counts = [unpack_counts(x.as_py()) for x in table["counts"]]
         sizes = np.array([len(k) for k in keys])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        train, held = (np.bincount(place, np.concatenate(join(name, np.uint32)), minlength=len(distinct)).astype(np.int64) for name in ("train", "held"))
+        del keys
+        train = np.bincount(place, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
         back = np.split(place, np.cumsum(sizes)[:-1])
+        held = np.zeros(len(distinct), np.int64)
+        for k in np.flatnonzero(asked >= first_held):
+            held[back[k]] += counts[k]
         word = (distinct != START) & (bucket < buckets)
         sums = [int(train[word].sum()), int(held[word].sum()), int((train[word] > 0).sum()), int((train[word] > held[word]).sum())]
-        n = len(back)
-        fixed = {"n_train": sums[0], "n_held": sums[1], "v_train": sums[2], "v_rest": sums[3]}
-        packed = lambda x: pa.array([x[p].astype(np.uint32).tobytes() for p in back], pa.binary())
-        return pa.table({"bucket": table["bucket"].combine_chunks(), "block": table["block"].combine_chunks(), "train": packed(train), "held": packed(held), **{k: pa.array([v] + [0] * (n - 1), pa.int64()) for k, v in fixed.items()}})
+        fixed = dict(zip(("n_train", "n_held", "v_train", "v_rest"), sums, strict=True))
+        answers = {"train": pa.array([pack_counts(train[p]) for p in back], pa.binary()), "held": pa.array([pack_counts(held[p]) if b >= first_held else None for p, b in zip(back, asked, strict=True)], pa.binary())}
+        return pa.table({"bucket": table["bucket"].combine_chunks(), "block": table["block"].combine_chunks(), **answers, **{k: pa.array([v] + [0] * (len(back) - 1), pa.int64()) for k, v in fixed.items()}})
 
     return run
 
@@ -120,7 +155,7 @@ def _received(block: Block, replies: pa.Table, buckets: int, name: str) -> tuple
     cuts = [pieces(k, buckets)[1] for k in (block.words, block.pairs)]
     for b, x in zip(replies["bucket"].to_pylist(), replies[name], strict=True):
         kind, b = divmod(b, buckets)
-        out[kind][cuts[kind][b] : cuts[kind][b + 1]] = np.frombuffer(x.as_buffer(), np.uint32)
+        out[kind][cuts[kind][b] : cuts[kind][b + 1]] = unpack_counts(x.as_py())
     return out
 
 
@@ -211,9 +246,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     block = F.when(fold == 1, n + F.pmod(mixed_key, F.lit(few))).otherwise(F.pmod(mixed_key, F.lit(n))).cast("int")
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"), fold.cast("int").alias("fold"), block.alias("block"))
     requests = rows.groupBy("block").applyInArrow(_ask(buckets), REQUEST)
-    replies = written(requests.groupBy("bucket").applyInArrow(_answer(buckets), REPLY), "replies")
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the counts
+    replies = written(requests.groupBy("bucket").applyInArrow(_answer(buckets, n), REPLY), "replies")
+    for _ in range(2):  # lets Spark delete the shuffle files of the counts
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     n_train, n_held, v_train, v_rest = (int(x or 0) for x in replies.agg(*[F.sum(c) for c in ("n_train", "n_held", "v_train", "v_rest")]).first())
     given = replies.select("block", "bucket", "train", "held")
     held = rows.filter(fold == 1).groupBy("block").cogroup(given.filter(F.col("block") >= n).groupBy("block"))
