@@ -15,15 +15,17 @@ NOW = "1996-01-02 00:00:00"
 def _tasks(spark, d):
     """Orders as tasks: the priority is the source, and the key says the state."""
     k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    runs = (F.col("o_orderstatus") == "P") & (at <= NOW)
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("export", "catalog", "results")]), (k % 3 + 1).cast("int"))
     return table(spark, d, "orders").select(
-        k.alias("id"), F.col("o_orderpriority").alias("source"), kinds.alias("kind"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("queued").alias("status"), at.alias("created"),
-        at.alias("available"), (k % 10 == 0).alias("hold"), (k % 4).cast("int").alias("attempt"), F.lit(3).alias("max_attempts"), F.when(F.col("o_orderstatus") == "P", at + F.expr("interval 90 seconds")).alias("lease_until"), F.concat(F.lit("t"), k.cast("string")).alias("token"),
+        k.alias("id"), F.col("o_orderpriority").alias("source"), kinds.alias("kind"), F.when(runs, "running").otherwise("queued").alias("status"), at.alias("created"),
+        at.alias("available"), ((k % 10 == 0) & ~runs).alias("hold"), (k % 4).cast("int").alias("attempt"), F.lit(3).alias("max_attempts"), F.when(runs, at + F.expr("interval 90 seconds")).alias("lease_until"), F.concat(F.lit("t"), k.cast("string")).alias("token"),
     )
 
 
-TASKS = """SELECT o_orderkey AS id, o_orderpriority AS source, ['export','catalog','results'][o_orderkey % 3 + 1] AS kind, CASE WHEN o_orderstatus = 'P' THEN 'running' ELSE 'queued' END AS status, o_orderdate AS created,
-o_orderkey % 10 = 0 AS hold, o_orderkey % 4 AS attempt, CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 90 SECOND END AS lease_until FROM orders"""
+RUNS = f"(o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '{NOW}')"
+TASKS = f"""SELECT o_orderkey AS id, o_orderpriority AS source, ['export','catalog','results'][o_orderkey % 3 + 1] AS kind, CASE WHEN {RUNS} THEN 'running' ELSE 'queued' END AS status, o_orderdate AS created,
+o_orderkey % 10 = 0 AND NOT {RUNS} AS hold, o_orderkey % 4 AS attempt, CASE WHEN {RUNS} THEN o_orderdate + INTERVAL 90 SECOND END AS lease_until FROM orders"""
 
 
 @query("""SELECT user_id, event_type, min_by(event_id, event_id) AS event_id, count(*) AS requests, count(DISTINCT sha256(props)) = 1 AS consistent FROM events GROUP BY 1, 2""")
@@ -39,26 +41,24 @@ def q2_lease_recovery(spark, d):
     return Q.recovered(_tasks(spark, d), F.lit(NOW).cast("timestamp")).select("id", "status", "expired")
 
 
-@query(f"""WITH t AS (SELECT id, source, kind, created, hold, CASE WHEN status = 'running' AND lease_until < TIMESTAMP '{NOW}' AND NOT hold THEN CASE WHEN attempt >= 3 THEN 'failed' ELSE 'queued' END ELSE status END AS status, attempt FROM ({TASKS}) WHERE id % 50 <> 7 OR status <> 'running'),
+@query(f"""WITH t AS (SELECT id, source, kind, created, hold, CASE WHEN status = 'running' AND lease_until < TIMESTAMP '{NOW}' AND NOT hold THEN CASE WHEN attempt >= 3 THEN 'failed' ELSE 'queued' END ELSE status END AS status, attempt FROM ({TASKS})),
 p AS (SELECT *, CASE WHEN created <= TIMESTAMP '{NOW}' - INTERVAL 15 MINUTE THEN 0 WHEN kind = 'export' THEN 0 WHEN kind = 'catalog' THEN 2 ELSE 1 END AS priority FROM t WHERE status = 'queued' AND created <= TIMESTAMP '{NOW}' AND NOT hold AND source <> '5-LOW'
-AND source NOT IN (SELECT source FROM t WHERE status = 'running' AND id % 997 = 3))
+AND source NOT IN (SELECT source FROM t WHERE status = 'running'))
 SELECT id, source, priority, CAST(attempt + 1 AS INTEGER) AS attempt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY priority, created, id) AS n FROM p) WHERE n = 1""")
 def q2_claim(spark, d):
     """The next task of each free source; blocked ones give none."""
-    t = _tasks(spark, d).filter("id % 50 != 7 OR status != 'running'")
-    recovered = Q.recovered(t, F.lit(NOW).cast("timestamp")).filter("status != 'running' OR id % 997 = 3")
     blocked = table(spark, d, "orders").filter("o_orderpriority = '5-LOW'").select(F.col("o_orderpriority").alias("source")).distinct()
-    return Q.claimed(recovered.drop("expired"), F.lit(NOW).cast("timestamp"), blocked).select("id", "source", "priority", "attempt")
+    return Q.claimed(_tasks(spark, d), F.lit(NOW).cast("timestamp"), blocked).select("id", "source", "priority", "attempt")
 
 
 @query(f"""SELECT id, CASE WHEN NOT holder THEN status WHEN outcome = 'completed' THEN 'completed' WHEN outcome = 'failed' AND attempt >= 3 THEN 'failed' WHEN outcome IN ('failed', 'deferred') THEN 'queued' ELSE status END AS new_status,
 CAST(CASE WHEN holder AND outcome = 'deferred' THEN greatest(attempt - 1, 0) ELSE attempt END AS INTEGER) AS new_attempt, CAST(CASE WHEN holder AND outcome = 'failed' AND attempt < 3 THEN least(1800, 30 * pow(2, attempt)) END AS INTEGER) AS retry_seconds, outcome IS NOT NULL AND NOT holder AS refused
-FROM (SELECT *, id % 7 <> 0 AND outcome IS NOT NULL AND status = 'running' AND lease_until >= TIMESTAMP '1995-06-01' AS holder FROM (SELECT *, CASE WHEN id % 2 = 0 THEN ['completed','failed','deferred','heartbeat'][id // 2 % 4 + 1] END AS outcome FROM ({TASKS})))""")
+FROM (SELECT *, id % 7 <> 0 AND outcome IS NOT NULL AND status = 'running' AND lease_until >= TIMESTAMP '1995-06-01' AS holder FROM (SELECT *, ['completed','failed','deferred','heartbeat'][id // 2 % 4 + 1] AS outcome FROM ({TASKS})))""")
 def q3_transitions(spark, d):
     """Reports change a task only while their lease is live."""
     t = _tasks(spark, d)
     outcome = F.element_at(F.array(*[F.lit(x) for x in ("completed", "failed", "deferred", "heartbeat")]), (F.expr("id div 2") % 4 + 1).cast("int"))
-    reports = t.filter("id % 2 = 0").select("id", F.when(F.col("id") % 7 == 0, "stale").otherwise(F.col("token")).alias("token"), outcome.alias("outcome"))
+    reports = t.select("id", F.when(F.col("id") % 7 == 0, "stale").otherwise(F.col("token")).alias("token"), outcome.alias("outcome"))
     return Q.transitions(t, reports, F.lit("1995-06-01").cast("timestamp"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import explicit_date, normalize_date
-from ..functions.text import Text, _c, clean, normalize_key, parts_hash
+from ..functions.text import Text, clean, parts_hash
 from ..functions.urls import canonical, host
 from ..operators.extract import html_text, html_title, json_ld, meta_content
 
