@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -107,6 +108,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slabs(column: pa.Array, most: int = 1 << 22):
+    """Ranges of texts of about `most` bytes together, one text at least, so that what is made of them stays small."""
+    size = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    cuts = np.flatnonzero(np.diff(size, prepend=-1))
+    yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(column)], strict=True)
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The hash of each byte range; ranges are in order and don't overlap."""
     out = np.empty(len(start), U)

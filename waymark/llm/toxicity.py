@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._sample import Adam, Lookup, labelled, sigmoid
 from ._store import dropped, extended, text_of, written
-from ._tokens import LETTERS, hashes, mixed, tokenize
+from ._tokens import LETTERS, hashes, mixed, slabs, tokenize
 
 #: Labelled rows to fit on; features in the model; rows that a feature must occur in; grades.
 SAMPLE, FEATURES, LEAST_ROWS, GRADES = 20_000, 2048, 5, 4
@@ -63,10 +63,13 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(column: pa.Array, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """text, feature and log(1 + count) of the model's features in each text."""
-    h, owner = features(column)
-    at, place = lookup.find(h)
-    pair, count = np.unique(owner[at] * max(1, len(lookup.keys)) + place, return_counts=True)
-    return pair // max(1, len(lookup.keys)), pair % max(1, len(lookup.keys)), np.log1p(count)
+    width, found = max(1, len(lookup.keys)), []
+    for low, high in slabs(column):
+        h, owner = features(column.slice(low, high - low))
+        at, place = lookup.find(h)
+        found.append(np.stack(np.unique((owner[at] + low) * width + place, return_counts=True)))
+    pair, count = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pair // width, pair % width, np.log1p(count)
 
 
 def chosen_features(sample: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
@@ -78,19 +81,18 @@ def chosen_features(sample: DataFrame, most: int = FEATURES) -> tuple[np.ndarray
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, owner = features(batch.column(0))
-            label = (batch.column(1).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
-            order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            h, label = h[new], label[owner[new]]
-            key, begin = np.unique(h, return_index=True)
-            n = np.diff(np.append(begin, len(h)))
-            with_label = np.add.reduceat(label, begin) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(with_label), pa.array(n - with_label)], names=["feature", "yes", "no"])
+            for low, high in slabs(batch.column(0)):
+                h, owner = features(batch.column(0).slice(low, high - low))
+                label = (batch.column(1).slice(low, high - low).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                h, label = h[new], label[owner[new]]
+                key, begin = np.unique(h, return_index=True)
+                n = np.diff(np.append(begin, len(h)))
+                with_label = np.add.reduceat(label, begin) if len(h) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(with_label), pa.array(n - with_label)], names=["feature", "yes", "no"])
 
     totals = sample.agg(F.count(F.when(F.col("label") > 0, 1)), F.count(F.when(F.col("label") <= 0, 1))).first()
     yes, no = totals
