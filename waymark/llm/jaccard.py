@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import dropped, text_of, written
+from ._store import text_of, written
 from ._tokens import WORDS as BY_WORD
 from ._tokens import inside_text, mixed, shingles, tokenize, window_hashes
 
