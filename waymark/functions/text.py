@@ -134,12 +134,21 @@ def fingerprint(name: Text, date: Text, city: Text, state: Text, country: Text)
     return F.concat_ws("|", compact_key(name), clean(date), compact_key(city), compact_key(state), compact_key(country))
 
 
+def name_words(x: Text) -> Column:
+    """The distinct words of a name."""
+    return F.filter(F.array_distinct(F.split(name_text(x), " ")), lambda w: w != "")
+
+
+def word_similarity(left: Text, right: Text) -> Column:
+    """Jaccard similarity of two arrays of distinct words, to 4 decimals; 0 if either is empty."""
+    a, b = _c(left), _c(right)
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.round(both / (F.size(a) + F.size(b) - both), 4))
+
+
 def token_similarity(a: Text, b: Text) -> Column:
-    """Jaccard similarity of the words of two names, to 4 decimals; 0 if either has none."""
-    words = lambda x: F.filter(F.array_distinct(F.split(name_text(x), " ")), lambda w: w != "")
-    left, right = words(a), words(b)
-    both = F.size(F.array_intersect(left, right))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.round(both / F.size(F.array_union(left, right)), 4))
+    """word_similarity of two names. For many pairs, make the words once for each record."""
+    return word_similarity(name_words(a), name_words(b))
 
 
 def formula_guard(x: Text) -> Column:

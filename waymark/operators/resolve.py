@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, strip_accents, token_similarity
+from ..functions.text import clean, name_words, strip_accents, word_similarity
 from ..functions.urls import comparable
 from .lineage import cut
 from .relational import latest
@@ -64,8 +64,8 @@ def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     fingerprint and day; the same day and place with names at least SIMILAR. Only the
     first two are automatic. The first rank with a hit decides.
     """
-    a = incoming.select(*[F.col(c).alias(f"a_{c}") for c in incoming.columns])
-    b = known.select(*[F.col(c).alias(f"b_{c}") for c in known.columns])
+    a = incoming.select(*[F.col(c).alias(f"a_{c}") for c in incoming.columns], name_words("name").alias("a_words"))
+    b = known.select(*[F.col(c).alias(f"b_{c}") for c in known.columns], name_words("name").alias("b_words"))
     open_ = b.filter("b_status != 'rejected'")
 
     def hit(joined: DataFrame, rank: int, score: Column, automatic: bool, reason: str) -> DataFrame:
@@ -77,12 +77,11 @@ def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     link = link.withColumn("n", n).withColumn("automatic", F.col("n") == 1).withColumn("reason", F.when(F.col("n") > 1, "link_ambiguous").otherwise("link_confirmed")).drop("n")
     print_ = hit(a.join(open_, (F.col("a_fingerprint") == F.col("b_fingerprint")) & (F.col("a_date") == F.col("b_date"))), 3, F.lit(1.0), False, "fingerprint_review")
     place = (F.col("a_date") == F.col("b_date")) & (F.lower("a_city") == F.lower("b_city")) & (F.col("a_state") == F.col("b_state")) & (F.col("a_country") == F.col("b_country"))
-    near = hit(a.join(open_, place), 4, token_similarity("a_name", "b_name"), False, "similar_review") if "a_name" in a.columns else None
-    near = near.filter(F.col("score") >= SIMILAR)
+    near = hit(a.join(open_, place), 4, word_similarity("a_words", "b_words"), False, "similar_review").filter(F.col("score") >= SIMILAR)
     all_ = same.unionByName(link).unionByName(print_).unionByName(near)
     best = latest(all_, ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")])
-    none = incoming.select("id").join(best.select("id"), "id", "left_anti")
-    return best.unionByName(none.select("id", F.lit(None).cast(best.schema["match"].dataType).alias("match"), F.lit(9).alias("rank"), F.lit(0.0).alias("score"), F.lit(False).alias("automatic"), F.lit("none").alias("reason")))
+    rows = incoming.select("id").join(best, "id", "left")
+    return rows.select("id", "match", F.coalesce("rank", F.lit(9)).alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("automatic", F.lit(False)).alias("automatic"), F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
 def quality_reasons(states: tuple[str, ...] = (), home: str = "BR") -> Column:

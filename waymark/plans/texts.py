@@ -149,9 +149,9 @@ SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.t, b.t)) /
 WHERE len(a.t) > 0 AND len(b.t) > 0 AND round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 4) >= 0.3""")
 def x37_token_similarity(spark, d):
     """Similarity of names inside blocks."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    p = table(spark, d, "part").select("p_partkey", text.name_words("p_name").alias("words"), "p_brand", "p_size")
     a, b = p.toDF("a", "na", "p_brand", "p_size"), p.toDF("b", "nb", "p_brand", "p_size")
-    score = text.token_similarity("na", "nb")
+    score = text.word_similarity("na", "nb")
     return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", score.alias("score")).filter("score >= 0.3")
 
 
