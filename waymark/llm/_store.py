@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; its own one only where none is set.
 
-    Without the setting a local session takes a temporary folder, and a
-    cluster takes a relative path, which lies in its default file system.
+    Without the setting a local session takes a temporary folder, and a cluster takes
+    a relative path, which lies in its default file system; the context keeps it.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="waymark-") if spark.sparkContext.master.startswith("local") else ".waymark"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-") if context.master.startswith("local[") or context.master == "local" else ".waymark")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
