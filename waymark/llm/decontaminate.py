@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._sample import Lookup
 from ._store import extended, text_of
-from ._tokens import WORDS, inside_text, tokenize, window_hashes
+from ._tokens import WORDS, inside_text, slabs, tokenize, window_hashes
 
 #: Position masks of weight 7: with any two substitutions in SPAN tokens one of them still hits.
 MASKS = ("1111111", "11110111", "11101111", "1110100111")
@@ -136,11 +136,12 @@ def _searcher(ids: list, texts: list[str], names: list[str], key: str):
 
     def run(batches):
         for batch in batches:
-            t = tokenize(batch.column(1), WORDS)
             best: dict[tuple[int, int], tuple] = {}
-            for x, y, a, b, n in seeds.overlaps(t.hash, t.first):
-                if n > best.get((x, y), (0, 0, 0))[2]:
-                    best[x, y] = (a, b, n)
+            for low, high in slabs(batch.column(1)):
+                t = tokenize(batch.column(1).slice(low, high - low), WORDS)
+                for x, y, a, b, n in seeds.overlaps(t.hash, t.first):
+                    if n > best.get((x + low, y), (0, 0, 0))[2]:
+                        best[x + low, y] = (a, b, n)
             at = pa.array([x for x, _ in best], pa.int64())
             ints = lambda k: pa.array([v[k] for v in best.values()], pa.int32())
             size = [int(seeds.count[y]) for _, y in best]
@@ -159,9 +160,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
         def run(batches, seeds=seeds):
             for batch in batches:
-                t = tokenize(batch.column(batch.num_columns - 1), WORDS)
                 keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in seeds.overlaps(t.hash, t.first)]] = False
+                column = batch.column(batch.num_columns - 1)
+                for low, high in slabs(column):
+                    t = tokenize(column.slice(low, high - low), WORDS)
+                    keep[[x[0] + low for x in seeds.overlaps(t.hash, t.first)]] = False
                 kept = batch.filter(pa.array(keep))
                 yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
 
