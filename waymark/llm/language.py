@@ -19,12 +19,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._sample import Lookup
 from ._store import dropped, extended, fold_of, text_of, written
-from ._tokens import LETTERS, hashes, mixed, tokenize
+from ._tokens import LETTERS, mixed, slabs, tokenize
 
 SAMPLE, LANGUAGES, WORDS_KEPT, GRAMS_KEPT, LONGEST = 1500, 64, 100_000, 60_000, 5
 UND = "und"
@@ -63,19 +62,18 @@ def counter():
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = tokenize(batch.column(0), LETTERS)
-            lang = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[t.owner()]
-            for k in np.unique(lang):
-                own = np.flatnonzero(lang == k)
-                word, example, n = np.unique(t.hash[own], return_index=True, return_counts=True)
-                yield _counts(0, word, k, n)
-                order = np.argsort(example)
-                example, n = own[example[order]], n[order]
-                for size, h, owner in grams(t.data, t.start[example], t.end[example]):
-                    gram, back = np.unique(h, return_inverse=True)
-                    yield _counts(size, gram, k, np.bincount(back, n[owner], minlength=len(gram)).astype(np.int64))
+            for low, high in slabs(batch.column(0), SLAB):
+                t = tokenize(batch.column(0).slice(low, high - low), LETTERS)
+                lang = batch.column(1).slice(low, high - low).to_numpy(zero_copy_only=False).astype(np.int64)[t.owner()]
+                for k in np.unique(lang):
+                    own = np.flatnonzero(lang == k)
+                    word, example, n = np.unique(t.hash[own], return_index=True, return_counts=True)
+                    yield _counts(0, word, k, n)
+                    order = np.argsort(example)
+                    example, n = own[example[order]], n[order]
+                    for size, h, owner in grams(t.data, t.start[example], t.end[example]):
+                        gram, back = np.unique(h, return_inverse=True)
+                        yield _counts(size, gram, k, np.bincount(back, n[owner], minlength=len(gram)).astype(np.int64))
 
     return run
 
@@ -107,7 +105,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     whole = {r["kind"]: np.array(r[1:], float) for r in table.groupBy("kind").agg(*sizes).collect()}
     ranked = table.filter(F.col("total") >= 2)
     top = ranked.filter("kind = 0").orderBy(F.desc("total"), "feature").limit(WORDS_KEPT).toArrow()
-    part = ranked.filter("kind > 0").withColumn("r", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("total"), "feature"))).filter(F.col("r") <= GRAMS_KEPT // LONGEST).drop("r").toArrow()
+    commonest = lambda k: ranked.filter(F.col("kind") == k).orderBy(F.desc("total"), "feature").limit(GRAMS_KEPT // LONGEST)
+    part = pa.concat_tables([commonest(k).toArrow() for k in range(1, LONGEST + 1)])
     dropped(table)
 
     def logs(found):
