@@ -229,6 +229,20 @@ def test_every_pair_of_substitutions_is_hit():
         assert hit, (a, b)
 
 
+def test_every_overlap_that_counts_is_hit():
+    words = lambda n: [f"t{i}" for i in range(n)]
+    for n in range(decontaminate.LEAST, decontaminate.SPAN + 2):
+        width = min(n, decontaminate.SPAN)
+        need = n if n < 7 else math.ceil(decontaminate.AGREE * width)
+        texts = [" ".join("changed" if i in gone else w for i, w in enumerate(words(n))) for gone in itertools.combinations(range(n), width - need)]
+        t = tokenize(pa.array(texts + ["before " + x + " after" for x in texts]), WORDS)
+        seeds = decontaminate.Seeds(["other", "item"], ["x y z", " ".join(words(n))])
+        assert {x[0] for x in seeds.overlaps(t.hash, t.first)} == set(range(2 * len(texts))), n
+    texts = [" ".join("changed" if i % 4 == phase else w for i, w in enumerate(words(60))) for phase in range(4)]
+    t = tokenize(pa.array(texts), WORDS)
+    assert {x[0] for x in decontaminate.Seeds(["item"], [" ".join(words(60))]).overlaps(t.hash, t.first)} == {0, 1, 2, 3}
+
+
 def test_clean_keeps_the_rest(spark, docs, edge):
     benchmark = registry.table(spark, FOLDER, "benchmark")
     leaks = {r["doc_id"] for r in decontaminate.overlaps(docs, benchmark).collect()}

@@ -8,10 +8,11 @@ tokens (or the whole item, if shorter) agrees in at least AGREE of its tokens. S
 passage with words substituted is found, even where no long run is unchanged.
 
 The benchmark goes to the executors in blocks of at most BLOCK tokens, one pass over
-the texts for each, so what is broadcast doesn't grow with it. Items of fewer tokens
-than a mask's span are matched whole; those of fewer than LEAST tokens aren't looked
-for, since common phrases are as long. Null and empty texts overlap with nothing;
-repeated rows give equal results.
+the texts for each, so what is broadcast doesn't grow with it. Each length of item has
+masks of which one hits wherever the overlap counts (SHORT, MASKS); tests enumerate
+this. Items of fewer than PARTLY tokens are matched whole; those of fewer than LEAST
+tokens aren't looked for, since common phrases are as long. Null and empty texts
+overlap with nothing; repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -25,9 +26,16 @@ from ._sample import Lookup
 from ._store import extended, text_of
 from ._tokens import WORDS, inside_text, slabs, tokenize, window_hashes
 
-#: Position masks of weight 7: with any two substitutions in SPAN tokens one of them still hits.
-MASKS = ("1111111", "11110111", "11101111", "1110100111")
-SPAN, AGREE, LEAST, BLOCK = 13, 0.75, 5, 500_000
+SPAN, AGREE, LEAST, PARTLY, BLOCK = 13, 0.75, 5, 7, 500_000
+#: Position masks for items of SPAN tokens or more: with any three substitutions in SPAN tokens one of them still hits.
+MASKS = ("1101111", "1110001011", "10111011", "110010000111", "11110011")
+#: Those for shorter items, by the least number of tokens: one substitution in 7, two in 8 to 11, three in 12.
+SHORT = {
+    7: ("11011",),
+    8: ("11101", "1000111", "10010011"),
+    9: ("111011", "11111", "110000111", "1101011"),
+    12: ("110111", "110001011", "11101001", "110100011"),
+}
 #: Pairs lined up at a time, in tokens compared.
 PAIRS = 1 << 20
 
@@ -36,26 +44,31 @@ def places(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
+def lengths() -> list[tuple[int, float, tuple[str, ...]]]:
+    """Least number of tokens, the number that is too many, and masks, for each kind of item."""
+    masks = {n: ("1" * n,) for n in range(LEAST, PARTLY)} | SHORT | {SPAN: MASKS}
+    return [(low, high, masks[low]) for low, high in zip(masks, [*list(masks)[1:], np.inf], strict=True)]
+
+
 class Seeds:
     """The seeds of a block of benchmark items."""
 
     def __init__(self, ids: list, texts: list[str]):
         t = tokenize(pa.array(texts, pa.string()), WORDS)
         self.ids, self.hash, self.first, self.count = ids, t.hash, t.first, t.counts()
-        keys, item, at = [], [], []
-        self.spans = [len(m) for m in MASKS]
-        for k, mask in enumerate(MASKS):
-            p = inside_text(t.first, len(mask))
-            if len(p):
-                keys.append(window_hashes(t.hash, places(mask))[p] + np.uint64(k))
+        keys, at = [], []
+        #: The masks that some item needs, each with a number that tells its hashes from others'.
+        self.masks = []
+        for low, high, masks in lengths():
+            held = np.repeat((self.count >= low) & (self.count < high), self.count)
+            if not held.any():
+                continue
+            for mask in masks:
+                p = inside_text(t.first, len(mask))
+                p = p[held[p]]
+                self.masks.append((len(mask), places(mask), low * 100 + len(self.masks)))
+                keys.append(window_hashes(t.hash, places(mask))[p] + np.uint64(self.masks[-1][2]))
                 at.append(p)
-        #: Items too short for the first mask, by their number of tokens.
-        self.short = sorted({int(n) for n in self.count if LEAST <= n < len(MASKS[0])})
-        for n in self.short:
-            p = inside_text(t.first, n)
-            p = p[np.isin(p, t.first[:-1][self.count == n])]
-            keys.append(window_hashes(t.hash, tuple(range(n)))[p] + np.uint64(100 + n))
-            at.append(p)
         keys, at = (np.concatenate(keys), np.concatenate(at)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(keys, kind="stable")
         keys, self.at = keys[order], at[order]
@@ -67,8 +80,7 @@ class Seeds:
     def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """text, item, and where the item's first token lies among the text's: distinct, for each hit of any seed."""
         found = []
-        shapes = [(len(m), places(m), k) for k, m in enumerate(MASKS)] + [(n, tuple(range(n)), 100 + n) for n in self.short]
-        for span, at, salt in shapes:
+        for span, at, salt in self.masks:
             p = inside_text(first, span)
             if not len(p):
                 continue
@@ -103,7 +115,7 @@ class Seeds:
             for w in np.unique(width):
                 own = width == w
                 best[own] = (sums[own, w:] - sums[own, :-w]).max(1)
-            need = np.where(size < len(MASKS[0]), size, np.ceil(AGREE * width)).astype(np.int64)
+            need = np.where(size < PARTLY, size, np.ceil(AGREE * width)).astype(np.int64)
             for r in np.flatnonzero(best >= need):
                 agree = np.flatnonzero(same[r])
                 out.append((int(x[r]), int(y[r]), int(o[r] + agree[0] - first[x[r]]), int(o[r] + agree[-1] - first[x[r]]), len(agree)))
