@@ -319,6 +319,21 @@ def test_licences_and_inheritance(spark):
     assert by["d/q.py"] == by["top.py"] == (None, None, None) and by[None][:2] == ("MIT", "header")
 
 
+def test_licence_texts_headers_and_versions(spark):
+    from waymark.llm._license_texts import BSD_END, BSD_TWO, MIT_TEXT, whole
+
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\nimport os\n" + "x = os.sep\n" * 90
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\nint x;\n"
+    wrap = lambda text: re.sub(r"(.{60}\S*) ", r"\1\n", text)
+    notes = {"BSD-2-Clause": "Released under the BSD 2-Clause License.", "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.", "CC-BY-3.0": "Licensed under CC BY 3.0."}
+    full = ["Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0", "Artistic-1.0", "Unlicense"]
+    files = [(f"full/{n}/main.c", whole(n), n, True) for n in full] + [(f"note/{n}", x, n, True) for n, x in notes.items()]
+    files += [("h/gpl.py", gpl, "GPL-2.0", False), ("h/mpl.c", mpl, "MPL-2.0", True), ("mit/a", wrap("Copyright (c) 2020 Some One " + MIT_TEXT), "MIT", True), ("bsd/a", wrap("Copyright (c) 2020 Some One " + BSD_TWO + " " + BSD_END), "BSD-2-Clause", True)]
+    files += [("head/a", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0", True), ("head/g", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0", True)]
+    got = {r["path"]: (r["license"], r["is_license_file"]) for r in licenses.headers(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert got == {f[0]: f[2:] for f in files}
+
+
 def test_nearest_ancestor_as_brute_force(spark):
     rnd = random.Random(6)
     names = ["p", "q", "r"]

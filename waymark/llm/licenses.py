@@ -1,17 +1,21 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance by directory.
 
 A file's header candidates are its lines that hold a cue word, joined where they
-follow each other, and cut into sentences too. Each is compared with every template
-by the cosine of sparse TF-IDF vectors over words and word pairs; weights come from
-the templates. From LIKE on, the best template is the file's licence. A file that is
-named like a licence file, or of whose words such lines make FILE_SHARE or more, is a
-licence file and holds for its directory. A file without a licence of its own takes
+follow each other, and cut into sentences too; and for each template, be it a notice, a
+standard header or a whole licence, the lines with the run of words that most of all
+are that template's word pairs. Each is compared with every template by the cosine of
+sparse TF-IDF vectors over words and word pairs; weights come from the families of
+templates, so that versions of one licence don't make its words common. Of the
+candidates at LIKE or more, the one with most words, counted by the cube of their
+similarity, gives the file's licence. A file that is named like a licence file, or of
+whose words that block makes FILE_SHARE or more, is a licence file and holds for its
+directory. A file without a licence of its own takes
 that of the nearest directory above it that has one, found by joining the
 directories with their ancestors.
 
 Null texts and texts without cues have no licence of their own; a null path lies in
-no directory and inherits nothing. Among several licence files of a directory the
-most similar one counts, then the first by licence and path. Repeated rows get equal
+no directory and inherits nothing. Among several licence files of a directory one
+named so counts first, then the most similar one, then the first by licence and path. Repeated rows get equal
 results.
 """
 
@@ -25,27 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._license_texts import templates as known_licenses
 from ._store import extended, text_of, written
 
 LIKE, FILE_SHARE = 0.6, 0.3
 CUE = r"(?i)licen[cs]|copyright|spdx|permission is hereby|redistribution and use|public domain"
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
-#: Identifiers and the notices that stand for them.
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0"],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0-1.0": ["Released into the public domain under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"],
-}
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -57,9 +46,12 @@ def terms(text: str) -> Counter:
 class Templates:
     def __init__(self, templates: dict[str, list[str]]):
         own = [(name, terms(t)) for name, texts in templates.items() for t in texts]
-        seen = Counter(w for _, t in own for w in t)
-        self.idf = {w: 1 + log((1 + len(own)) / (1 + n)) for w, n in seen.items()}
-        self.other = 1 + log(1 + len(own))
+        families: dict[str, set] = {}
+        for name, t in own:
+            families.setdefault(name.partition("-")[0], set()).update(t)
+        seen = Counter(w for t in families.values() for w in t)
+        self.idf = {w: 1 + log((1 + len(families)) / (1 + n)) for w, n in seen.items()}
+        self.other = 1 + log(1 + len(families))
         #: term -> (template, weight); templates have length 1.
         self.names, self.terms = [name for name, _ in own], {}
         for k, (_, t) in enumerate(own):
@@ -96,14 +88,35 @@ class Templates:
             for line in run:
                 out.append(line)
                 out += [s for s in re.split(r"(?<=[.;])\s+(?=[A-Z])", line) if s != line and self.cue.search(s)]
-        return list(dict.fromkeys(out))
+        return list(dict.fromkeys(out + self.blocks(text)))
+
+    def blocks(self, text: str) -> list[str]:
+        """For each template, the lines of the run in which word pairs of it most outnumber others; those with a cue."""
+        lines = text.split("\n")
+        words, line = [], []
+        for k, x in enumerate(lines):
+            own = _WORD.findall(x.lower())
+            words += own
+            line += [k] * len(own)
+        runs: dict[int, tuple] = {}
+        for i, pair in enumerate(zip(words, words[1:], strict=False)):
+            for k, _ in self.terms.get(pair, ()):
+                score, begin, last, best = runs.get(k, (0, i, i - 1, (0, 0, 0)))
+                score -= i - last - 1
+                if score <= 0:
+                    score, begin = 0, i
+                score += 1
+                runs[k] = (score, begin, i, max(best, (score, -begin, i)))
+        found = dict.fromkeys((line[-begin], line[last + 1]) for *_, (_, begin, last) in runs.values())
+        return [block for a, b in found if self.cue.search(block := "\n".join(lines[a : b + 1]))]
 
     def scan(self, text: str) -> tuple[float, str | None, str | None, float]:
         """Similarity, licence, the span it was found in, and that span's share of the words."""
         found = [(*self.nearest(s), s) for s in self.spans(text)]
-        best, name, span = max(found, key=lambda f: f[0], default=(0.0, None, None))
-        if best < LIKE:
-            return best, None, None, 0.0
+        close = [f for f in found if f[0] >= LIKE]
+        if not close:
+            return max((f[0] for f in found), default=0.0), None, None, 0.0
+        best, name, span = max(close, key=lambda f: (f[0] ** 3 * len(f[2].split()), f[0]))
         return best, name, span, len(span.split()) / max(1, len(text.split()))
 
 
@@ -115,7 +128,7 @@ def headers(files: DataFrame, path: str = "path", text: str = "text", templates:
     cue = F.when(text_of(text).rlike(CUE), text_of(text))
     source = files.select(*[F.col(f"`{c}`") for c in carried], cue.alias("__text"))
     schema = extended(source.drop("__text").schema, "license string, similarity double, header string, is_license_file boolean")
-    given, named, at = templates or TEMPLATES, re.compile(NAMES), carried.index(path)
+    given, named, at = templates or known_licenses(), re.compile(NAMES), carried.index(path)
 
     def run(batches):
         known = Templates(given)
@@ -137,7 +150,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     """headers() with license_source (header, inherited or null) and license_dir, the licence taken over where a file has none."""
     own = headers(files, path, text, templates).withColumn("__dir", directory(F.col(path)))
     own = written(own, "licenses")
-    held = own.filter("is_license_file and __dir is not null").groupBy("__dir").agg(F.min(F.struct((-F.col("similarity")).alias("order"), F.col("license").alias("license"), F.col(path).alias("path"))).alias("best"))
+    held = own.filter("is_license_file and __dir is not null").groupBy("__dir").agg(F.min(F.struct((~F.col(path).rlike(NAMES)).alias("other"), (-F.col("similarity")).alias("order"), F.col("license").alias("license"), F.col(path).alias("path"))).alias("best"))
     held = held.select(F.col("__dir").alias("above"), F.col("best.license").alias("held"))
     dirs = own.filter("license is null and __dir is not null").select("__dir").distinct()
     parts = F.split("__dir", "/")
