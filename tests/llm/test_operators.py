@@ -512,6 +512,62 @@ def test_media_types_and_carving(kind):
     assert all(k != kind for _, _, k in media.sniff(broken))
 
 
+def crc(data, poly, bits):
+    out = 0
+    for b in data:
+        out ^= b << bits - 8
+        for _ in range(8):
+            out = (out << 1 ^ (poly if out >> bits - 1 else 0)) & (1 << bits) - 1
+    return out.to_bytes(bits // 8, "big")
+
+
+def flac(total=None):
+    """Mono frames of 16 samples of 8 bits: constant, verbatim, fixed and LPC with Rice residuals, wasted bits."""
+    rnd = random.Random(9)
+    bits = lambda x, n: format(x, f"0{n}b")
+    rice = lambda n: "".join("0" * rnd.randint(0, 40) + "1" + bits(rnd.randint(0, 3), 2) for _ in range(n))
+    verbatim = "".join(bits(rnd.randint(0, 255), 8) for _ in range(16))
+    frames = ["00000000" + bits(7, 8), "00000010" + verbatim, "00010100" + bits(77, 16) + "00" + "0000" + "0010" + rice(14)]
+    frames += ["01000010" + bits(77, 16) + "0010" + "00001" + bits(5, 6) + "00" + "0001" + "0010" + rice(6) + "1111" + "00011" + "101" * 8, "00000011" + "01" + verbatim[: 16 * 6]]
+    out = b""
+    for k, x in enumerate(frames):
+        head = bytes([0xFF, 0xF8, 0x69, 0x02, k, 15])
+        head += crc(head, 0x07, 8)
+        x += "0" * (-len(x) % 8)
+        frame = head + int(x, 2).to_bytes(len(x) // 8, "big")
+        out += frame + crc(frame, 0x8005, 16)
+    info = struct.pack(">HH", 16, 16) + bytes(6) + ((8000 << 44) | (7 << 36) | (80 if total is None else total)).to_bytes(8, "big") + bytes(16)
+    return b"fLaC\0\0\0\x22" + info + b"\x81\0\0\x05\0fLaC" + out
+
+
+def ogg(*pages):
+    return b"".join(b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<III", serial, 0, 0) + b"\1\x09" + b"some data" for flags, serial in pages)
+
+
+def test_carved_files_are_whole():
+    import gzip
+    import io
+    import zipfile
+
+    inner, z = samples()["application/zip"], io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("inner.zip", inner)
+        f.writestr("b.txt", "hello")
+    one = b"%PDF-1.4\n1 0 obj\nendobj\nxref\ntrailer\nstartxref\n24\n%%EOF"
+    revised = one + b"\n2 0 obj\nendobj\nxref\ntrailer\nstartxref\n%d\n%%%%EOF" % (len(one) + 16)
+    linear = b"%PDF-1.4\n1 0 obj\nendobj\nxref\ntrailer\nstartxref\n0\n%%EOF\n2 0 obj\nendobj\nxref\ntrailer\nstartxref\n24\n%%EOF"
+    holder = b"%PDF-1.4\n1 0 obj\n" + one + b"\nendobj\nxref\ntrailer\nstartxref\n%d\n%%%%EOF" % (17 + len(one) + 8)
+    cases = [("audio/flac", flac()), ("audio/flac", flac(0)), ("application/zip", z.getvalue()), ("application/gzip", gzip.compress(b"x" * 99) + gzip.compress(b"y" * 99))]
+    cases += [("application/pdf", x) for x in (one, revised, linear, holder)]
+    cases += [("application/ogg", ogg((2, 1), (2, 2), (0, 1), (4, 1), (0, 2), (4, 2))), ("application/ogg", ogg((6, 1), (2, 2), (4, 2)))]
+    for kind, data in cases:
+        assert media.sniff(data)[0] == (0, len(data), kind)
+        assert media.sniff(b"noise " + data + b" more %%EOF") == [(6, len(data), kind)]
+    assert media.sniff(flac()[:-1]) == media.sniff(flac(81)) == []
+    assert media.sniff(b"." + one + one) == [(1, len(one), "application/pdf"), (1 + len(one), len(one), "application/pdf")]
+    assert media.sniff(ogg((2, 1), (0, 1), (4, 1))) == [(0, 37 * 3, "application/ogg")]
+
+
 def test_media_columns(spark):
     rows = [(1, bytearray(png()), "image/jpeg"), (2, bytearray(b"GIF89a not one"), "image/gif"), (3, None, None), (4, bytearray(b"xx" + png()), "image/png"), (4, bytearray(b"xx" + png()), "image/png")]
     df = spark.createDataFrame(rows, "id long, content binary, declared string")

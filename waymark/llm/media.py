@@ -138,38 +138,196 @@ def _wav(data, at):
     return end - at if form and samples and p == end else 0
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for n in range(256):
+        n <<= bits - 8
+        for _ in range(8):
+            n = n << 1 ^ (poly if n >> bits - 1 else 0)
+            n &= (1 << bits) - 1
+        out.append(n)
+    return out
+
+
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(data, at, depth):
+    """Length and samples of the frame at `at`, read bit by bit as its residuals have no lengths; 0, 0 if it isn't one."""
+    if at + 6 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8 or data[at + 3] & 1:
+        return 0, 0
+    size, rate, channels, bits = data[at + 2] >> 4, data[at + 2] & 15, data[at + 3] >> 4, data[at + 3] >> 1 & 7
+    depth = (depth, 8, 12, 0, 16, 20, 24, 32)[bits]
+    if not size or rate == 15 or channels > 10 or not depth:
+        return 0, 0
+    p = at + 5
+    lead = data[at + 4]
+    if lead & 0x80:
+        more = 8 - (lead ^ 0xFF).bit_length() - 1
+        if not 1 <= more <= 6:
+            return 0, 0
+        p += more
+    if p + 5 > len(data):
+        return 0, 0
+    if size == 6:
+        n, p = data[p] + 1, p + 1
+    elif size == 7:
+        n, p = struct.unpack_from(">H", data, p)[0] + 1, p + 2
+    else:
+        n = 192 if size == 1 else 576 << size - 2 if size < 6 else 256 << size - 8
+    p += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for b in data[at : p + 1]:
+        crc = CRC8[crc ^ b]
+    if crc or p >= len(data):
+        return 0, 0
+    count = channels + 1 if channels < 8 else 2
+    most = 64 + count * (n * (depth + 2) // 8 + 64)
+    while True:
+        part = data[p + 1 : p + 1 + most]
+        end = _flac_subframes(bin(int.from_bytes(b"\1" + part, "big"))[3:], n, [depth + (channels == 9 and c == 0 or channels in (8, 10) and c == 1) for c in range(count)])
+        if end is not None or p + 1 + most >= len(data):
+            break
+        most *= 2
+    if not end:
+        return 0, 0
+    end = p + 1 + -(-end // 8) + 2
+    if end > len(data):
+        return 0, 0
+    crc = 0
+    for b in data[at:end]:
+        crc = (crc << 8 & 0xFFFF) ^ CRC16[crc >> 8 ^ b]
+    return (0, 0) if crc else (end - at, n)
+
+
+def _flac_subframes(bits, n, depths):
+    """The number of bits that the subframes take; 0 if they aren't valid, None if the bits don't reach."""
+    p = 0
+    try:
+        for depth in depths:
+            kind = int(bits[p + 1 : p + 7], 2)
+            if bits[p] == "1":
+                return 0
+            p += 8
+            if bits[p - 1] == "1":
+                q = bits.index("1", p)
+                depth, p = depth - (q - p + 1), q + 1
+            if depth < 1:
+                return 0
+            if kind == 0:
+                p += depth
+            elif kind == 1:
+                p += depth * n
+            elif 8 <= kind <= 12 or kind >= 32:
+                order = kind - 8 if kind < 32 else kind - 31
+                p += order * depth
+                if kind >= 32:
+                    width = int(bits[p : p + 4], 2) + 1
+                    p += 9 + width * order
+                method, parts = int(bits[p : p + 2], 2), 1 << int(bits[p + 2 : p + 6], 2)
+                if method > 1 or n % parts or n // parts < order:
+                    return 0
+                p, wide = p + 6, 4 + method
+                for k in range(parts):
+                    rice, p = int(bits[p : p + wide], 2), p + wide
+                    left = n // parts - (order if k == 0 else 0)
+                    if rice == (1 << wide) - 1:
+                        p += 5 + left * int(bits[p : p + 5], 2)
+                        continue
+                    for _ in range(left):
+                        p = bits.index("1", p) + 1 + rice
+            else:
+                return 0
+    except (ValueError, IndexError):
+        return None
+    return p if p <= len(bits) else None
+
+
 def _flac(data, at):
-    return 42 if at + 42 <= len(data) and data[at + 4] & 0x7F == 0 and data[at + 5 : at + 8] == b"\0\0\x22" else 0
+    if at + 42 > len(data) or data[at + 4] & 0x7F or data[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    depth = (data[at + 20] & 1) << 4 | data[at + 21] >> 4
+    total = int.from_bytes(data[at + 21 : at + 26], "big") & (1 << 36) - 1
+    p, last = at + 4, 0
+    while not last:
+        if p + 4 > len(data) or data[p] & 0x7F == 0x7F:
+            return 0
+        last, p = data[p] & 0x80, p + 4 + int.from_bytes(data[p + 1 : p + 4], "big")
+    if p > len(data):
+        return 0
+    samples = 0
+    while not total or samples < total:
+        size, n = _flac_frame(data, p, depth + 1)
+        if not size:
+            break
+        p, samples = p + size, samples + n
+    return p - at if samples >= total else 0
 
 
 def _ogg(data, at):
-    p = at
+    """To the end of all streams that begin together; without a last page, to the end of the pages."""
+    p, streams, beginning = at, set(), True
     while data[p : p + 4] == b"OggS" and p + 27 <= len(data) and data[p + 4] == 0 and data[p + 5] < 8:
         table = data[p + 27 : p + 27 + data[p + 26]]
         end = p + 27 + len(table) + sum(table)
         if len(table) < data[p + 26] or end > len(data):
             return 0
-        last, p = data[p + 5] & 4, end
-        if last:
+        flags, serial = data[p + 5], data[p + 14 : p + 18]
+        beginning = beginning and bool(flags & 2)
+        if p == at and not flags & 2 or not streams and not beginning:
             break
+        if flags & 2:
+            streams.add(serial)
+        if flags & 4:
+            streams.discard(serial)
+        p = end
     return p - at
 
 
 def _pdf(data, at):
-    head = re.compile(rb"%PDF-\d\.\d[\r\n]").match(data, at)
-    end = data.find(b"%%EOF", at)
-    return end + 5 - at if head and end > 0 and data.find(b"startxref", at, end) > 0 else 0
+    """To the last %%EOF whose startxref points into the file, or else the last one with a startxref before the next file's head."""
+    if not _PDF_HEAD.match(data, at):
+        return 0
+    after = _PDF_HEAD.search(data, at + 5)
+    after = after.start() if after else len(data)
+    whole = loose = 0
+    for end in _PDF_END.finditer(data, at):
+        target = at + int(end[1])
+        # past another head, only what points past it belongs to this file and not to the other
+        if (after <= target or end.start() < after) and at < target < end.start() and _PDF_TABLE.match(data, target):
+            whole = end.end()
+        if end.end() <= after:
+            loose = end.end()
+    return max(whole or loose, at) - at
+
+
+_PDF_HEAD, _PDF_END, _PDF_TABLE = re.compile(rb"%PDF-\d\.\d[\r\n]"), re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF"), re.compile(rb"\s*(xref\s|\d+\s+\d+\s+obj)")
 
 
 def _zip(data, at):
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", data, end + 12)
-    return end + 22 + note - at if at + start + size == end and data[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(data) else 0
+    end = at
+    while (end := data.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(data):
+        size, start, note = struct.unpack_from("<IIH", data, end + 12)
+        tail = end
+        if data[end - 20 : end - 16] == b"PK\x06\x07":
+            tail = at + struct.unpack_from("<Q", data, end - 12)[0]
+            if tail + 56 > end or data[tail : tail + 4] != b"PK\x06\x06":
+                continue
+            size, start = struct.unpack_from("<QQ", data, tail + 40)
+        if at + start + size == tail and data[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(data):
+            return end + 22 + note - at
+    return 0
 
 
 def _gzip(data, at):
+    """All members that follow each other."""
+    p = at
+    while data[p : p + 3] == b"\x1f\x8b\x08" and (size := _member(data, p)):
+        p += size
+    return p - at
+
+
+def _member(data, at):
     try:
         work = zlib.decompressobj(31)
         step, p = 1 << 16, at
@@ -187,12 +345,16 @@ def _gzip(data, at):
 VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "audio/flac": _flac, "application/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
 
 
+#: Formats whose parts begin like the whole.
+CHAINED = ("application/ogg", "application/gzip")
+
+
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """Start, length and type of each confirmed format, in order; those inside a carved one are left out."""
     found, past = [], 0
     for last, (size, kind) in sorted((x for x in automaton().iter(data.decode("latin-1"))), key=lambda x: x[0] - x[1][0]):
         at = last + 1 - size
-        if at < past:
+        if at < past or found and found[0][0] == 0 and kind == found[0][2] in CHAINED and at < found[0][1]:
             continue
         if length := VALID[kind](data, at):
             found.append((at, length, kind))
