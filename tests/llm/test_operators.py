@@ -442,6 +442,32 @@ def test_language_held_out(docs, edge):
     assert language.predict(none_of(edge), model).count() == 0
 
 
+def test_every_language_is_learnt_with_its_own_quota(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS_KEPT", 6)
+    monkeypatch.setattr(language, "GRAMS_KEPT", 30)
+    rnd = random.Random(7)
+    words = {f"l{k:02d}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for k in range(70)}
+    rows = [(i, " ".join(rnd.choices(words[name], k=30)), name) for i, name in enumerate(n for k, n in enumerate(words) for _ in range(8 if k < 35 else 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model.names == sorted(words)
+    assert all(r["lang_pred"] == r["lang"] for r in language.predict(docs, model).collect())
+
+
+def test_language_scores_as_brute_force(spark):
+    rows = [(1, "aab aab abb xyz", "p"), (2, "aab abb abb qrs", "q"), (3, "zzz zzz aab", "r")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {name: Counter(text.split()) for _, text, name in rows}
+    texts = ["aab abb aab", "zzz", "", "abb"]
+    got = language.text_scores(model, tokenize(pa.array(texts), language.LETTERS), len(texts))
+    want = [[sum(math.log((counts[n][w] + 0.1) / (counts[n].total() + 1)) for w in x.split()) for n in "pqr"] for x in texts]
+    assert np.allclose(got, want)
+    gram = lambda n, g: sum(v for w, v in counts[n].items() for i in range(6 - len(g)) if f"<{w}>"[i : i + len(g)] == g)
+    got = language.text_scores(model, tokenize(pa.array(["aaz"]), language.LETTERS), 1)[0]
+    size = {n: sum(3 * v for v in counts[n].values()) for n in "pqr"}
+    assert np.allclose(got, [math.log((gram(n, "<aa") + 0.1) / (size[n] + 1)) for n in "pqr"])
+
+
 def test_back_off_is_longest_first():
     t = tokenize(pa.array(["abc"]), language.LETTERS)
     sizes = [(n, len(h)) for n, h, _ in language.grams(t.data, t.start, t.end)]

@@ -5,9 +5,12 @@ is scored by its character n-grams of 5 that are; if none is, by those of 4, and
 on down to 1. A text's score in a language is the sum over its words; the output is
 the language with the greatest one and its share among all.
 
-Frequencies come from a bounded sample of labelled texts (SAMPLE for each language,
-for at most LANGUAGES languages, those with most texts); the WORDS_KEPT and
-GRAMS_KEPT commonest are kept. A text that is null or has no letter gets `und` and
+Frequencies come from a bounded sample of labelled texts, SAMPLE for each language, and
+every language that has a text is learnt. Each has its own WORDS_KEPT commonest words
+and GRAMS_KEPT commonest n-grams (on average: of features that are equally frequent
+where the bound falls, those with the least hashes); what one language keeps is counted
+in all. Counts are kept only where a feature occurs, so the model grows with the
+languages and not with their square. A text that is null or has no letter gets `und` and
 score 0; ties go to the language that is first in order of its name. Repeated rows
 get equal results. Without any labelled text all are `und`.
 """
@@ -20,23 +23,36 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._sample import Lookup
 from ._store import dropped, extended, fold_of, text_of, written
 from ._tokens import LETTERS, mixed, slabs, tokenize
 
-SAMPLE, LANGUAGES, WORDS_KEPT, GRAMS_KEPT, LONGEST = 1500, 64, 100_000, 60_000, 5
+SAMPLE, WORDS_KEPT, GRAMS_KEPT, LONGEST = 1500, 100_000, 60_000, 5
 UND = "und"
 SLAB = 1 << 22
+#: Counts added up at a time, and the frequency of what isn't seen.
+ADDED, UNSEEN = 1 << 21, 0.1
 STEP = np.uint64(0x9FB21C651E98DF25)
 
 
+class Features(NamedTuple):
+    """Kept features by hash: those at place i have languages and gains begin[i]:begin[i + 1]."""
+
+    lookup: Lookup
+    begin: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+
+
 class Model(NamedTuple):
+    """base: by kind (0: words, else the length of n-grams) and language, the log frequency of what isn't seen; gains come on top."""
+
     names: list[str]
-    words: Lookup
-    word_logs: np.ndarray
-    grams: Lookup
-    gram_logs: np.ndarray
+    base: np.ndarray
+    words: Features
+    grams: Features
 
 
 def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -85,62 +101,112 @@ def _counts(kind, h, lang, n):
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from at most `sample` texts of each language (on average: those whose key's hash is below a bound)."""
     own = docs.filter(F.col(lang).isNotNull())
-    totals = own.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    totals = sorted((r[0], r[1]) for r in totals)
+    totals = sorted((r[0], r[1]) for r in own.groupBy(lang).count().collect())
     names = [n for n, _ in totals]
     if not names:
-        return Model([], Lookup(np.zeros(0, np.uint64)), np.zeros((0, 0)), Lookup(np.zeros(0, np.uint64)), np.zeros((0, 0)))
+        return Model([], np.zeros((LONGEST + 1, 0)), _features([], []), _features([], []))
     share = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
-    number = F.lit(None).cast("int")
-    taken = F.lit(False)
-    for k, (name, n) in enumerate(totals):
-        number = F.when(F.col(lang) == name, k).otherwise(number)
-        taken = taken | ((F.col(lang) == name) & (share < min(1.0, sample / n)))
-    rows = own.filter(taken).select(text_of(text).alias("text"), number.alias("lang"))
+    numbers = docs.sparkSession.createDataFrame([(name, k, min(1.0, sample / n)) for k, (name, n) in enumerate(totals)], T.StructType([T.StructField(lang, docs.schema[lang].dataType), T.StructField("__number", T.IntegerType()), T.StructField("__share", T.DoubleType())]))
+    rows = own.select(F.col(lang), text_of(text).alias("text"), share.alias("__at")).join(F.broadcast(numbers), lang).filter("__at < __share").select("text", F.col("__number").alias("lang"))
     counts = rows.mapInArrow(counter(), "kind int, feature long, lang int, n long")
     sums = counts.groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n"))
-    wide = sums.groupBy("kind", "feature").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(names))])
-    sizes = [F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(len(names))]
-    table = written(wide, "language-counts")
-    whole = {r["kind"]: np.array(r[1:], float) for r in table.groupBy("kind").agg(*sizes).collect()}
-    ranked = table.filter(F.col("total") >= 2)
-    top = ranked.filter("kind = 0").orderBy(F.desc("total"), "feature").limit(WORDS_KEPT).toArrow()
-    commonest = lambda k: ranked.filter(F.col("kind") == k).orderBy(F.desc("total"), "feature").limit(GRAMS_KEPT // LONGEST)
-    part = pa.concat_tables([commonest(k).toArrow() for k in range(1, LONGEST + 1)])
+    table = written(sums.groupBy("kind", "feature").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")), "language-counts")
+    seen = table.select("kind", (F.col("total") >= 2).alias("ranked"), F.explode("by_lang").alias("c")).groupBy("kind", "c.lang", "c.n", "ranked").count().collect()
+    whole = np.zeros((LONGEST + 1, len(names)))
+    levels: dict[int, dict[int, int]] = {}
+    for kind, k, n, ranked, count in seen:
+        whole[kind, k] += n * count
+        if ranked:
+            levels.setdefault(kind * len(names) + k, {})[n] = count
+    # for each kind and language: the least count that is kept, and the share of the features with just that count
+    bounds = [_bound(levels.get(i, {}), WORDS_KEPT if i < len(names) else GRAMS_KEPT // LONGEST) for i in range(whole.size)]
+    least, part = F.array(*[F.lit(int(n)) for n, _ in bounds]), F.array(*[F.lit(float(x)) for _, x in bounds])
+    place = lambda c: F.col("kind") * len(names) + c["lang"]
+    at = F.pmod("feature", F.lit(1 << 20)) / float(1 << 20)
+    kept = table.filter("total >= 2").filter(F.exists("by_lang", lambda c: (c["n"] > F.get(least, place(c))) | ((c["n"] == F.get(least, place(c))) & (at < F.get(part, place(c)))))).select("kind", "feature", "by_lang")
+    words, parts = kept.filter("kind = 0").toArrow(), kept.filter("kind > 0").toArrow()
     dropped(table)
-
-    def logs(found):
-        h = found["feature"].to_numpy().view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        n = np.stack([found[f"n{k}"].to_numpy() for k in range(len(names))], axis=1).astype(float)[order]
-        size = np.stack([whole.get(k, np.ones(len(names))) for k in found["kind"].to_numpy()[order]]) if len(h) else np.ones((0, len(names)))
-        return Lookup(h), np.log((n + 0.1) / (size + 1.0))
-
-    return Model(names, *logs(top), *logs(part))
-
-
-def word_scores(model: Model, t, one: np.ndarray) -> np.ndarray:
-    """Log frequencies of the words that stand at the tokens `one`, by language."""
-    out = np.zeros((len(one), len(model.names)))
-    at, place = model.words.find(t.hash[one])
-    out[at] = model.word_logs[place]
-    left = np.setdiff1d(np.arange(len(one)), at)
-    if not len(left):
-        return out
+    return Model(names, np.log(UNSEEN / (whole + 1.0)), *[_features(x["feature"].to_numpy(), x["by_lang"].combine_chunks()) for x in (words, parts)])
+
+
+def _bound(levels: dict[int, int], quota: int) -> tuple[int, float]:
+    for n in sorted(levels, reverse=True):
+        if levels[n] >= quota:
+            return n, quota / levels[n]
+        quota -= levels[n]
+    return 0, 0.0
+
+
+def _features(found, by_lang) -> Features:
+    if not len(found):
+        return Features(Lookup(np.zeros(0, np.uint64)), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    if isinstance(by_lang, pa.ChunkedArray):
+        by_lang = pa.concat_arrays(by_lang.chunks)
+    h = found.view(np.uint64)
+    order = np.argsort(h, kind="stable")
+    size = by_lang.value_lengths().to_numpy().astype(np.int64)
+    flat = by_lang.flatten()
+    _, at = _spread(np.cumsum(size) - size, size, order)
+    n = flat.field("n").to_numpy()[at]
+    return Features(Lookup(h), np.append(0, np.cumsum(size[order])), flat.field("lang").to_numpy().astype(np.int64)[at], np.log((n + UNSEEN) / UNSEEN))
+
+
+def _spread(begin: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of each of the rows, its place in `rows`, and where it lies."""
+    n = size[rows]
+    return np.repeat(np.arange(len(rows)), n), np.arange(int(n.sum())) + np.repeat(begin[rows] - (np.cumsum(n) - n), n)
+
+
+def word_scores(model: Model, t, one: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the words that stand at the tokens `one`: the kind of feature that scores each (-1: none), and begin, language and gain of their gains."""
+    n_langs = len(model.names)
+    kind = np.full(len(one), -1)
+    hit, place = model.words.lookup.find(t.hash[one])
+    kind[hit] = 0
+    row, at = _spread(model.words.begin[:-1], np.diff(model.words.begin), place)
+    word, lang, gain = [hit[row]], [model.words.lang[at]], [model.words.gain[at]]
+    left = np.flatnonzero(kind < 0)
     token = one[left]
     by_place = np.argsort(token)
     left, token = left[by_place], token[by_place]
-    todo = np.ones(len(left), bool)
-    for _, h, owner in grams(t.data, t.start[token], t.end[token]):
-        keep = todo[owner]
+    for size, h, owner in grams(t.data, t.start[token], t.end[token]) if len(left) else []:
+        keep = kind[left[owner]] < 0
         h, owner = h[keep], owner[keep]
-        hit, place = model.grams.find(h)
+        hit, place = model.grams.lookup.find(h)
         n = np.bincount(owner[hit], minlength=len(left))
-        seen = n > 0
-        for k in range(len(model.names)):
-            s = np.bincount(owner[hit], model.gram_logs[place, k], minlength=len(left))
-            out[left[seen], k] = s[seen] / n[seen]
-        todo &= ~seen
+        row, at = _spread(model.grams.begin[:-1], np.diff(model.grams.begin), place)
+        cell, back = np.unique(left[owner[hit[row]]] * n_langs + model.grams.lang[at], return_inverse=True)
+        total = np.bincount(back, model.grams.gain[at] / n[owner[hit[row]]], minlength=len(cell))
+        word.append(cell // n_langs)
+        lang.append(cell % n_langs)
+        gain.append(total)
+        kind[left[n > 0]] = size
+    word = np.concatenate(word)
+    order = np.argsort(word, kind="stable")
+    return kind, np.searchsorted(word[order], np.arange(len(one) + 1)), np.concatenate(lang)[order], np.concatenate(gain)[order]
+
+
+def text_scores(model: Model, t, texts: int) -> np.ndarray:
+    """The sum over the words of each text, by language."""
+    n_langs = len(model.names)
+    out = np.zeros((texts, n_langs))
+    if not len(t.hash):
+        return out
+    _, one, back = np.unique(t.hash, return_index=True, return_inverse=True)
+    kind, begin, lang, gain = word_scores(model, t, one)
+    pair, count = np.unique(t.owner() * len(one) + back, return_counts=True)
+    text, word = pair // len(one), pair % len(one)
+    for k in range(LONGEST + 1):
+        of = kind[word] == k
+        out += np.bincount(text[of], count[of], minlength=texts)[:, None] * model.base[k]
+    size = np.diff(begin)
+    step = np.cumsum(size[word]) // ADDED
+    cuts = np.flatnonzero(np.diff(step, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        row, at = _spread(begin[:-1], size, word[a:b])
+        low, high = text[a], text[b - 1] + 1
+        cells = (text[a:b][row] - low) * n_langs + lang[at]
+        out[low:high] += np.bincount(cells, gain[at] * count[a:b][row], minlength=(high - low) * n_langs).reshape(-1, n_langs)
     return out
 
 
@@ -159,10 +225,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
             for k in np.unique(size) if model.names else []:
                 low, high = np.searchsorted(size, k), np.searchsorted(size, k, "right")
                 t = tokenize(column.slice(low, high - low), LETTERS)
-                _, one, back = np.unique(t.hash, return_index=True, return_inverse=True)
-                logs = word_scores(model, t, one)
-                owner = t.owner()
-                total = np.stack([np.bincount(owner, logs[back, j], minlength=high - low) for j in range(len(model.names))], axis=1)
+                total = text_scores(model, t, high - low)
                 best[low:high] = total.argmax(1)
                 odds = np.exp(np.maximum(total - total.max(1, keepdims=True), -700))
                 share[low:high] = odds.max(1) / odds.sum(1)
