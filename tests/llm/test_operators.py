@@ -603,6 +603,12 @@ def test_media_columns(spark):
     assert bytes(got[4]["embedded"][0]["content"]) == png() and got[4]["embedded"][0]["offset"] == 2
 
 
+def test_declared_types_of_other_formats_stay(spark):
+    rows = [(1, bytearray(b"\0\0\0\x18ftypmp42"), "video/mp4"), (2, bytearray(png()), "image/webp"), (3, bytearray(b"words"), "text/plain"), (4, bytearray(b"words"), "application/pdf"), (5, bytearray(b"words"), None)]
+    got = {r["id"]: (r["media_type"], r["type_corrected"]) for r in media.media_columns(spark.createDataFrame(rows, "id long, content binary, declared string"), "content", "declared").collect()}
+    assert got == {1: ("video/mp4", False), 2: ("image/png", True), 3: ("text/plain", False), 4: (media.UNKNOWN, True), 5: (media.UNKNOWN, False)}
+
+
 def test_texts_as_media(edge):
     got = media.texts_as_media(edge).collect()
     assert len(got) == len(EDGE)

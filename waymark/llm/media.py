@@ -3,8 +3,9 @@
 One Aho-Corasick automaton locates the magic bytes of all formats in one pass
 over a binary value. A validator per format then confirms structure and lengths,
 so a signature that occurs by chance is dropped. A format confirmed at byte 0
-corrects the declared type; those confirmed further in are embedded media, which
-are carved out by the confirmed length.
+corrects the declared type; a declared type of these formats that isn't confirmed
+becomes unknown, and one of other formats stays. Those confirmed further in are
+embedded media, which are carved out by the confirmed length.
 
 A null value counts as empty: type `application/octet-stream`, nothing embedded.
 Repeated rows give equal results.
@@ -400,7 +401,9 @@ def media_columns(df: DataFrame, value: str, declared: str | None = None) -> Dat
             for v in values:
                 data = v.as_py() or b""
                 found = sniff(data)
-                types.append(found[0][2] if found and found[0][0] == 0 else UNKNOWN)
+                claim = claims[len(types)]
+                # a declared type without a validator here can't be refuted
+                types.append(found[0][2] if found and found[0][0] == 0 else UNKNOWN if claim is None or claim in MAGIC else claim)
                 inner.append([{"offset": a, "length": n, "type": k, "sha256": hashlib.sha256(data[a : a + n]).hexdigest(), "content": data[a : a + n]} for a, n, k in found if a])
             columns = [pa.array(types), pa.array([c is not None and c != t for c, t in zip(claims, types, strict=True)]), pa.array(inner, kind_of_embedded)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*carried, *own])
