@@ -188,6 +188,16 @@ def test_near_duplicates_edges(edge):
     assert kept == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10]
 
 
+def test_rows_of_one_key_and_texts_without_words(spark):
+    one, two, other = ("first of two quite different texts here", "and this is the second one of them", "nothing like the others at all today")
+    rows = [(1, one), (1, two), (1, one), (2, two), (3, "!!! ??? ..."), (4, "!!! ??? ..."), (5, "?!"), (6, ""), (6, None), (7, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(docs).collect())
+    assert got == [(1, 1, 1)] * 3 + [(2, 1, 1), (3, 3, 1), (4, 3, 1), (5, 5, 0), (6, 6, 0), (6, 6, 0), (7, 7, 0)]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect())
+    assert kept == Counter([(1, one), (1, two), (3, "!!! ??? ..."), (5, "?!"), (6, ""), (6, None), (7, other)])
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -16,14 +16,15 @@ At similarity THRESHOLD a pair shares no band with probability (1 - 0.8**4)**32,
 is 5e-8, and is pruned wrongly with probability below TOLERANCE at each step.
 
 Case, punctuation and white space don't count. A text of fewer than WORDS words has
-one shingle of all of them. Null texts and those without words have no links and are
-classes of their own, one for each row. Repeated rows link with each other. Extra
+one shingle of all of them. Texts without words link with exact copies only. Null and
+blank texts have no links and are classes of their own, one for each row. Repeated rows link with each other. Extra
 columns don't matter.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 from math import lgamma
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from ._graph import components
 from ._store import text_of, written
 from ._tokens import WORDS as BY_WORD
-from ._tokens import inside_text, mixed, shingles, tokenize, window_hashes
+from ._tokens import BY_SPACE, inside_text, mixed, shingles, tokenize, window_hashes
 
 WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 4, 16, 1e-8
 VALUES = BANDS * ROWS
@@ -165,7 +166,7 @@ def links(found: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndar
 
 
 def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, tkey (which text a row has), id (of its sequence of words, null without words), n (words) and MinHash values."""
+    """key, tkey (which text a row has), id (of its sequence of words, or its bytes if it has none; null if blank), n (words) and MinHash values."""
 
     def run(batches):
         for batch in batches:
@@ -177,7 +178,10 @@ def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 ids, n = sequence_ids(t), t.counts()
                 keys = np.ascontiguousarray(bands(minhashes(*windows(t, words))).T)
                 none = n == 0
-                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array([None if x else i for x, i in zip(none, ids, strict=True)], pa.binary()), pa.array(n), pa.array([None if x else r.tobytes() for x, r in zip(none, keys, strict=True)], pa.binary())]
+                filled = none & (tokenize(column, BY_SPACE).counts() > 0)
+                for j in np.flatnonzero(none).tolist():
+                    ids[j] = blake2b(column[j].as_py().encode(), digest_size=16).digest() if filled[j] else None
+                columns = [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(ids, pa.binary()), pa.array(n), pa.array([None if x else r.tobytes() for x, r in zip(none, keys, strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "tkey", "id", "n", "bands"])
 
     kind = dict(docs.dtypes)[key]
@@ -263,13 +267,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     A class is a connected component of links, equal texts included; n_links counts
     the other rows with a similarity of at least the threshold.
     """
+    rows, named, least = _classes(docs, key, text, words, threshold, tolerance)
+    named = named.join(least.select("label", "class"), "label").select("id", F.col("low").alias("copy"), "class", "n_links")
+    out = rows.select("key", "id").join(named, "id", "left")
+    return out.select(F.col("key").alias(key), F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("class")).alias("class_id"), F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("copy")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _classes(docs: DataFrame, key: str, text: str, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, the texts with the label of their class, and for each class its least key, and the row to keep (key, tkey)."""
     if not 0.8 <= threshold <= 1:
         raise ValueError("the bands are made for similarities of 0.8 or more")
     rows = written(signed(docs, key, text, words), "signed")
     with_words = rows.filter("id is not null")
-    texts = with_words.groupBy("id").agg(F.min(F.struct("key", "tkey")).alias("least"), F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    texts = with_words.groupBy("id").agg(F.min(F.struct("key", "tkey")).alias("least"), F.min(F.when(F.col("key").isNotNull(), F.struct("key", "tkey"))).alias("keep"), F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     texts = written(texts, "texts")
-    keys = texts.select("id", "bands").mapInArrow(_exploded, "id binary, band long")
+    keys = texts.filter("bands is not null").select("id", "bands").mapInArrow(_exploded, "id binary, band long")
     hubs = keys.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("band", "hub")
     edges = keys.join(hubs, "band").filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     groups = components(edges)
@@ -289,17 +301,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     found = written(given.groupBy("task").applyInArrow(_task(words, threshold, tolerance), "a binary, b binary, links long"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b"))
-    named = texts.select("id", "low", "copies").join(counts, "id", "left").join(classes.toDF("id", "label"), "id", "left")
-    named = named.select("id", "low", F.coalesce("label", "id").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = named.groupBy("label").agg(F.min("low").alias("class"))
-    named = named.join(least, "label").select("id", F.col("low").alias("copy"), "class", "n_links")
-    out = rows.select("key", "id").join(named, "id", "left")
-    return out.select(F.col("key").alias(key), F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("class")).alias("class_id"), F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("copy")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = texts.select("id", "low", "keep", "copies").join(counts, "id", "left").join(classes.toDF("id", "label"), "id", "left")
+    named = named.select("id", "low", "keep", F.coalesce("label", "id").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows, named, named.groupBy("label").agg(F.min("low").alias("class"), F.min("keep").alias("keep"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class: that with the least key. Rows without a key stay."""
-    classes = near_duplicates(docs, key, text)
-    kept = classes.filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("__kept")).distinct()
-    rows = docs.join(kept, docs[key] == F.col("__kept"), "left_semi")
-    return rows.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    """docs with one row of each class: that with the least key, then the least hash of its text. Rows without a key or with a blank text stay."""
+    *_, least = _classes(docs, key, text, WORDS, THRESHOLD, TOLERANCE)
+    kept = least.filter("keep is not null").select(F.col("keep.key").alias("__kept"), F.col("keep.tkey").alias("__kept_text"))
+    blank = ~text_of(text).rlike(r"[^ \t\n\x0B\f\r]")
+    rows = docs.withColumn("__text_hash", F.xxhash64(text_of(text))).filter(~blank)
+    rows = rows.join(kept, (F.col(key) == F.col("__kept")) & (F.col("__text_hash") == F.col("__kept_text")), "left_semi")
+    return rows.dropDuplicates([key, "__text_hash"]).drop("__text_hash").unionByName(docs.filter(F.col(key).isNull() | blank))
