@@ -13,14 +13,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node at its least neighbour, follows such pointers
     twice, and joins the edges' ends with them; edges inside one label go. Rounds
-    end when no edge is left; each one's tables lie in the shared folder.
+    end when no edge is left; each one's tables lie in the shared folder, and only the
+    last labels stay there.
     """
     live = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while not live.isEmpty():
         both = live.select("a", "b").union(live.select("b", "a"))
         near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        near = written(near, "near")
+        near = least = written(near, "near")
         for _ in range(2):
             on = near.select(F.col("node").alias("to"), F.col("to").alias("far"))
             near = near.join(on, "to", "left").select("node", F.coalesce("far", "to").alias("to"))
@@ -34,9 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
             on = jump.select(F.col("node").alias("label"), F.col("to").alias("far"))
             joined = labels.join(on, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
         labels_next = written(joined, "labels")
-        dropped(live, jump, *([labels] if labels is not None else []))
+        dropped(live, least, jump, *([labels] if labels is not None else []))
         live, labels = live_next, labels_next
     if labels is None:
-        kind = dict(live.dtypes)["a"]
-        return live.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
+        labels = live.toDF("node", "label")  # none
+    else:
+        dropped(live)
     return labels

@@ -42,14 +42,33 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, columns) -> str:
+    """A column name like `name` that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def text_of(name: str = "text"):
     """The text column with null as an empty text."""
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
 def fold_of(name: str, folds: int):
     """crc32 of the key as decimal text, modulo folds; a null key counts as an empty text."""
-    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+    return F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
+
+
+def carried(df: DataFrame, own: list[str], without: str = "") -> list[str]:
+    """The columns of df that a result keeps: all but those with the name of a result column, whatever its case, and but one more."""
+    taken = {c.lower() for c in own}
+    return [c for c in df.columns if c.lower() not in taken and c != without]
+
+
+def quoted(names) -> list:
+    return [F.col(f"`{c}`") for c in names]
 
 
 def extended(schema: T.StructType, ddl: str) -> T.StructType:

@@ -17,8 +17,10 @@ is 5e-8, and is pruned wrongly with probability below TOLERANCE at each step.
 
 Case, punctuation and white space don't count. A text of fewer than WORDS words has
 one shingle of all of them. Texts without words link with exact copies only. Null and
-blank texts have no links and are classes of their own, one for each row. Repeated rows link with each other. Extra
-columns don't matter.
+blank texts have no links and are classes of their own, one for each row. Repeated rows
+link with each other. Ties go to the least key; rows without a key count in classes, and
+a class without any has a null id. Empty tables give none. A very long text is a block
+of its own, in memory of some fifty times its size. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -33,14 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import text_of, written
+from ._store import dropped, text_of, unused, written
 from ._tokens import WORDS as BY_WORD
 from ._tokens import BY_SPACE, inside_text, mixed, shingles, tokenize, window_hashes
+from ._workers import batchwise, tablewise
 
 WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 32, 4, 16, 1e-8
 VALUES = BANDS * ROWS
 #: Texts and tokens of a block, and bytes of text tokenised at a time.
-BLOCK_TEXTS, BLOCK_TOKENS, SLAB = 1500, 1_500_000, 1 << 22
+BLOCK_TEXTS, BLOCK_TOKENS, SLAB = 1500, 750_000, 1 << 20
+#: Side of the squares in which the pairs of a block are looked at, and the most pairs held as lists at a time.
+SIDE, PAIRS = 512, 1 << 15
 
 _draw = np.random.default_rng(20)
 FACTORS = _draw.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
@@ -87,56 +92,58 @@ def least_agreements(threshold: float, tolerance: float) -> np.ndarray:
     return out
 
 
-def pruned(values: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose MinHash values, compared STEP at a time, leave the threshold likely enough."""
+def pruned(values: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
+    """The places of those pairs whose MinHash values, compared STEP at a time, leave the threshold likely enough."""
     need = least_agreements(threshold, tolerance)
-    agreed = np.zeros(len(a), np.int64)
+    agreed, at = np.zeros(len(a), np.int64), np.arange(len(a))
     for k in range(0, VALUES, STEP):
         agreed += (values[k : k + STEP, a] == values[k : k + STEP, b]).sum(0)
         keep = agreed >= need[min(k + STEP, VALUES)]
-        a, b, agreed = a[keep], b[keep], agreed[keep]
-    return a, b
+        a, b, agreed, at = a[keep], b[keep], agreed[keep], at[keep]
+    return at
 
 
 class Sets:
-    """Shingle sets as rows of bits over the shingles that several of the sets have."""
+    """Shingle sets as the numbers, in order, of those of their shingles that several sets have."""
 
     def __init__(self, found: np.ndarray, first: np.ndarray):
         self.size = np.diff(first)
         ids, inverse, n = np.unique(found, return_inverse=True, return_counts=True)
         shared = n > 1
-        column = np.cumsum(shared) - 1
-        keep = shared[inverse]
-        self.owner, self.column = np.repeat(np.arange(len(self.size)), self.size)[keep], column[inverse[keep]]
+        column, keep = np.cumsum(shared, dtype=np.int32) - 1, shared[inverse]
+        self.column = column[inverse[keep]]
+        self.first = np.concatenate([[0], np.cumsum(keep)])[first]
         self.width = int(shared.sum())
 
-    def common(self, a: np.ndarray, b: np.ndarray, slab: int = 1 << 15, pairs: int = 1 << 12) -> np.ndarray:
-        """The number of shingles that each pair of sets has in common."""
-        out = np.zeros(len(a), np.int64)
-        used, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = back[: len(a)], back[len(a) :]
-        row_of = np.full(len(self.size), -1)
-        row_of[used] = np.arange(len(used))
-        slab = max(64, min(slab, (1 << 28) // max(1, len(used)) * 8) // 64 * 64)
+    def near(self, left: np.ndarray, right: np.ndarray, hit: np.ndarray, threshold: float, slab: int = 1 << 15) -> None:
+        """Clears hit (left by right) where the similarity is below the threshold. Sets become rows of bits, a slab of shingles at a time."""
+        rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        used, place = np.concatenate([left[rows], right[cols]]), np.full((2, max(hit.shape)), -1)
+        place[0, rows], place[1, cols] = np.arange(len(rows)), len(rows) + np.arange(len(cols))
+        pairs = np.flatnonzero(hit)
+        common = np.zeros(len(pairs), np.int32)
         for low in range(0, self.width, slab):
-            own = (self.column >= low) & (self.column < low + slab) & (row_of[self.owner] >= 0)
-            width = -(-min(slab, self.width - low) // 64)
-            bits = np.zeros((len(used), width * 64), bool) if len(used) * width < 1 << 19 else None
-            if bits is not None:
-                bits[row_of[self.owner[own]], self.column[own] - low] = True
-                rows = np.packbits(bits, axis=1).view(np.uint64)
-            else:
-                rows = np.zeros((len(used), width), np.uint64)
-                at = self.column[own] - low
-                np.bitwise_or.at(rows, (row_of[self.owner[own]], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-            step = max(1, pairs * 64 // width)
-            for p in range(0, len(a), step):
-                out[p : p + step] += np.bitwise_count(rows[x[p : p + step]] & rows[y[p : p + step]]).sum(1, dtype=np.int64)
-        return out
-
-
-def candidates(keys: np.ndarray, left: np.ndarray, right: np.ndarray, side: int = 1024):
-    """Pairs (of left and right places, left < right if they're the same) that share a band, in blocks."""
+            words = -(-min(slab, self.width - low) // 64)
+            bits = np.empty((len(used), words), np.uint64)
+            for k in range(0, len(used), 64):
+                part = np.zeros((len(used[k : k + 64]), words * 64), bool)
+                for r, u in enumerate(used[k : k + 64].tolist()):
+                    own = self.column[self.first[u] : self.first[u + 1]]
+                    a, b = np.searchsorted(own, (low, low + slab))
+                    part[r, own[a:b] - low] = True
+                bits[k : k + 64] = np.packbits(part, axis=1).view(np.uint64)
+            step = max(1, (1 << 18) // words)
+            for p in range(0, len(pairs), step):
+                x, y = np.divmod(pairs[p : p + step], hit.shape[1])
+                common[p : p + step] += np.bitwise_count(bits[place[0, x]] & bits[place[1, y]]).sum(1, dtype=np.int32)
+        for p in range(0, len(pairs), PAIRS):
+            x, y = np.divmod(pairs[p : p + PAIRS], hit.shape[1])
+            n = common[p : p + PAIRS]
+            hit[x, y] = n >= threshold * (self.size[left[x]] + self.size[right[y]] - n) - 1e-9
+
+
+def candidates(keys: np.ndarray, left: np.ndarray, right: np.ndarray, side: int = SIDE):
+    """Parts of left, parts of right, and which pairs of them share a band (pairs above the diagonal, if left and right are the same)."""
     same = left is right
     for i in range(0, len(left), side):
         for j in range(i if same else 0, len(right), side):
@@ -144,25 +151,29 @@ def candidates(keys: np.ndarray, left: np.ndarray, right: np.ndarray, side: int
             hit = np.zeros((len(x), len(y)), bool)
             for k in range(len(keys)):
                 hit |= keys[k, x][:, None] == keys[k, y]
-            if same and i == j:
-                hit = np.triu(hit, 1)
-            a, b = np.nonzero(hit)
-            if len(a):
-                yield x[a], y[b]
+            yield x, y, np.triu(hit, 1) if same and i == j else hit
 
 
 def links(found: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE):
-    """Linked pairs of sets, in blocks: pruned by their MinHash values, then verified exactly."""
+    """Blocks of sets of left and of right, and which pairs of them are linked: pruned by their MinHash values, then verified exactly.
+
+    Pairs are bits of a block's matrix; lists of them are never longer than PAIRS while MinHash values are compared.
+    """
     values = minhashes(found, first)
     keys, sets = bands(values), Sets(found, first)
-    for a, b in candidates(keys, left, right):
-        small, large = np.minimum(sets.size[a], sets.size[b]), np.maximum(sets.size[a], sets.size[b])
-        fits = small >= threshold * large - 1e-9
-        a, b = pruned(values, a[fits], b[fits], threshold, tolerance)
-        if len(a):
-            n = sets.common(a, b)
-            near = n >= threshold * (sets.size[a] + sets.size[b] - n) - 1e-9
-            yield a[near], b[near]
+    for x, y, hit in candidates(keys, left, right):
+        step = max(1, PAIRS // max(1, len(y)))
+        for r in range(0, len(x), step):
+            i, j = np.nonzero(hit[r : r + step])
+            a, b = x[r + i], y[j]
+            fits = np.minimum(sets.size[a], sets.size[b]) >= threshold * np.maximum(sets.size[a], sets.size[b]) - 1e-9
+            at = np.flatnonzero(fits)
+            hit[r : r + step] = False
+            at = at[pruned(values, a[at], b[at], threshold, tolerance)]
+            hit[r + i[at], j[at]] = True
+        if hit.any():
+            sets.near(x, y, hit, threshold)
+            yield x, y, hit
 
 
 def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -186,7 +197,7 @@ def signed(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
     kind = dict(docs.dtypes)[key]
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text_of(text)).alias("tkey"), F.lower(text_of(text)).alias("text"))
-    return source.mapInArrow(run, f"key {kind}, tkey long, id binary, n long, bands binary")
+    return source.mapInArrow(batchwise(run), f"key {kind}, tkey long, id binary, n long, bands binary")
 
 
 def windows(t, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +228,7 @@ def _exploded(batches):
 
 def _task(words: int, threshold: float, tolerance: float):
     def run(table: pa.Table) -> pa.Table:
-        """Links of one task: its texts among each other, or those of side 0 with those of side 1."""
+        """Links of one task: its texts (side 0) among each other, or those of side 1 with those of side 2."""
         ids = table["id"].to_pylist()
         side = table["side"].to_numpy()
         t = tokenize(table["text"], BY_WORD)
@@ -229,30 +240,28 @@ def _task(words: int, threshold: float, tolerance: float):
         own = np.array(sorted(place.values()), np.int64)
         weight = table["copies"].to_numpy()
         found, first = shingles(t, words)
-        left, other = own[side[own] == 0], own[side[own] == 1]
-        if not len(other):
-            other = left
+        left = other = own
+        if (side != 0).any():
+            left, other = own[side[own] == 1], own[side[own] == 2]
         n, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
-        def top(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
+        def tops(x):
+            while (up[x] != x).any():
                 x = up[x]
             return x
 
         spanning = []
-        for a, b in links(found, first, left, other, threshold, tolerance):
-            np.add.at(n, a, weight[b])
-            np.add.at(n, b, weight[a])
-            # labels of whole arrays first, so the loop below only sees pairs that aren't joined yet
-            roots = up.copy()
-            while (roots != roots[roots]).any():
-                roots = roots[roots]
-            fresh = roots[a] != roots[b]
-            for x, y in zip(a[fresh].tolist(), b[fresh].tolist(), strict=True):
-                if (p := top(x)) != (q := top(y)):
-                    up[max(p, q)] = min(p, q)
-                    spanning.append((ids[x], ids[y]))
+        for x, y, hit in links(found, first, left, other, threshold, tolerance):
+            up[:] = tops(up)
+            n[x] += hit @ weight[y]
+            n[y] += weight[x] @ hit
+            for r in np.flatnonzero(hit.any(1)):
+                near = y[hit[r]]
+                roots, one = np.unique(tops(near), return_index=True)
+                own = int(tops(x[r : r + 1])[0])
+                fresh = roots != own
+                spanning += [(ids[x[r]], ids[k]) for k in near[one[fresh]]]
+                up[roots] = up[own] = min(own, int(roots[0]))
         linked = np.flatnonzero(n)
         counts = pa.table({"a": pa.array([ids[k] for k in linked], pa.binary()), "b": pa.array([None] * len(linked), pa.binary()), "links": pa.array(n[linked])})
         edges = pa.table({"a": pa.array([x for x, _ in spanning], pa.binary()), "b": pa.array([y for _, y in spanning], pa.binary()), "links": pa.array([0] * len(spanning), pa.int64())})
@@ -265,24 +274,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """One row per row of docs: key, class_id (the least key of its class), copy_id (the least key of equal texts), n_links.
 
     A class is a connected component of links, equal texts included; n_links counts
-    the other rows with a similarity of at least the threshold.
+    the other rows with a similarity of at least the threshold. The result lies in the
+    shared folder; all that was written on the way is deleted.
     """
-    rows, named, least = _classes(docs, key, text, words, threshold, tolerance)
-    named = named.join(least.select("label", "class"), "label").select("id", F.col("low").alias("copy"), "class", "n_links")
-    out = rows.select("key", "id").join(named, "id", "left")
-    return out.select(F.col("key").alias(key), F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("class")).alias("class_id"), F.when(F.col("id").isNull(), F.col("key")).otherwise(F.col("copy")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows, named = _classes(docs, key, text, words, threshold, tolerance)
+    least = named.groupBy("label").agg(F.min("low").alias("class"))
+    named_by_id = named.join(least, "label").select("id", F.col("low").alias("copy"), "class", "n_links")
+    out = rows.select("key", "id").join(named_by_id, "id", "left")
+    alone = F.col("id").isNull()
+    out = out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("class")).alias("class_id"), F.when(alone, F.col("key")).otherwise(F.col("copy")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = written(out, "near-duplicates")
+    dropped(rows, named)
+    return out
 
 
-def _classes(docs: DataFrame, key: str, text: str, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signed rows, the texts with the label of their class, and for each class its least key, and the row to keep (key, tkey)."""
+def _classes(docs: DataFrame, key: str, text: str, words: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and the texts with the label of their class; both written.
+
+    Joins on what many rows share (a band, a label) are between written tables, so that
+    both sides are plain shuffles and adaptive execution can split a hot key's rows.
+    """
     if not 0.8 <= threshold <= 1:
         raise ValueError("the bands are made for similarities of 0.8 or more")
     rows = written(signed(docs, key, text, words), "signed")
     with_words = rows.filter("id is not null")
     texts = with_words.groupBy("id").agg(F.min(F.struct("key", "tkey")).alias("least"), F.min(F.when(F.col("key").isNotNull(), F.struct("key", "tkey"))).alias("keep"), F.min("key").alias("low"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     texts = written(texts, "texts")
-    keys = texts.filter("bands is not null").select("id", "bands").mapInArrow(_exploded, "id binary, band long")
+    keys = texts.filter("bands is not null").select("id", "bands").mapInArrow(batchwise(_exploded), "id binary, band long")
     hubs = keys.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("band", "hub")
+    hubs = written(hubs, "hubs")
     edges = keys.join(hubs, "band").filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     groups = components(edges)
     active = groups.join(texts.select(F.col("id").alias("node"), "least", "copies", "n"), "node")
@@ -292,25 +312,34 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     bins = max(1, -(-int(small[0]) // (BLOCK_TOKENS // 3)), -(-int(small[1]) // (BLOCK_TEXTS // 3)))
     placed = active.join(sizes.select("label", "blocks"), "label")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.concat_ws("|", F.hex("label"), F.least(other, block).cast("string"), F.greatest(other, block).cast("string")).alias("task"), F.when(other < block, 1).otherwise(0).alias("side")))
+    task = lambda other: F.concat_ws("|", F.hex("label"), F.least(other, block).cast("string"), F.greatest(other, block).cast("string"))
+    side = lambda other: F.when(other == block, 0).when(other > block, 1).otherwise(2)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(task(other).alias("task"), side(other).alias("side")))
     packed = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(bins)).cast("string").alias("task"), F.lit(0).alias("side")))
-    tasks = placed.select("least.key", "least.tkey", F.col("node").alias("id"), "copies", F.inline(F.when(F.col("blocks") == 1, packed).otherwise(pairs)))
-    whole = docs.select(F.coalesce(F.xxhash64(F.col(key)) if dict(docs.dtypes)[key] == "string" else F.col(key).cast("long"), F.xxhash64(text_of(text))).alias("at"), F.lower(text_of(text)).alias("text"))
-    at = F.coalesce(F.xxhash64("key") if dict(docs.dtypes)[key] == "string" else F.col("key").cast("long"), F.col("tkey"))
-    given = tasks.withColumn("at", at).join(whole, "at").select("task", "side", "id", "copies", "text")
-    found = written(given.groupBy("task").applyInArrow(_task(words, threshold, tolerance), "a binary, b binary, links long"), "links")
+    at = lambda of, own: F.xxhash64(F.col(of), own)
+    tasks = placed.select(at("least.key", F.col("least.tkey")).alias("at"), F.col("node").alias("id"), "copies", F.inline(F.when(F.col("blocks") == 1, packed).otherwise(pairs)))
+    whole = docs.select(at(key, F.xxhash64(text_of(text))).alias("at"), F.lower(text_of(text)).alias("text"))
+    given = tasks.join(whole, "at").select("task", "side", "id", "copies", "text")
+    found = written(given.groupBy("task").applyInArrow(tablewise(_task(words, threshold, tolerance)), "a binary, b binary, links long"), "links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("b is not null").select("a", "b"))
     named = texts.select("id", "low", "keep", "copies").join(counts, "id", "left").join(classes.toDF("id", "label"), "id", "left")
     named = named.select("id", "low", "keep", F.coalesce("label", "id").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows, named, named.groupBy("label").agg(F.min("low").alias("class"), F.min("keep").alias("keep"))
+    named = written(named, "classes")
+    dropped(texts, hubs, groups, sizes, found, classes)
+    return rows, named
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class: that with the least key, then the least hash of its text. Rows without a key or with a blank text stay."""
-    *_, least = _classes(docs, key, text, WORDS, THRESHOLD, TOLERANCE)
-    kept = least.filter("keep is not null").select(F.col("keep.key").alias("__kept"), F.col("keep.tkey").alias("__kept_text"))
+    rows, named = _classes(docs, key, text, WORDS, THRESHOLD, TOLERANCE)
+    least = named.groupBy("label").agg(F.min("keep").alias("keep")).filter("keep is not null")
+    least = written(least.select(F.col("keep.key").alias("key"), F.col("keep.tkey").alias("hash")), "kept")
+    dropped(rows, named)
     blank = ~text_of(text).rlike(r"[^ \t\n\x0B\f\r]")
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_of(text))).filter(~blank)
-    rows = rows.join(kept, (F.col(key) == F.col("__kept")) & (F.col("__text_hash") == F.col("__kept_text")), "left_semi")
-    return rows.dropDuplicates([key, "__text_hash"]).drop("__text_hash").unionByName(docs.filter(F.col(key).isNull() | blank))
+    own = unused("hash", docs.columns)
+    hashed = docs.withColumn(own, F.xxhash64(text_of(text)))
+    kept = least.select(F.col("key").alias(unused("key", [*docs.columns, own])), F.col("hash").alias(unused("kept", [*docs.columns, own])))
+    a, b = kept.columns
+    one = hashed.filter(~blank).join(kept, (F.col(f"`{key}`") == kept[a]) & (F.col(own) == kept[b]), "left_semi").dropDuplicates([key, own])
+    return one.drop(own).unionByName(docs.filter(F.col(f"`{key}`").isNull() | blank))
