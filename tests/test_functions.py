@@ -22,7 +22,7 @@ def s(x):
     ("f", "given", "want"),
     [
         (text.clean, "  São  Paulo \n", "São Paulo"), (text.clean, None, ""), (text.strip_accents, "ÁÉÎõüçñ é", "AEIoucn e"), (text.normalize_key, " Água-Viva_2! ", "agua viva 2"),
-        (text.compact_key, "São José", "sao-jose"), (text.slugify, "Meia Maratona de Florianopolis 2026", "meia-maratona-de-florianopolis-2026"), (text.slugify, "!!!", "item"), (text.header_key, "Tempo Líquido", "tempo_liquido"),
+        (text.compact_key, "São José", "sao-jose"), (text.slugify, "Meia Maratona de Florianopolis 2026", "meia-maratona-de-florianopolis-2026"), (text.slugify, "!!!", "evento"), (text.header_key, "Tempo Líquido", "tempo_liquido"),
         (text.title_header, "tempo_liquido", "Tempo Liquido"), (text.name_text, "Etapa da Corrida do Sol e Mar", "corrida sol mar"), (text.repair_mojibake, "SÃO FlorianÃ³polis", "SÃO Florianópolis"), (text.repair_mojibake, "漢 Ã³", "漢 ó"),
         (text.gender, "Fem", "Feminino"), (text.gender, "MASC", "Masculino"), (text.gender, "x", None), (text.html_escape, "<a href='x'>&\"", "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"), (text.first_url, "see https://a.b/c?d=1). then", "https://a.b/c?d=1"),
         (text.formula_guard, " =1+1", "' =1+1"), (text.formula_guard, "a=1", "a=1"), (text.sha256, "x", hashlib.sha256(b"x").hexdigest()),
@@ -76,16 +76,16 @@ def test_status(spark, label, body, want):
 
 
 def test_extractors(spark):
-    body = "Inscrições: 1º lote R$ 89,90 até maio. PERCURSOS 5 km, 10km e 21,1 km. Raio de entrega 30 km. Retirada de kit: 18h no dia do evento. Premiação para todos. Garuva/SC"
-    assert one(spark, E.distances(s("Provas de 5 km, 10km e 21,1 km. Outra frase que separa bem as coisas e segue até aqui sem números. Raio de 30 km"))) == [5.0, 10.0, 21.1]
+    body = "Inscrições: 1º lote R$ 89,90 até maio. PERCURSOS 5 km, 10km e 21,1 km. Raio de entrega 30 km. Retirada de kit entre 9h e 18h no dia do evento. Premiação para todos. Garuva/SC"
+    assert one(spark, E.distances(s("Provas de 5 km, 10km e 21,1 km. Outra frase que separa bem as coisas e segue assim por aqui sem números por mais de cem letras, ao todo. Raio de 30 km"))) == [5.0, 10.0, 21.1]
     assert [(p["value"], p["current"]) for p in one(spark, E.prices(s(body)))] == [(89.9, True)]
     assert {r["category"] for r in one(spark, E.rules(s(body)))} == {"awards"}
     pickup = one(spark, E.kit_pickup(s(body)))
-    assert pickup["same_day"] and pickup["hours"] == ["18h"]
+    assert pickup["same_day"] and (pickup["start"], pickup["end"]) == ("09:00", "18:00")
     place = one(spark, E.location(s("Rua A, 10 - Centro, Garuva/SC")))
     assert (place["city"], place["state"]) == ("Garuva", "SC")
     assert one(spark, E.sections_bounded(s("x PERCURSOS 5 km e 10 km MODALIDADES y"), r"(?:^|\s)PERCURSOS?\b", [r"\bMODALIDADES?\b"])) == "5 km e 10 km"
-    assert one(spark, E.kit_items(s("Camiseta e medalha"), {"shirt": "camis", "medal": "medalha", "cup": "copo"})) == ["shirt", "medal"]
+    assert one(spark, E.kit_items(s("Camiseta e medalha"), {"camis": "shirt", "medalha": "medal", "copo": "cup"})) == ["shirt", "medal"]
     assert one(spark, E.is_challenge(s("Please wait: Checking your browser")))
 
 

@@ -69,11 +69,11 @@ def every_n_weeks(day: Text, first: Text, n: int) -> Column:
 
 
 def wall_clock(day: Text, time: str, zone: str) -> Column:
-    """instant and shifted_minutes of a local time; a time in a gap moves on to the first that exists, a repeated one is the earlier."""
-    wall = F.to_timestamp(F.concat_ws(" ", _c(day).cast("string"), F.lit(time)))
-    instant = F.to_utc_timestamp(wall, zone)
-    back = F.from_utc_timestamp(instant, zone)
-    shifted = F.timestamp_diff("MINUTE", wall, back).cast("int")
+    """instant and shifted_minutes of a local time; a time in a gap moves on to the first that exists, a repeated one is the earlier. Any session zone will do."""
+    said = F.concat_ws(" ", _c(day).cast("string"), F.lit(time if time.count(":") == 2 else f"{time}:00"))
+    instant = F.to_timestamp(F.concat_ws(" ", said, F.lit(zone)))
+    back = F.convert_timezone(F.current_timezone(), F.lit(zone), instant.cast("timestamp_ntz"))
+    shifted = F.timestamp_diff("MINUTE", F.to_timestamp_ntz(said), back).cast("int")
     return F.struct(instant.alias("instant"), F.when(shifted > 0, shifted).otherwise(0).alias("shifted_minutes"))
 
 

@@ -86,3 +86,10 @@ def as_array(x: Text, path: str) -> Column:
     """Texts at a path, a single text as an array of one."""
     one = text_at(x, path)
     return F.when(one.isNotNull(), F.array(one)).otherwise(texts_at(x, path))
+
+
+def first_text(x: Text, name: str) -> Column:
+    """The first text under a name in an object, or in an array of them."""
+    many = F.filter(F.try_variant_get(variant(x), "$", "array<variant>"), lambda v: v.isNotNull())
+    found = F.transform(many, lambda v: F.try_variant_get(v, f"$.{name}", "string"))
+    return F.coalesce(text_at(x, f"$.{name}"), F.get(F.array_compact(found), F.lit(0)))

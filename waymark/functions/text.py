@@ -44,8 +44,9 @@ def strip_accents(x: Text) -> Column:
 
 
 def normalize_key(x: Text, joint: str = " ") -> Column:
-    """Lower-case ASCII letters and digits; anything else between them is one `joint`."""
-    words = F.trim(F.regexp_replace(F.lower(strip_accents(clean(x))), "[^a-z0-9]+", " "))
+    """Lower-case ASCII letters and digits; anything else between them is one `joint`. One translation and two patterns, whatever the text."""
+    bare = F.lower(F.translate(F.coalesce(_c(x).cast("string"), F.lit("")), ACCENTED, BARE))
+    words = F.trim(F.regexp_replace(F.regexp_replace(bare, MARKS, ""), "[^a-z0-9]+", " "))
     return words if joint == " " else F.replace(words, F.lit(" "), F.lit(joint))
 
 
@@ -53,7 +54,8 @@ def compact_key(x: Text) -> Column:
     return normalize_key(x, "-")
 
 
-def slugify(x: Text, longest: int = 90, default: str = "item") -> Column:
+def slugify(x: Text, longest: int = 90, default: str = "evento") -> Column:
+    """For names of records; file names take `longest` 120."""
     return F.coalesce(F.nullif(F.substring(compact_key(x), 1, longest), F.lit("")), F.lit(default))
 
 

@@ -146,6 +146,11 @@ def looks_like_registration(url: Text, hosts: str = r"(?i)tickets|register") ->
     return F.coalesce(part(url, "HOST").rlike(hosts) | part(url, "PATH").rlike(r"(?i)inscri|evento|event|checkout|ticket"), F.lit(False))
 
 
+#: Names of pictures that aren't of the event.
+DECORATION = ("logo", "favicon", "icon", "avatar", "pixel", "tracking", "banner-ad", "publicidade")
+
+
 def looks_like_decoration(url: Text) -> Column:
-    """An image that isn't of the event: logo, banner, sprite, tracking pixel."""
-    return F.coalesce(_c(url).rlike(r"(?i)logo|banner|sprite|pixel|icon|placeholder|avatar"), F.lit(False))
+    """An image that isn't of the event: a part of its path between marks names a logo, an icon, an advert or the like."""
+    words = "|".join(DECORATION)
+    return F.coalesce(_c(url).rlike(rf"(?i)(^|[/_-])({words})([/_.-])"), F.lit(False))

@@ -10,16 +10,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.dates import duration_ms
+from ..functions.jsons import has_any
 from ..functions.numbers import coverage
 from ..functions.text import clean
+from .lineage import cut
 
 
-def matching(df: DataFrame, *, equal: dict | None = None, contains: dict | None = None, between: dict | None = None, any_of: dict | None = None) -> DataFrame:
+def matching(df: DataFrame, *, equal: dict | None = None, contains: dict | None = None, between: dict | None = None, any_of: dict | None = None, text: str | None = None, columns: Iterable[str] = ()) -> DataFrame:
     """The conjunction of those filters that have a value; null values and empty texts ask for nothing.
 
-    between takes (low, high), either of them null; contains ignores case and is literal.
+    between takes (low, high), either of them null; contains ignores case and is literal;
+    text is looked for in any of the columns.
     """
-    out = df
+    out = df.filter(any_contains(columns, text)) if text else df
     for c, v in (equal or {}).items():
         out = out if v in (None, "") else out.filter(F.col(c) == v)
     for c, v in (contains or {}).items():
@@ -58,6 +62,34 @@ def allowed_sources(value: str | None, known: Iterable[str]) -> list[str]:
     return [s for s in dict.fromkeys(x.strip().lower() for x in (value or "").split(",")) if s in set(known)]
 
 
+def admin_filter(df: DataFrame, warnings: str, has: list[str] = (), equal: dict | None = None, without: dict[str, list] | None = None) -> DataFrame:
+    """matching(), with any of some warnings in a JSON array of them, and without listed values."""
+    out = matching(df, equal=equal)
+    out = out.filter(has_any(warnings, "$", list(has))) if has else out
+    for c, v in (without or {}).items():
+        out = out.filter(~F.coalesce(F.col(c).isin(*v), F.lit(False)))
+    return out
+
+
+#: What a mode of curation asks for.
+CURATION = {"published": ("publication", "published"), "pending_review": ("publication", "pending_review"), "failed": ("curation", "failed"), "not_curated": ("curation", "not_curated")}
+
+
+def for_curation(df: DataFrame, only: str | None, limit: int, at: str, key: str) -> DataFrame:
+    """Records of a mode (any for an unknown one), the newest first, 1 to 100 of them."""
+    column, value = CURATION.get(only or "", (None, None))
+    out = df if column is None else df.filter(F.col(column) == value)
+    return out.orderBy(F.desc(at), F.asc(key)).limit(min(max(limit, 1), 100))
+
+
+def job_list(df: DataFrame, started: str, finished: str, renamed: dict[str, str], json: str, picked: dict[str, str]) -> DataFrame:
+    """Jobs with duration_ms (null while they run), renamed columns, and picked paths of their JSON."""
+    out = df.withColumn("duration_ms", duration_ms(started, finished))
+    for path, name in ((p, n) for n, p in picked.items()):
+        out = out.withColumn(name, F.get_json_object(json, path))
+    return out.withColumnsRenamed(renamed).drop(json, started, finished)
+
+
 def owned_by(df: DataFrame, owner: str, user, admin: bool = False) -> DataFrame:
     return df if admin else df.filter(F.col(owner) == F.lit(user))
 
@@ -101,6 +133,20 @@ def resolve_alias(df: DataFrame, aliases: DataFrame, key: str, old: str = "alias
     return df.join(a, F.col(key) == F.col("__old"), "left").withColumn(key, F.coalesce("__new", key)).drop("__old", "__new")
 
 
+def by_slug(df: DataFrame, records: DataFrame, aliases: DataFrame, slug: str, key: str, old: str = "alias", new: str = "canonical") -> DataFrame:
+    """df with the key of the record that has the slug, or else of the one that a slug is an alias of."""
+    own = records.select(F.col(slug).alias("__slug"), F.col(key).alias("__own"))
+    was = aliases.select(F.col(old).alias("__was"), F.col(new).alias("__new"))
+    rows = df.join(own, F.col(slug) == F.col("__slug"), "left").join(was, F.col(slug) == F.col("__was"), "left")
+    return rows.withColumn(key, F.coalesce("__own", "__new")).drop("__slug", "__own", "__was", "__new")
+
+
+def looked_up(df: DataFrame, side: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """df with columns of another table by key, or a default where it has none."""
+    out = df.join(side.select(key, *defaults), key, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
 def latest(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; add a unique column to it for a defined result."""
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
@@ -115,10 +161,11 @@ def best_match(df: DataFrame, key: str, score: str, tie: str, least: float = 0.8
     return latest(df.filter(F.col(score) >= least), [key], [F.desc(score), F.asc(tie)])
 
 
-def counts_map(df: DataFrame, key: str) -> DataFrame:
-    """One row: the number of rows by value, as a map."""
+def counts_map(df: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """One row: the number of rows by value, as a map; of more than `most` values (a status has few) it is refused."""
     rows = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("k")).count()
-    return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "count")))).alias("counts"))
+    first = rows.limit(most + 1).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "count")))).alias("counts"))
+    return first.select(F.when(F.size("counts") <= most, F.col("counts")).otherwise(F.raise_error(F.lit(f"more than {most} values"))).alias("counts"))
 
 
 def covered(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
@@ -135,6 +182,13 @@ def reconciled(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     return both.withColumn("warning", F.when(F.col("expected") != F.col("actual"), text))
 
 
+def progress(groups: DataFrame, root: str, rows: str, expected: str, done: str) -> DataFrame:
+    """For each root: its groups, those complete, rows, expected rows where they're known, and the percent of rows in complete groups."""
+    total = F.sum(rows)
+    out = groups.groupBy(root).agg(F.count(F.lit(1)).alias("groups"), F.count_if(done).alias("complete"), total.alias("rows"), F.coalesce(F.sum(expected), F.lit(0)).alias("expected"), F.coalesce(F.sum(F.when(F.col(done), F.col(rows))), F.lit(0)).alias("__in"))
+    return out.withColumn("percent", coverage("__in", "rows")).drop("__in")
+
+
 def content_hash(df: DataFrame, group: list[str], row_text: Column) -> DataFrame:
     """A hash of each group's rows that doesn't depend on their order."""
     return df.select(*group, F.sha2(row_text, 256).alias("__h")).groupBy(*group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__h")), "\n"), 256).alias("content_hash"))
@@ -166,6 +220,25 @@ def sorted_by(df: DataFrame, column: str, allowed: Iterable[str], tie: str, desc
     return df.orderBy(F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), tie)
 
 
+def by_date(df: DataFrame, at: str, key: str, most: int) -> DataFrame:
+    """The first rows by date, those without one last."""
+    return df.orderBy(F.asc_nulls_last(at), F.asc(key)).limit(most)
+
+
+def chunked(df: DataFrame, order: list[Column], size: int, name: str) -> DataFrame:
+    """df with the number of its chunk, of so many rows each, in a total order.
+
+    Rows are dealt by ranges and numbered inside each; a range's first number is the sum
+    of the counts before it, of which there are as many as partitions.
+    """
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = counts.select("__range", before.alias("__before"))
+    n = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.join(begins, "__range").withColumn(name, F.floor((n + F.col("__before")) / size).cast("int")).drop("__range", "__before")
+
+
 def refused_beyond(df: DataFrame, most: int) -> DataFrame:
     """df, or an error if it has more rows than that; counts one row past the limit at most."""
     if df.limit(most + 1).count() > most:
@@ -179,6 +252,11 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.filter("value is not null and value != ''").distinct()
 
 
+def minus_seen(df: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of df that weren't seen."""
+    return df.select(*keys).distinct().join(seen.select(*keys), keys, "left_anti")
+
+
 def deduplicated(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key, with how many there were."""
     w = W.partitionBy("__k")
@@ -202,14 +280,13 @@ def first_by(array: Column, key) -> Column:
     return F.filter(array, lambda x, i: F.array_position(keys, key(x)) == i + 1)
 
 
-def merged_lots(df: DataFrame, group: str, lists: list[str]) -> DataFrame:
-    """The union of several lists of lots (name, value, currency, current): one of each key, current if any is, one current at least."""
+def merged_lots(df: DataFrame, group: str, lists: list[str], key: list[str]) -> DataFrame:
+    """The union of several lists of lots (the key's fields and current): one of each key, current if any is, one current at least."""
     whole = df.select(group, F.posexplode(F.concat(*lists)).alias("at", "lot"))
-    key = ["lot.name", "lot.value", "lot.currency"]
-    one = whole.groupBy(group, *[F.col(k).alias(k.split(".")[1]) for k in key]).agg(F.max("lot.current").alias("current"), F.min("at").alias("at"))
+    one = whole.groupBy(group, *[F.col(f"lot.{k}").alias(k) for k in key]).agg(F.max("lot.current").alias("current"), F.min("at").alias("at"))
     w = W.partitionBy(group)
     some = F.max("current").over(w)
-    first = F.row_number().over(w.orderBy("at", "name", "value")) == 1
+    first = F.row_number().over(w.orderBy("at")) == 1
     return one.withColumn("current", F.when(some, F.col("current")).otherwise(first)).drop("at")
 
 
@@ -223,22 +300,27 @@ def gaps(df: DataFrame, group: str, offset: str, size: str, digest: str) -> Data
 
 
 def accumulated_parts(df: DataFrame, group: str, order: list[str], size: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """df with part: a new one begins when the next row would pass either limit (a sum with resets, so a loop per group)."""
-    import pandas as pd
+    """df with part: a new one begins when the next row would pass either limit.
 
+    A sum with resets is a loop, but no group is held: rows come sorted, in Arrow batches,
+    and only the open part's counts are kept.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        part, n, total, out = 1, 0, 0, []
-        for s in rows[size]:
-            if n and (n + 1 > most_rows or total + s > most_bytes):
-                part, n, total = part + 1, 0, 0
-            n, total = n + 1, total + s
-            out.append(part)
-        return rows.assign(part=pd.Series(out, index=rows.index, dtype="int32"))
-
-    return df.groupBy(group).applyInPandas(run, schema)
+    def run(batches):
+        key, part, n, total = object(), 0, 0, 0
+        for batch in batches:
+            out = []
+            for g, s in zip(batch[group].tolist(), batch[size].tolist(), strict=True):
+                if g != key:
+                    key, part, n, total = g, 1, 0, 0
+                elif n + 1 > most_rows or total + s > most_bytes:
+                    part, n, total = part + 1, 0, 0
+                n, total = n + 1, total + s
+                out.append(part)
+            yield batch.assign(part=out)
+
+    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
 
 
 def parts_by_rows(df: DataFrame, order: list[str], rows: int, group: list[str] | None = None) -> DataFrame:

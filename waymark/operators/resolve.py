@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, name_words, strip_accents, word_similarity
-from ..functions.urls import comparable
+from ..functions.dates import normalize_date
+from ..functions.text import clean, fingerprint, name_words, slugify, strip_accents, word_similarity
+from ..functions.urls import absolute, comparable
+from .extract import country_in_location, country_of, looks_like_venue, normalized_warnings
 from .lineage import cut
 from .relational import latest
 
@@ -19,6 +21,12 @@ CRITICAL = (
     "location_evidence_mismatch", "edition_observation_unconfirmed", "conflicting_country",
     "country_evidence_mismatch", "suspicious_city",
 )
+#: Warnings that are made anew from what was observed.
+OWN_WARNINGS = (
+    "missing_name", "missing_date", "missing_city", "missing_state", "conflicting_date", "conflicting_location",
+    "date_evidence_mismatch", "location_evidence_mismatch", "modality_unconfirmed", "multiple_modalities",
+    "modality_evidence_mismatch", "country_unconfirmed", "conflicting_country", "country_evidence_mismatch",
+)
 FIELDS = ("name", "date", "city", "state", "country", "modality", "registration_url", "official_url")
 
 
@@ -27,12 +35,17 @@ def folded(x: Column) -> Column:
     return F.nullif(F.lower(strip_accents(clean(x))), F.lit(""))
 
 
-def location_evidence(left: str, right: str) -> Column:
+def _side(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def location_evidence(left: Column | str, right: Column | str) -> Column:
     """Why two records (structs with date, city, state, country) aren't shown to be at one place and day; null if they are."""
-    a, b = F.col(f"{left}.date").cast("string"), F.col(f"{right}.date").cast("string")
+    one, other = _side(left), _side(right)
+    a, b = one["date"].cast("string"), other["date"].cast("string")
     conflict, missing = F.lit(False), F.lit(False)
     for field in ("city", "state", "country"):
-        x, y = folded(F.col(f"{left}.{field}")), folded(F.col(f"{right}.{field}"))
+        x, y = folded(one[field]), folded(other[field])
         missing = missing | x.isNull() | y.isNull()
         conflict = conflict | F.coalesce(x != y, F.lit(False))
     return (
@@ -43,47 +56,127 @@ def location_evidence(left: str, right: str) -> Column:
     )
 
 
-def cross_source_reason(left: str, right: str, strong_link: Column, observed: Column) -> Column:
-    """Why a record of one source can't be taken for one of another by itself; null if it can."""
-    other_id = (F.col(f"{left}.source") == F.col(f"{right}.source")) & (F.col(f"{left}.external_id") != F.col(f"{right}.external_id"))
-    return (
-        F.when(other_id, "source_identity_conflict")
-        .when(F.col(f"{right}.status").isin("hidden", "rejected"), "restricted")
-        .when(location_evidence(left, right).isNotNull(), location_evidence(left, right))
-        .when(~F.coalesce(strong_link, F.lit(False)), "link_unconfirmed")
-        .when(~F.coalesce(observed, F.lit(False)), "observation_unconfirmed")
+def observation_reason(record: Column | str, observed: Column) -> Column:
+    """Why validated observations (an array of such structs) don't bear out a record; null if one does and none speaks against it."""
+    own = _side(record)
+    seen = F.coalesce(observed, F.array().cast("array<struct<date:string,city:string,state:string,country:string>>"))
+    other_day = F.exists(seen, lambda o: F.coalesce(F.substring(F.nullif(o["date"], F.lit("")), 1, 10) != F.substring(own["date"].cast("string"), 1, 10), F.lit(False)))
+    other_place = F.exists(seen, lambda o: F.coalesce(folded(o["city"]) != folded(own["city"]), F.lit(False)) | F.coalesce(folded(o["state"]) != folded(own["state"]), F.lit(False)) | F.coalesce(folded(o["country"]) != folded(own["country"]), F.lit(False)))
+    none = ~F.exists(seen, lambda o: location_evidence(own, o).isNull())
+    return F.when(none, "observation_unconfirmed").when(other_day, "date_mismatch").when(other_place, "location_conflict")
+
+
+def cross_source_reason(left: Column | str, right: Column | str, strong_link: Column, observed: Column) -> Column:
+    """Why a record of one source can't be taken for one of another by itself; null if it can.
+
+    observed: the validated observations of the right one, an array of structs.
+    """
+    a, b = _side(left), _side(right)
+    other_id = (a["source"] == b["source"]) & ~a["external_id"].eqNullSafe(b["external_id"])
+    return F.coalesce(
+        F.when(F.coalesce(other_id, F.lit(False)), "source_identity_conflict"),
+        F.when(b["status"].isin("hidden", "rejected"), "restricted"),
+        location_evidence(a, b),
+        F.when(~F.coalesce(strong_link, F.lit(False)), "link_unconfirmed"),
+        observation_reason(b, observed),
     )
 
 
 def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     """One row per incoming record: id, match, rank, score, automatic and reason.
 
-    Both sides: id, source, external_id, url, date, city, state, country, name,
-    fingerprint, status. Candidates come from five equi-joins with a rank each: same
-    source and id; same address and day (ambiguous if there are several); the same
-    fingerprint and day; the same day and place with names at least SIMILAR. Only the
-    first two are automatic. The first rank with a hit decides.
+    Both sides: id, source, external_id, links (addresses that stand for a record), urls
+    (any others), date, city, state, country, name, fingerprint, status; known also
+    observed (see cross_source_reason). Candidates come from five equi-joins with a rank
+    each: (1) same source and id; (2) a common link and the day: ambiguous if there are
+    several, and automatic only if nothing speaks against it; (3) any common address and
+    the day; (4) the same fingerprint and day; (5) the same day and place with names at
+    least SIMILAR. The last three are for review and leave rejected records out. The first
+    rank with a hit decides.
     """
+    names = ("source", "external_id", "date", "city", "state", "country", "status")
     a = incoming.select(*[F.col(c).alias(f"a_{c}") for c in incoming.columns], name_words("name").alias("a_words"))
     b = known.select(*[F.col(c).alias(f"b_{c}") for c in known.columns], name_words("name").alias("b_words"))
     open_ = b.filter("b_status != 'rejected'")
 
-    def hit(joined: DataFrame, rank: int, score: Column, automatic: bool, reason: str) -> DataFrame:
-        return joined.select(F.col("a_id").alias("id"), F.col("b_id").alias("match"), F.lit(rank).alias("rank"), score.alias("score"), F.lit(automatic).alias("automatic"), F.lit(reason).alias("reason"))
-
-    same = hit(a.join(b, (F.col("a_source") == F.col("b_source")) & (F.col("a_external_id") == F.col("b_external_id"))), 1, F.lit(1.0), True, "same_source")
-    link = hit(a.join(b, (F.col("a_url") == F.col("b_url")) & (F.col("a_date") == F.col("b_date"))), 2, F.lit(1.0), True, "link")
-    n = F.count(F.lit(1)).over(W.partitionBy("id"))
-    link = link.withColumn("n", n).withColumn("automatic", F.col("n") == 1).withColumn("reason", F.when(F.col("n") > 1, "link_ambiguous").otherwise("link_confirmed")).drop("n")
-    print_ = hit(a.join(open_, (F.col("a_fingerprint") == F.col("b_fingerprint")) & (F.col("a_date") == F.col("b_date"))), 3, F.lit(1.0), False, "fingerprint_review")
+    def hit(joined: DataFrame, rank: int, score: Column, automatic: Column, reason: Column) -> DataFrame:
+        return joined.select(F.col("a_id").alias("id"), F.col("b_id").alias("match"), F.lit(rank).alias("rank"), score.alias("score"), automatic.alias("automatic"), reason.alias("reason"))
+
+    def sharing(right: DataFrame, column: str) -> DataFrame:
+        """Pairs with a common element and the same day, each once."""
+        left_keys = a.select("a_id", "a_date", F.explode(F.array_distinct(f"a_{column}")).alias("key")).filter("a_date is not null")
+        right_keys = right.select("b_id", F.col("b_date").alias("a_date"), F.explode(F.array_distinct(f"b_{column}")).alias("key"))
+        return left_keys.join(right_keys, ["key", "a_date"]).select("a_id", "b_id").distinct()
+
+    same = hit(a.join(b, (F.col("a_source") == F.col("b_source")) & (F.col("a_external_id") == F.col("b_external_id"))), 1, F.lit(1.0), F.lit(True), F.lit("same_source"))
+    side = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in names])
+    linked = sharing(b, "links").withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("a_id"))).join(a, "a_id").join(b, "b_id")
+    why = F.when(F.col("__n") > 1, "link_ambiguous").otherwise(cross_source_reason(side("a"), side("b"), F.lit(True), F.col("b_observed")))
+    link = hit(linked.withColumn("__why", why), 2, F.lit(1.0), F.col("__why").isNull(), F.coalesce("__why", F.lit("link_confirmed")))
+    generic = hit(sharing(open_, "urls"), 3, F.lit(1.0), F.lit(False), F.lit("link_unconfirmed"))
+    print_ = hit(a.join(open_, (F.col("a_fingerprint") == F.col("b_fingerprint")) & (F.col("a_date") == F.col("b_date"))), 4, F.lit(1.0), F.lit(False), F.lit("fingerprint_review"))
     place = (F.col("a_date") == F.col("b_date")) & (F.lower("a_city") == F.lower("b_city")) & (F.col("a_state") == F.col("b_state")) & (F.col("a_country") == F.col("b_country"))
-    near = hit(a.join(open_, place), 4, word_similarity("a_words", "b_words"), False, "similar_review").filter(F.col("score") >= SIMILAR)
-    all_ = same.unionByName(link).unionByName(print_).unionByName(near)
-    best = latest(all_, ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")])
+    near = hit(a.join(open_, place), 5, word_similarity("a_words", "b_words"), F.lit(False), F.lit("similar_review")).filter(F.col("score") >= SIMILAR)
+    best = latest(same.unionByName(link).unionByName(generic).unionByName(print_).unionByName(near), ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")])
     rows = incoming.select("id").join(best, "id", "left")
     return rows.select("id", "match", F.coalesce("rank", F.lit(9)).alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("automatic", F.lit(False)).alias("automatic"), F.coalesce("reason", F.lit("none")).alias("reason"))
 
 
+def identity_reason(record: Column | str, seen: Column | str, country_status: Column, protected: Column) -> Column:
+    """Why what was seen (date, city, state, country) can't enrich a record as it is; null if it can.
+
+    country_status: that of the country's evidence; protected: fields that a person set,
+    which aren't compared.
+    """
+    a, b = _side(record), _side(seen)
+    conflict = F.lit(False)
+    for field in ("city", "state", "country"):
+        differs = F.coalesce(folded(a[field]) != folded(b[field]), F.lit(False))
+        conflict = conflict | (differs & ~F.coalesce(F.array_contains(protected, field), F.lit(False)))
+    return (
+        F.when(b["date"].isNull(), "date_unconfirmed")
+        .when(F.coalesce(a["date"].cast("date") != b["date"].cast("date"), F.lit(False)), "date_mismatch")
+        .when(country_status.isin("conflicting", "unrecognized"), "location_unconfirmed")
+        .when(conflict, "location_conflict")
+    )
+
+
+def country_evidence(structured: list[Column], where: Column) -> Column:
+    """country and status (confirmed, none, conflicting or unrecognized) from a source's own fields and the end of its location."""
+    given = F.array(*[clean(x) for x in structured])
+    named = F.filter(given, lambda x: x != "")
+    codes = F.transform(named, country_of)
+    tail = country_in_location(where)
+    all_ = F.array_distinct(F.array_compact(F.concat(codes, F.array(tail["country"]))))
+    status = F.when((F.size(all_) > 1) | tail["conflicting"], "conflicting").when(F.exists(codes, lambda c: c.isNull()), "unrecognized").when(F.size(all_) == 0, "none").otherwise("confirmed")
+    return F.struct(F.when(status == "confirmed", F.get(all_, F.lit(0))).alias("country"), status.alias("status"))
+
+
+def canonical(df: DataFrame, carried: list[str]) -> DataFrame:
+    """An extraction in the form that records have: cleaned fields, slug, fingerprint, warnings from what was observed, and a confidence.
+
+    df: name, claimed_date, date (observed), city, state, country_status, country,
+    modality, claimed_modality, registration_url, url, warnings and confidences (an array).
+    The confidence is the mean of the positive ones, at most 0.95, and lower by 0.1 with
+    any warning.
+    """
+    day = normalize_date("date")
+    own = F.array_compact(F.array(
+        F.when(clean("name") == "", "missing_name"), F.when(day.isNull(), "missing_date"), F.when(clean("city") == "", "missing_city"), F.when(clean("state") == "", "missing_state"),
+        F.when(F.coalesce(day != normalize_date("claimed_date"), F.lit(False)), "date_evidence_mismatch"), F.when(F.col("country_status") == "conflicting", "conflicting_country"),
+        F.when(F.col("modality") == "unknown", "modality_unconfirmed"), F.when(F.col("modality") == "mixed", "multiple_modalities"), F.when((F.col("claimed_modality") != "unknown") & (F.col("claimed_modality") != F.col("modality")), "modality_evidence_mismatch"),
+    ))
+    warnings = normalized_warnings(F.concat(F.array_except("warnings", F.array(*[F.lit(w) for w in OWN_WARNINGS])), own), "country", "city")
+    positive = F.filter("confidences", lambda c: c > 0)
+    mean = F.coalesce(F.aggregate(positive, F.lit(0.0), lambda t, c: t + c) / F.nullif(F.size(positive), F.lit(0)), F.lit(0.0))
+    name = F.coalesce(F.nullif(clean("name"), F.lit("")), F.lit("Evento sem nome"))
+    rows = df.select(
+        *carried, slugify(F.concat_ws(" ", name, F.nullif(clean("city"), F.lit("")), day)).alias("slug"), name.alias("name"), day.alias("date"), F.nullif(clean("city"), F.lit("")).alias("city"), F.nullif(clean("state"), F.lit("")).alias("state"),
+        "country", "modality", F.coalesce(absolute("registration_url", "url"), F.lit(None).cast("string")).alias("registration_url"), warnings.alias("warnings"), fingerprint(name, day, "city", "state", "country").alias("fingerprint"), mean.alias("__mean"),
+    )
+    return rows.withColumn("confidence", F.round(F.greatest(F.least(F.col("__mean"), F.lit(0.95)) - F.when(F.size("warnings") > 0, 0.1).otherwise(0.0), F.lit(0.0)), 4)).drop("__mean")
+
+
 def quality_reasons(states: tuple[str, ...] = (), home: str = "BR") -> Column:
     """All reasons not to publish a record, in order."""
     place = clean("city") != ""
@@ -109,10 +202,15 @@ def judged(df: DataFrame, states: tuple[str, ...] = (), home: str = "BR") -> Dat
     return df.withColumn("reasons", quality_reasons(states, home)).withColumn("publication", F.when(F.size("reasons") == 0, "published").otherwise("pending_review"))
 
 
+def safe_city(x) -> Column:
+    """Whether a city may be shown: not empty, no street or venue, no leading digit, no markup or address of the web."""
+    city = clean(x)
+    return (city != "") & ~looks_like_venue(city, municipality=True) & ~city.rlike(r"^\d") & ~city.rlike(r"[\x{FFFD}<>]") & ~city.rlike(r"(?i)https?://")
+
+
 def publication_error(states: tuple[str, ...] = (), home: str = "BR") -> Column:
     """The first structural rule that a record breaks; null if none."""
-    city = clean("city")
-    place = (city != "") & ~city.rlike(r"[\x{FFFD}<>]") & ~city.rlike(r"(?i)https?://")
+    place = safe_city("city")
     if states:
         place = place & F.col("state").isin(*states)
     dated = F.try_to_date(F.col("date").cast("string"), "yyyy-MM-dd").isNotNull()
@@ -136,8 +234,8 @@ def survivors(df: DataFrame, group: str, order: list[Column], fields: list[str],
     """One record per group: each field from the first row, in the given order, that has one; an empty text counts as none.
 
     lists are taken from the first row where they aren't empty; unions are joined
-    over all rows; greatest takes the maximum. One shuffle, no window: rows are
-    compared as structs inside the aggregate.
+    over all rows; greatest takes the maximum. Rows are ranked in a window; the aggregate
+    behind it has the same partitioning, so there is one shuffle.
     """
     ranked = df.withColumn("__rank", F.row_number().over(W.partitionBy(group).orderBy(*order)))
     value = lambda c: F.nullif(F.col(c), F.lit("")) if dict(df.dtypes)[c] == "string" else F.col(c)
@@ -158,6 +256,102 @@ def merged_fields(left: str, right: str, fields: list[str], protected_left: str,
     return out
 
 
+def merge_preview(pairs: DataFrame, fields: list[str]) -> DataFrame:
+    """a_id, b_id, reasons, can_merge, automatic, revision and the merged fields of pairs that might be one record.
+
+    pairs: a and b (structs of id, source, external_id, status, date, city, state, country,
+    linked (has a source), busy (a task runs on it), links, observed and the fields),
+    a_protected and b_protected (fields set by a person). revision: a hash of both sides as
+    they are now, which a merge must bring back unchanged.
+    """
+    a, b = F.col("a"), F.col("b")
+    both_set = F.lit(False)
+    for f in fields:
+        both_set = both_set | (F.array_contains("a_protected", f) & F.array_contains("b_protected", f) & ~a[f].eqNullSafe(b[f]))
+    hard = F.array_compact(F.array(
+        location_evidence(a, b), F.when(a["status"].isin("hidden", "rejected") | b["status"].isin("hidden", "rejected"), "restricted"), F.when(~a["linked"] | ~b["linked"], "link_unconfirmed"),
+        F.when(F.coalesce((a["source"] == b["source"]) & (a["external_id"] != b["external_id"]), F.lit(False)), "source_identity_conflict"), F.when(F.coalesce(both_set, F.lit(False)), "manual_conflict"), F.when(a["busy"] | b["busy"], "in_use"),
+    ))
+    strong = F.arrays_overlap(a["links"], b["links"])
+    soft = F.coalesce(cross_source_reason(a, b, strong, b["observed"]), cross_source_reason(b, a, strong, a["observed"]))
+    prefer_b = F.coalesce(_rank(b["source"]) > _rank(a["source"]), F.lit(False))
+    merged = merged_fields("a", "b", fields, "a_protected", "b_protected", prefer_b)
+    rows = pairs.select(a["id"].alias("a_id"), b["id"].alias("b_id"), hard.alias("reasons"), soft.alias("__soft"), F.sha2(F.to_json(F.struct("a", "b", "a_protected", "b_protected")), 256).alias("revision"), *merged)
+    return rows.withColumn("can_merge", F.size("reasons") == 0).withColumn("automatic", (F.size("reasons") == 0) & F.col("__soft").isNull()).drop("__soft")
+
+
+def _rank(source: Column, table: dict[str, int] = PRIORITY) -> Column:
+    out = F.lit(0)
+    for name, n in table.items():
+        out = F.when(source == name, n).otherwise(out)
+    return out
+
+
+def weak_candidates(df: DataFrame, key: str, day: str, keys: list[Column]) -> DataFrame:
+    """key and weak: how many other records of the same day share any of the keys (a fingerprint, an address), which hints but proves nothing."""
+    tagged = [F.when(k.isNotNull() & F.col(day).isNotNull(), F.concat_ws("|", F.lit(str(i)), F.col(day).cast("string"), k.cast("string"))) for i, k in enumerate(keys)]
+    rows = df.select(F.col(key), F.explode(F.array_compact(F.array(*tagged))).alias("k"))
+    pairs = rows.join(rows.select(F.col(key).alias("other"), "k"), "k").filter(F.col(key) != F.col("other")).select(key, "other").distinct()
+    return df.select(key).distinct().join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("weak")), key, "left").fillna({"weak": 0})
+
+
+def source_matches(stored: DataFrame, observed: DataFrame, references: DataFrame) -> DataFrame:
+    """Stored matches after new observations: external_id, event_id, status, resolved_by, and country, which an empty one doesn't erase.
+
+    stored: external_id, event_id, status, resolved_by, country; observed: external_id, date,
+    city, state, country; references: external_id, event_id, and the record's own date, city,
+    state and country. An observation that its reference's record bears out in all fields
+    resolves the match; one that isn't borne out reopens it; without a reference a new match
+    waits. Stored matches that weren't observed stay.
+    """
+    names = ("date", "city", "state", "country")
+    o = observed.select("external_id", F.struct(*names).alias("o"))
+    r = references.select("external_id", F.col("event_id").alias("ref"), F.struct(*names).alias("r"))
+    s = stored.select("external_id", F.struct("event_id", "status", "resolved_by", "country").alias("s"))
+    rows = s.join(o, "external_id", "full_outer").join(r, "external_id", "left").filter("s is not null or o is not null")
+    seen, fits = F.col("o").isNotNull(), F.col("ref").isNotNull() & location_evidence("o", "r").isNull()
+    kept = (F.col("s.status") == "resolved") & (F.col("s.event_id") == F.col("ref"))
+    event = F.when(~seen, F.col("s.event_id")).when(fits, F.col("ref")).when(F.col("ref").isNotNull(), F.lit(None)).otherwise(F.col("s.event_id"))
+    status = F.when(~seen, F.col("s.status")).when(fits, "resolved").when(F.col("ref").isNotNull(), "pending").otherwise(F.coalesce("s.status", F.lit("pending")))
+    by = F.when(~seen, F.col("s.resolved_by")).when(fits & F.coalesce(kept, F.lit(False)), F.col("s.resolved_by")).when(fits, "exact_reference").when(F.col("ref").isNotNull(), F.lit(None)).otherwise(F.col("s.resolved_by"))
+    return rows.select("external_id", event.alias("event_id"), status.alias("status"), by.alias("resolved_by"), F.coalesce(F.nullif(F.col("o.country"), F.lit("")), "s.country").alias("country"))
+
+
+def resolve_request(matches: DataFrame) -> DataFrame:
+    """The outcome of a person's wish to tie a match to a record: missing, date_mismatch, location_conflict, already_associated, unchanged or resolved.
+
+    matches: match and event (structs with date, city, state, country; null if there is none),
+    wanted (the record's id), referenced (the id that the source's reference has now) and
+    status and event_id of the match.
+    """
+    why = location_evidence("match", "event")
+    outcome = (
+        F.when(F.col("match").isNull() | F.col("event").isNull(), "missing")
+        .when(why.isin("date_unconfirmed", "date_mismatch"), "date_mismatch")
+        .when(why == "location_conflict", "location_conflict")
+        .when(F.coalesce(F.col("referenced") != F.col("wanted"), F.lit(False)), "already_associated")
+        .when((F.col("referenced") == F.col("wanted")) & (F.col("status") == "resolved") & (F.col("event_id") == F.col("wanted")), "unchanged")
+        .otherwise("resolved")
+    )
+    return matches.withColumn("outcome", outcome)
+
+
+#: A source's kinds of event by modality.
+KINDS = {"corrida de rua": "road", "road": "road", "trail run": "trail", "trail": "trail", "corrida de montanha": "trail"}
+
+
+def observation(df: DataFrame, carried: list[str]) -> DataFrame:
+    """The only fields of a source's metadata that may be kept as its observation of a record.
+
+    df: name, date, city, state, country, country_status, kind, registration_url, about_url,
+    source_url, and whatever else came, which is left out.
+    """
+    empty = lambda c: F.nullif(F.col(c), F.lit(""))
+    kinds = F.create_map(*[F.lit(v) for pair in KINDS.items() for v in pair])
+    country = F.when(~F.coalesce(F.col("country_status").isin("conflicting", "unrecognized"), F.lit(False)), country_of("country"))
+    return df.select(*carried, empty("name").alias("name"), F.col("date").cast("string").alias("date"), empty("city").alias("city"), empty("state").alias("state"), country.alias("country"), F.element_at(kinds, folded(F.col("kind"))).alias("modality"), empty("registration_url").alias("registration_url"), F.coalesce(empty("about_url"), empty("source_url")).alias("official_url"))
+
+
 def preserved(current: DataFrame, incoming: DataFrame, reviewed: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Incoming records, with the fields that were reviewed (key, field) kept as they are now."""
     held = reviewed.groupBy(key).agg(F.collect_set("field").alias("__held"))
@@ -217,13 +411,20 @@ def linked_groups(df: DataFrame, key: str, link: str, most: int = 3) -> DataFram
     return labels.select(F.col("a").alias(key), F.col("label").alias("group"), size.alias("size")).withColumn("ambiguous", F.col("size") > most)
 
 
-def group_merge(df: DataFrame, group: str, key: str, created: str, parts: list[str]) -> DataFrame:
-    """For each group: whether all its rows agree in the given columns (nulls agree with anything), and its oldest row as target."""
-    agree = F.lit(True)
-    aggs = []
+def group_merge(df: DataFrame, group: str, key: str, created: str, parts: list[str], linked: str | None = None, most: int = 3) -> DataFrame:
+    """For each group: members, target (its oldest row), and whether it may be merged.
+
+    compatible: at most `most` rows, all pairs of which agree in the given columns (nulls
+    agree with anything). linked: a column with the component of proven links that a row is
+    in; then one component must hold all rows.
+    """
+    aggs = [F.count_distinct(p).alias(f"__{p}") for p in parts]
+    agree = F.col("members") <= most
     for p in parts:
-        aggs.append(F.count_distinct(p).alias(f"__{p}"))
         agree = agree & (F.col(f"__{p}") <= 1)
+    if linked:
+        aggs += [F.count_distinct(linked).alias("__linked"), F.count(linked).alias("__with")]
+        agree = agree & (F.col("__linked") == 1) & (F.col("__with") == F.col("members"))
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.min_by(key, F.struct(created, key)).alias("target"), *aggs).select(group, "members", "target", agree.alias("compatible"))
 
 
@@ -233,7 +434,7 @@ def decision(home: str = "BR") -> Column:
         F.when(F.col("country").isNotNull() & (F.col("country") != home), "foreign")
         .when(F.col("busy"), "waiting")
         .when((F.col("members") > 1) & F.col("compatible") & ~F.col("ambiguous"), "merged")
-        .when((F.col("members") > 1) | F.col("weak"), "review")
+        .when((F.col("members") > 1) | (F.col("weak") > 0), "review")
         .otherwise("unmatched")
     )
 
@@ -267,12 +468,20 @@ def identity_reused(day: Column, known_day: Column) -> Column:
     return F.coalesce(F.year(day) != F.year(known_day), F.lit(False))
 
 
-def manifest(tables: dict[str, tuple[DataFrame, list[str], DataFrame | None, str | None, str | None]]) -> DataFrame:
-    """Rows, a hash of the keys, and orphans of each table: name -> (rows, key, parents, foreign key, parent key)."""
+def manifest(tables: dict[str, tuple[DataFrame, list[str], DataFrame | None, str | None, str | None]], sample: int = 100) -> DataFrame:
+    """Rows, a hash of the first `sample` keys, and orphans of each table: name -> (rows, key, parents, foreign key, parent key)."""
     out = None
     for name, (df, key, parents, fk, pk) in tables.items():
-        one = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.pmod(F.xxhash64(*key), F.lit(1 << 31))).alias("key_sum"))
-        orphans = parents.sparkSession.range(0) if parents is None else df.join(parents.select(F.col(pk).alias(fk)), fk, "left_anti")
-        one = one.crossJoin(orphans.agg(F.count(F.lit(1)).alias("orphans"))).select(F.lit(name).alias("table_name"), "rows", "key_sum", "orphans")
-        out = one if out is None else out.unionByName(one)
-    return out
+        text = F.concat_ws("|", *[F.col(k).cast("string") for k in key])
+        first = df.select(*key).orderBy(*key).limit(sample).select(F.struct(*key).alias("k"), text.alias("t"))
+        hashed = first.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), "\n"), 256).alias("sample_hash"))
+        parts = [df.agg(F.count(F.lit(1)).alias("rows"))]
+        parts.append(hashed)
+        if parents is not None:
+            parts.append(df.join(parents.select(F.col(pk).alias(fk)), fk, "left_anti").agg(F.count(F.lit(1)).alias("orphans")))
+        for p in parts:
+            own = p.select(F.lit(name).alias("table_name"), *p.columns)
+            out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    zero = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c)
+    out = out if "orphans" in out.columns else out.withColumn("orphans", F.lit(0))
+    return out.groupBy("table_name").agg(zero("rows"), F.max("sample_hash").alias("sample_hash"), zero("orphans"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +14,8 @@ from .lineage import cut
 #: Lease and waiting time that lifts a task to the front; kinds that go first or last.
 LEASE_SECONDS, WAIT_MINUTES = 90, 15
 FIRST_KINDS = ("export", "export-selection")
+#: Stages of a cycle, in order.
+STAGES = ("discovery", "enrichment", "reconciliation")
 LAST_KINDS = ("catalog-sync", "catalog-reconcile", "catalog", "catalog-process", "curate-batch")
 
 
@@ -70,15 +74,62 @@ def transitions(tasks: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
     return rows.select("id", status.alias("new_status"), attempt.alias("new_attempt"), F.when(holder & (F.col("outcome") == "failed") & ~last, wait).alias("retry_seconds"), (F.col("outcome").isNotNull() & ~holder).alias("refused"))
 
 
-def hourly_budget(df: DataFrame, key: str, at: str, order: str, limit: int, spacing_ms: int = 0) -> DataFrame:
-    """Each request's number in its key's hour, and the decision: allowed, spacing or budget."""
-    hour = F.date_trunc("hour", F.col(at))
-    w = W.partitionBy(key, hour).orderBy(at, order)
-    n = F.row_number().over(w)
-    before = F.lag(at).over(W.partitionBy(key).orderBy(at, order))
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    near = F.coalesce(gap < spacing_ms * 1000, F.lit(False))
-    return df.select(key, order, at, hour.alias("hour"), n.alias("n"), F.when(n > limit, "budget").when(near, "spacing").otherwise("allowed").alias("decision"))
+def _in_order(df: DataFrame, key: str, at: str, order: str, decide, result: str, more: list[Column] = ()) -> DataFrame:
+    """Rows decided one after the other within each key: decide(key changed, seconds, *more) gives a row's results.
+
+    A decision hangs on all before it, so a key is worked through in order by one task;
+    rows come in Arrow batches, and only the state that `decide` keeps is held.
+    """
+    kinds = dict(df.dtypes)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {result}"
+    names = [p.split(" ")[0] for p in result.split(", ")]
+    rest_of = [f"__{i}" for i in range(len(more))]
+    rows = df.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), *[c.alias(n) for c, n in zip(more, rest_of, strict=True)])
+
+    def run(batches):
+        step, last = decide(), object()
+        for batch in batches:
+            found = []
+            for k, s, *rest in zip(*[batch[c].tolist() for c in (key, "__at", *rest_of)], strict=True):
+                found.append(step(k != last, s, *rest))
+                last = k
+            yield pd.DataFrame({key: batch[key], order: batch[order], **dict(zip(names, zip(*found, strict=True), strict=True))})
+
+    return rows.repartition(key).sortWithinPartitions(key, "__at", order).mapInPandas(run, schema)
+
+
+HOUR = 3_600_000_000
+
+
+def request_gate(df: DataFrame, key: str, at: str, order: str, limit: int, spacing_ms: int = 0, closes: Column | None = None) -> DataFrame:
+    """Each request's decision: allowed, budget (so many were allowed in the clock hour), spacing (too soon behind the last allowed one) or blocked; and when to try again.
+
+    Only allowed requests count and move the gate. closes: an allowed request whose answer
+    shuts the gate for all behind it. retry_at: the hour's end, or the end of the spacing.
+    """
+
+    def decide():
+        hour = used = ready = shut = 0
+
+        def step(new: bool, now: int, close: bool) -> tuple[str, int | None]:
+            nonlocal hour, used, ready, shut
+            if new:
+                hour, used, ready, shut = 0, 0, now, False
+            if shut:
+                return "blocked", None
+            if hour < now // HOUR:
+                hour, used = now // HOUR, 0
+            if used >= limit:
+                return "budget", (hour + 1) * HOUR
+            if ready > now:
+                return "spacing", ready
+            used, ready, shut = used + 1, now + spacing_ms * 1000, bool(close)
+            return "allowed", None
+
+        return step
+
+    out = _in_order(df, key, at, order, decide, "decision string, __retry long", [F.coalesce(closes, F.lit(False)) if closes is not None else F.lit(False)])
+    return out.select(key, order, "decision", F.timestamp_micros("__retry").alias("retry_at"))
 
 
 def window_view(df: DataFrame, started: str, used: str, limit: str, now: Column) -> DataFrame:
@@ -92,32 +143,26 @@ def window_view(df: DataFrame, started: str, used: str, limit: str, now: Column)
 def sliding_limit(df: DataFrame, key: str, at: str, order: str, limit: int, seconds: float) -> DataFrame:
     """df with allowed and retry_after under at most `limit` allowed requests in any `seconds`; refused ones don't count.
 
-    A decision hangs on all before it, so a key is worked through in order; rows come
-    in Arrow batches and only the last `limit` allowed times are kept.
+    retry_after: 0 for an allowed request, else whole seconds, one more than are left.
     """
-    schema = f"{key} {dict(df.dtypes)[key]}, {order} {dict(df.dtypes)[order]}, allowed boolean, retry_after double"
-    rows = df.select(key, order, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("__s"))
-
-    def run(batches):
-        from collections import deque
+    span = int(seconds * 1_000_000)
 
+    def decide():
         held: deque = deque()
-        last = object()
-        for rows in batches:
-            allowed, wait = [], []
-            for k, s in zip(rows[key], rows["__s"], strict=True):
-                if k != last:
-                    held, last = deque(), k
-                while held and held[0] <= s - seconds:
-                    held.popleft()
-                ok = len(held) < limit
-                if ok:
-                    held.append(s)
-                allowed.append(ok)
-                wait.append(0.0 if ok else held[0] + seconds - s)
-            yield pd.DataFrame({key: rows[key], order: rows[order], "allowed": allowed, "retry_after": wait})
-
-    return rows.repartition(key).sortWithinPartitions(key, "__s", order).mapInPandas(run, schema)
+
+        def step(new: bool, now: int) -> tuple[bool, int]:
+            if new:
+                held.clear()
+            while held and held[0] <= now - span:
+                held.popleft()
+            if len(held) < limit:
+                held.append(now)
+                return True, 0
+            return False, max(1, (held[0] + span - now) // 1_000_000 + 1)
+
+        return step
+
+    return _in_order(df, key, at, order, decide, "allowed boolean, retry_after long")
 
 
 def ledger(pages: DataFrame, group: str, number: str, url: str, total: str, more: str) -> DataFrame:
@@ -173,9 +218,81 @@ def presence(df: DataFrame, key: str, at: str, kind: str, now: Column, seconds:
     return last.withColumn("age_seconds", age).withColumn("state", F.when((F.col("last_kind") == "stopped") | (age > seconds), "disconnected").otherwise("connected"))
 
 
+def rollup(tasks: DataFrame, cycle: str, stage: Column, status: str = "status") -> DataFrame:
+    """For each cycle, how many of its tasks are open in each stage, and how many failed."""
+    open_ = F.col(status).isin("queued", "running")
+    return tasks.withColumn("__stage", stage).groupBy(cycle).agg(*[F.count_if(open_ & (F.col("__stage") == s)).alias(f"{s}_open") for s in STAGES], F.count_if(F.col(status) == "failed").alias("failed"))
+
+
 def phase() -> Column:
-    """The phase of a cycle from counts of its tasks."""
-    return F.when(F.col("discovery_open") > 0, "discovery").when(F.col("enrichment_open") > 0, "enrichment").when(F.col("reconciliation_open") > 0, "reconciliation").when(F.col("failed") > 0, "completed_with_failures").otherwise("completed")
+    """The phase of a cycle from counts of its tasks: the first stage with open ones, else how it ended."""
+    out = F.when(F.col("failed") > 0, "completed_with_failures").otherwise("completed")
+    for s in reversed(STAGES):
+        out = F.when(F.col(f"{s}_open") > 0, s).otherwise(out)
+    return out
+
+
+def controlled(runs: DataFrame, commands: DataFrame, key: str = "run") -> DataFrame:
+    """Every command with its effect (applied, replayed, key_conflict or refused) and the run's state behind it.
+
+    runs: key and state. commands: key, at, command_id, action (pause, resume or cancel).
+    Commands of a run are folded in order of at and command_id; one whose id came before
+    does nothing if it asks for the same, and is refused else. A run that has ended takes
+    no more commands. The few commands of one run are an array, so the fold is one
+    expression.
+    """
+    own = commands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "command_id", "action"))).alias("__all"))
+    first = F.transform("__all", lambda c: F.get(F.filter("__all", lambda o: o["command_id"] == c["command_id"]), F.lit(0))["action"])
+    seen = F.transform("__all", lambda c, i: F.exists(F.slice("__all", F.lit(1), i), lambda o: o["command_id"] == c["command_id"]))
+    steps = F.arrays_zip(F.col("__all").alias("c"), first.alias("first"), seen.alias("seen"))
+
+    def fold(done, s):
+        state = F.get(done, F.size(done) - 1)["state"]
+        action = s["c"]["action"]
+        effect = F.when(s["seen"] & (s["first"] == action), "replayed").when(s["seen"], "key_conflict").when(state.isin("cancelled", "completed"), "refused").otherwise("applied")
+        next_ = F.when(effect != "applied", state).when(action == "pause", "paused").when(action == "cancel", "cancelled").otherwise("ready")
+        return F.concat(done, F.array(F.struct(s["c"]["at"].cast("timestamp").alias("at"), s["c"]["command_id"].alias("command_id"), action.alias("action"), effect.alias("effect"), next_.alias("state"))))
+
+    start = F.array(F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast(dict(commands.dtypes)["command_id"]).alias("command_id"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("effect"), F.col("state").alias("state")))
+    rows = runs.select(key, "state").join(own, key)
+    return rows.select(key, F.inline(F.filter(F.aggregate(steps, start, fold), lambda s: s["effect"].isNotNull())))
+
+
+def run_limited(tasks: DataFrame, group: str, order: list[Column], most: int, seconds: str, budget: float) -> DataFrame:
+    """The tasks of each group that one batch run works through: at most so many, and none that begins after its time is over."""
+    w = W.partitionBy(group).orderBy(*order)
+    before = F.coalesce(F.sum(seconds).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return tasks.withColumn("__n", F.row_number().over(w)).withColumn("begins_after", before).filter((F.col("__n") <= most) & (F.col("begins_after") < budget)).drop("__n")
+
+
+def local_admission(memory: str, disk: str, resident: str, least_memory: int = 512 << 20, least_disk: int = 1024 << 20, most_resident: int = 1024 << 20) -> Column:
+    """Why a worker with these figures in bytes takes no task; null if it may."""
+    unknown = F.lit(False)
+    for c in (memory, disk, resident):
+        unknown = unknown | F.col(c).isNull() | (F.col(c) < 0)
+    return F.when(unknown, "local_resource_measurement_unavailable").when((F.col(memory) < least_memory) | (F.col(resident) >= most_resident), "local_memory_limit").when(F.col(disk) < least_disk, "local_disk_limit")
+
+
+def prefix_step(pages: DataFrame, requested: str, raw: str, invalid: str, ids: str, seen: str, ceiling: int = 10_000, step: int = 25) -> DataFrame:
+    """pages with status, reason and the next quantity of a list that is read as an ever longer prefix.
+
+    ids and seen: arrays, of this prefix and of the one before. Invalid rows and more rows
+    than were asked for block it; a short prefix completes it; one that brings nothing new,
+    and one at the ceiling, end it unfinished.
+    """
+    n = F.col(requested)
+    known = (F.size(seen) > 0) & (F.size(F.array_except(ids, seen)) == 0)
+    reason = (
+        F.when(F.col(invalid) > 0, "catalog_invalid_candidates")
+        .when(F.col(raw) > n, "catalog_quantity_ignored")
+        .when(F.col(raw) < n, "official_load_more_end")
+        .when(known, "catalog_not_advancing")
+        .when(n >= ceiling, "catalog_safety_ceiling")
+        .otherwise("prefix_expansion")
+    )
+    out = pages.withColumn("reason", reason)
+    status = F.when(F.col("reason").isin("catalog_invalid_candidates", "catalog_quantity_ignored"), "blocked").when(F.col("reason") == "official_load_more_end", "completed").when(F.col("reason") == "prefix_expansion", "ready").otherwise("limited")
+    return out.withColumn("status", status).withColumn("quantity", F.when(F.col("status") == "ready", F.least(F.lit(ceiling), n + step)).otherwise(n))
 
 
 def admission(df: DataFrame, used: str, limit: str, reserved: str, growth: str, margin: float = 0.1) -> DataFrame:
@@ -190,11 +307,16 @@ def not_advancing(df: DataFrame, key: str, step: str, digest: str) -> DataFrame:
     return df.withColumn("stuck", F.coalesce(before == F.col(digest), F.lit(False)))
 
 
-def frontier(start: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
-    """node and depth of all that can be reached from start(node) over edges(node, to) within `most` steps, each at its least depth."""
+def frontier(start: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node and depth of all that can be reached from start(node) over edges(node, to), each at its least depth.
+
+    One round for each depth, each checkpointed; it ends when a round finds nothing new,
+    or after `most` rounds if a caller asks for fewer.
+    """
     seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    edge = seen
-    for depth in range(1, most + 1):
+    edge, depth = seen, 0
+    while most is None or depth < most:
+        depth += 1
         step = edge.join(edges, "node").select(F.col("to").alias("node")).distinct()
         edge = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if edge.isEmpty():
@@ -210,3 +332,11 @@ def violations(checks: dict[str, DataFrame]) -> DataFrame:
         one = rows.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("rule"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def guarded(df: DataFrame, checks: dict[str, DataFrame]) -> DataFrame:
+    """df, or an error that names the first rule that rows break: what a trigger does before a write."""
+    for name, rows in checks.items():
+        if not rows.isEmpty():
+            raise ValueError(f"refused by {name}")
+    return df

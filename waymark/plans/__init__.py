@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports all modules that register queries."""
-    from . import catalogue, exports, resolution, tasks, texts  # noqa: F401
+    from . import batches, catalogue, exports, extraction, pages, resolution, tasks, texts, values  # noqa: F401

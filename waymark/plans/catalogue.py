@@ -14,7 +14,7 @@ TODAY = "1997-01-01"
 
 def _listing(spark, d):
     orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    base = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    base = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return R.matching(base, equal={"o_orderstatus": "O"}, contains={"c_name": "customer"}, between={"o_orderdate": ("1996-01-01", "1998-12-31")}, any_of={"n_name": None})
 
 
@@ -42,7 +42,7 @@ def listing_total(spark, d):
 @query("""SELECT o_orderkey FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority = '' OR o_orderstatus NOT IN ('O', 'F')
 OR o_orderpriority = '4-NOT SPECIFIED' OR o_orderpriority LIKE '5-%'""")
 def p3_incomplete(spark, d):
-    """Rows with anything missing, unknown or not allowed."""
+    """Rows with anything missing, unknown or not allowed."""
     bad = R.incomplete(["o_orderpriority"], {"o_orderstatus": ["O", "F"]}, {"o_orderpriority": "4-NOT SPECIFIED"}, {"o_orderpriority": "5-"})
     return table(spark, d, "orders").filter(bad).select("o_orderkey")
 
@@ -59,14 +59,14 @@ def p4_source_list(spark, d):
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1996-12-31'
 AND (o_custkey IN (1, 2, 3, 5, 8, 13) OR o_orderpriority IN ('1-URGENT'))""")
 def p6_scope(spark, d):
-    """A date range and any of several keys."""
+    """A date range and any of several keys."""
     return R.in_scope(table(spark, d, "orders"), "o_orderdate", "1995-01-01", "1996-12-31", {"o_custkey": [1, 2, 3, 5, 8, 13], "o_orderpriority": ["1-URGENT"]}).select("o_orderkey", "o_custkey")
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 IN (0, 3) AS wanted FROM events
 WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) >= 50 AND event_type IN ('click', 'purchase', 'view')""")
 def p9_json_filter(spark, d):
-    """Filters on values inside JSON."""
+    """Filters on values inside JSON."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     rows = table(spark, d, "events").filter((k >= 50) & F.col("event_type").isin("click", "purchase", "view"))
     return rows.select("event_id", k.alias("k"), (k % 5).isin(0, 3).alias("wanted"))
@@ -100,8 +100,8 @@ def p12_child_policy(spark, d):
 CASE WHEN c_acctbal < 0 THEN 'overdrawn' WHEN c_acctbal > 9000 THEN 'prime' ELSE 'regular' END AS badge,
 c_name || ' / ' || n_name AS location_label FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def p14_display(spark, d):
-    """A display view: labels and badges by precedence."""
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    """A display view: labels and badges by precedence."""
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     badge = F.when(F.col("c_acctbal") < 0, "overdrawn").when(F.col("c_acctbal") > 9000, "prime").otherwise("regular")
     return rows.select("c_custkey", F.initcap("c_mktsegment").alias("label"), badge.alias("badge"), F.concat_ws(" / ", "c_name", "n_name").alias("location_label"))
 
@@ -124,7 +124,7 @@ def j1_join_chain(spark, d):
     """Detail to header to owner, grouped; filters and columns reach the scans."""
     items, orders, customers, nations = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
     per_order = items.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
-    rows = per_order.join(orders, per_order.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = per_order.join(orders, per_order.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.sum("n").alias("items"), F.round(F.sum("r"), 2).alias("revenue"))
 
 
@@ -156,13 +156,14 @@ def j7_zero_counts(spark, d):
     return table(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_name", F.coalesce("n", F.lit(0)).cast("long").alias("suppliers"))
 
 
-@query("""SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON (s_nationkey = c_nationkey AND s_suppkey % 5 = 0 AND c_custkey % 50 = 0)
+@query("""SELECT DISTINCT s_suppkey, c_custkey FROM supplier JOIN customer ON (s_nationkey * 100000 + floor(s_acctbal / 500) = c_nationkey * 100000 + floor(c_acctbal / 500))
 OR round(s_acctbal / 10) = round(c_acctbal / 10) OR substr(s_name, -4) = substr(c_name, -4)""")
 def j8_any_key(spark, d):
     """An OR join over three keys, as one equi-join."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
-    left = [F.when(F.col("s_suppkey") % 5 == 0, F.col("s_nationkey")), F.round(F.col("s_acctbal") / 10).cast("long"), F.expr("right(s_name, 4)")]
-    right = [F.when(F.col("c_custkey") % 50 == 0, F.col("c_nationkey")), F.round(F.col("c_acctbal") / 10).cast("long"), F.expr("right(c_name, 4)")]
+    both = lambda p: F.struct(F.col(f"{p}_nationkey"), F.floor(F.col(f"{p}_acctbal") / 500)).cast("string")
+    left = [both("s"), F.round(F.col("s_acctbal") / 10).cast("long"), F.expr("right(s_name, 4)")]
+    right = [both("c"), F.round(F.col("c_acctbal") / 10).cast("long"), F.expr("right(c_name, 4)")]
     return R.by_any_key(s, c, left, right, "s_suppkey", "c_custkey")
 
 
@@ -171,7 +172,7 @@ ALIASES = "SELECT c_custkey AS alias, c_custkey - c_custkey % 10 AS canonical FR
 
 @query(f"SELECT coalesce(canonical, o_custkey) AS o_custkey, count(*) AS orders FROM orders LEFT JOIN ({ALIASES}) ON o_custkey = alias GROUP BY 1")
 def j11_alias(spark, d):
-    """Ids replaced by what they're aliases of."""
+    """Ids replaced by what they're aliases of."""
     aliases = table(spark, d, "customer").filter("c_custkey % 10 IN (1, 2) AND c_custkey > 10").select(F.col("c_custkey").alias("alias"), (F.col("c_custkey") - F.col("c_custkey") % 10).alias("canonical"))
     return R.resolve_alias(table(spark, d, "orders"), aliases, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
 
@@ -185,14 +186,14 @@ def j13_distinct_sources(spark, d):
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
 def j15_latest_child(spark, d):
-    """The latest child of each parent."""
+    """The latest child of each parent."""
     return R.latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
 @query("""SELECT c_mktsegment, n_regionkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS nations FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def j16_exploded(spark, d):
     """Rows regrouped as distinct lists."""
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("c_mktsegment", "n_regionkey").agg(F.array_join(F.sort_array(F.collect_set("n_name")), ",").alias("nations"))
 
 
@@ -232,7 +233,7 @@ def a8_catalogue_summary(spark, d):
 SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, coalesce(expected, 0) AS expected, coalesce(actual, 0) AS actual
 FROM (SELECT o_orderkey, 1 + o_orderkey % 7 AS expected FROM orders) FULL JOIN (SELECT l_orderkey, count(*) AS actual FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)""")
 def a10_expected_vs_actual(spark, d):
-    """Expected counts against actual ones, with a message where they differ."""
+    """A10: expected counts against actual ones, with a message where they differ."""
     expected = table(spark, d, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 7).alias("expected"))
     actual = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("actual"))
     return R.reconciled(expected, actual, "o_orderkey")
@@ -259,7 +260,7 @@ def a15_confidence(spark, d):
 @query("""SELECT l_orderkey, sha256(string_agg(h, chr(10) ORDER BY h)) AS content_hash FROM
 (SELECT l_orderkey, sha256(l_linenumber || '|' || l_partkey || '|' || l_returnflag) AS h FROM lineitem) GROUP BY 1""")
 def a17_content_hash(spark, d):
-    """A hash of each group that doesn't depend on row order."""
+    """A hash of each group that doesn't depend on row order."""
     return R.content_hash(table(spark, d, "lineitem"), ["l_orderkey"], F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"))
 
 
@@ -294,11 +295,14 @@ def w4_primary(spark, d):
     return R.latest(table(spark, d, "supplier"), ["s_nationkey"], [p.desc(), F.asc("s_suppkey")]).select("s_nationkey", "s_suppkey")
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, l_partkey, size, k, 1 AS part, 1 AS n, size AS total FROM i WHERE k = 1
+UNION ALL SELECT i.l_orderkey, i.l_linenumber, i.l_partkey, i.size, i.k, CASE WHEN p.n + 1 > 3 OR p.total + i.size > 100 THEN p.part + 1 ELSE p.part END, CASE WHEN p.n + 1 > 3 OR p.total + i.size > 100 THEN 1 ELSE p.n + 1 END, CASE WHEN p.n + 1 > 3 OR p.total + i.size > 100 THEN i.size ELSE p.total + i.size END FROM p JOIN i ON i.l_orderkey = p.l_orderkey AND i.k = p.k + 1)
+SELECT l_orderkey, l_linenumber, l_partkey, size, part FROM p""")
 def w5_byte_parts(spark, d):
-    """Parts of at most 3 rows or 100 units, begun anew at each limit (sequential; tested against a loop)."""
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("size"))
-    return R.accumulated_parts(items, "l_orderkey", ["l_linenumber"], "size", 3, 100)
+    """Parts of at most 3 rows or 100 units, begun anew at each limit (sequential)."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("size"))
+    return R.accumulated_parts(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "size", 3, 100).drop("l_suppkey")
 
 
 PAGES = "SELECT l_orderkey, l_linenumber * 10 - CASE WHEN l_linenumber % 4 = 0 THEN 3 ELSE 10 END AS off, CAST(10 AS INTEGER) AS rows_, l_returnflag || CAST(l_quantity AS BIGINT) % 3 AS digest FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)"
@@ -307,14 +311,14 @@ PAGES = "SELECT l_orderkey, l_linenumber * 10 - CASE WHEN l_linenumber % 4 = 0 T
 @query(f"""SELECT l_orderkey, off, rows_, CASE WHEN seen > 1 THEN 'repeated' WHEN off > expected THEN 'gap' WHEN off < expected THEN 'overlap' ELSE 'ok' END AS state FROM (
 SELECT *, coalesce(lag(off + rows_) OVER (PARTITION BY l_orderkey ORDER BY off), 0) AS expected, row_number() OVER (PARTITION BY l_orderkey, digest ORDER BY off) AS seen FROM ({PAGES}))""")
 def w6_page_gaps(spark, d):
-    """Gaps, overlaps and repetitions among pages."""
+    """Gaps, overlaps and repetitions among pages."""
     pages = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_quantity").alias("l_quantity")).selectExpr("l_orderkey", "l_linenumber * 10 - CASE WHEN l_linenumber % 4 = 0 THEN 3 ELSE 10 END AS off", "10 AS rows_", "concat(l_returnflag, cast(l_quantity as bigint) % 3) AS digest")
     return R.gaps(pages, "l_orderkey", "off", "rows_", "digest")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY nullif(l_tax, 0) ASC NULLS LAST, lower(l_returnflag), CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END, l_linenumber) AS INTEGER) AS place FROM lineitem""")
 def t5_result_order(spark, d):
-    """An order by several expressions, nulls last, as a place."""
+    """T4 T5: an order by several expressions, nulls last, as a place."""
     from pyspark.sql import Window
 
     order = [F.asc_nulls_last(F.nullif(F.col("l_tax"), F.lit(0.0))), F.lower("l_returnflag"), F.when(F.col("l_linestatus") == "F", 0).otherwise(1), F.col("l_linenumber")]
@@ -331,7 +335,7 @@ def t7_keyset_page(spark, d):
 
 @query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 15")
 def t3_allowed_sort(spark, d):
-    """Sorted by an allowed column, ties by key, bounded."""
+    """Sorted by an allowed column, ties by key, bounded."""
     return R.sorted_by(table(spark, d, "supplier"), "s_acctbal", ["s_acctbal", "s_name"], "s_suppkey", True).limit(15).select("s_suppkey", "s_name")
 
 
@@ -366,24 +370,25 @@ def d5_dedupe_array(spark, d):
     return nested.select("l_orderkey", F.array_join(F.transform(kept, lambda i: i["l_linenumber"].cast("string")), ",").alias("kept"))
 
 
-@query("""WITH lots AS (SELECT l_orderkey, l_returnflag AS name, round(l_discount, 2) AS value, 'BRL' AS currency, l_linestatus = 'X' OR l_quantity > 45 AS cur, l_linenumber AS pos FROM lineitem),
-one AS (SELECT l_orderkey, name, value, currency, bool_or(cur) AS cur, min(pos) AS pos FROM lots GROUP BY ALL)
-SELECT l_orderkey, name, value, currency, CASE WHEN bool_or(cur) OVER (PARTITION BY l_orderkey) THEN cur ELSE row_number() OVER (PARTITION BY l_orderkey ORDER BY pos, name, value) = 1 END AS current FROM one""")
+@query("""WITH lots AS (SELECT l_orderkey, l_returnflag AS name, round(l_discount, 2) AS value, 'BRL' AS currency, CASE WHEN l_tax > 0.04 THEN '2026-01-01' END AS begins, CASE WHEN l_linestatus = 'F' THEN '2026-02-01' END AS ends, l_quantity > 45 AS cur, l_linenumber AS pos, l_quantity, l_partkey FROM lineitem),
+one AS (SELECT l_orderkey, name, value, currency, begins, ends, bool_or(cur) AS cur, min((pos, l_partkey, l_quantity)) AS pos FROM lots GROUP BY l_orderkey, name, value, currency, begins, ends)
+SELECT l_orderkey, name, value, currency, begins, ends, CASE WHEN bool_or(cur) OVER (PARTITION BY l_orderkey) THEN cur ELSE row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) = 1 END AS current FROM one""")
 def d6_lot_merge(spark, d):
-    """Lots of several lists merged by key, with one current at least."""
-    lot = F.struct(F.col("l_returnflag").alias("name"), F.round("l_discount", 2).alias("value"), F.lit("BRL").alias("currency"), ((F.col("l_linestatus") == "X") | (F.col("l_quantity") > 45)).alias("current"))
-    nested = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", lot.alias("lot")))), lambda x: x["lot"]).alias("lots"))
-    split = nested.select("l_orderkey", F.slice("lots", 1, 2).alias("a"), F.slice("lots", 3, 2).alias("b"), F.slice("lots", 5, 100).alias("c"))
-    return R.merged_lots(split, "l_orderkey", ["a", "b", "c"])
+    """Lots of several lists merged by their five parts, with one current at least."""
+    lot = F.struct(F.col("l_returnflag").alias("name"), F.round("l_discount", 2).alias("value"), F.lit("BRL").alias("currency"), F.when(F.col("l_tax") > 0.04, "2026-01-01").alias("begins"), F.when(F.col("l_linestatus") == "F", "2026-02-01").alias("ends"), (F.col("l_quantity") > 45).alias("current"))
+    nested = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", lot.alias("lot")))), lambda x: x["lot"]).alias("lots"))
+    rest = F.greatest(F.size("lots") - 4, F.lit(0))
+    split = nested.select("l_orderkey", F.slice("lots", 1, 2).alias("a"), F.slice("lots", 3, 2).alias("b"), F.slice("lots", F.lit(5), rest).alias("c"))
+    return R.merged_lots(split, "l_orderkey", ["a", "b", "c"], ["name", "value", "currency", "begins", "ends"])
 
 
-@query("""SELECT o_custkey, count(*) FILTER (n = 1) AS fresh, count(*) AS seen FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1""")
+@query("""SELECT o_custkey, o_orderpriority FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_ FROM orders GROUP BY 1, 2) WHERE first_ % 3 > 0""")
 def d7_page_minus_seen(spark, d):
-    """What is new in a list, by array sets."""
-    nested = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderpriority").alias("all"))
-    first, rest = F.slice("all", 1, 1), F.slice("all", 2, 100_000)
-    fresh = F.size(F.array_union(first, F.array_except(rest, first)))
-    return nested.select("o_custkey", fresh.cast("long").alias("fresh"), F.size("all").cast("long").alias("seen"))
+    """What a page has that wasn't seen before."""
+    o = table(spark, d, "orders")
+    first = o.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first_"))
+    seen = first.filter("first_ % 3 = 0").select("o_custkey", "o_orderpriority")
+    return R.minus_seen(o.select("o_custkey", "o_orderpriority"), seen, ["o_custkey", "o_orderpriority"])
 
 
 @query("SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier WHERE s_acctbal < 0")
@@ -407,9 +412,96 @@ def x36_nearby(spark, d):
 @query("""SELECT l_orderkey, c_name, n FROM (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_shipdate > TIMESTAMP '1997-06-01' GROUP BY 1) JOIN orders ON o_orderkey = l_orderkey
 JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'""")
 def p15_results(spark, d):
-    """Result rows of chosen parents."""
+    """Result rows of chosen parents."""
     items = table(spark, d, "lineitem").filter("l_shipdate > '1997-06-01'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     own = table(spark, d, "orders").join(table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"))
     return items.join(own, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "c_name", "n")
 
 
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0 AND c_acctbal > 0 AND c_mktsegment <> 'BUILDING'""")
+def p2_admin_filter(spark, d):
+    """Records with a warning in a JSON array, that are published, of any segment but one."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").withColumn("warnings", F.when(k % 3 == 0, '["low_confidence", "missing_date"]').when(k % 3 == 1, '["missing_city"]').otherwise("null")).withColumn("publication", F.when(F.col("c_acctbal") > 0, "published").otherwise("hidden"))
+    return R.admin_filter(rows, warnings="warnings", has=["missing_date", "no_prices_found"], equal={"publication": "published", "c_mktsegment": None}, without={"c_mktsegment": ["BUILDING"]}).select("c_custkey")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND (contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderstatus), 'high') OR contains(o_orderkey::VARCHAR, 'high')) AND o_orderstatus = 'O'""")
+def p5_dynamic_filter(spark, d):
+    """P5: a range, a text in any of three columns, and an equality; what isn't asked for doesn't count."""
+    rows = R.matching(table(spark, d, "orders"), equal={"o_orderstatus": "O", "o_custkey": None}, between={"o_orderdate": ("1995-01-01", None)}, text="HIGH", columns=["o_orderpriority", "o_orderstatus", "o_orderkey"])
+    return rows.select("o_orderkey")
+
+
+@query("""SELECT event_id FROM events WHERE event_type IN ('error') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND user_id % 2 = 1""")
+def p7_job_filter(spark, d):
+    """Jobs by status, provider and time."""
+    jobs = table(spark, d, "events").withColumn("provider", F.when(F.col("user_id") % 2 == 1, "mock").otherwise("other"))
+    return R.matching(jobs, equal={"event_type": "error", "provider": "mock"}, between={"ts": ("2024-01-10", None)}).filter("ts < '2024-01-20'").select("event_id")
+
+
+@query("""SELECT mode, id FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY moment DESC, id) AS n FROM (
+SELECT 'published' AS mode, o_orderkey AS id, o_orderdate AS moment FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'failed', o_orderkey, o_orderdate FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 'any', o_orderkey, o_orderdate FROM orders)) WHERE n <= CASE mode WHEN 'published' THEN 100 WHEN 'failed' THEN 1 ELSE 7 END""")
+def p8_curation_selector(spark, d):
+    """Records to curate by mode, newest first, 1 to 100 of them."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderstatus") == "F", "published").otherwise("draft").alias("publication"), F.when(F.col("o_orderpriority") == "5-LOW", "failed").otherwise("curated").alias("curation"))
+    out = None
+    for mode, only, limit in (("published", "published", 5000), ("failed", "failed", -3), ("any", None, 7)):
+        own = R.for_curation(rows, only, limit, "at", "id").select(F.lit(mode).alias("mode"), "id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE (event_id % 1000) * 7 END AS duration_ms, event_type AS status, CASE WHEN value > 50 THEN round(value, 1) END AS top, json_extract_string(props, '$.k') AS k FROM events""")
+def p13_job_projection(spark, d):
+    """A job as it's listed: its status, how long it took, and picked fields of its JSON."""
+    begin = F.col("ts").cast("timestamp")
+    jobs = table(spark, d, "events").select("event_id", "event_type", "value", "props", begin.alias("started"), F.when(F.col("event_type") != "error", F.timestamp_millis(F.unix_millis(begin) + F.col("event_id") % 1000 * 7)).alias("finished"))
+    return R.job_list(jobs, "started", "finished", {"event_type": "status"}, "props", {"k": "$.k"}).select("event_id", "duration_ms", "status", F.when(F.col("value") > 50, F.round("value", 1)).alias("top"), "k")
+
+
+@query("""SELECT o_orderkey, CASE WHEN s_suppkey IS NOT NULL THEN s_suppkey ELSE canonical END AS id FROM (SELECT o_orderkey, 'Supplier#' || o_orderkey % 40 AS slug, CASE WHEN o_orderkey % 40 >= 10 AND o_orderkey % 40 < 20 THEN o_orderkey % 40 - 10 END AS canonical FROM orders) LEFT JOIN (SELECT s_suppkey, 'Supplier#' || s_suppkey AS slug FROM supplier) USING (slug)""")
+def j12_slug_lookup(spark, d):
+    """A slug's record, else that of the alias it once was."""
+    wanted = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Supplier#"), (F.col("o_orderkey") % 40).cast("string")).alias("slug"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Supplier#"), F.col("s_suppkey").cast("string")).alias("slug"))
+    aliases = spark.range(10, 20).select(F.concat(F.lit("Supplier#"), F.col("id").cast("string")).alias("alias"), (F.col("id") - 10).alias("canonical"))
+    return R.by_slug(wanted, s, aliases, "slug", "id").select("o_orderkey", "id")
+
+
+@query("""SELECT c_custkey, coalesce(status, 'none') AS status FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
+def j14_side_lookup(spark, d):
+    """A status looked up in another table, by its latest row."""
+    last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+    return R.looked_up(table(spark, d, "customer").select("c_custkey"), last, "c_custkey", {"status": "none"})
+
+
+@query("""SELECT l_orderkey, count(*) AS groups, count(*) FILTER (done) AS complete, CAST(sum(rows) AS BIGINT) AS rows, CAST(coalesce(sum(expected), 0) AS BIGINT) AS expected, round(100.0 * coalesce(sum(rows) FILTER (done), 0) / sum(rows), 1) AS percent FROM (
+SELECT l_orderkey, l_returnflag, count(*) AS rows, bool_and(l_linestatus = 'F') AS done, CASE WHEN l_returnflag <> 'N' THEN count(*) + 1 END AS expected FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def a16_progress(spark, d):
+    """What the groups of a root have brought, of how many, and how far."""
+    groups = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("l_linestatus") == "F").alias("done")).withColumn("expected", F.when(F.col("l_returnflag") != "N", F.col("rows") + 1))
+    return R.progress(groups, "l_orderkey", "rows", "expected", "done")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST((row_number() OVER (ORDER BY l_returnflag, l_linestatus, nullif(l_tax, 0) NULLS LAST, l_shipdate, l_orderkey, l_linenumber, l_partkey) - 1) // 1000 AS INTEGER) AS chunk FROM lineitem""")
+def t6_export_order(spark, d):
+    """Rows in an order of seven keys, in chunks; places come from the counts of ranges, not from one task."""
+    order = [F.asc("l_returnflag"), F.asc("l_linestatus"), F.asc_nulls_last(F.nullif(F.col("l_tax"), F.lit(0.0))), F.asc("l_shipdate"), F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_partkey")]
+    return R.chunked(table(spark, d, "lineitem"), order, 1000, "chunk").select("l_orderkey", "l_linenumber", "l_partkey", "chunk")
+
+
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS moment FROM orders WHERE o_orderstatus = 'P') ORDER BY coalesce(moment, TIMESTAMP '9999-12-31'), o_orderkey LIMIT 40""")
+def t8_candidates(spark, d):
+    """Candidates by date, those without one last, bounded."""
+    rows = table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")).alias("at"))
+    return R.by_date(rows, "at", "o_orderkey", 40).select("o_orderkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, sha256(length(a) || ':' || a || '|' || length(b) || ':' || b || '|' || length(c) || ':' || c || '|0:|' || length(e) || ':' || e || '|' || length(f) || ':' || f) AS record_key FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey::VARCHAR AS a, l_linenumber::VARCHAR AS b, l_partkey::VARCHAR AS c, l_returnflag AS e, l_linestatus AS f FROM lineitem)""")
+def d2_record_key(spark, d):
+    """A record's key, a hash of six fields; no two lists of fields have the same text."""
+    key = R.record_key(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.lit(None), F.col("l_returnflag"), F.col("l_linestatus"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", key.alias("record_key"))

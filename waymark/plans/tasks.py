@@ -30,7 +30,7 @@ o_orderkey % 10 = 0 AND NOT {RUNS} AS hold, o_orderkey % 4 AS attempt, CASE WHEN
 
 @query("""SELECT user_id, event_type, min_by(event_id, event_id) AS event_id, count(*) AS requests, count(DISTINCT sha256(props)) = 1 AS consistent FROM events GROUP BY 1, 2""")
 def q1_enqueue(spark, d):
-    """The first request of each key, and whether all asked for the same."""
+    """Q1: the first request of each key, and whether all asked for the same."""
     return Q.enqueued(table(spark, d, "events"), "user_id", "event_type", F.col("props"), [F.asc("event_id")]).select("user_id", "event_type", "event_id", "requests", "consistent")
 
 
@@ -62,12 +62,17 @@ def q3_transitions(spark, d):
     return Q.transitions(t, reports, F.lit("1995-06-01").cast("timestamp"))
 
 
-@query("""SELECT user_id, event_id, ts, hour, n, CASE WHEN n > 2 THEN 'budget' WHEN gap < 1000000 THEN 'spacing' ELSE 'allowed' END AS decision FROM (SELECT user_id, event_id, ts, date_trunc('hour', ts) AS hour,
-CAST(row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY ts, event_id) AS INTEGER) AS n, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)""")
-def q5_hourly_budget(spark, d):
-    """Q5 Q6: requests of an hour against a budget and a least spacing."""
-    out = Q.hourly_budget(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 1000)
-    return out.withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_id % 97 = 0 AS closes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT user_id, event_id, ts, n, date_trunc('hour', ts) AS win, 1 AS used, ts + INTERVAL 20 MINUTE AS ready, closes AS shut, 'allowed' AS decision, CAST(NULL AS TIMESTAMP) AS retry_at FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, ts, n, win, CASE WHEN decision = 'allowed' THEN used + 1 ELSE used END, CASE WHEN decision = 'allowed' THEN ts + INTERVAL 20 MINUTE ELSE ready END, shut OR (decision = 'allowed' AND closes), decision,
+CASE decision WHEN 'budget' THEN win + INTERVAL 1 HOUR WHEN 'spacing' THEN ready END
+FROM (SELECT *, CASE WHEN shut THEN 'blocked' WHEN used >= 2 THEN 'budget' WHEN ready > ts THEN 'spacing' ELSE 'allowed' END AS decision
+FROM (SELECT e.user_id, e.event_id, e.ts, e.n, e.closes, g.ready, g.shut, CASE WHEN g.shut THEN g.win ELSE date_trunc('hour', e.ts) END AS win, CASE WHEN g.win < date_trunc('hour', e.ts) THEN 0 ELSE g.used END AS used FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)))
+SELECT user_id, event_id, decision, retry_at FROM g""")
+def q5_request_gate(spark, d):
+    """Q5: an hourly budget, a least spacing and a circuit breaker; only allowed requests count (sequential)."""
+    out = Q.request_gate(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 1_200_000, F.col("event_id") % 97 == 0)
+    return out.withColumn("retry_at", F.col("retry_at").cast("timestamp_ntz"))
 
 
 @query("""SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n, count(*) > 3 AS over_budget FROM events GROUP BY 1, 2""")
@@ -78,24 +83,42 @@ def q6_client_quota(spark, d):
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", (F.col("n") > 3).alias("over_budget"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS mom, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT user_id, event_id, n, [mom] AS held, true AS allowed, CAST(0 AS BIGINT) AS retry_after FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, CASE WHEN len(live) < 2 THEN list_append(live, mom) ELSE live END, len(live) < 2, CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, (live[1] + 7200000000 - mom) // 1000000 + 1) END
+FROM (SELECT e.user_id, e.event_id, e.n, e.mom, list_filter(g.held, lambda x: x > e.mom - 7200000000) AS live FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1))
+SELECT user_id, event_id, allowed, retry_after FROM g""")
 def q7_sliding_window(spark, d):
-    """Q7: a sliding limiter whose refused requests don't count (sequential; tested against a loop)."""
+    """Q7: a sliding limiter whose refused requests don't count (sequential)."""
     return Q.sliding_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 7200.0)
 
 
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+g AS (SELECT o_custkey, count(*) AS raw, list(o_orderpriority) AS ids FROM orders GROUP BY 1)
+SELECT o_custkey, raw, CASE WHEN bad THEN 'blocked' WHEN raw > asked THEN 'blocked' WHEN raw < asked THEN 'completed' WHEN known THEN 'limited' WHEN asked >= 10 THEN 'limited' ELSE 'ready' END AS status,
+CASE WHEN bad THEN 'catalog_invalid_candidates' WHEN raw > asked THEN 'catalog_quantity_ignored' WHEN raw < asked THEN 'official_load_more_end' WHEN known THEN 'catalog_not_advancing' WHEN asked >= 10 THEN 'catalog_safety_ceiling' ELSE 'prefix_expansion' END AS reason,
+CASE WHEN NOT bad AND raw = asked AND NOT known AND asked < 10 THEN least(10, asked + 3) ELSE asked END AS quantity
+FROM (SELECT o_custkey, raw, raw + o_custkey % 3 - CASE WHEN o_custkey % 7 = 0 THEN 2 ELSE 0 END AS asked, o_custkey % 11 = 0 AS bad, len(list_filter(ids, lambda x: x NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))) = 0 AS known FROM g)""")
+def q9_prefix_step(spark, d):
+    """Q9: what a prefix of a list says about the next one."""
+    k = F.col("o_custkey")
+    pages = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("raw"), F.collect_set("o_orderpriority").alias("ids"))
+    pages = pages.select("o_custkey", "raw", "ids", (F.col("raw") + k % 3 - F.when(k % 7 == 0, 2).otherwise(0)).alias("asked"), (k % 11 == 0).cast("int").alias("bad"), F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")]).alias("seen"))
+    return Q.prefix_step(pages, "asked", "raw", "bad", "ids", "seen", 10, 3).select("o_custkey", "raw", "status", "reason", "quantity")
+
+
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber // 3 AS page, l_partkey % 4 AS url, 3 + l_orderkey % 2 AS total, l_linenumber // 3 < 2 AS more FROM lineitem),
 f AS (SELECT l_orderkey, url, min(page) AS page FROM p GROUP BY 1, 2),
 g AS (SELECT l_orderkey, page, count(*) AS raw, max(total) AS total, max(more) AS more, (SELECT count(*) FROM f WHERE f.l_orderkey = p.l_orderkey AND f.page = p.page) AS fresh FROM p GROUP BY 1, 2),
 w AS (SELECT l_orderkey, count(*) AS pages, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(fresh) AS BIGINT) AS distinct_rows, max_by(total, page) AS total, max_by(more, page) AS more, bool_or(fresh = 0) AS repeated FROM g GROUP BY 1)
 SELECT l_orderkey, pages, raw, distinct_rows, raw - distinct_rows AS duplicates, CASE WHEN repeated THEN 'not_advancing' WHEN total = distinct_rows AND more THEN 'pagination_conflict' WHEN total <> distinct_rows THEN 'total_mismatch' WHEN NOT more THEN 'end_confirmed' ELSE 'total_reconciled' END AS reason FROM w""")
 def q8_page_ledger(spark, d):
-    """What a sequence of pages brought, and how it ended."""
+    """Q8: what a sequence of pages brought, and how it ended."""
     pages = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber div 3 AS page", "l_partkey % 4 AS url", "3 + l_orderkey % 2 AS total", "l_linenumber div 3 < 2 AS more")
     return Q.ledger(pages, "l_orderkey", "page", "url", "total", "more")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT o_orderkey AS node, 0 AS depth FROM orders WHERE o_orderkey <= 3 UNION SELECT o_orderkey * 2, depth + 1 FROM f JOIN orders ON o_orderkey = node WHERE node > 0) SELECT node, min(depth) AS depth FROM f GROUP BY 1""")
 def q10_frontier(spark, d):
     """Q10: all that can be reached from a start, by distinct steps."""
     e = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderkey") * 2).alias("to"))
@@ -105,7 +128,7 @@ def q10_frontier(spark, d):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' WHEN o_orderkey % 5 = 0 THEN 'mismatch' ELSE 'replay' END AS effect FROM orders""")
 def q11_checkpoint_effect(spark, d):
-    """Replayed pages do nothing, changed ones are refused."""
+    """Q11: replayed pages do nothing, changed ones are refused."""
     stored = table(spark, d, "orders").filter("o_orderkey % 3 != 0").select("o_orderkey", F.sha2("o_orderpriority", 256).alias("h"))
     incoming = table(spark, d, "orders").select("o_orderkey", F.sha2(F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise("")), 256).alias("h"))
     return Q.checkpointed(stored, incoming, ["o_orderkey"], "h")
@@ -133,22 +156,56 @@ def q14_presence(spark, d):
 
 @query("""SELECT o_orderkey, CAST(first + 7 * weeks AS DATE) AS latest, weeks, CAST(first + 7 * weeks + 7 AS DATE) AS next FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first, CAST(floor(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-31') / 7) AS INTEGER) AS weeks FROM orders) WHERE weeks >= 0""")
 def q15_weekly(spark, d):
-    """Missed weeks as one occurrence."""
+    """Q15: missed weeks as one occurrence."""
     w = dates.weekly_coalesced(F.col("o_orderdate").cast("date"), F.lit("1998-12-31"))
     return table(spark, d, "orders").select("o_orderkey", w.alias("w")).filter("w is not null").select("o_orderkey", "w.latest", F.col("w.coalesced_weeks").alias("weeks"), "w.next")
 
 
-@query("""SELECT o_custkey, CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 'discovery' WHEN count(*) FILTER (o_orderstatus = 'O') > 3 THEN 'enrichment' WHEN count(*) FILTER (o_orderpriority = '1-URGENT') > 1 THEN 'reconciliation'
-WHEN count(*) FILTER (o_orderpriority = '5-LOW') > 0 THEN 'completed_with_failures' ELSE 'completed' END AS phase FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, CASE WHEN count(*) FILTER (open AND stage = 0) > 0 THEN 'discovery' WHEN count(*) FILTER (open AND stage = 1) > 0 THEN 'enrichment' WHEN count(*) FILTER (open AND stage = 2) > 0 THEN 'reconciliation'
+WHEN count(*) FILTER (failed) > 0 THEN 'completed_with_failures' ELSE 'completed' END AS phase FROM (SELECT o_custkey, o_orderkey % 3 AS stage, o_orderstatus = 'P' AND o_orderkey % 2 = 0 AS open, o_orderpriority = '5-LOW' AND NOT (o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS failed FROM orders) GROUP BY 1""")
 def q16_phase(spark, d):
-    """The phase of a cycle from its tasks."""
-    counts = table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "P").alias("discovery_open"), F.greatest(F.count_if(F.col("o_orderstatus") == "O") - 3, F.lit(0)).alias("enrichment_open"), F.greatest(F.count_if(F.col("o_orderpriority") == "1-URGENT") - 1, F.lit(0)).alias("reconciliation_open"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("failed"))
-    return counts.select("o_custkey", Q.phase().alias("phase"))
+    """The phase of a cycle, rolled up from its tasks."""
+    k = F.col("o_orderkey")
+    status = F.when((F.col("o_orderstatus") == "P") & (k % 2 == 0), "queued").when(F.col("o_orderpriority") == "5-LOW", "failed").otherwise("completed")
+    stage = F.element_at(F.array(*[F.lit(s) for s in Q.STAGES]), (k % 3 + 1).cast("int"))
+    return Q.rollup(table(spark, d, "orders").withColumn("status", status), "o_custkey", stage).select("o_custkey", Q.phase().alias("phase"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT o_custkey AS run, o_orderdate AS "at", o_orderkey % 5 AS command_id, ['pause', 'resume', 'cancel', 'pause'][o_orderkey % 4 + 1] AS action FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY "at", command_id, action) AS n FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY run, command_id ORDER BY n) > 1 AS seen, first(action) OVER (PARTITION BY run, command_id ORDER BY n) AS first_action FROM n),
+g AS (SELECT c_custkey AS run, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS "at", CAST(NULL AS BIGINT) AS command_id, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS effect, CASE WHEN c_custkey % 10 = 0 THEN 'completed' ELSE 'ready' END AS state FROM customer
+UNION ALL SELECT run, n, "at", command_id, action, effect, CASE WHEN effect <> 'applied' THEN state WHEN action = 'pause' THEN 'paused' WHEN action = 'cancel' THEN 'cancelled' ELSE 'ready' END FROM (
+SELECT o.run, o.n, o."at", o.command_id, o.action, g.state, CASE WHEN o.seen AND o.first_action = o.action THEN 'replayed' WHEN o.seen THEN 'key_conflict' WHEN g.state IN ('cancelled', 'completed') THEN 'refused' ELSE 'applied' END AS effect FROM g JOIN o ON o.run = g.run AND o.n = g.n + 1))
+SELECT run, "at", command_id, action, effect, state FROM g WHERE n > 0""")
+def q17_controls(spark, d):
+    """Q17: pause, resume and cancel, with replays of a command told apart from conflicts."""
+    k = F.col("o_orderkey")
+    action = F.element_at(F.array(*[F.lit(a) for a in ("pause", "resume", "cancel", "pause")]), (k % 4 + 1).cast("int"))
+    commands = table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderdate").alias("at"), (k % 5).alias("command_id"), action.alias("action"))
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("run"), F.when(F.col("c_custkey") % 10 == 0, "completed").otherwise("ready").alias("state"))
+    return Q.controlled(runs, commands).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query("""SELECT o_custkey, o_orderkey, begins_after FROM (SELECT o_custkey, o_orderkey, row_number() OVER w AS n, coalesce(sum(o_orderkey % 50) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins_after
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE n <= 6 AND begins_after < 90""")
+def q21_run_limits(spark, d):
+    """Q21: the tasks that a batch run with a limit of tasks and of seconds works through."""
+    tasks = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.col("o_orderkey") % 50).alias("seconds"))
+    return Q.run_limited(tasks, "o_custkey", [F.asc("o_orderdate"), F.asc("o_orderkey")], 6, "seconds", 90).select("o_custkey", "o_orderkey", "begins_after")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 OR p_size = 13 THEN 'local_resource_measurement_unavailable' WHEN p_size * 20 < 512 OR p_partkey % 2000 >= 1024 THEN 'local_memory_limit' WHEN p_size * 40 < 1024 THEN 'local_disk_limit' END AS reason FROM part""")
+def q22_local_admission(spark, d):
+    """Q22: whether a worker's memory and disk allow another task."""
+    mb, k = 1 << 20, F.col("p_partkey")
+    workers = table(spark, d, "part").select("p_partkey", F.when(k % 9 != 0, F.col("p_size").cast("long") * 20 * mb).alias("memory"), F.when(F.col("p_size") == 13, -1).otherwise(F.col("p_size").cast("long") * 40 * mb).alias("disk"), (k % 2000 * mb).alias("resident"))
+    return workers.select("p_partkey", Q.local_admission("memory", "disk", "resident").alias("reason"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 'unconfigured' WHEN 1000 * 0.5 - s_suppkey - 10 < s_acctbal / 20 THEN 'refused' ELSE 'admitted' END AS admission FROM supplier""")
 def q18_capacity(spark, d):
-    """Whether growth still fits."""
+    """Q18: whether growth still fits."""
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").cast("double").alias("used"), F.when(F.col("s_suppkey") % 6 != 0, F.lit(1000.0)).alias("limit"), F.lit(10.0).alias("reserved"), (F.col("s_acctbal") / 20).alias("growth"))
     return Q.admission(s, "used", "limit", "reserved", "growth", 0.5).select("s_suppkey", "admission")
 
@@ -179,12 +236,12 @@ def b23_rate_window(spark, d):
 def b24_error_class(spark, d):
     """Errors by code, and delays."""
     codes = spark.createDataFrame([("error", "network", True), ("click", "timeout", True)], "event_type string, code string, retryable boolean")
-    rows = table(spark, d, "events").join(F.broadcast(codes), "event_type", "left")
+    rows = table(spark, d, "events").join(codes, "event_type", "left")
     return rows.select("event_id", F.coalesce("code", F.lit("unexpected")).alias("code"), F.coalesce("retryable", F.lit(False)).alias("retryable"), numbers.retry_delay(F.col("event_id") % 8).alias("retry_seconds"), numbers.idle_delay(F.col("event_id") % 8).alias("idle_ms"))
 
 
 @query("""SELECT DISTINCT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_custkey % 100 = s_suppkey OR (o_orderkey % 1000 = s_suppkey) WHERE o_orderstatus = 'P'""")
 def b25_touching_tasks(spark, d):
-    """Running tasks that touch given records by any route."""
+    """Running tasks that touch given records by any route."""
     tasks = table(spark, d, "orders").filter("o_orderstatus = 'P'")
     return R.by_any_key(tasks, table(spark, d, "supplier"), [F.col("o_custkey") % 100, F.col("o_orderkey") % 1000], [F.col("s_suppkey"), F.col("s_suppkey")], "o_orderkey", "s_suppkey")

@@ -25,7 +25,7 @@ def x3_normalize_key(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.normalize_key("text"), 256).alias("key_hash"))
 
 
-@query(rf"SELECT p_partkey, coalesce(nullif(substr(replace({KEY.format('p_name')}, ' ', '-'), 1, 90), ''), 'item') AS slug FROM part")
+@query(rf"SELECT p_partkey, coalesce(nullif(substr(replace({KEY.format('p_name')}, ' ', '-'), 1, 90), ''), 'evento') AS slug FROM part")
 def x5_slugify(spark, d):
     """Slugs."""
     return table(spark, d, "part").select("p_partkey", text.slugify("p_name").alias("slug"))
@@ -75,7 +75,7 @@ def x15_times(spark, d):
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def x16_month_names(spark, d):
-    """Dates with the names of months."""
+    """Dates with the names of months."""
     at = F.col("o_orderdate")
     month = F.element_at(F.array(*[F.lit(m.upper()) for m in dates.MONTHS]), F.month(at))
     return table(spark, d, "orders").select("o_orderkey", dates.month_name_date(F.dayofmonth(at).cast("string"), month, F.year(at).cast("string")).alias("day"))
@@ -101,7 +101,7 @@ def x23_prices(spark, d):
 
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) + 0.5 AS km, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) + 0.5 END AS strict_km, CAST(p_size * 1000 AS BIGINT) AS n FROM part")
 def x24_distances(spark, d):
-    """Distances, strict ones, and whole numbers with dots."""
+    """Distances, strict ones, and whole numbers with dots."""
     size = F.col("p_size").cast("string")
     written = F.concat(F.lit("Trail "), size, F.lit(",5 "), F.when(F.col("p_partkey") % 2 == 0, "km").otherwise("kms"))
     return table(spark, d, "part").select("p_partkey", numbers.normalize_distance(written).alias("km"), numbers.strict_distance(written).alias("strict_km"), numbers.first_integer(F.concat(size, F.lit(".000 m"))).alias("n"))
@@ -127,7 +127,7 @@ def x27_url_variants(spark, d):
 @query(r"""SELECT page_id, regexp_replace(regexp_extract(url, '^([^?#]+)', 1) || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: NOT starts_with(p, 'utm_')), '&'), ''), ''), '/$', '') AS comparable,
 regexp_matches(regexp_extract(url, '^https?://([^/?#]+)', 1), '^(m\.)?casino') AS odd FROM pages""")
 def x28_comparable_url(spark, d):
-    """Addresses for comparison."""
+    """Addresses for comparison."""
     return table(spark, d, "pages").select("page_id", urls.comparable("url").alias("comparable"), urls.part("url", "HOST").rlike(r"^(m\.)?casino").alias("odd"))
 
 
@@ -140,7 +140,7 @@ def b22_host_source(spark, d):
 @query(rf"SELECT c_custkey, replace({KEY.format('c_name')}, ' ', '-') || '|' || '2026-08-16' || '|' || replace({KEY.format('n_name')}, ' ', '-') || '|' || replace({KEY.format('c_mktsegment')}, ' ', '-') || '|br' AS fingerprint FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def x35_fingerprint(spark, d):
     """Fingerprints of records."""
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.select("c_custkey", text.fingerprint("c_name", F.lit("2026-08-16"), "n_name", "c_mktsegment", F.lit("BR")).alias("fingerprint"))
 
 
@@ -148,7 +148,7 @@ def x35_fingerprint(spark, d):
 SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 4) AS score FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
 WHERE len(a.t) > 0 AND len(b.t) > 0 AND round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 4) >= 0.3""")
 def x37_token_similarity(spark, d):
-    """Similarity of names inside blocks."""
+    """Similarity of names inside blocks."""
     p = table(spark, d, "part").select("p_partkey", text.name_words("p_name").alias("words"), "p_brand", "p_size")
     a, b = p.toDF("a", "na", "p_brand", "p_size"), p.toDF("b", "nb", "p_brand", "p_size")
     score = text.word_similarity("na", "nb")
@@ -229,13 +229,6 @@ def e11_keyword_status(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", E.status(F.lit(None).cast("string"), "text").alias("status"))
 
 
-@query()
-def e12_modality(spark, d):
-    """All fields that the extractors read off a text (tested on known texts)."""
-    found = E.extraction(table(spark, d, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"), "text"), "title", "text", "doc_id")
-    return found.select("doc_id", "modality", "status", F.size("distances").alias("distances"), F.size("prices").alias("prices"), "confidence")
-
-
 @query("SELECT r_regionkey, CASE r_regionkey % 5 WHEN 0 THEN 'BR' WHEN 1 THEN 'PT' END AS country, r_regionkey % 5 = 2 AS conflicting FROM region")
 def e14_country(spark, d):
     """A country from the end of a location, with conflicts."""
@@ -246,7 +239,7 @@ def e14_country(spark, d):
 
 @query("""SELECT p_partkey, CASE WHEN p_size BETWEEN 20 AND 1000 THEN CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_size BETWEEN 20 AND 1000 THEN CASE WHEN p_partkey % 2 = 0 THEN 'open' ELSE 'sold_out' END END AS status FROM part""")
 def e15_offers(spark, d):
-    """Prices of JSON-LD offers, one or many."""
+    """Prices of JSON-LD offers, one or many."""
     state = F.when(F.col("p_partkey") % 2 == 0, "https://schema.org/InStock").otherwise("https://schema.org/SoldOut")
     one = F.to_json(F.struct(F.struct(F.lit("Lot").alias("name"), F.col("p_size").cast("string").alias("price"), F.lit("brl").alias("priceCurrency"), state.alias("availability")).alias("offers")))
     o = F.get(E.offers(one), F.lit(0))
@@ -255,7 +248,7 @@ def e15_offers(spark, d):
 
 @query("""SELECT user_id, count(*) AS raw, count(*) FILTER (value < 1) AS invalid, count(DISTINCT event_id) FILTER (value >= 1) AS distinct_ids, count(*) < 100 AND count(*) FILTER (value < 1) = 0 AS terminal FROM events GROUP BY user_id""")
 def s3_catalogue_page(spark, d):
-    """JSON pages of a list, counted and judged."""
+    """S3: JSON pages of a list, counted and judged."""
     e = F.struct(F.col("event_id").cast("string").alias("eventId"), F.when(F.col("value") >= 1, F.col("event_type")).otherwise("").alias("title"), F.lit("https://tickets.example.com/e/x-1").alias("uri"))
     pages = table(spark, d, "events").groupBy("user_id").agg(F.to_json(F.collect_list(e)).alias("payload"))
     out = readers.catalogue_page(pages, "user_id", "payload", F.lit(100), F.lit(False))
@@ -271,7 +264,7 @@ def s4_last_wins(spark, d):
 
 @query("SELECT c_custkey, upper(c_mktsegment) AS segment, 'nation ' || c_nationkey AS nation FROM customer")
 def s6_label_values(spark, d):
-    """A label/value table read back from HTML."""
+    """A label/value table read back from HTML."""
     html = F.concat(F.lit("<table><tr><th>Segmént:</th><td> "), F.upper("c_mktsegment"), F.lit("</td></tr><tr><td>Nation</td><td>nation <b>"), F.col("c_nationkey").cast("string"), F.lit("</b></td></tr><tr><td>nation</td><td>second</td></tr></table>"))
     m = table(spark, d, "customer").select("c_custkey", readers.label_values(html).alias("m"))
     return m.select("c_custkey", readers.field_by_labels(F.col("m"), ["segmento", "segment"]).alias("segment"), F.element_at("m", F.lit("nation")).alias("nation"))
@@ -279,7 +272,7 @@ def s6_label_values(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 <> 0 THEN l_returnflag END AS flag, CASE WHEN l_linenumber % 5 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS other, l_linenumber % 5 <> 0 AS valid FROM lineitem""")
 def s14_result_rows(spark, d):
-    """Result table rows by header; one with a missing cell is rejected."""
+    """Result table rows by header; one with a missing cell is rejected."""
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), cell(F.col("l_returnflag")), F.when(F.col("l_linenumber") % 5 != 0, cell(F.col("l_partkey").cast("string"))).otherwise(""), F.lit("</tr>"))
     rows = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), row.alias("html"))
@@ -287,9 +280,11 @@ def s14_result_rows(spark, d):
     return out.select("k.l_orderkey", "k.l_linenumber", "flag", F.element_at("other", F.lit("extra_part")).alias("other"), "valid")
 
 
-@query("SELECT doc_id, sha256(text) AS h FROM documents")
+@query("""SELECT doc_id, sha256(CASE doc_id % 3 WHEN 0 THEN plain WHEN 1 THEN plain ELSE plain || ' €' END) AS h FROM (SELECT doc_id, regexp_replace(text, '[^\\x{09}-\\x{7E}\\x{A0}-\\x{FF}]', '?', 'g') AS plain FROM documents)""")
 def s17_charsets(spark, d):
-    """Bytes of an undeclared charset read as text."""
-    rows = table(spark, d, "documents")
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-8"))
-    return rows.select("doc_id", F.sha2(readers.decoded(raw, F.lit("utf-8")), 256).alias("h"))
+    """Bytes as UTF-8, as declared Latin-1, and as undeclared windows-1252, read back as text."""
+    plain = F.regexp_replace("text", r"[^\x{09}-\x{7E}\x{A0}-\x{FF}]", "?")
+    k = F.col("doc_id") % 3
+    western = F.concat(F.encode(plain, "ISO-8859-1"), F.lit(b" \x80"))  # the euro sign, which is no valid UTF-8 there
+    raw = F.when(k == 0, F.encode(plain, "UTF-8")).when(k == 1, F.encode(plain, "ISO-8859-1")).otherwise(western)
+    return table(spark, d, "documents").select("doc_id", F.sha2(readers.decoded(raw, F.when(k == 1, "iso-8859-1").otherwise("")), 256).alias("h"))

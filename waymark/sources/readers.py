@@ -11,10 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import explicit_date, normalize_date
-from ..functions.text import Text, clean, parts_hash
-from ..functions.urls import canonical, host
-from ..operators.extract import html_text, html_title, json_ld, meta_content
+from ..functions.dates import explicit_date, month_name_date, normalize_date
+from ..functions.numbers import first_integer
+from ..functions.text import Text, clean, normalize_key, parts_hash
+from ..functions.urls import absolute, canonical, host, is_plain, part
+from ..operators.extract import hrefs, html_text, html_title, is_challenge, json_ld, meta_content
 
 
 class Adapter(NamedTuple):
@@ -231,12 +232,65 @@ def normalized_payload(df: DataFrame, payload: str, carried: list[str] = ()) ->
 
 def cards(df: DataFrame, key: str, html: str, card_class: str) -> DataFrame:
     """Blocks of a class with their first heading, link, day in any of three formats, place and total of finishers."""
-    blocks = F.slice(F.split(F.col(html), rf"""(?i)<(?:div|article|li)[^>]+class=["'][^"']*\b{card_class}\b[^>]*>"""), 2, 100_000)
-    rows = df.select(key, F.posexplode(blocks).alias("position", "block"))
+    blocks = F.split(F.col(html), rf"""(?i)<(?:div|article|li)[^>]+class=["'][^"']*\b{card_class}\b[^>]*>""")
+    rows = df.select(key, F.posexplode(F.slice(blocks, F.lit(2), F.size(blocks))).alias("position", "block"))
     text = html_text(F.col("block"))
     head = clean(F.regexp_replace(F.regexp_extract("block", r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1), "<[^>]+>", " "))
     place = F.regexp_extract(text, r"([A-ZÀ-Ú][\p{L}' .-]{1,60}?)\s*[-/,]\s*([A-Z]{2})\b", 0)
-    return rows.select(key, "position", head.alias("title"), F.nullif(F.regexp_extract("block", r"""(?i)href=["']([^"']+)["']""", 1), F.lit("")).alias("href"), normalize_date(text, 2000).alias("date"), F.nullif(clean(place), F.lit("")).alias("place"), F.regexp_extract(F.lower(text), r"(\d[\d.]*)\s*(?:finishers|concluintes)", 1).try_cast("int").alias("finishers"))
+    return rows.select(key, "position", head.alias("title"), F.nullif(F.regexp_extract("block", r"""(?i)href=["']([^"']+)["']""", 1), F.lit("")).alias("href"), normalize_date(text, 2000).alias("date"), F.nullif(clean(place), F.lit("")).alias("place"), _finishers(text).alias("finishers"))
+
+
+def _finishers(text: Column) -> Column:
+    return first_integer(F.regexp_extract(F.lower(text), r"(\d[\d.]*)\s*(?:finishers|concluintes)", 1)).cast("int")
+
+
+def _inner(html: Text, tag: str, attributes: str = "") -> Column:
+    """The text of the first element of a tag whose start holds the attributes (a pattern); null if there is none."""
+    found = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*{attributes}[^>]*>(.*?)</{tag}>", 1)
+    return F.nullif(clean(F.regexp_replace(found, "<[^>]+>", " ")), F.lit(""))
+
+
+def event_page(df: DataFrame, html: str, carried: list[str] = ()) -> DataFrame:
+    """name, day, city, state, finishers, modalities (name, totals by gender), endpoint and headers of a result page.
+
+    A page without results has no endpoint and no headers, but the rest.
+    """
+    h = F.col(html)
+    place = _inner(h, "p", """class=["'][^"']*place""")
+    blocks = F.regexp_extract_all(h, F.lit(r"""(?is)(<div\b[^>]*class=["'][^"']*\bmodality\b.*?</div>)"""), F.lit(1))
+    spans = lambda b: F.regexp_extract_all(b, F.lit(r"""(?is)(<span\b[^>]*data-gender=["'][^"']+["'][^>]*>.*?</span>)"""), F.lit(1))
+    total = lambda x: F.struct(F.regexp_extract(x, r"""data-gender=["']([^"']+)["']""", 1).alias("gender"), first_integer(F.regexp_replace(x, "<[^>]+>", " ")).alias("total"))
+    modalities = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, r"""data-name=["']([^"']+)["']""", 1).alias("name"), F.transform(spans(b), total).alias("totals")))
+    heads = F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<th\b[^>]*>(.*?)</th>"), F.lit(1)), lambda x: clean(F.regexp_replace(x, "<[^>]+>", " ")))
+    day = month_name_date(_inner(h, "span", """class=["']day"""), _inner(h, "span", """class=["']month"""), _inner(h, "span", """class=["']year"""))
+    return df.select(
+        *carried, _inner(h, "h1").alias("name"), day.alias("day"), F.nullif(F.regexp_extract(place, r"^(.*?)\s*[-/]\s*[A-Z]{2}$", 1), F.lit("")).alias("city"), F.nullif(F.regexp_extract(place, r"([A-Z]{2})$", 1), F.lit("")).alias("state"),
+        _finishers(html_text(h)).alias("finishers"), modalities.alias("modalities"), F.nullif(F.regexp_extract(h, r"""(?i)<table\b[^>]*data-url=["']([^"']+)["']""", 1), F.lit("")).alias("endpoint"), heads.alias("headers"),
+    )
+
+
+def calendar_pages(df: DataFrame, key: str, html: str, url: str, site: str, path: str, link_pattern: str, words: str) -> DataFrame:
+    """One row for each page of a calendar: url, events (how many), next_urls (other pages of it that it links to) and error.
+
+    path: a pattern of the lower-cased paths that belong to the calendar. A page that asks
+    for proof of a person is blocked; one without events ends the calendar only if it
+    names itself as its own address and its text has one of the words.
+    """
+    def own(u: Column) -> Column:
+        below = F.lower(part(u, "PATH"))
+        return F.when(is_plain(u) & (host(u) == site) & below.rlike(path), F.concat(F.lit(f"https://www.{site}"), below))
+
+    links = df.select(key, F.col(url).alias("__base"), F.explode(hrefs(html)).alias("__href"))
+    here = own(F.col("__base"))
+    onward = links.select(key, own(absolute("__href", "__base")).alias("to"), here.alias("here")).filter("to is not null and to != here")
+    onward = onward.groupBy(key).agg(F.array_sort(F.collect_set("to")).alias("next_urls"))
+    events = calendar_rows(df, key, html, link_pattern).groupBy(key).agg(F.count(F.lit(1)).alias("events"))
+    both = df.join(events, key, "left").join(onward, key, "left")
+    named = own(F.regexp_extract(html, r"""(?i)<link[^>]+rel=["']canonical["'][^>]+href=["']([^"']+)["']""", 1)) == own(F.col(url))
+    shown = F.coalesce(named, F.lit(False)) & normalize_key(html_text(html)).rlike(words)
+    n = F.coalesce("events", F.lit(0))
+    error = F.when(own(F.col(url)).isNull(), "catalog_page_url_invalid").when(is_challenge(html), "source_access_blocked").when((n == 0) & ~shown, "catalog_end_unconfirmed")
+    return both.select(key, own(F.col(url)).alias("url"), n.alias("events"), F.coalesce("next_urls", F.array().cast("array<string>")).alias("next_urls"), error.alias("error"))
 
 
 def result_rows(df: DataFrame, key: str, html: str, headers: list[str], known: dict[str, str]) -> DataFrame:
