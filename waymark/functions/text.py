@@ -159,6 +159,11 @@ def formula_guard(x: Text) -> Column:
     return F.when(F.ltrim(c).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
+def guarded_text(value: str) -> str:
+    """formula_guard for a Python text."""
+    return "'" + value if value.lstrip(" ")[:1] in tuple("=+-@") else value
+
+
 def unique(x: Text) -> Column:
     return F.array_distinct(_c(x))
 

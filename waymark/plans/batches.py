@@ -1 +1,206 @@
-"""."""
+"""Runs, jobs and checkpoints over the tables as records, and the same rows by SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import sql
+from ..operators import batches as B
+from ..operators import extract as E
+from ..operators import relational as R
+from ..operators import resolve as M
+from . import query, table
+
+
+@query("""SELECT c_custkey FROM (SELECT c_custkey, c_name FROM customer WHERE c_nationkey % 4 < 3 AND (c_nationkey % 3 = 0 OR c_nationkey % 3 = 1) ORDER BY c_name LIMIT 40 OFFSET 10)""")
+def b1_import_slice(spark, d):
+    """B1: what a run takes on of what was found."""
+    n = F.col("c_nationkey")
+    found = table(spark, d, "customer").select("c_custkey", "c_name", F.when(n % 4 == 3, "PT").when(n % 4 == 2, F.lit(None)).otherwise("BR").alias("country"), F.when(n % 3 == 0, "SC").when(n % 3 == 2, "SP").alias("state"))
+    return B.import_slice(found, [F.asc("c_name")], 10, 40, states=["SC"]).select("c_custkey")
+
+
+@query("""SELECT o_custkey, count(*) AS discovered, count(*) FILTER (taken) AS processed, count(*) FILTER (taken AND r = 0) AS published, count(*) FILTER (taken AND r = 1) AS unchanged, count(*) FILTER (taken AND r = 2) AS manual_review, count(*) FILTER (taken AND r = 3) AS failed,
+CASE WHEN count(*) FILTER (taken) < count(*) THEN 'time_limit_reached' WHEN count(*) FILTER (taken AND r = 3) > 0 THEN 'partial_success' ELSE 'success' END AS status, 5 + count(*) FILTER (taken) AS next_offset FROM (SELECT o_custkey, o_orderkey % 4 AS r, o_orderpriority <> '5-LOW' AS taken FROM orders) GROUP BY 1""")
+def b2_run_summary(spark, d):
+    """How runs ended, by what became of their records."""
+    k = F.col("o_orderkey") % 4
+    result = F.element_at(F.array(*[F.lit(x) for x in ("published", "unchanged", "manual_review", "failed")]), (k + 1).cast("int"))
+    return B.run_summary(table(spark, d, "orders").select("o_custkey", F.lit(5).alias("offset"), (F.col("o_orderpriority") != "5-LOW").alias("taken"), result.alias("result")), "o_custkey")
+
+
+@query("""SELECT o_orderkey, c.cached, c.cached IS NULL AS needs_model FROM orders LEFT JOIN (SELECT user_id % 100 AS u, event_type AS e, max_by(event_id::VARCHAR, (ts, event_id::VARCHAR)) AS cached FROM events WHERE value > 40 AND event_id % 5 > 0 GROUP BY 1, 2) c ON o_custkey % 100 = c.u AND c.e = CASE WHEN o_orderstatus = 'F' THEN 'click' ELSE 'view' END""")
+def b3_model_cache(spark, d):
+    """What a model was asked before, by key; only the rest needs it."""
+    e = table(spark, d, "events").select((F.col("user_id") % 100).alias("u"), F.col("event_type").alias("e"), F.col("event_id").cast("string").alias("answer"), "ts", F.when(F.col("value") > 40, "success").otherwise("failed").alias("status"), (F.col("event_id") % 5 == 0).alias("dry_run"))
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("u"), F.when(F.col("o_orderstatus") == "F", "click").otherwise("view").alias("e"))
+    return B.with_cache(rows, e, ["u", "e"], "answer", "ts").select("o_orderkey", "cached", "needs_model")
+
+
+def _sometimes(text: str, attempt: int) -> str:
+    """A model that has no answer for one text of four, and only at the second time for another."""
+    n = int(text)
+    if n % 4 == 0:
+        raise TimeoutError(text)
+    return '{"n": %d}' % n if n % 4 != 1 or attempt > 1 else "one moment"
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN '{"n": ' || o_orderkey || '}' END AS answer, CASE WHEN o_orderkey % 4 < 2 THEN 2 ELSE 1 END AS attempts, CASE WHEN o_orderkey % 4 = 0 THEN 'TimeoutError' END AS error FROM orders""")
+def b4_isolated_failures(spark, d):
+    """A batch in which some rows fail and the others go on, with a second try."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("text"))
+    return E.model_extraction(rows, "text", "o_orderkey", _sometimes)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'published' ELSE 'pending_review' END AS publication FROM customer""")
+def b5_curated(spark, d):
+    """A source's records curated without a model: extracted (E16), made canonical (R7), judged."""
+    k = F.col("c_custkey")
+    record = F.to_json(F.struct(F.col("c_name").alias("title"), F.when(k % 2 == 0, "16/08/2026").alias("date"), F.when(k % 3 == 0, "Garuva, SC, Brasil").alias("address"), F.lit("https://x.example.com/1").alias("uri")))
+    rows = table(spark, d, "customer").select("c_custkey", record.alias("record"), F.lit("Corrida de rua, 10 km.").alias("body"))
+    e = E.source_extraction(rows, "record", "body", ["c_custkey"])
+    flat = e.select("c_custkey", *[F.col(f"{c}.value").alias(c) for c in E.FIELD_SURE], F.lit(None).cast("string").alias("claimed_date"), F.lit("none").alias("country_status"), "modality", F.lit("unknown").alias("claimed_modality"), F.lit("https://x.example.com/").alias("url"), F.array().cast("array<string>").alias("warnings"), F.array("name.confidence", "confidence").alias("confidences"))
+    c = M.canonical(flat, ["c_custkey"]).withColumn("official_url", F.lit(None).cast("string")).withColumn("has_reference", F.lit(True))
+    return M.judged(c).select("c_custkey", "publication")
+
+
+@query("""SELECT DISTINCT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey OR (o_orderkey % 1000) = c_custkey WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING' AND c_nationkey % 2 = 0""")
+def b6_up_to_date(spark, d):
+    """Rows whose record was curated by this version already, found by any of its keys."""
+    done = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.lit("2026-01-01")).alias("curated_at"), F.when(F.col("c_nationkey") % 2 == 0, "7").otherwise("6").alias("curation_version"), F.when(F.col("c_mktsegment") != "BUILDING", "done").alias("curation_status"))
+    return B.up_to_date(table(spark, d, "orders"), done, [F.col("o_custkey"), F.col("o_orderkey") % 1000], [F.col("c_custkey"), F.col("c_custkey")], "o_orderkey", "c_custkey", "7")
+
+
+@query("""WITH p AS (SELECT l_orderkey // 100 AS page, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey, l_linenumber, l_partkey) AS position, 'u' || l_partkey AS url, CASE WHEN l_quantity > 10 THEN strftime(l_shipdate, '%Y-%m-%d') END AS day, l_returnflag || l_linestatus AS name FROM lineitem),
+l AS (SELECT url, max_by({'d': day, 'n': name}, (page, position)) AS e FROM p WHERE day IS NULL OR (day >= '1994-01-01' AND day <= '1997-12-31') GROUP BY 1)
+SELECT url, e.d AS day, e.n AS name, e.d IS NULL AS undated, lower(e.n) AS sort_name FROM l""")
+def b7_discovered(spark, d):
+    """The events of a catalogue's pages: the last listing of each address in a range of days, which is no sign of an end."""
+    w = R.W.partitionBy(F.expr("l_orderkey div 100")).orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    p = table(spark, d, "lineitem").select(F.expr("l_orderkey div 100").alias("page"), F.row_number().over(w).alias("position"), F.concat(F.lit("u"), F.col("l_partkey").cast("string")).alias("url"), F.when(F.col("l_quantity") > 10, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"), F.concat("l_returnflag", "l_linestatus").alias("name"))
+    return B.discovered(p, "url", "day", "name", "1994-01-01", "1997-12-31")
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'x' || s_suppkey WHEN 1 THEN s_suppkey::VARCHAR ELSE '7' END AS external_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'fetched' END AS name, CASE WHEN s_suppkey % 5 > 0 THEN 'Garuva' END AS city, (s_suppkey % 2 = 1 OR s_suppkey % 5 > 0) AS enriched FROM supplier""")
+def b8_enriched(spark, d):
+    """Records with fetched metadata in their gaps, and ids out of their addresses."""
+    k = F.col("s_suppkey")
+    url = F.when(k % 3 == 1, F.concat(F.lit("https://x.example.com/e/"), k.cast("string"), F.lit("/"))).otherwise("https://x.example.com/e?id=7")
+    records = table(spark, d, "supplier").select("s_suppkey", url.alias("url"), F.when(k % 3 == 0, F.concat(F.lit("x"), k.cast("string"))).alias("external_id"), F.when(k % 2 == 0, F.col("s_name")).otherwise("").alias("name"), F.lit(None).cast("string").alias("city"))
+    fetched = records.select("s_suppkey", F.lit("fetched").alias("name"), F.when(k % 5 > 0, "Garuva").otherwise("").alias("city"))
+    return B.enriched(records, fetched, "s_suppkey", ["name", "city"]).drop("url")
+
+
+@query("""WITH p AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderpriority AS digest, 10 AS n, CASE WHEN o_orderstatus = 'P' THEN 'network' END AS error FROM orders),
+m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, digest ORDER BY page) > 1 AS again, max(page) OVER (PARTITION BY o_custkey) AS last FROM p), b AS (SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN again THEN 'pagination_cycle' END AS bad FROM m),
+f AS (SELECT o_custkey, min(page) FILTER (bad IS NOT NULL) AS first_bad, min_by(bad, page) FILTER (bad IS NOT NULL) AS why, max(page) AS last FROM b GROUP BY 1)
+SELECT o_custkey, coalesce(first_bad - 1, last) AS pages, CAST(10 * coalesce(first_bad - 1, last) AS BIGINT) AS rows, CASE WHEN why IS NOT NULL THEN CASE WHEN first_bad > 1 THEN 'partial' ELSE 'failed' END WHEN o_custkey % 2 = 0 THEN 'partial' ELSE 'completed' END AS status, coalesce(why, CASE WHEN o_custkey % 2 = 0 THEN 'end_not_reached' END) AS reason FROM f""")
+def b9_scraped(spark, d):
+    """Groups of result pages up to a cycle or an error; a failed group leaves the others alone."""
+    n = F.row_number().over(R.W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pages = table(spark, d, "orders").select("o_custkey", n.alias("page"), F.col("o_orderpriority").alias("digest"), F.lit(10).alias("rows"), (F.col("o_custkey") % 2 == 0).alias("more"), F.when(F.col("o_orderstatus") == "P", "network").alias("error"))
+    return B.scraped(pages, "o_custkey", "page", "digest")
+
+
+@query("""SELECT facet, value, n, filtered FROM (SELECT 'returnflag' AS facet, l_returnflag AS value FROM lineitem WHERE l_quantity > 30 UNION SELECT 'linestatus', l_linestatus FROM lineitem WHERE l_quantity > 30), (SELECT count(*) AS n, count(*) FILTER (l_quantity > 30) AS filtered FROM lineitem)""")
+def b11_result_query(spark, d):
+    """Facets of filtered results, with how many there are in all and after the filter."""
+    items = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"), "l_quantity")
+    rows = R.facets(items.filter("l_quantity > 30"), ["returnflag", "linestatus"])
+    totals = items.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") > 30).alias("filtered"))
+    return rows.withColumn("__one", F.lit(1)).join(totals.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')""")
+def b14_resumable(spark, d):
+    """What a resumed job takes up again."""
+    state = F.when(F.col("o_orderpriority") == "1-URGENT", "completed").when(F.col("o_orderpriority") == "2-HIGH", "skipped").when(F.col("o_orderpriority") == "5-LOW", F.lit(None)).otherwise("failed")
+    return B.resumable(table(spark, d, "orders").withColumn("state", state), "state").select("o_orderkey")
+
+
+@query("""SELECT id FROM (SELECT o_orderkey AS id, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O') q LEFT JOIN (SELECT o_custkey, count(*) AS running FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) r USING (o_custkey) WHERE n <= 3 - coalesce(running, 0)""")
+def b16_startable(spark, d):
+    """Queued jobs that may start beside those that run."""
+    status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "O", "queued").otherwise("completed")
+    return B.startable(table(spark, d, "orders").withColumn("status", status), "o_custkey", "o_orderdate", "o_orderkey", 3).select(F.col("o_orderkey").alias("id"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 'unknown_mode' WHEN event_id % 7 = 0 THEN 'dates_reversed' WHEN event_id % 5 = 1 AND event_id % 2 = 0 THEN 'nothing_selected' WHEN event_id % 5 = 2 AND event_id % 3 > 0 THEN 'exactly_one_url' WHEN event_id % 5 IN (0, 3) AND event_id % 3 = 0 THEN 'all_takes_no_selection'
+WHEN event_id % 5 IN (0, 3) AND event_id % 2 = 1 THEN 'all_needs_confirmation' END AS error FROM events""")
+def b17_scopes(spark, d):
+    """What is wrong with a run's scope."""
+    k = F.col("event_id")
+    mode = F.element_at(F.array(*[F.lit(m) for m in ("all", "selected", "single", "all", "some")]), (k % 5 + 1).cast("int"))
+    rows = table(spark, d, "events").select(
+        "event_id", mode.alias("mode"), F.lit("2026-02-01").alias("date_from"), F.when(k % 7 == 0, "2026-01-01").alias("date_to"), F.when((k % 5 == 1) & (k % 2 == 1), F.array(F.lit(" "), F.lit("9"))).alias("event_ids"),
+        F.when((k % 5).isin(0, 2, 3) & (k % 3 == 0), F.array(F.lit("https://x.example.com/"))).alias("event_urls"), F.lit("").alias("url"), (k % 2 == 0).alias("confirm_all"),
+    )
+    return rows.select("event_id", B.scope_error().alias("error"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'result_groups_invalid' WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'result_checkpoint_incompatible' WHEN c_custkey % 2 = 0 AND c_custkey % 5 = 0 THEN 'result_checkpoint_in_use' WHEN c_custkey % 2 = 0 AND c_custkey % 7 = 0 THEN 'result_checkpoint_expired' WHEN c_custkey % 2 = 0 AND c_custkey % 13 = 0 THEN 'result_checkpoint_unavailable' WHEN c_custkey % 2 = 0 THEN 'restored' ELSE 'started' END AS outcome FROM customer""")
+def b18_checkpoint_start(spark, d):
+    """What a checkpoint that is there, or isn't, means for a task that begins."""
+    k = F.col("c_custkey")
+    base = [F.lit("r1").alias("record")]
+    wanted = table(spark, d, "customer").select("c_custkey", *base, F.lit("https://x.example.com/e").alias("source_url"), F.lit("{}").alias("manifest"), F.when(k % 11 == 0, F.array(F.lit("5K|F"), F.lit("5K|F"))).otherwise(F.array(F.lit("5K|F"), F.lit("5K|M"))).alias("groups"), F.lit("t1").alias("task"))
+    stored = table(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", *base, F.lit("https://x.example.com/e/").alias("source_url"), F.when(k % 3 == 0, "1").otherwise("2").alias("parser"), F.sha2(F.lit("{}"), 256).alias("manifest_hash"), F.when(k % 5 == 0, "t0").otherwise("t1").alias("active_task"), F.when(k % 7 == 0, "2025-01-01").otherwise("2027-01-01").cast("date").alias("expires"), F.when(k % 13 == 0, "published").otherwise("ready").alias("status"))
+    return B.checkpoint_start(wanted, stored, "c_custkey", F.lit("2026-01-01").cast("date"), "2")
+
+
+@query("""WITH r AS (SELECT s_suppkey AS ref, s_suppkey % 20 AS record, CASE WHEN s_suppkey % 3 = 0 THEN 'a' ELSE 'b' END AS source FROM supplier), t AS (SELECT o_orderkey AS task, CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS source, o_custkey % 60 AS k1, o_orderkey % 400 AS k2 FROM orders WHERE o_orderstatus <> 'P'),
+h AS (SELECT DISTINCT t.source, record FROM t JOIN r ON k1 = ref OR k2 = ref), n AS (SELECT record, count(DISTINCT source) > 1 AS several FROM r GROUP BY 1)
+SELECT source, count(*) FILTER (record % 3 = 0) AS published, count(*) FILTER (several) AS associated, count(*) FILTER (record % 3 = 1) AS pending_review FROM h JOIN n USING (record) GROUP BY 1""")
+def b20_touched_counts(spark, d):
+    """What became of the records that a source's tasks touch by any key."""
+    s = F.col("s_suppkey")
+    refs = table(spark, d, "supplier").select(s.alias("ref"), (s % 20).alias("record"), F.when(s % 3 == 0, "a").otherwise("b").alias("source"))
+    tasks = table(spark, d, "orders").filter("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("task"), F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("source"), "o_custkey")
+    records = spark.range(20).select(F.col("id").alias("record"), F.when(F.col("id") % 3 == 0, "published").when(F.col("id") % 3 == 1, "pending_review").otherwise("hidden").alias("publication"), F.lit("BR").alias("country"))
+    return B.touched_counts(tasks, refs, records, "source", [F.col("o_custkey") % 60, F.col("task") % 400], [F.col("ref"), F.col("ref")], "task", "ref", "record")
+
+
+@query("""SELECT event_id FROM events WHERE event_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM events n WHERE n.event_id % 6 = 0 AND n.event_id // 6 = events.event_id)""")
+def b26_failed_leaves(spark, d):
+    """Failed tasks that nothing has followed, as new tasks with keys of their own."""
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    tasks = e.select(k.alias("id"), F.when(k % 4 == 0, "failed").otherwise("completed").alias("status"), F.when(k % 6 == 0, F.expr("event_id div 6")).alias("retry_of"), F.col("event_type").alias("kind"), F.col("props").alias("payload"))
+    wishes = e.select(k.alias("id"), F.lit("k1").alias("key"))
+    return B.retries(tasks, wishes.union(wishes), "admin").select(F.col("retry_of").alias("event_id"))
+
+
+@query("""SELECT event_id AS retry_of, sha256('["retry","admin","' || event_id || '","k' || event_id % 3 || '"]') AS scoped_key FROM events WHERE event_id % 2 = 0""")
+def b33_scoped_keys(spark, d):
+    """One key for one wish of one person about one task."""
+    k = F.col("event_id")
+    tasks = table(spark, d, "events").select(k.alias("id"), F.when(k % 2 == 0, "cancelled").otherwise("queued").alias("status"), F.lit(None).cast("long").alias("retry_of"), F.lit("x").alias("kind"), F.lit("{}").alias("payload"))
+    return B.retries(tasks, tasks.select("id", F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("key")), "admin").select("retry_of", "scoped_key")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'draft' ELSE 'published' END AS before, CASE WHEN c_custkey % 3 = 0 THEN 'hidden' WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'draft' ELSE 'published' END ELSE 'published' END AS publication, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 5 = 0 THEN 'requires_country' END AS refused,
+(c_custkey % 3 = 0 OR (c_custkey % 5 > 0 AND c_custkey % 2 = 0)) AS changed FROM customer""")
+def b32_publication_changes(spark, d):
+    """Wishes to change what is public, held against the rules; changes go to the log (K7)."""
+    k = F.col("c_custkey")
+    records = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit("2026-08-16").alias("date"), F.lit("Garuva").alias("city"), F.lit("SC").alias("state"), F.when(k % 5 == 0, "PT").otherwise("BR").alias("country"), F.lit("road").alias("modality"), F.lit(True).alias("has_reference"), F.when(k % 2 == 0, "draft").otherwise("published").alias("publication"))
+    wishes = table(spark, d, "customer").select("c_custkey", F.when(k % 3 == 0, "hidden").otherwise("published").alias("wanted"))
+    return B.publication_changes(records, wishes, "c_custkey", M.publication_error(("SC",)))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unsafe_url' WHEN p_partkey % 7 = 0 THEN 'too_many_redirects' WHEN p_partkey % 11 = 0 THEN 'body_too_large' END AS error FROM part""")
+def s23_fetches(spark, d):
+    """Recorded fetches by the rules for addresses, redirects and length."""
+    k = F.col("p_partkey")
+    one = F.lit("https://x.example.com/")
+    hops = F.when(k % 5 == 0, F.array(one, F.lit("http://169.254.169.254/"))).when(k % 7 == 0, F.array_repeat(one, 5)).otherwise(F.array(one, one))
+    return table(spark, d, "part").select("p_partkey", B.fetch_error(hops, F.when(k % 11 == 0, (10 << 20) + 1).otherwise(5)).alias("error"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1996-01-02 00:00:00' - INTERVAL 15 MINUTE THEN 0 WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 3 = 1 THEN 2 ELSE 1 END AS priority, CASE WHEN o_orderkey % 2 = 0 THEN 'c' ELSE o_orderkey::VARCHAR END AS id FROM orders""")
+def u4_sql_functions(spark, d):
+    """U4: the functions that programs share, in SQL."""
+    sql.register(spark)
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("export", "catalog", "results")]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), F.col("o_orderdate").cast("timestamp").alias("created"), F.when(F.col("o_orderkey") % 2 == 0, "c").alias("canonical"))
+    return rows.select("o_orderkey", F.expr("task_queue_priority(kind, created, timestamp'1996-01-02 00:00:00')").alias("priority"), F.expr("resolve_id(cast(o_orderkey as string), canonical)").alias("id"))

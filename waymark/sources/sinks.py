@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import formula_guard
+from ..operators.relational import accumulated_parts, content_hash, with_children
+from .workbooks import PART_BYTES, PART_ROWS, TOTAL_BYTES, packed
 
 
 def upserted(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,6 +37,20 @@ def inserted(target: DataFrame, incoming: DataFrame, keys: list[str], order: lis
     return first.join(target.select(*keys), keys, "left_anti")
 
 
+def updated_record(current: DataFrame, incoming: DataFrame, key: str, fields: list[str], is_primary: str, protected: str) -> DataFrame:
+    """current with incoming values: of a primary source in place of what stands there, of any other only in gaps; never empty ones, never in protected fields."""
+    new = incoming.select(key, F.col(is_primary).alias("__primary"), F.col(protected).alias("__held"), *[F.col(f).alias(f"__{f}") for f in fields])
+    rows = current.join(new, key, "left")
+    kinds = dict(current.dtypes)
+
+    def value(f: str) -> Column:
+        old, got = (F.nullif(F.col(c).cast("string"), F.lit("")).cast(kinds[f]) for c in (f, f"__{f}"))
+        held = F.coalesce(F.array_contains("__held", f), F.lit(False))
+        return F.when(held, F.col(f)).when(F.coalesce(F.col("__primary"), F.lit(False)), F.coalesce(got, F.col(f))).otherwise(F.coalesce(old, got))
+
+    return rows.select(*[value(c).alias(c) if c in fields else F.col(c) for c in current.columns])
+
+
 def replaced_children(target: DataFrame, incoming: DataFrame, parent: str, parents: DataFrame | None = None) -> DataFrame:
     """All children of the parents that come in are replaced; parents: those that come in, even with none."""
     whose = (parents if parents is not None else incoming).select(parent).distinct()
@@ -70,6 +86,78 @@ def export_parts(df: DataFrame, path: str, order: list[str], rows: int = 25_000,
     (out.option("header", True).csv if kind == "csv" else out.json if kind == "json" else out.parquet)(path)
 
 
+def text_bytes(columns: list[str]) -> Column:
+    """Bytes of a row's values as text."""
+    out = F.lit(0)
+    for c in columns:
+        out = out + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    return out.cast("long")
+
+
+def selection_parts(df: DataFrame, group: str, order: list[str], columns: list[str], rows: int = PART_ROWS, part_bytes: int = PART_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+    """df with part: parts of each group by rows and bytes of text. A larger row, or a larger whole, is refused before anything is sorted."""
+    sized = df.withColumn("__bytes", text_bytes(columns))
+    most, whole = sized.agg(F.coalesce(F.max("__bytes"), F.lit(0)), F.coalesce(F.sum("__bytes"), F.lit(0))).first()
+    if most > part_bytes or whole > total_bytes:
+        raise ValueError("export_too_large_refine_selection")
+    return accumulated_parts(sized, group, order, "__bytes", rows, part_bytes).drop("__bytes")
+
+
+def union_parts(frames: list[DataFrame], core: list[str], internal: tuple[str, ...] = ()) -> DataFrame:
+    """All frames as one, with the core columns first and then every other that any of them has, in order of name; internal ones are left out."""
+    extra = sorted({c for df in frames for c in df.columns} - set(core) - set(internal))
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    for c in core:
+        out = out if c in out.columns else out.withColumn(c, F.lit(None).cast("string"))
+    return out.select(*core, *extra)
+
+
+def export_workbooks(files: DataFrame, path: str, name: str, total_bytes: int = TOTAL_BYTES) -> str:
+    """Writes the workbooks (part, rows, content) as one file, or a zip of several, through the file system of the path; beyond the bound it is refused."""
+    size = files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    if size > total_bytes:
+        raise ValueError("export_too_large_refine_selection")
+    first = files.columns[0]
+    rows = files.orderBy(first).collect()  # bounded above
+    one = len(rows) == 1
+    data = bytes(rows[0]["content"]) if one else packed({f"{name}-{r[first]}.xlsx": bytes(r["content"]) for r in rows})
+    target = f"{path.rstrip('/')}/{name}.{'xlsx' if one else 'zip'}"
+    context = files.sparkSession.sparkContext
+    to = context._jvm.org.apache.hadoop.fs.Path(target)
+    out = to.getFileSystem(context._jsc.hadoopConfiguration()).create(to, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return target
+
+
+def replaced_set(target: DataFrame, incoming: DataFrame, set_key: str, record: list[str], content: list[str]) -> DataFrame:
+    """target with the sets that come in replaced whole; rows get a deterministic id, and all of a set its content hash, whatever their order."""
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content])
+    own = with_row_ids(incoming, [set_key, *record])
+    own = own.join(content_hash(own, [set_key], text), set_key)
+    return target.join(incoming.select(set_key).distinct(), set_key, "left_anti").unionByName(own, allowMissingColumns=True)
+
+
+def audit_rows(df: DataFrame, actor: Column, action: Column, at: Column, subject: str, details: list[str]) -> DataFrame:
+    """Rows for an append-only log: who did what to which record, when, and the details as JSON. Equal events have equal ids."""
+    rows = df.select(actor.alias("actor"), action.alias("action"), at.alias("at"), F.col(subject).cast("string").alias("subject"), F.to_json(F.struct(*details)).alias("details"))
+    return with_row_ids(rows, ["actor", "action", "at", "subject", "details"], "audit_id")
+
+
+def nested_json(df: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, list[str]]], order: list[Column], most: int = 1000) -> DataFrame:
+    """key and json of the first `most` records: all columns, and each named list of children (rows, their foreign key, fields) inside."""
+    first = df.orderBy(*order).limit(most)
+    out = first
+    for name, (rows, foreign, fields) in children.items():
+        own = rows.join(first.select(F.col(key).alias(foreign)), foreign, "left_semi")
+        out = with_children(out, own, key, foreign, name, fields)
+    return out.select(key, F.to_json(F.struct(*out.columns)).alias("json"))
+
+
 def expired_rows(df: DataFrame, at: str, now: Column, live: DataFrame | None = None, key: str | None = None, most: int | None = None) -> DataFrame:
     """Rows past their expiry that no live lease holds; the oldest ones if only some are to go at once."""
     out = df.filter(F.col(at) < now)
