@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark import plans
+from waymark.operators import batches as B
 from waymark.operators import extract as E
 from waymark.operators import relational as R
 from waymark.operators import resolve as M
 from waymark.operators import stateful as Q
-from waymark.sources import datasource, readers, sinks
+from waymark.sources import datasource, readers, sinks, workbooks
 
 FOLDER = "/root/testdata/sf0.001"
 plans.load()
@@ -31,37 +32,103 @@ def test_page_is_bounded(spark):
         R.refused_beyond(df, 499)
 
 
-def test_byte_parts_as_a_loop(spark):
-    got = plans.QUERIES["w5_byte_parts"](spark, FOLDER).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r["l_orderkey"], []).append(r)
-    for rows in by.values():
-        parts = {}
-        for r in rows:
-            parts.setdefault(r["part"], []).append(r["size"])
-        assert sorted(parts) == list(range(1, len(parts) + 1))
-        assert all(len(p) <= 3 and (sum(p) <= 100 or len(p) == 1) for p in parts.values())
-        for k in range(1, len(parts)):
-            assert len(parts[k]) == 3 or sum(parts[k]) + parts[k + 1][0] > 100
-
-
-def test_sliding_window_as_a_loop(spark):
-    events = plans.table(spark, FOLDER, "events").select("user_id", "event_id", "ts").collect()
-    want, held = {}, {}
-    for r in sorted(events, key=lambda r: (r["user_id"], r["ts"], r["event_id"])):
-        own = held[r["user_id"]] = [t for t in held.get(r["user_id"], []) if (r["ts"] - t).total_seconds() < 7200]
-        want[r["event_id"]] = len(own) < 2
-        if len(own) < 2:
-            own.append(r["ts"])
-    got = {r["event_id"]: r["allowed"] for r in plans.QUERIES["q7_sliding_window"](spark, FOLDER).collect()}
-    assert got == want
+def test_parts_are_refused_beyond_their_bounds(spark):
+    df = spark.createDataFrame([(1, i, "x" * 40) for i in range(10)], "g long, k long, t string")
+    got = [r["part"] for r in sinks.selection_parts(df, "g", ["k"], ["t"], 4, 100).orderBy("k").collect()]
+    assert got == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    for bounds in ((4, 39, 10_000), (4, 100, 399)):
+        with pytest.raises(ValueError, match="export_too_large"):
+            sinks.selection_parts(df, "g", ["k"], ["t"], *bounds)
+
+
+def test_long_lists_are_read_whole(spark):
+    lot = "struct<name:string,value:double,current:boolean>"
+    many = [("n", float(i), False) for i in range(105)]
+    df = spark.createDataFrame([(1, many[:2], many[2:])], f"k long, a array<{lot}>, b array<{lot}>")
+    got = R.merged_lots(df, "k", ["a", "b"], ["name", "value"]).collect()
+    assert len(got) == 105 and [r["value"] for r in got if r["current"]] == [0.0]
+    html = "".join(f'<div class="card"><h3>Run {i}</h3></div>' for i in range(300))
+    assert readers.cards(spark.createDataFrame([(1, html)], "k long, html string"), "k", "html", "card").count() == 300
+    with pytest.raises(Exception, match="more than 5 values"):
+        R.counts_map(spark.range(6), "id", 5).collect()
+
+
+def test_gate_as_in_use(spark):
+    at = lambda s: datetime(2026, 1, 1, 10, 0, s)
+    rows = [("a", 1, at(0), False), ("a", 2, at(0), False), ("b", 3, at(0), True), ("b", 4, at(9), False), ("c", 5, at(0), False), ("c", 6, at(0), False), ("c", 7, at(2), False), ("d", 8, datetime(2026, 1, 1, 10, 59), False), ("d", 9, datetime(2026, 1, 1, 11, 0), False)]
+    df = spark.createDataFrame(rows, "k string, id long, ts timestamp, shut boolean")
+    got = {r["id"]: (r["decision"], r["retry_at"]) for r in Q.request_gate(df.filter("k != 'c'"), "k", "ts", "id", 1, 0, F.col("shut")).collect()}
+    assert got == {1: ("allowed", None), 2: ("budget", datetime(2026, 1, 1, 11)), 3: ("allowed", None), 4: ("blocked", None), 8: ("allowed", None), 9: ("allowed", None)}
+    # a request that comes too soon uses up neither the budget nor the spacing
+    got = {r["id"]: r["decision"] for r in Q.request_gate(df.filter("k = 'c'"), "k", "ts", "id", 2, 1000).collect()}
+    assert got == {5: "allowed", 6: "spacing", 7: "allowed"}
+
+
+def test_limiter_tells_whole_seconds(spark):
+    at = lambda ms: datetime(2026, 1, 1, 0, 0, 0, 0).replace(second=ms // 1000, microsecond=ms % 1000 * 1000)
+    df = spark.createDataFrame([("a", i, at(ms)) for i, ms in enumerate((0, 500, 10_000, 10_001))], "k string, id long, ts timestamp")
+    got = [(r["allowed"], r["retry_after"]) for r in Q.sliding_limit(df, "k", "ts", "id", 1, 10).orderBy("id").collect()]
+    assert got == [(True, 0), (False, 10), (True, 0), (False, 10)]
+
+
+def test_rules_refuse_a_write(spark):
+    df = spark.range(3)
+    assert Q.guarded(df, {"none": df.filter("id > 5")}).count() == 3
+    with pytest.raises(ValueError, match="refused by big"):
+        Q.guarded(df, {"none": df.filter("id > 5"), "big": df.filter("id > 1")})
+
+
+def test_workbooks(spark, tmp_path):
+    import zipfile
+    from datetime import date
+
+    columns = {"event_id": "ID", "day": "Data", "at": "Hora", "name": "Nome", "n": "N", "none": "Nada"}
+    rows = [(1, 7, date(2026, 8, 16), datetime(2026, 8, 16, 12), "=a & <b>", 2.5, None), (2, 8, None, None, "c", 1.0, None)]
+    df = spark.createDataFrame(rows, "part int, event_id long, day date, at timestamp, name string, n double, none string")
+    files = workbooks.workbooks(df, "part", ["event_id"], columns)
+    one = {r["part"]: bytes(r["content"]) for r in files.collect()}
+    assert workbooks.sheet_rows(one[1]) == [list(columns.values()), ["7", "46250", "46250.5", "'=a & <b>", "2.5"]]
+    assert one[1] == workbooks.workbook([r[1:] for r in rows[:1]], columns)
+    assert workbooks.sheet_rows(workbooks.workbook([], columns)) == [list(columns.values()), []]
+    path = sinks.export_workbooks(files, str(tmp_path), "out")
+    with zipfile.ZipFile(path) as archive:
+        assert archive.namelist() == ["out-1.xlsx", "out-2.xlsx"] and archive.read("out-2.xlsx") == one[2]
+    assert sinks.export_workbooks(files.filter("part = 1"), str(tmp_path), "one").endswith("one.xlsx")
+    with pytest.raises(ValueError, match="export_too_large"):
+        sinks.export_workbooks(files, str(tmp_path), "out", 100)
+    assert [workbooks.column_name(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+
+
+def test_scopes(spark):
+    from datetime import date
+
+    assert B.normalized_scope({}, date(2020, 1, 1))["date_from"] == date(2020, 1, 1)
+    assert B.normalized_scope({"mode": "single", "url": "https://x.example.com/"}, date(2020, 1, 1))["event_urls"] == ["https://x.example.com/"]
+    for bad in ({"mode": "selected", "event_ids": [" "]}, {"mode": "single"}):
+        with pytest.raises(ValueError):
+            B.normalized_scope(bad, date(2020, 1, 1))
+
+
+def test_adapter_hooks(spark, tmp_path):
+    import sys
+
+    (tmp_path / "own_adapter.py").write_text("SCHEMA = 'name string, n int'\ndef fetch(part):\n    yield from [(part, 1), (part, 2)]\ndef refuse(part):\n    assert part != 'bad', 'refused'\ndef only_two(part, row):\n    return row if row[1] == 2 else None\n")
+    sys.path.insert(0, str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "own_adapter.py"))
+    datasource.register(spark)
+    read = lambda parts: spark.read.format("waymark_adapter").option("module", "own_adapter").option("partitions", parts).option("before", "own_adapter:refuse").option("after", "own_adapter:only_two").load()
+    assert sorted(r["name"] for r in read("a,b").collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="refused"):
+        read("a,bad").collect()
 
 
 def test_frontier_depths(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 10)], "node long, to long")
     got = {r["node"]: r["depth"] for r in Q.frontier(spark.createDataFrame([(1,)], "node long"), edges).collect()}
     assert got == {1: 0, 2: 1, 3: 2, 4: 3}
+    chain = spark.range(25).select(F.col("id").alias("node"), (F.col("id") + 1).alias("to"))
+    start = spark.createDataFrame([(0,)], "node long")
+    assert Q.frontier(start, chain).count() == 26 and Q.frontier(start, chain, 2).count() == 3
 
 
 def test_links_as_urllib(spark):
@@ -77,7 +144,7 @@ def test_cross_source_reason(spark):
     base = ("a", "1", "published", "2026-01-01", "Garuva", "SC", "BR")
     rows = [(0, base, ("a", "2", *base[2:])), (1, base, ("b", "1", "hidden", *base[3:])), (2, base, ("b", "1", "x", "2026-01-02", *base[4:])), (3, base, ("b", "1", "x", "2026-01-01", "GARÚVA", "sc", "br"))]
     df = spark.createDataFrame(rows, f"k int, l {side}, r {side}")
-    got = [r["w"] for r in df.orderBy("k").select(M.cross_source_reason("l", "r", F.lit(True), F.col("k") == 3).alias("w")).collect()]
+    got = [r["w"] for r in df.orderBy("k").select(M.cross_source_reason("l", "r", F.lit(True), F.array("r")).alias("w")).collect()]
     assert got == ["source_identity_conflict", "restricted", "date_mismatch", None]
 
 

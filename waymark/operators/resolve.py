@@ -59,10 +59,10 @@ def location_evidence(left: Column | str, right: Column | str) -> Column:
 def observation_reason(record: Column | str, observed: Column) -> Column:
     """Why validated observations (an array of such structs) don't bear out a record; null if one does and none speaks against it."""
     own = _side(record)
-    seen = F.coalesce(observed, F.array().cast("array<struct<date:string,city:string,state:string,country:string>>"))
-    other_day = F.exists(seen, lambda o: F.coalesce(F.substring(F.nullif(o["date"], F.lit("")), 1, 10) != F.substring(own["date"].cast("string"), 1, 10), F.lit(False)))
-    other_place = F.exists(seen, lambda o: F.coalesce(folded(o["city"]) != folded(own["city"]), F.lit(False)) | F.coalesce(folded(o["state"]) != folded(own["state"]), F.lit(False)) | F.coalesce(folded(o["country"]) != folded(own["country"]), F.lit(False)))
-    none = ~F.exists(seen, lambda o: location_evidence(own, o).isNull())
+    some = lambda f: F.coalesce(F.exists(observed, f), F.lit(False))
+    other_day = some(lambda o: F.substring(F.nullif(o["date"], F.lit("")), 1, 10) != F.substring(own["date"].cast("string"), 1, 10))
+    other_place = some(lambda o: F.coalesce(folded(o["city"]) != folded(own["city"]), F.lit(False)) | F.coalesce(folded(o["state"]) != folded(own["state"]), F.lit(False)) | F.coalesce(folded(o["country"]) != folded(own["country"]), F.lit(False)))
+    none = ~some(lambda o: location_evidence(own, o).isNull())
     return F.when(none, "observation_unconfirmed").when(other_day, "date_mismatch").when(other_place, "location_conflict")
 
 

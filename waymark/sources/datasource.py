@@ -53,11 +53,25 @@ class SqliteSource(DataSource):
         return SqliteReader(self.options)
 
 
+def _hook(name: str | None):
+    """A function named module:function; nothing for none."""
+    import importlib
+
+    module, _, function = (name or "").partition(":")
+    return getattr(importlib.import_module(module), function) if module else None
+
+
 class AdapterReader(DataSourceReader):
-    """Calls `fetch(partition name)` of a module for each of its partitions; rows are tuples."""
+    """Calls `fetch(partition name)` of a module for each of its partitions; rows are tuples.
+
+    Options `before` and `after` name hooks (module:function): the first is called with a
+    partition's name before it is fetched, and may refuse it by raising; the second with
+    the name and each row, and returns the row to keep, or none.
+    """
 
     def __init__(self, options: dict):
         self.module, self.names = options["module"], options.get("partitions", "").split(",")
+        self.before, self.after = options.get("before"), options.get("after")
 
     def partitions(self):
         return [Range(i, i + 1) for i in range(len(self.names))]
@@ -65,7 +79,13 @@ class AdapterReader(DataSourceReader):
     def read(self, partition):
         import importlib
 
-        yield from importlib.import_module(self.module).fetch(self.names[partition.low])
+        before, after, name = _hook(self.before), _hook(self.after), self.names[partition.low]
+        if before:
+            before(name)
+        for row in importlib.import_module(self.module).fetch(name):
+            kept = after(name, row) if after else row
+            if kept is not None:
+                yield kept
 
 
 class AdapterSource(DataSource):

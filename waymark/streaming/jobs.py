@@ -52,19 +52,49 @@ def sliding_limiter(stream: DataFrame, key: str, at: str, order: str, limit: int
     return rows.groupBy(key).applyInPandasWithState(run, schema, "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def page_ledger(stream: DataFrame, group: str, url: str) -> DataFrame:
-    """Running raw, distinct and duplicate rows of each group: the state is the set of urls seen."""
+def page_ledger(stream: DataFrame, group: str, url: str, buckets: int = 64) -> DataFrame:
+    """raw, distinct and duplicate rows of each group and bucket of its urls, as they stand: a group's are the sums over its buckets.
+
+    The state of a bucket is the hashes of the urls seen in it, so that a group with very
+    many urls is spread over states that are small to rewrite, and over tasks.
+    """
     kind = dict(stream.dtypes)[group]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         raw, seen = (state.get[0], set(state.get[1])) if state.exists else (0, set())
         for rows in batches:
             raw += len(rows)
-            seen.update(rows[url].dropna())
+            seen.update(rows["__hash"].dropna().astype("int64").tolist())
         state.update((raw, sorted(seen)))
-        yield pd.DataFrame({group: [k[0]], "raw": [raw], "distinct_rows": [len(seen)], "duplicates": [raw - len(seen)]})
+        yield pd.DataFrame({group: [k[0]], "bucket": [k[1]], "raw": [raw], "distinct_rows": [len(seen)], "duplicates": [raw - len(seen)]})
+
+    rows = stream.select(group, F.when(F.col(url).isNotNull(), F.xxhash64(url)).alias("__hash"))
+    rows = rows.withColumn("bucket", F.pmod(F.coalesce("__hash", F.lit(0)), F.lit(buckets)).cast("int"))
+    schema = f"{group} {kind}, bucket int, raw long, distinct_rows long, duplicates long"
+    return rows.groupBy(group, "bucket").applyInPandasWithState(run, schema, "raw long, seen array<long>", "update", GroupStateTimeout.NoTimeout)
+
 
-    return stream.select(group, url).groupBy(group).applyInPandasWithState(run, f"{group} {kind}, raw long, distinct_rows long, duplicates long", "raw long, seen array<string>", "update", GroupStateTimeout.NoTimeout)
+def exactly_once(path: str, keys: list[str], buckets: int = 16):
+    """A foreachBatch writer that skips pages whose keys are stored, so a replayed batch adds nothing.
+
+    A batch goes to a folder of its own, which a replay overwrites, so a batch that failed
+    half way leaves nothing behind. Rows lie by a hash of their keys, and a batch reads only
+    the keys of the buckets that it touches.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = batch.dropDuplicates(keys).withColumn("__bucket", bucket)
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
+            touched = [r[0] for r in new.select("__bucket").distinct().collect()]  # `buckets` at most
+            stored = spark.read.schema(f"{', '.join(f'`{k}` {dict(batch.dtypes)[k]}' for k in keys)}, __batch long, __bucket int").parquet(path)
+            own = stored.filter(F.col("__bucket").isin(touched) & (F.col("__batch") != batch_id)).select(*keys)
+            new = new.join(own, keys, "left_anti")
+        new.withColumn("__batch", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch", "__bucket").parquet(path)
+
+    return write
 
 
 def exactly_once(path: str, keys: list[str]):
