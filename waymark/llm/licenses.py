@@ -1,11 +1,13 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance by directory.
 
-A file's header candidates are its lines that hold a cue word, joined where they
-follow each other, and cut into sentences too; and for each template, be it a notice, a
+Texts and templates are sparse TF-IDF vectors over words and word pairs; weights come
+from the families of templates, so that versions of one licence don't make its words
+common. What of a vector no template has only adds to its length, so a candidate's
+cosine is at most the length of its known part over that of the whole. A file's
+header candidates are those of its sentences for which that bound reaches LIKE, their
+lines, joined where they follow each other, and for each template, be it a notice, a
 standard header or a whole licence, the lines with the run of words that most of all
-are that template's word pairs. Each is compared with every template by the cosine of
-sparse TF-IDF vectors over words and word pairs; weights come from the families of
-templates, so that versions of one licence don't make its words common. Of the
+are that template's word pairs. Each is compared with every template. Of the
 candidates at LIKE or more, the one with most words, counted by the cube of their
 similarity, gives the file's licence. A file that is named like a licence file, or of
 whose words that block makes FILE_SHARE or more, is a licence file and holds for its
@@ -13,10 +15,14 @@ directory. A file without a licence of its own takes
 that of the nearest directory above it that has one, found by joining the
 directories with their ancestors.
 
-Null texts and texts without cues have no licence of their own; a null path lies in
-no directory and inherits nothing. Among several licence files of a directory one
-named so counts first, then the most similar one, then the first by licence and path. Repeated rows get equal
-results.
+Null texts and texts without a candidate have no licence of their own; a null path lies
+in no directory and inherits nothing. Among several licence files of a directory one
+named so counts first, then the most similar one, then the first by licence and path;
+of equally similar templates the first by name. Repeated rows get equal results, and an
+empty table gives none. The bound is taken in arrays over SLAB bytes of texts at a time,
+or over one very long text, in memory of some fifteen times its size. Extra columns pass
+through unless they have the name of a result column, license_source and license_dir
+among them.
 """
 
 from __future__ import annotations
@@ -25,21 +31,29 @@ import re
 from collections import Counter
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._license_texts import templates as known_licenses
-from ._store import extended, text_of, written
+from ._sample import Lookup
+from ._store import carried, dropped, extended, quoted, text_of, unused, written
+from ._tokens import byte_table, slabs, tokenize, window_hashes
+from ._workers import batchwise
 
-LIKE, FILE_SHARE = 0.6, 0.3
-CUE = r"(?i)licen[cs]|copyright|spdx|permission is hereby|redistribution and use|public domain"
+LIKE, FILE_SHARE, SLAB = 0.6, 0.3, 1 << 20
 NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
-_WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_WORD, _SENTENCE = re.compile(r"[A-Za-z0-9]+"), re.compile(r"(?<=[.;])[ \t\r]+")
+ASCII = byte_table(np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123)]))
+
+
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 def terms(text: str) -> Counter:
-    words = _WORD.findall(text.lower())
+    words = words_of(text)
     return Counter(words) + Counter(zip(words, words[1:], strict=False))
 
 
@@ -57,7 +71,50 @@ class Templates:
         for k, (_, t) in enumerate(own):
             for w, x in self.vector(t).items():
                 self.terms.setdefault(w, []).append((k, x))
-        self.cue = re.compile(CUE)
+        #: The greatest weight of each term in any template: what it can add to a cosine at most.
+        self.most = {w: max(y for _, y in found) for w, found in self.terms.items()}
+        self.words, self.pairs = (self._hashed([w for w in self.idf if isinstance(w, kind)]) for kind in (str, tuple))
+
+    def _hashed(self, known: list) -> tuple[Lookup, np.ndarray, np.ndarray]:
+        """The hashes of words or pairs, and in their order what one adds to a vector's square, and to a cosine at most."""
+        if not known:
+            return Lookup(np.zeros(0, np.uint64)), np.zeros(0), np.zeros(0)
+        t = tokenize(pa.array([w if isinstance(w, str) else " ".join(w) for w in known], pa.string()), ASCII)
+        h = t.hash if isinstance(known[0], str) else window_hashes(t.hash, (0, 1))[t.first[:-1]]
+        order = np.argsort(h)
+        idf = np.array([self.idf[w] for w in known])
+        return Lookup(h), (idf * idf)[order], (idf * np.array([self.most[w] for w in known]))[order]
+
+    def promising(self, column: pa.Array) -> np.ndarray:
+        """The texts that have a sentence whose cosine to some template could reach LIKE.
+
+        A term counts as often as it occurs, so the bound holds where none occurs more
+        than twelve times in one sentence.
+        """
+        t = tokenize(column, ASCII)
+        if len(t.data) < 2 or not len(t.hash):
+            return np.zeros(len(column), bool)
+        ends = np.flatnonzero((t.data == 10) | np.append(np.isin(t.data[:-1], (46, 59)) & np.isin(t.data[1:], (32, 9, 13)), False))
+        cuts = np.union1d(ends, t.offsets)
+        unit = np.searchsorted(cuts, t.start, "right")
+        size, gain = np.zeros(len(cuts) + 1), np.zeros(len(cuts) + 1)
+        inside = unit[1:] == unit[:-1]
+        for (lookup, square, most), h, of in ((self.words, t.hash, unit), (self.pairs, window_hashes(t.hash, (0, 1))[inside], unit[1:][inside])):
+            at, place = lookup.find(h)
+            whole = np.full(len(h), self.other**2)
+            whole[at] = square[place]
+            size += np.bincount(of, whole, minlength=len(size))
+            gain += np.bincount(of[at], most[place], minlength=len(size))
+        good = np.flatnonzero(gain >= (LIKE - 1e-9) * np.sqrt(np.maximum(size, 1e-9)))
+        out = np.zeros(len(column), bool)
+        out[np.searchsorted(t.offsets, cuts[np.minimum(good, len(cuts)) - 1], "right") - 1] = len(good) > 0
+        return out
+
+    def possible(self, text: str) -> bool:
+        """Whether a sentence's cosine to some template can reach LIKE."""
+        raw = {w: 1 + log(n) for w, n in terms(text).items()}
+        size = sum((x * self.idf.get(w, self.other)) ** 2 for w, x in raw.items())
+        return bool(raw) and sum(x * self.idf.get(w, 0.0) * self.most.get(w, 0.0) for w, x in raw.items()) >= LIKE * sqrt(size)
 
     def vector(self, t: Counter) -> dict:
         raw = {w: (1 + log(n)) * self.idf.get(w, self.other) for w, n in t.items()}
@@ -73,29 +130,26 @@ class Templates:
         return best, self.names[k] if k is not None else None
 
     def spans(self, text: str) -> list[str]:
-        """Runs of lines with a cue, and their sentences with one."""
+        """Runs of lines that have a possible sentence, these lines and sentences, and blocks()."""
         runs, last = [], -2
         for k, line in enumerate(text.split("\n")):
-            if self.cue.search(line):
+            sentences = [x for x in _SENTENCE.split(line) if self.possible(x)]
+            if sentences:
                 if k == last + 1:
-                    runs[-1].append(line)
+                    runs[-1][0].append(line)
                 else:
-                    runs.append([line])
+                    runs.append(([line], []))
+                runs[-1][1].extend([line, *sentences])
                 last = k
-        out = []
-        for run in runs:
-            out.append(" ".join(run))
-            for line in run:
-                out.append(line)
-                out += [s for s in re.split(r"(?<=[.;])\s+(?=[A-Z])", line) if s != line and self.cue.search(s)]
+        out = [x for lines, parts in runs for x in (" ".join(lines), *parts)]
         return list(dict.fromkeys(out + self.blocks(text)))
 
     def blocks(self, text: str) -> list[str]:
-        """For each template, the lines of the run in which word pairs of it most outnumber others; those with a cue."""
+        """For each template, the lines of the run in which word pairs of it most outnumber others."""
         lines = text.split("\n")
         words, line = [], []
         for k, x in enumerate(lines):
-            own = _WORD.findall(x.lower())
+            own = words_of(x)
             words += own
             line += [k] * len(own)
         runs: dict[int, tuple] = {}
@@ -108,7 +162,7 @@ class Templates:
                 score += 1
                 runs[k] = (score, begin, i, max(best, (score, -begin, i)))
         found = dict.fromkeys((line[-begin], line[last + 1]) for *_, (_, begin, last) in runs.values())
-        return [block for a, b in found if self.cue.search(block := "\n".join(lines[a : b + 1]))]
+        return ["\n".join(lines[a : b + 1]) for a, b in found]
 
     def scan(self, text: str) -> tuple[float, str | None, str | None, float]:
         """Similarity, licence, the span it was found in, and that span's share of the words."""
@@ -123,22 +177,24 @@ class Templates:
 def headers(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """files without the text, with license, similarity, header and is_license_file, from each file's own text."""
     own = ["license", "similarity", "header", "is_license_file"]
-    carried = [c for c in files.columns if c != text and c not in own]
-    # only texts with a cue go to Python in full
-    cue = F.when(text_of(text).rlike(CUE), text_of(text))
-    source = files.select(*[F.col(f"`{c}`") for c in carried], cue.alias("__text"))
-    schema = extended(source.drop("__text").schema, "license string, similarity double, header string, is_license_file boolean")
-    given, named, at = templates or known_licenses(), re.compile(NAMES), carried.index(path)
+    kept = carried(files, own, text)
+    source = files.select(*quoted(kept), text_of(text).alias(unused("text", kept)))
+    schema = extended(files.select(*quoted(kept)).schema, "license string, similarity double, header string, is_license_file boolean")
+    given, named, at = templates or known_licenses(), re.compile(NAMES), kept.index(path)
+    none = (0.0, None, None, 0.0)
 
     def run(batches):
         known = Templates(given)
         for batch in batches:
-            found = [known.scan(t) if t else (0.0, None, None, 0.0) for t in batch.column(len(carried)).to_pylist()]
+            column, found = batch.column(len(kept)), []
+            for low, high in slabs(column, SLAB):
+                part = column.slice(low, high - low)
+                found += [known.scan(part[k].as_py()) if good else none for k, good in enumerate(known.promising(part).tolist())]
             names = [bool(p and named.search(p)) for p in batch.column(at).to_pylist()]
-            new = [pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.string()), pa.array([f[1] is not None and (n or f[3] >= FILE_SHARE) for f, n in zip(found, names, strict=True)])]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(carried))] + new, names=[*carried, *own])
+            new = [pa.array([f[1] for f in found], pa.string()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.string()), pa.array([f[1] is not None and (n or f[3] >= FILE_SHARE) for f, n in zip(found, names, strict=True)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(kept))] + new, names=[*kept, *own])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(batchwise(run), schema)
 
 
 def directory(path):
@@ -147,21 +203,31 @@ def directory(path):
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """headers() with license_source (header, inherited or null) and license_dir, the licence taken over where a file has none."""
-    own = headers(files, path, text, templates).withColumn("__dir", directory(F.col(path)))
-    own = written(own, "licenses")
-    held = own.filter("is_license_file and __dir is not null").groupBy("__dir").agg(F.min(F.struct((~F.col(path).rlike(NAMES)).alias("other"), (-F.col("similarity")).alias("order"), F.col("license").alias("license"), F.col(path).alias("path"))).alias("best"))
-    held = held.select(F.col("__dir").alias("above"), F.col("best.license").alias("held"))
-    dirs = own.filter("license is null and __dir is not null").select("__dir").distinct()
-    parts = F.split("__dir", "/")
-    up = dirs.select("__dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))).alias("a")).select("__dir", "a.depth", "a.above")
-    near = up.join(held, "above").groupBy("__dir").agg(F.max(F.struct("depth", "above", "held")).alias("near"))
-    out = own.join(near, "__dir", "left")
-    none = F.col("license").isNull()
-    return out.select(
-        *[F.col(f"`{c}`") for c in own.columns if c not in ("__dir", "license", "is_license_file")],
-        F.coalesce("license", "near.held").alias("license"),
-        "is_license_file",
-        F.when(~none, "header").when(F.col("near").isNotNull(), "inherited").alias("license_source"),
-        F.when(none, F.col("near.above")).alias("license_dir"),
+    """headers() with license_source (header, inherited or null) and license_dir, the licence taken over where a file has none.
+
+    Every directory of a file without a licence is joined with its ancestors; what is
+    shuffled are names of directories. The result lies in the shared folder.
+    """
+    kept = carried(files, ["license", "similarity", "header", "is_license_file", "license_source", "license_dir"], text)
+    own = headers(files.select(*quoted(kept), text_of(text).alias(unused("text", kept))), path, unused("text", kept), templates)
+    here = unused("dir", own.columns)
+    own = written(own.withColumn(here, directory(F.col(f"`{path}`"))), "licenses")
+    order = F.struct((~F.col(f"`{path}`").rlike(NAMES)).alias("other"), (-F.col("similarity")).alias("order"), F.col("license").alias("license"), F.col(f"`{path}`").alias("path"))
+    held = own.filter(F.col("is_license_file") & F.col(here).isNotNull()).groupBy(F.col(here).alias("above")).agg(F.min(order).alias("best")).select("above", F.col("best.license").alias("held"))
+    held = written(held, "license-files")  # so that a directory with very many below it can be split
+    dirs = own.filter(F.col("license").isNull() & F.col(here).isNotNull()).select(F.col(here).alias("dir")).distinct()
+    parts = F.split("dir", "/")
+    up = dirs.select("dir", F.inline(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("above")))))
+    near = written(up.join(held, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "held")).alias("near")), "license-dirs")
+    both = own.alias("o").join(near.alias("n"), F.col(f"o.{here}") == F.col("n.dir"), "left")
+    none = F.col("o.license").isNull()
+    out = both.select(
+        *[F.col(f"o.`{c}`") for c in own.columns if c not in (here, "license", "is_license_file")],
+        F.coalesce("o.license", "n.near.held").alias("license"),
+        F.col("o.is_license_file"),
+        F.when(~none, "header").when(F.col("n.near").isNotNull(), "inherited").alias("license_source"),
+        F.when(none, F.col("n.near.above")).alias("license_dir"),
     )
+    out = written(out, "licensed")
+    dropped(own, held, near)
+    return out
