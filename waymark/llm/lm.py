@@ -21,6 +21,7 @@ occur and get equal scores. Without training texts every token has the even shar
 from __future__ import annotations
 
 import gc
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import fold_of, text_of, written
+from ._store import dropped, fold_of, text_of, written
 from ._tokens import BY_SPACE, mixed, tokenize
+from ._workers import pairwise, tablewise
 
-BLOCK, BUCKET, LEVELS, GRAIN, ROUNDS, PRIOR = 12_000_000, 8_000_000, 40, 4, 60, 20.0
+#: Bytes of a block, and the fewest that a block is made for; bytes of text for a bucket of n-grams; blocks whose requests meet at once.
+BLOCK, LEAST, BUCKET, FAN = 12_000_000, 1_000_000, 8_000_000, 4096
+LEVELS, GRAIN, ROUNDS, PRIOR = 40, 4, 60, 20.0
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 PAIR = np.uint64(0xD1342543DE82EF95)
 #: Fixed values of the base score: added count.
@@ -105,50 +109,119 @@ def unpack_counts(raw: bytes) -> np.ndarray:
     return out
 
 
-REQUEST = "bucket int, block int, keys binary, counts binary"
-REPLY = "bucket int, block int, train binary, held binary, n_train long, n_held long, v_train long, v_rest long"
+REQUEST = "unit int, bucket int, keys binary, counts binary, held binary"
+REPLY = "unit int, bucket int, train binary, held binary, n_train long, n_held long, v_train long, v_rest long"
+DOWN = "unit int, bucket int, train binary, held binary"
 
 
-def _ask(buckets: int):
+def _split(unit: int, buckets: int, kinds) -> pa.Table:
+    """A request for each bucket of each kind of n-gram (keys, counts, counts of the held fold or None) that has any."""
+    rows = {k: [] for k in ("bucket", "keys", "counts", "held")}
+    for kind, (keys, counts, held) in enumerate(kinds):
+        _, cut = pieces(keys, buckets)
+        for b in np.flatnonzero(np.diff(cut)):
+            own = slice(cut[b], cut[b + 1])
+            rows["bucket"].append(kind * buckets + int(b))
+            rows["keys"].append(pack_keys(keys[own]))
+            rows["counts"].append(pack_counts(counts[own]))
+            rows["held"].append(None if held is None else pack_counts(held[own]))
+    n = len(rows["bucket"])
+    return pa.table({"unit": pa.array([unit] * n, pa.int32()), "bucket": pa.array(rows["bucket"], pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("keys", "counts", "held")}})
+
+
+def _ask(buckets: int, first_held: int):
+    """Blocks from first_held on hold the fold that is left out of the counts the weights are learned on."""
+
     def run(table: pa.Table) -> pa.Table:
-        block, rows = Block(table["text"]), {k: [] for k in ("bucket", "keys", "counts")}
-        counts = block.counts(table["fold"].to_numpy() != 0)
-        for kind, keys in enumerate((block.words, block.pairs)):
-            _, cut = pieces(keys, buckets)
-            for b in np.flatnonzero(np.diff(cut)):
-                own = slice(cut[b], cut[b + 1])
-                rows["bucket"].append(kind * buckets + int(b))
-                rows["keys"].append(pack_keys(keys[own]))
-                rows["counts"].append(pack_counts(counts[kind][own]))
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array([table["block"][0].as_py()] * len(rows["bucket"]), pa.int32()), **{k: pa.array(rows[k], pa.binary()) for k in ("keys", "counts")}})
+        block, unit = Block(table["text"]), table["block"][0].as_py()
+        words, pairs = block.counts(table["fold"].to_numpy() != 0)
+        held = unit >= first_held
+        return _split(unit, buckets, [(block.words, words, words if held else None), (block.pairs, pairs, pairs if held else None)])
 
     return run
 
 
-def _answer(buckets: int, first_held: int):
-    """Blocks from first_held on hold the fold that is left out of the counts the weights are learned on; only they are told its totals."""
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of all requests, their counts, those of the held fold, and where each request's keys stand among them."""
+    keys = [unpack_keys(memoryview(x.as_buffer())) for x in table["keys"]]
+    sizes = np.array([len(k) for k in keys])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
+    back = np.split(place, np.cumsum(sizes)[:-1])
+    train, held = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    for at, counts, own in zip(back, table["counts"], table["held"], strict=True):
+        train[at] += unpack_counts(counts.as_py())
+        if own.is_valid:
+            held[at] += unpack_counts(own.as_py())
+    return distinct, train, held, back
+
+
+def _answers(units, back, train: np.ndarray, held: np.ndarray, told: int) -> dict[str, pa.Array]:
+    """The totals of each request's keys, in its order; the held fold's only to units from `told` on."""
+    return {"train": pa.array([pack_counts(train[p]) for p in back], pa.binary()), "held": pa.array([pack_counts(held[p]) if u >= told else None for p, u in zip(back, units, strict=True)], pa.binary())}
+
 
+def _answer(buckets: int, told: int):
     def run(table: pa.Table) -> pa.Table:
-        bucket, asked = table["bucket"][0].as_py(), table["block"].to_numpy()
-        keys = [unpack_keys(memoryview(x.as_buffer())) for x in table["keys"]]
-        counts = [unpack_counts(x.as_py()) for x in table["counts"]]
-        sizes = np.array([len(k) for k in keys])
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        train = np.bincount(place, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
-        back = np.split(place, np.cumsum(sizes)[:-1])
-        held = np.zeros(len(distinct), np.int64)
-        for k in np.flatnonzero(asked >= first_held):
-            held[back[k]] += counts[k]
+        bucket = table["bucket"][0].as_py()
+        distinct, train, held, back = _merged(table)
         word = (distinct != START) & (bucket < buckets)
         sums = [int(train[word].sum()), int(held[word].sum()), int((train[word] > 0).sum()), int((train[word] > held[word]).sum())]
         fixed = dict(zip(("n_train", "n_held", "v_train", "v_rest"), sums, strict=True))
-        answers = {"train": pa.array([pack_counts(train[p]) for p in back], pa.binary()), "held": pa.array([pack_counts(held[p]) if b >= first_held else None for p, b in zip(back, asked, strict=True)], pa.binary())}
-        return pa.table({"bucket": table["bucket"].combine_chunks(), "block": table["block"].combine_chunks(), **answers, **{k: pa.array([v] + [0] * (len(back) - 1), pa.int64()) for k, v in fixed.items()}})
+        answers = _answers(table["unit"].to_numpy(), back, train, held, told)
+        return pa.table({"unit": table["unit"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), **answers, **{k: pa.array([v] + [0] * (len(back) - 1), pa.int64()) for k, v in fixed.items()}})
 
     return run
 
 
+def _pass_up(buckets: int, finer: int, fan: int):
+    """The requests of a group of blocks for one bucket as the group's own requests, for buckets that are `finer` times as fine."""
+
+    def run(table: pa.Table) -> pa.Table:
+        distinct, train, held, _ = _merged(table)
+        kind = table["bucket"][0].as_py() // buckets
+        none = (np.zeros(0, np.uint64),) * 2 + (None,)
+        return _split(table["unit"][0].as_py() // fan, buckets * finer, [(distinct, train, held) if k == kind else none for k in (0, 1)])
+
+    return run
+
+
+def _pass_down(buckets: int, told: int):
+    """What a group of blocks is told, to each block in the order of its keys."""
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        distinct, _, _, back = _merged(table)
+        order = np.argsort(replies["bucket"].to_numpy())
+        train, held = (np.concatenate([unpack_counts(replies[c][k].as_py()) for k in order.tolist()]) for c in ("train", "held"))
+        answers = _answers(table["unit"].to_numpy(), back, train, held, told)
+        return pa.table({"unit": table["unit"].combine_chunks(), "bucket": table["bucket"].combine_chunks(), **answers})
+
+    return run
+
+
+def replies_to(requests: DataFrame, blocks: int, buckets: int, told: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """The totals for each request (DOWN), and a table whose columns n_train, n_held, v_train and v_rest add up to those of all n-grams.
+
+    Up to `fan` blocks, every bucket answers every block itself. With more, groups of
+    blocks first add up their own requests, and only the groups' sums meet; so the
+    number of requests grows with the input and not with its square.
+    """
+    if blocks <= fan:
+        whole = written(requests.groupBy("bucket").applyInArrow(tablewise(_answer(buckets, told)), REPLY), "replies")
+        return whole, whole
+    fan = max(fan, math.isqrt(blocks))
+    finer = -(-blocks // fan)
+    asked = written(requests, "requests")
+    group = F.floor(F.col("unit") / fan).cast("int")
+    up = asked.groupBy(group, "bucket").applyInArrow(tablewise(_pass_up(buckets, finer, fan)), REQUEST)
+    whole = written(up.groupBy("bucket").applyInArrow(tablewise(_answer(buckets * finer, 0)), REPLY), "group-replies")
+    to_group = whole.select("unit", "bucket", "train", "held").groupBy(F.col("unit"), F.floor(F.col("bucket") / finer).cast("int"))
+    down = asked.groupBy(group, "bucket").cogroup(to_group).applyInArrow(pairwise(_pass_down(buckets, told)), DOWN)
+    down = written(down, "replies")
+    dropped(asked)
+    return down, whole
+
+
 def _received(block: Block, replies: pa.Table, buckets: int, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The totals of the block's words and bigrams."""
     out = (np.zeros(len(block.words), np.int64), np.zeros(len(block.pairs), np.int64))
@@ -230,33 +303,40 @@ def _scorer(buckets: int, mix: np.ndarray, total: int, distinct: int, key: str):
     return run
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, block_bytes: int = BLOCK, fan: int = FAN) -> DataFrame:
     """One row per text: key, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Texts whose key's crc32 is 0 modulo folds are held out of all counts; those with 1
-    are left out of the counts on which the weights are learned.
+    are left out of the counts on which the weights are learned. The result lies in the
+    shared folder; all that was written on the way is deleted.
     """
     spark = docs.sparkSession
     total_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text))), F.lit(0))).first()[0]
-    n = max(1, -(-int(total_bytes) // BLOCK))
+    # small tables go to as many blocks and buckets as there are cores, large ones to some of equal size
+    few_bytes = min(spark.sparkContext.defaultParallelism, -(-int(total_bytes) // LEAST))
+    n = max(1, few_bytes, -(-int(total_bytes) // block_bytes))
     few = max(1, -(-n // folds))
-    buckets = max(4, -(-int(total_bytes) // BUCKET))
+    met = min(int(total_bytes), max(fan, math.isqrt(n)) * block_bytes)
+    buckets = max(4, few_bytes, -(-met // BUCKET))
     fold = fold_of(key, folds)
-    mixed_key = F.xxhash64(F.col(key), F.xxhash64(text_of(text)))
+    mixed_key = F.xxhash64(F.col(f"`{key}`"), F.xxhash64(text_of(text)))
     block = F.when(fold == 1, n + F.pmod(mixed_key, F.lit(few))).otherwise(F.pmod(mixed_key, F.lit(n))).cast("int")
-    rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"), fold.cast("int").alias("fold"), block.alias("block"))
-    requests = rows.groupBy("block").applyInArrow(_ask(buckets), REQUEST)
-    replies = written(requests.groupBy("bucket").applyInArrow(_answer(buckets, n), REPLY), "replies")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), text_of(text).alias("text"), fold.cast("int").alias("fold"), block.alias("block"))
+    requests = rows.groupBy("block").applyInArrow(tablewise(_ask(buckets, n)), REQUEST)
+    replies, sums = replies_to(requests, n + few, buckets, n, fan)
     for _ in range(2):  # lets Spark delete the shuffle files of the counts
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    n_train, n_held, v_train, v_rest = (int(x or 0) for x in replies.agg(*[F.sum(c) for c in ("n_train", "n_held", "v_train", "v_rest")]).first())
-    given = replies.select("block", "bucket", "train", "held")
+    n_train, n_held, v_train, v_rest = (int(x or 0) for x in sums.agg(*[F.sum(c) for c in ("n_train", "n_held", "v_train", "v_rest")]).first())
+    if sums is not replies:
+        dropped(sums)
+    given = replies.select(F.col("unit").alias("block"), "bucket", "train", "held")
     held = rows.filter(fold == 1).groupBy("block").cogroup(given.filter(F.col("block") >= n).groupBy("block"))
-    cells = held.applyInArrow(_cells(buckets, n_train - n_held, v_rest), "level int, r2 int, r1 int, n long")
+    cells = held.applyInArrow(pairwise(_cells(buckets, n_train - n_held, v_rest)), "level int, r2 int, r1 int, n long")
     found = cells.groupBy("level", "r2", "r1").agg(F.sum("n").alias("n")).toArrow()
     mix = weights(*[found[c].to_numpy().astype(np.int64) for c in ("level", "r2", "r1", "n")])
-    kind = dict(docs.dtypes)[key]
-    schema = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     both = rows.groupBy("block").cogroup(given.drop("held").groupBy("block"))
-    return both.applyInArrow(_scorer(buckets, mix, n_train, v_train, key), schema)
+    scores = written(both.applyInArrow(pairwise(_scorer(buckets, mix, n_train, v_train, key)), schema), "lm-scores")
+    dropped(replies)
+    return scores
