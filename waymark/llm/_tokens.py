@@ -108,7 +108,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slabs(column: pa.Array, most: int = 1 << 22):
+def slabs(column: pa.Array, most: int = 1 << 20):
     """Ranges of texts of about `most` bytes together, one text at least, so that what is made of them stays small."""
     size = np.cumsum(pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     cuts = np.flatnonzero(np.diff(size, prepend=-1))

@@ -10,23 +10,30 @@ passage with words substituted is found, even where no long run is unchanged.
 The benchmark goes to the executors in blocks of at most BLOCK tokens, one pass over
 the texts for each, so what is broadcast doesn't grow with it. Each length of item has
 masks of which one hits wherever the overlap counts (SHORT, MASKS); tests enumerate
-this. Items of fewer than PARTLY tokens are matched whole; those of fewer than LEAST
-tokens aren't looked for, since common phrases are as long. Null and empty texts
-overlap with nothing; repeated rows give equal results.
+this. Items of fewer than PARTLY tokens are matched whole, down to a single token; a
+caller for whom such items are common phrases sets `least`. Items without tokens, null
+and empty texts overlap with nothing; repeated rows give equal results. Of several
+line-ups of a text with an item the one with most equal tokens is told, the first in
+the text of equal ones. A very long text is taken apart on its own, in memory of some
+fifteen times its size; its hits are lined up PAIRS tokens at a time. Extra columns
+don't matter to overlaps() and stay as they are in clean(). Empty tables give none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._sample import Lookup
-from ._store import extended, text_of
+from ._store import extended, text_of, unused
 from ._tokens import WORDS, inside_text, slabs, tokenize, window_hashes
+from ._workers import batchwise, rows_kept
 
-SPAN, AGREE, LEAST, PARTLY, BLOCK = 13, 0.75, 5, 7, 500_000
+SPAN, AGREE, LEAST, PARTLY, BLOCK = 13, 0.75, 1, 7, 500_000
 #: Position masks for items of SPAN tokens or more: with any three substitutions in SPAN tokens one of them still hits.
 MASKS = ("1101111", "1110001011", "10111011", "110010000111", "11110011")
 #: Those for shorter items, by the least number of tokens: one substitution in 7, two in 8 to 11, three in 12.
@@ -36,31 +43,35 @@ SHORT = {
     9: ("111011", "11111", "110000111", "1101011"),
     12: ("110111", "110001011", "11101001", "110100011"),
 }
-#: Pairs lined up at a time, in tokens compared.
-PAIRS = 1 << 20
+#: Tokens compared at a time, and hits lined up at a time.
+PAIRS, HITS = 1 << 20, 1 << 18
 
 
 def places(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
+def lowered(texts: list[str] | pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+
+
 def lengths() -> list[tuple[int, float, tuple[str, ...]]]:
     """Least number of tokens, the number that is too many, and masks, for each kind of item."""
-    masks = {n: ("1" * n,) for n in range(LEAST, PARTLY)} | SHORT | {SPAN: MASKS}
+    masks = {n: ("1" * n,) for n in range(1, PARTLY)} | SHORT | {SPAN: MASKS}
     return [(low, high, masks[low]) for low, high in zip(masks, [*list(masks)[1:], np.inf], strict=True)]
 
 
 class Seeds:
     """The seeds of a block of benchmark items."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        t = tokenize(pa.array(texts, pa.string()), WORDS)
+    def __init__(self, ids: list, texts: list[str], least: int = LEAST):
+        t = tokenize(lowered(texts), WORDS)
         self.ids, self.hash, self.first, self.count = ids, t.hash, t.first, t.counts()
         keys, at = [], []
         #: The masks that some item needs, each with a number that tells its hashes from others'.
         self.masks = []
         for low, high, masks in lengths():
-            held = np.repeat((self.count >= low) & (self.count < high), self.count)
+            held = np.repeat((self.count >= max(low, least)) & (self.count < high), self.count)
             if not held.any():
                 continue
             for mask in masks:
@@ -77,108 +88,106 @@ class Seeds:
         self.begin = np.searchsorted(keys, self.lookup.keys)
         self.n = np.diff(np.append(self.begin, len(keys)))
 
-    def hits(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """text, item, and where the item's first token lies among the text's: distinct, for each hit of any seed."""
-        found = []
+    def hits(self, h: np.ndarray, first: np.ndarray):
+        """text, item, and where the item's first token lies among the text's, for the hits of each seed; some HITS of them at a time, distinct."""
         for span, at, salt in self.masks:
             p = inside_text(first, span)
             if not len(p):
                 continue
             hit, place = self.lookup.find(window_hashes(h, at)[p] + np.uint64(salt))
-            n = self.n[place]
-            seed = np.arange(int(n.sum())) + np.repeat(self.begin[place] - (np.cumsum(n) - n), n)
-            where = np.repeat(p[hit], n)
-            found.append(np.stack([np.searchsorted(first, where, "right") - 1, self.item[seed], where - (self.at[seed] - self.first[self.item[seed]])]))
-        if not found:
-            return (np.zeros(0, np.int64),) * 3
-        found = np.concatenate(found, axis=1)
-        found = found[:, np.lexsort(found)]
-        found = found[:, np.append(True, (found[:, 1:] != found[:, :-1]).any(0))] if found.shape[1] else found
-        return found[0], found[1], found[2]
-
-    def overlaps(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """text, item, first and last token of the overlap in the text, and tokens that agree, for each confirmed line-up."""
-        text, item, offset = self.hits(h, first)
-        out = []
-        widest = int(self.count[item].max()) if len(item) else 1
-        step = max(1, PAIRS // widest)
-        for low in range(0, len(text), step):
-            x, y, o = text[low : low + step], item[low : low + step], offset[low : low + step]
-            size = self.count[y]
-            k = np.arange(int(size.max()))
-            pos = o[:, None] + k
-            real = (k < size[:, None]) & (pos >= first[x][:, None]) & (pos < first[x + 1][:, None])
-            same = real & (h[np.clip(pos, 0, len(h) - 1)] == self.hash[np.minimum(self.first[y][:, None] + k, len(self.hash) - 1)])
-            sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-            width = np.minimum(SPAN, size)
-            best = np.zeros(len(x), np.int64)
-            for w in np.unique(width):
-                own = width == w
-                best[own] = (sums[own, w:] - sums[own, :-w]).max(1)
-            need = np.where(size < PARTLY, size, np.ceil(AGREE * width)).astype(np.int64)
-            for r in np.flatnonzero(best >= need):
-                agree = np.flatnonzero(same[r])
-                out.append((int(x[r]), int(y[r]), int(o[r] + agree[0] - first[x[r]]), int(o[r] + agree[-1] - first[x[r]]), len(agree)))
-        return out
+            cuts = np.flatnonzero(np.diff(np.cumsum(self.n[place]) // HITS, prepend=-1, append=-1))
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                own, n = place[low:high], self.n[place[low:high]]
+                seed = np.arange(int(n.sum())) + np.repeat(self.begin[own] - (np.cumsum(n) - n), n)
+                where = np.repeat(p[hit[low:high]], n)
+                found = np.stack([np.searchsorted(first, where, "right") - 1, self.item[seed], where - (self.at[seed] - self.first[self.item[seed]])])
+                found = found[:, np.lexsort(found)]
+                yield found[:, np.append(True, (found[:, 1:] != found[:, :-1]).any(0))]
+
+    def overlaps(self, h: np.ndarray, first: np.ndarray, known: np.ndarray | None = None):
+        """text, item, first and last token of the overlap in the text, and tokens that agree, for each confirmed line-up.
+
+        known: marks of texts whose line-ups needn't be looked at any more; read anew for each part of the hits.
+        """
+        for text, item, offset in self.hits(h, first):
+            if known is not None:
+                text, item, offset = (x[~known[text]] for x in (text, item, offset))
+            step = max(1, PAIRS // int(self.count[item].max(initial=1)))
+            for low in range(0, len(text), step):
+                yield from self._confirmed(h, first, text[low : low + step], item[low : low + step], offset[low : low + step])
+
+    def _confirmed(self, h, first, x, y, o):
+        size = self.count[y]
+        k = np.arange(int(size.max()))
+        pos = o[:, None] + k
+        real = (k < size[:, None]) & (pos >= first[x][:, None]) & (pos < first[x + 1][:, None])
+        same = real & (h[np.clip(pos, 0, len(h) - 1)] == self.hash[np.minimum(self.first[y][:, None] + k, len(self.hash) - 1)])
+        sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+        width = np.minimum(SPAN, size)
+        best = np.zeros(len(x), np.int64)
+        for w in np.unique(width):
+            own = width == w
+            best[own] = (sums[own, w:] - sums[own, :-w]).max(1)
+        need = np.where(size < PARTLY, size, np.ceil(AGREE * width)).astype(np.int64)
+        for r in np.flatnonzero(best >= need):
+            agree = np.flatnonzero(same[r])
+            yield int(x[r]), int(y[r]), int(o[r] + agree[0] - first[x[r]]), int(o[r] + agree[-1] - first[x[r]]), len(agree)
 
 
 def blocks(benchmark: DataFrame, key: str, text: str) -> list[list]:
     """Rows of the benchmark, in blocks of at most BLOCK tokens; one block at a time is on the driver."""
-    sized = benchmark.select(F.col(key).alias("id"), F.lower(text_of(text)).alias("text"))
+    sized = benchmark.select(F.col(key).alias("id"), text_of(text).alias("text"))
     total = sized.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // (BLOCK * 4)))
     for k in range(n):
         yield sized.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each text and benchmark item that overlap: key, item, token places, n_match, item_tokens and share."""
-    source = docs.select(F.col(key), F.lower(text_of(text)).alias("text"))
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
+    """A row for each text and benchmark item (of `least` tokens or more) that overlap: key, item, token places, n_match, item_tokens and share."""
+    source = docs.select(F.col(f"`{key}`"), text_of(text).alias(unused("text", [key])))
     kind = dict(benchmark.dtypes)[item]
-    schema = extended(source.select(key).schema, f"{item} {kind}, first_token int, last_token int, n_match int, item_tokens int, share double")
+    schema = extended(docs.select(F.col(f"`{key}`")).schema, f"{item} {kind}, first_token int, last_token int, n_match int, item_tokens int, share double")
     out = None
     for rows in blocks(benchmark, item, item_text):
-        found = source.mapInArrow(_searcher([r["id"] for r in rows], [r["text"] for r in rows], schema.names, key), schema)
+        found = source.mapInArrow(batchwise(_searcher(Seeds([r["id"] for r in rows], [r["text"] for r in rows], least), schema)), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _searcher(ids: list, texts: list[str], names: list[str], key: str):
-    seeds = Seeds(ids, texts)
+def _searcher(seeds: Seeds, schema):
+    kinds = [f.type for f in to_arrow_schema(schema)]
 
     def run(batches):
         for batch in batches:
-            best: dict[tuple[int, int], tuple] = {}
             for low, high in slabs(batch.column(1)):
-                t = tokenize(batch.column(1).slice(low, high - low), WORDS)
+                best: dict[tuple[int, int], tuple] = {}
+                t = tokenize(lowered(batch.column(1).slice(low, high - low)), WORDS)
                 for x, y, a, b, n in seeds.overlaps(t.hash, t.first):
-                    if n > best.get((x + low, y), (0, 0, 0))[2]:
-                        best[x + low, y] = (a, b, n)
-            at = pa.array([x for x, _ in best], pa.int64())
-            ints = lambda k: pa.array([v[k] for v in best.values()], pa.int32())
-            size = [int(seeds.count[y]) for _, y in best]
-            columns = [batch.column(0).take(at), pa.array([seeds.ids[y] for _, y in best]), ints(0), ints(1), ints(2), pa.array(size, pa.int32()), pa.array([v[2] / s for v, s in zip(best.values(), size, strict=True)], pa.float64())]
-            if len(at):
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    if (n, -a) > best.get((x, y), (0, 0, 0))[:2]:
+                        best[x, y] = (n, -a, b)
+                if not best:
+                    continue
+                at = pa.array([x + low for x, _ in best], pa.int64())
+                size = [int(seeds.count[y]) for _, y in best]
+                found = [[seeds.ids[y] for _, y in best], [-v[1] for v in best.values()], [v[2] for v in best.values()], [v[0] for v in best.values()], size, [v[0] / s for v, s in zip(best.values(), size, strict=True)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *[pa.array(v, k) for v, k in zip(found, kinds[1:], strict=True)]], names=schema.names)
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows whose text overlaps with an item. Rows are judged where they lie: no join, no shuffle."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: int = LEAST) -> DataFrame:
+    """docs without the rows whose text overlaps with an item of `least` tokens or more. Rows are judged where they lie: no join, no shuffle."""
     out = docs
     for rows in blocks(benchmark, item, item_text):
-        seeds = Seeds([r["id"] for r in rows], [r["text"] for r in rows])
-
-        def run(batches, seeds=seeds):
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                column = batch.column(batch.num_columns - 1)
-                for low, high in slabs(column):
-                    t = tokenize(column.slice(low, high - low), WORDS)
-                    keep[[x[0] + low for x in seeds.overlaps(t.hash, t.first)]] = False
-                kept = batch.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
-
-        out = out.select("*", F.lower(text_of(text)).alias("__lower")).mapInArrow(run, docs.schema)
+        seeds = Seeds([r["id"] for r in rows], [r["text"] for r in rows], least)
+
+        def clear(column, seeds=seeds):
+            t = tokenize(lowered(column), WORDS)
+            hit = np.zeros(len(column), bool)
+            for x, *_ in seeds.overlaps(t.hash, t.first, hit):
+                hit[x] = True
+            return ~hit
+
+        out = rows_kept(out, text, clear)
     return out
