@@ -7,8 +7,11 @@ of the codes gives the score. Weights are learned from document labels only, on
 bounded sample (SAMPLE).
 
 Null and empty texts have one empty passage. Repeated rows get equal scores. Without
-labels of both kinds every score is the share of label 1, or 1 without any. Extra
-columns pass through unless they have the name of a result column.
+labels of both kinds every score is the share of label 1, or 1 without any, an empty
+table of labels included. A very long text is one bag on its own, in memory of some
+twenty times its size. Ties don't arise but between equal texts; equal attention
+weights share alike. Extra columns pass through unless they have the name of a result
+column.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import Adam, labelled, sigmoid
-from ._store import extended, fold_of, text_of
-from ._tokens import BY_SPACE, tokenize
+from ._store import carried, extended, fold_of, quoted, text_of, unused
+from ._tokens import BY_SPACE, slabs, tokenize
+from ._workers import batchwise, rows_kept
 
-#: Labelled rows to fit on; tokens of a passage; sizes of codes and of the attention; score from which a text is good.
-SAMPLE, PASSAGE, CODE, GATE, GOOD = 8000, 48, 16, 8, 0.7
+#: Labelled rows to fit on, and passages of each of them; tokens of a passage; sizes of codes and of the attention; score from which a text is good.
+SAMPLE, BAG, PASSAGE, CODE, GATE, GOOD = 8000, 64, 48, 16, 8, 0.7
 #: Bytes looked at on their own, and those that stand for a group.
 MARKS = b"!#$%&*|@,.-_/<>{}()[]=+\\:;\"'?~^"
 #: Texts encoded at a time, in bytes.
-SLAB = 1 << 21
+SLAB = 1 << 19
 
 
 def _classes() -> np.ndarray:
@@ -152,53 +156,63 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 30, b
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, keep=None) -> Model | float:
-    """A model from at most `sample` labelled documents, or a constant score if they don't have both labels."""
+    """A model from at most `sample` labelled documents, or a constant score if they don't have both labels.
+
+    Of a document with more than BAG passages, BAG evenly spaced ones are fitted on, so
+    that what the driver gets is bounded. Scores are made from all passages.
+    """
     rows = labelled(docs, labels, label, sample, keep=keep)
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
+            for low, high in slabs(batch.column(0), SLAB):
+                part = batch.slice(low, high - low)
                 x, first = encode(part.column(0))
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.astype(np.float32).tobytes() for r in np.split(x, first[1:-1])], pa.binary())], names=["label", "bag"])
+                spaced = [r[np.linspace(0, len(r) - 1, min(BAG, len(r))).round().astype(np.int64)] for r in np.split(x, first[1:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.astype(np.float32).tobytes() for r in spaced], pa.binary())], names=["label", "bag"])
 
-    found = rows.mapInArrow(run, "label int, bag binary").toArrow()
+    found = rows.mapInArrow(batchwise(run), "label int, bag binary").toArrow()
     y = (found["label"].to_numpy() > 0).astype(float)
     if len(y) == 0 or y.min() == y.max():
         return float(y.mean()) if len(y) else 1.0
-    bags = [np.frombuffer(b.as_py(), np.float32).reshape(-1, WIDTH) for b in found["bag"]]
+    raw = found["bag"].to_pylist()
+    order = sorted(range(len(y)), key=lambda k: (y[k], raw[k]))  # the order in which rows arrive doesn't count
+    y, bags = y[order], [np.frombuffer(raw[k], np.float32).reshape(-1, WIDTH) for k in order]
     x = np.concatenate(bags).astype(float)
     centre, scale = x.mean(0), x.std(0) + 1e-3
     first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    order = np.lexsort((x[first[:-1]].sum(1), y))  # the order in which rows arrive doesn't count
-    sizes = np.diff(first)[order]
-    ends = np.cumsum(sizes)
-    rows_of = np.arange(len(x)) + np.repeat(first[:-1][order] - (ends - sizes), sizes)
-    return Model(fit((x[rows_of] - centre) / scale, np.concatenate([[0], ends]), y[order]), centre, scale)
+    return Model(fit((x - centre) / scale, first, y), centre, scale)
+
+
+def _scored(column: pa.Array, model: Model | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, number of passages and greatest attention of each text."""
+    x, first = encode(column)
+    sizes = np.diff(first)
+    if isinstance(model, float):
+        return np.full(len(column), model), sizes, np.zeros(len(column))
+    f = forward(model.params, (x - model.centre) / model.scale, first)
+    return f["y"], sizes, np.maximum.reduceat(f["a"], first[:-1])
 
 
-def score(docs: DataFrame, model: Model | float, text: str = "text", keep_text: bool = False, key: str = "doc_id") -> DataFrame:
-    """docs with held_out, score (0 to 1), predicted, passages and attention (the greatest weight)."""
+def score(docs: DataFrame, model: Model | float, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs without the text, with held_out, score (0 to 1), predicted, passages and attention (the greatest weight)."""
     own = ["held_out", "score", "predicted", "passages", "attention"]
-    carried = [c for c in docs.columns if c not in own and (keep_text or c != text)]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], text_of(text).alias("__text"), (fold_of(key, 4) == 2).alias("held_out"))
-    schema = extended(source.drop("__text").schema, "score double, predicted int, passages int, attention double")
+    kept = carried(docs, own, text)
+    rest = docs.select(*quoted(kept), (fold_of(key, 4) == 2).alias("held_out"))
+    source = docs.select(*quoted(kept), (fold_of(key, 4) == 2).alias("held_out"), text_of(text).alias(unused("text", kept)))
+    schema = extended(rest.schema, "score double, predicted int, passages int, attention double")
 
     def run(batches):
         for batch in batches:
-            column = batch.column(len(carried))
-            size = pa.compute.binary_length(column).to_numpy().astype(np.int64)
-            part = np.cumsum(size) // SLAB
-            for k in np.unique(part):
-                low, high = np.searchsorted(part, k), np.searchsorted(part, k, "right")
-                x, first = encode(column.slice(low, high - low))
-                if isinstance(model, float):
-                    y, top = np.full(high - low, model), np.zeros(high - low)
-                else:
-                    f = forward(model.params, (x - model.centre) / model.scale, first)
-                    y, top = f["y"], np.maximum.reduceat(f["a"], first[:-1])
-                new = [pa.array(y), pa.array((y >= GOOD).astype(np.int32)), pa.array(np.diff(first).astype(np.int32)), pa.array(top)]
-                rest = [batch.column(c).slice(low, high - low) for c in range(len(carried))]
-                yield pa.RecordBatch.from_arrays([*rest, batch.column(len(carried) + 1).slice(low, high - low), *new], names=[*carried, *own])
-
-    return source.mapInArrow(run, schema)
+            column = batch.column(len(kept) + 1)
+            for low, high in slabs(column, SLAB):
+                y, sizes, top = _scored(column.slice(low, high - low), model)
+                new = [pa.array(y), pa.array((y >= GOOD).astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(top)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(low, high - low) for c in range(len(kept) + 1)], *new], names=[*kept, *own])
+
+    return source.mapInArrow(batchwise(run), schema)
+
+
+def only_good(docs: DataFrame, model: Model | float, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that score() predicts to be good."""
+    return rows_kept(docs, text, lambda column: _scored(column, model)[0] >= GOOD)

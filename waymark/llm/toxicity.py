@@ -10,8 +10,10 @@ directly, or made from a 0/1 label: labelled texts are graded by how many of the
 tokens carry a feature that the sample ties to the label, in even parts.
 
 Null and empty texts score as texts without features. Repeated rows get equal
-scores. Without labels of both kinds nothing is toxic. Extra columns pass through
-unless they have the name of a result column.
+scores. Without labels of both kinds, an empty table of labels included, nothing is
+toxic. A very long text is taken apart on its own, in memory of some ten times its
+size. Labelled texts with equally many marked tokens go to grades in order of their
+features. Extra columns pass through unless they have the name of a result column.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import Adam, Lookup, labelled, sigmoid
-from ._store import dropped, extended, text_of, written
+from ._store import carried, dropped, extended, quoted, text_of, unused, written
 from ._tokens import LETTERS, hashes, mixed, slabs, tokenize
+from ._workers import batchwise, rows_kept
 
 #: Labelled rows to fit on; features in the model; rows that a feature must occur in; grades.
 SAMPLE, FEATURES, LEAST_ROWS, GRADES = 20_000, 2048, 5, 4
@@ -98,7 +101,7 @@ def chosen_features(sample: DataFrame, most: int = FEATURES) -> tuple[np.ndarray
     yes, no = totals
     if not yes or not no:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    sums = sample.mapInArrow(run, "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    sums = sample.mapInArrow(batchwise(run), "feature long, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     a, b = F.col("yes"), F.col("no")
     term = lambda x, total, share: F.when(x > 0, x * F.log(x / (total * share))).otherwise(0.0)
     share = (a + b) / float(yes + no)
@@ -150,13 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             lists = lambda x, k: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, k))
             yield pa.RecordBatch.from_arrays([batch.column(1), lists(col, pa.int32()), lists(value, pa.float32())], names=["label", "cols", "values"])
 
-    found = rows.mapInArrow(run, "label int, cols array<int>, values array<float>").toArrow()
+    found = rows.mapInArrow(batchwise(run), "label int, cols array<int>, values array<float>").toArrow()
     dropped(rows)
     label_of = found["label"].to_numpy().astype(np.int64)
     sizes = pa.compute.list_value_length(found["cols"]).to_numpy().astype(np.int64)
     row = np.repeat(np.arange(len(label_of)), sizes)
     col = pa.compute.list_flatten(found["cols"]).to_numpy().astype(np.int64)
     value = pa.compute.list_flatten(found["values"]).to_numpy().astype(np.float64)
+    row, col, value, label_of = _by_content(row, col, value, label_of)
     grade = np.maximum(label_of, 0)
     if len(grade) and grade.max() == 1 and grades > 2:
         marked = np.bincount(row, np.expm1(value) * marks[col] if len(col) else None, minlength=len(grade))
@@ -170,21 +174,42 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     return Model(lookup, weights, thresholds, best_cutoff(sigmoid(raw - thresholds[0]), grade > 0))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with expected_severity, p_toxic, grade (the likeliest) and is_toxic; without the text unless it is to be kept."""
+def _by_content(row: np.ndarray, col: np.ndarray, value: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sample in order of label and features, so that the order in which rows arrive doesn't count where they are cut into grades."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(col.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + value.view(np.uint64)))])
+    first = np.searchsorted(row, np.arange(len(label) + 1))
+    order = np.lexsort((sums[first[1:]] - sums[first[:-1]], label))
+    size = np.diff(first)[order]
+    at = np.arange(len(row)) + np.repeat(first[:-1][order] - (np.cumsum(size) - size), size)
+    return np.repeat(np.arange(len(label)), size), col[at], value[at], label[order]
+
+
+def above_thresholds(column: pa.Array, model: Model) -> np.ndarray:
+    """For each text, P(grade > k) for each threshold."""
+    at, col, value = counted(column, model.lookup)
+    s = np.bincount(at, value * model.weights[col], minlength=len(column)) if len(at) else np.zeros(len(column))
+    return sigmoid(s[:, None] - model.thresholds)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the text, with expected_severity, p_toxic, grade (the likeliest, the lower one of equals) and is_toxic."""
     own = ["expected_severity", "p_toxic", "grade", "is_toxic"]
-    carried = [c for c in docs.columns if c not in own and (keep_text or c != text)]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], text_of(text).alias("__text"))
-    schema = extended(source.drop("__text").schema, "expected_severity double, p_toxic double, grade int, is_toxic boolean")
+    kept = carried(docs, own, text)
+    rest = docs.select(*quoted(kept))
+    source = docs.select(*quoted(kept), text_of(text).alias(unused("text", kept)))
+    schema = extended(rest.schema, "expected_severity double, p_toxic double, grade int, is_toxic boolean")
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            at, col, value = counted(batch.column(len(carried)), model.lookup)
-            s = np.bincount(at, value * model.weights[col], minlength=n) if len(at) else np.zeros(n)
-            above = sigmoid(s[:, None] - model.thresholds)
+            above = above_thresholds(batch.column(len(kept)), model)
             chance = -np.diff(np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1), axis=1)
             new = [pa.array(above.sum(1)), pa.array(above[:, 0]), pa.array(chance.argmax(1).astype(np.int32)), pa.array(above[:, 0] >= model.cutoff)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(carried))], *new], names=[*carried, *own])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(kept))], *new], names=[*kept, *own])
+
+    return source.mapInArrow(batchwise(run), schema)
+
 
-    return source.mapInArrow(run, schema)
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that score() doesn't find toxic."""
+    return rows_kept(docs, text, lambda column: above_thresholds(column, model)[:, 0] < model.cutoff)
