@@ -4,8 +4,8 @@ Texts and templates are sparse TF-IDF vectors over words and word pairs; weights
 from the families of templates, so that versions of one licence don't make its words
 common. What of a vector no template has only adds to its length, so a candidate's
 cosine is at most the length of its known part over that of the whole. A file's
-header candidates are those of its sentences for which that bound reaches LIKE, their
-lines, joined where they follow each other, and for each template, be it a notice, a
+header candidates are those of its sentences, of two words or more, for which that bound
+reaches LIKE, their lines, joined where they follow each other, and for each template, be it a notice, a
 standard header or a whole licence, the lines with the run of words that most of all
 are that template's word pairs. Each is compared with every template. Of the
 candidates at LIKE or more, the one with most words, counted by the cube of their
@@ -105,16 +105,19 @@ class Templates:
             whole[at] = square[place]
             size += np.bincount(of, whole, minlength=len(size))
             gain += np.bincount(of[at], most[place], minlength=len(size))
-        good = np.flatnonzero(gain >= (LIKE - 1e-9) * np.sqrt(np.maximum(size, 1e-9)))
+        paired = np.bincount(unit[1:][inside], minlength=len(size)) > 0  # one word alone is no evidence
+        good = np.flatnonzero(paired & (gain >= (LIKE - 1e-9) * np.sqrt(np.maximum(size, 1e-9))))
         out = np.zeros(len(column), bool)
         out[np.searchsorted(t.offsets, cuts[np.minimum(good, len(cuts)) - 1], "right") - 1] = len(good) > 0
         return out
 
     def possible(self, text: str) -> bool:
-        """Whether a sentence's cosine to some template can reach LIKE."""
+        """Whether a sentence of two words or more can reach LIKE with some template."""
+        if len(words_of(text)) < 2:
+            return False
         raw = {w: 1 + log(n) for w, n in terms(text).items()}
         size = sum((x * self.idf.get(w, self.other)) ** 2 for w, x in raw.items())
-        return bool(raw) and sum(x * self.idf.get(w, 0.0) * self.most.get(w, 0.0) for w, x in raw.items()) >= LIKE * sqrt(size)
+        return sum(x * self.idf.get(w, 0.0) * self.most.get(w, 0.0) for w, x in raw.items()) >= LIKE * sqrt(size)
 
     def vector(self, t: Counter) -> dict:
         raw = {w: (1 + log(n)) * self.idf.get(w, self.other) for w, n in t.items()}
