@@ -168,6 +168,7 @@ def test_claim_respects_exclusive_groups(spark):
     now = F.lit(datetime(2026, 1, 1, 1))
     assert sorted(r["id"] for r in Q.claimed(df, now).collect()) == ["b1", "c1"]
     assert sorted(r["id"] for r in Q.claimed(df, now, exclusive=("a", "b")).collect()) == ["c1"]
+    assert [r["id"] for r in Q.claimed(df, now, per_source=False).collect()] == ["b1"]
 
 
 def test_readers(spark):
@@ -193,6 +194,11 @@ def test_readers(spark):
     assert readers.dispatched(readers.mock_pages(spark, ["a"]), "url", [readers.Adapter("mock", ("example.com",))]).first()["adapter"] == "mock"
 
 
+def test_ordered_scan(spark):
+    rows = spark.range(50).withColumn("k", F.col("id") % 7)
+    assert [(r["k"], r["id"]) for r in readers.ordered_scan(rows, [F.desc("k"), F.asc("id")])] == sorted(((i % 7, i) for i in range(50)), key=lambda x: (-x[0], x[1]))
+
+
 def test_sqlite_source(spark, tmp_path):
     import sqlite3
 

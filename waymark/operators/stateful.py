@@ -54,8 +54,11 @@ def claimed(df: DataFrame, now: Column, blocked: DataFrame | None = None, exclus
     free = rows.filter((F.col("status") == "queued") & (F.col("available") <= now) & ~F.col("hold")).join(busy, "__group", "left_anti")
     if blocked is not None:
         free = free.join(blocked.select("source"), "source", "left_anti")
-    w = (W.partitionBy("__group") if per_source else W.partitionBy(F.lit(1))).orderBy(priority("kind", "created", now), "created", "id")
-    first = free.withColumn("__n", F.row_number().over(w)).filter("__n = 1")
+    order = [priority("kind", "created", now), F.col("created"), F.col("id")]
+    if per_source:
+        first = free.withColumn("__n", F.row_number().over(W.partitionBy("__group").orderBy(*order))).filter("__n = 1")
+    else:
+        first = free.orderBy(*order).limit(1)
     return first.select("id", "source", priority("kind", "created", now).alias("priority"), (F.col("attempt") + 1).alias("attempt"), (now + F.expr(f"interval {LEASE_SECONDS} seconds")).alias("lease_until"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -344,6 +345,11 @@ def explicit_days(df: DataFrame, key: str, label: str) -> DataFrame:
     return df.select(key, label, explicit_date(label).alias("day"))
 
 
+def ordered_scan(df: DataFrame, order: list[Column]) -> Iterator[Row]:
+    """The rows in order, one partition at a time on the driver: what a server-side cursor gives a program."""
+    yield from df.orderBy(*order).toLocalIterator(prefetchPartitions=True)
+
+
 def mock_pages(spark: SparkSession, texts: list[str]) -> DataFrame:
     """Pages with given texts, for tests."""
     return spark.createDataFrame([(i, f"https://mock.example.com/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
