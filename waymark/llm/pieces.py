@@ -5,8 +5,10 @@ every word's best pair by a segmented minimum, merges it at its leftmost places
 in all words at once and compacts the array, until no word has a pair left.
 Words are encoded once per worker and kept in a table of bounded size.
 
-Null texts count as empty and give no ids. Repeated rows give equal results;
-extra columns pass through unless they have the name of a result column.
+Null texts count as empty and give no ids; an empty table gives no rows. Repeated rows
+give equal results; extra columns pass through unless they have the name of a result
+column. Pairs of equal rank are merged from the left. A very long text is encoded whole,
+in memory of some thirty times its longest run without spaces.
 """
 
 from __future__ import annotations
@@ -19,14 +21,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._store import extended, text_of
+from ._store import carried, extended, quoted, text_of, unused
+from ._workers import batchwise
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Words kept by a worker, and characters encoded at a time.
-KEPT_WORDS, CHUNK = 250_000, 1 << 20
+KEPT_WORDS, CHUNK = 100_000, 1 << 19
 
 
 class Pieces:
@@ -76,9 +78,9 @@ class Pieces:
         space = f"[ {SPACE}]"
         self.words = re.compile("(?s).+" if crossing else ("\n|" if alone else "") + f"{space}*[^ {SPACE}{alone}]+|{space}+")
         self.tails = [f"{i}," for i in range(size)]
-        #: The ids of words, each with a comma, and the decoded texts of words that differ from the words.
+        #: The ids of words, each with a comma, and the texts that are decoded from them.
         self.kept: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
 
     def _index_pairs(self) -> None:
         """An open hash table of the pairs, probed for many keys at once."""
@@ -187,12 +189,11 @@ class Pieces:
             names = names + [" ⁇ " if t == tails[self.unknown] else self.plain(list(map(int, t[:-1].split(",")))) for t in more]
         marked = np.insert(symbols, begin[1:], len(tails)).tolist()
         ids = "".join(map([*tails, "\n"].__getitem__, marked)).split("\n")[:-1]
-        self.kept.update(zip(words, ids, strict=True))
         plain = "".join(map([*(n.replace(SPACE, " ") for n in names), "\0"].__getitem__, marked)).split("\0")[:-1]
-        if len(plain) == len(words):
-            self.odd.update({w: p for w, p in zip(words, plain, strict=True) if w.replace(SPACE, " ") != p})
-        else:  # a word holds the mark itself
-            self.odd.update({w: self.plain(list(map(int, i[:-1].split(",")))) for w, i in zip(words, ids, strict=True)})
+        if len(plain) != len(words):  # a word holds the mark itself
+            plain = [self.plain(list(map(int, i[:-1].split(",")))) for i in ids]
+        self.kept.update(zip(words, ids, strict=True))
+        self.decoded.update(zip(words, plain, strict=True))
 
     def plain(self, ids: list[int]) -> str:
         """The text of ids: pieces with their spaces, runs of byte ids as UTF-8 with U+FFFD for bad bytes."""
@@ -220,19 +221,15 @@ class Pieces:
         """For each text its ids in decimal, joined by commas, their number, and the text decoded from them."""
         split = list(map(self.split, texts))
         new = set(chain.from_iterable(split))
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.kept.clear()
-            self.odd.clear()
+        if len(self.kept) + len(new) > KEPT_WORDS:  # only words that are used now stay
+            self.kept = {w: self.kept[w] for w in new if w in self.kept}
+            self.decoded = {w: self.decoded[w] for w in self.kept}
         if new := new.difference(self.kept):
             self.learn(list(new))
-        out, odd = [], self.odd
-        for text, words in zip(texts, split, strict=True):
+        out = []
+        for words in split:
             ids = "".join(map(self.kept.__getitem__, words))
-            if odd and not odd.keys().isdisjoint(words):
-                plain = "".join([odd.get(w) if w in odd else w.replace(SPACE, " ") for w in words])[1:]
-            else:
-                plain = text.replace(SPACE, " ")
-            out.append((ids[:-1], ids.count(","), plain))
+            out.append((ids[:-1], ids.count(","), "".join(map(self.decoded.__getitem__, words))[1:]))
         return out
 
 
@@ -259,15 +256,15 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", ids: bool =
     model: the path of a SentencePiece BPE model, which every executor can open.
     """
     own = ["n_tokens", "ids_sha256", "decoded_sha256", *(["input_ids", "decoded"] if ids else [])]
-    carried = [c for c in df.columns if c != text and c not in own]
-    source = df.select(*[F.col(f"`{c}`") for c in carried], text_of(text).alias("__text"))
+    kept = carried(df, own, text)
+    source = df.select(*quoted(kept), text_of(text).alias(unused("text", kept)))
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", input_ids array<int>, decoded string" if ids else "")
-    schema = extended(source.drop("__text").schema, kinds)
+    schema = extended(df.select(*quoted(kept)).schema, kinds)
 
     def run(batches):
         coder = pieces(model)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("__text"))
+            column = batch.column(len(kept))
             lengths = pa.compute.binary_length(column).to_pylist()
             for a, b in chunks(lengths, CHUNK):
                 found = coder.encode(column.slice(a, b - a).to_pylist())
@@ -275,6 +272,6 @@ def encode_documents(df: DataFrame, model: str, text: str = "text", ids: bool =
                 new = [pa.array([n for _, n, _ in found], pa.int64()), pa.array([sha(i) for i, _, _ in found]), pa.array([sha(t) for _, _, t in found])]
                 if ids:
                     new += [pa.array([list(map(int, i.split(","))) if i else [] for i, _, _ in found], pa.list_(pa.int32())), pa.array([t for _, _, t in found], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in range(len(carried))] + new, names=[*carried, *own])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in range(len(kept))] + new, names=[*kept, *own])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(batchwise(run), schema)
