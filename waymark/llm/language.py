@@ -12,7 +12,9 @@ where the bound falls, those with the least hashes); what one language keeps is
 in all. Counts are kept only where a feature occurs, so the model grows with the
 languages and not with their square. A text that is null or has no letter gets `und` and
 score 0; ties go to the language that is first in order of its name. Repeated rows
-get equal results. Without any labelled text all are `und`.
+get equal results. Without any labelled text, an empty table included, all are `und`. A
+very long text is scored whole, in memory of some twenty times its size. Extra columns
+pass through unless they have the name of a result column.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._sample import Lookup
-from ._store import dropped, extended, fold_of, text_of, written
+from ._store import carried, dropped, extended, fold_of, quoted, text_of, unused, written
 from ._tokens import LETTERS, mixed, slabs, tokenize
+from ._workers import batchwise
 
 SAMPLE, WORDS_KEPT, GRAMS_KEPT, LONGEST = 1500, 100_000, 60_000, 5
 UND = "und"
-SLAB = 1 << 22
+SLAB = 1 << 21
 #: Counts added up at a time, and the frequency of what isn't seen.
 ADDED, UNSEEN = 1 << 21, 0.1
 STEP = np.uint64(0x9FB21C651E98DF25)
@@ -105,10 +108,13 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     names = [n for n, _ in totals]
     if not names:
         return Model([], np.zeros((LONGEST + 1, 0)), _features([], []), _features([], []))
-    share = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
-    numbers = docs.sparkSession.createDataFrame([(name, k, min(1.0, sample / n)) for k, (name, n) in enumerate(totals)], T.StructType([T.StructField(lang, docs.schema[lang].dataType), T.StructField("__number", T.IntegerType()), T.StructField("__share", T.DoubleType())]))
-    rows = own.select(F.col(lang), text_of(text).alias("text"), share.alias("__at")).join(F.broadcast(numbers), lang).filter("__at < __share").select("text", F.col("__number").alias("lang"))
-    counts = rows.mapInArrow(counter(), "kind int, feature long, lang int, n long")
+    share = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(1 << 20)) / float(1 << 20)
+    number = T.StructType([T.StructField("name", docs.schema[lang].dataType), T.StructField("lang", T.IntegerType()), T.StructField("share", T.DoubleType())])
+    numbers = docs.sparkSession.createDataFrame([(name, k, min(1.0, sample / n)) for k, (name, n) in enumerate(totals)], number)
+    named = own.select(F.col(f"`{lang}`").alias("name"), text_of(text).alias("text"), share.alias("at"))
+    # numbers: a row for each language that is learnt, as the model has
+    rows = named.join(F.broadcast(numbers), "name").filter("at < share").select("text", "lang")
+    counts = rows.mapInArrow(batchwise(counter()), "kind int, feature long, lang int, n long")
     sums = counts.groupBy("kind", "feature", "lang").agg(F.sum("n").alias("n"))
     table = written(sums.groupBy("kind", "feature").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang")), "language-counts")
     seen = table.select("kind", (F.col("total") >= 2).alias("ranked"), F.explode("by_lang").alias("c")).groupBy("kind", "c.lang", "c.n", "ranked").count().collect()
@@ -213,13 +219,14 @@ def text_scores(model: Model, t, texts: int) -> np.ndarray:
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the text, with held_out, lang_pred and score."""
     own = ["held_out", "lang_pred", "score"]
-    carried = [c for c in docs.columns if c not in own and c != text]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], (fold_of(key, 4) == 2).alias("held_out"), text_of(text).alias("__text"), text_of(text).rlike(r"\p{L}").alias("__letters"))
-    schema = extended(source.drop("__text", "__letters").schema, "lang_pred string, score double")
+    kept = carried(docs, own, text)
+    rest = docs.select(*quoted(kept), (fold_of(key, 4) == 2).alias("held_out"))
+    source = docs.select(*quoted(kept), (fold_of(key, 4) == 2).alias("held_out"), text_of(text).alias(unused("text", kept)), text_of(text).rlike(r"\p{L}").alias(unused("letters", kept)))
+    schema = extended(rest.schema, "lang_pred string, score double")
 
     def run(batches):
         for batch in batches:
-            column, letters = batch.column(len(carried) + 1), batch.column(len(carried) + 2).to_numpy(zero_copy_only=False)
+            column, letters = batch.column(len(kept) + 1), batch.column(len(kept) + 2).to_numpy(zero_copy_only=False)
             best, share = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             size = np.cumsum(pa.compute.binary_length(column).to_numpy().astype(np.int64)) // SLAB
             for k in np.unique(size) if model.names else []:
@@ -231,6 +238,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
                 share[low:high] = odds.max(1) / odds.sum(1)
             known = letters & (best >= 0)
             names = pa.array([model.names[b] if ok else UND for b, ok in zip(best, known, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(carried) + 1)], names, pa.array(np.where(known, share, 0.0))], names=[*carried, *own])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(kept) + 1)], names, pa.array(np.where(known, share, 0.0))], names=[*kept, *own])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(batchwise(run), schema)
