@@ -200,6 +200,19 @@ def test_hits_in_parts(monkeypatch):
     assert {x[:2] for x in decontaminate.Seeds(list(range(30)), items).overlaps(t.hash, t.first)} == whole == set(itertools.product(range(40), range(30)))
 
 
+def test_large_benchmark_by_a_join(spark, docs, monkeypatch):
+    """A benchmark that is joined by its seeds gives what block passes give."""
+    benchmark = registry.table(spark, FOLDER, "benchmark").unionByName(spark.createDataFrame([(900, "x y"), (901, None), (902, "a b c d e f g h")], "item_id long, text string"))
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, "so x y z"), (5001, "so x y z"), (5002, None), (5003, "1 a b c d Q f g h 2")], "doc_id long, text string"))
+    rows = lambda: sorted((r["doc_id"], r["item_id"], r["first_token"], r["last_token"], r["n_match"], r["item_tokens"], round(r["share"], 9)) for r in decontaminate.overlaps(texts, benchmark).collect())
+    left = lambda: sorted(r["doc_id"] for r in decontaminate.clean(texts, benchmark).collect())
+    want, kept = rows(), left()
+    monkeypatch.setattr(decontaminate, "PASSES", 0)
+    monkeypatch.setattr(decontaminate, "BITS", 20)
+    assert rows() == want and left() == kept
+    assert {x[:2] for x in want} >= {(5000, 900), (5001, 900), (5003, 902)}
+
+
 # --- 5 licences
 
 
