@@ -141,9 +141,14 @@ def source_of_host(url: Text, sources: dict[str, str], default: str = "official"
     return out
 
 
-def looks_like_registration(url: Text, hosts: str = r"(?i)tickets|register") -> Column:
+#: What stands in the path of a page to register on.
+REGISTRATION = ("inscri", "evento", "event", "checkout", "ticket")
+
+
+def looks_like_registration(url: Text, hosts: tuple[str, ...] = ("tickets", "register")) -> Column:
     """By words in its host or path."""
-    return F.coalesce(part(url, "HOST").rlike(hosts) | part(url, "PATH").rlike(r"(?i)inscri|evento|event|checkout|ticket"), F.lit(False))
+    has = lambda name, words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.lower(part(url, name)).contains(w))
+    return F.coalesce(has("HOST", hosts), F.lit(False)) | F.coalesce(has("PATH", REGISTRATION), F.lit(False))
 
 
 #: Names of pictures that aren't of the event.
