@@ -7,8 +7,11 @@ corrects the declared type; a declared type of these formats that isn't confirme
 becomes unknown, and one of other formats stays. Those confirmed further in are
 embedded media, which are carved out by the confirmed length.
 
-A null value counts as empty: type `application/octet-stream`, nothing embedded.
-Repeated rows give equal results.
+A null value counts as empty: type `application/octet-stream`, nothing embedded; an
+empty table gives no rows. Repeated rows give equal results. Of several formats at one
+place the one with the longest signature counts. A very long value is held once, with
+what is carved from it. Extra columns pass through unless they have the name of a
+result column.
 """
 
 from __future__ import annotations
@@ -17,13 +20,16 @@ import hashlib
 import re
 import struct
 import zlib
-from functools import lru_cache
+from bisect import bisect_left
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import extended, text_of
+from ._store import carried, extended, quoted, text_of, unused
+from ._workers import batchwise
 
 UNKNOWN = "application/octet-stream"
 #: Fixed values of the formats: magic bytes by type.
@@ -285,39 +291,64 @@ def _ogg(data, at):
     return p - at
 
 
-def _pdf(data, at):
-    """To the last %%EOF whose startxref points into the file, or else the last one with a startxref before the next file's head."""
-    if not _PDF_HEAD.match(data, at):
-        return 0
-    after = _PDF_HEAD.search(data, at + 5)
-    after = after.start() if after else len(data)
-    whole = loose = 0
-    for end in _PDF_END.finditer(data, at):
-        target = at + int(end[1])
-        # past another head, only what points past it belongs to this file and not to the other
-        if (after <= target or end.start() < after) and at < target < end.start() and _PDF_TABLE.match(data, target):
-            whole = end.end()
-        if end.end() <= after:
-            loose = end.end()
-    return max(whole or loose, at) - at
+_PDF_HEAD, _PDF_END, _PDF_TABLE = re.compile(rb"%PDF-\d\.\d[\r\n]"), re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF"), re.compile(rb"\s*(xref\s|\d+\s+\d+\s+obj)")
 
 
-_PDF_HEAD, _PDF_END, _PDF_TABLE = re.compile(rb"%PDF-\d\.\d[\r\n]"), re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF"), re.compile(rb"\s*(xref\s|\d+\s+\d+\s+obj)")
+class Marks:
+    """Where PDF heads and ends and zip ends lie in a value, found once for all of its signatures."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    @cached_property
+    def heads(self) -> list[int]:
+        return [m.start() for m in _PDF_HEAD.finditer(self.data)]
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        """Start, end and startxref of each PDF end."""
+        return np.array([(m.start(), m.end(), int(m[1])) for m in _PDF_END.finditer(self.data) if int(m[1]) < len(self.data)], np.int64).reshape(-1, 3)
+
+    @cached_property
+    def zips(self) -> dict[int, int]:
+        """Where an archive ends that begins at a place: at the first end record that fits."""
+        out, data, end = {}, self.data, -1
+        while (end := data.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(data):
+            size, start, note = struct.unpack_from("<IIH", data, end + 12)
+            tail = end
+            begin = tail - size - start
+            if end >= 20 and data[end - 20 : end - 16] == b"PK\x06\x07":
+                tail = data.rfind(b"PK\x06\x06", 0, end - 20)
+                if tail < 0 or tail + 56 > end:
+                    continue
+                size, start = struct.unpack_from("<QQ", data, tail + 40)
+                begin = tail - size - start
+                if begin + struct.unpack_from("<Q", data, end - 12)[0] != tail:
+                    continue
+            if begin >= 0 and data[begin + start : begin + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(data):
+                out.setdefault(begin, end + 22 + note)
+        return out
+
+
+def _pdf(marks, at):
+    """To the last %%EOF whose startxref points into the file, or else the last one with a startxref before the next file's head."""
+    k = bisect_left(marks.heads, at)
+    if k == len(marks.heads) or marks.heads[k] != at:
+        return 0
+    after = marks.heads[k + 1] if k + 1 < len(marks.heads) else len(marks.data)
+    start, end, target = marks.ends.T
+    target = target + at
+    # past another head, only what points past it belongs to this file and not to the other
+    fits = (at < target) & (target < start) & ((after <= target) | (start < after))
+    for j in np.flatnonzero(fits)[::-1].tolist():
+        if _PDF_TABLE.match(marks.data, int(target[j])):
+            return int(end[j]) - at
+    loose = np.flatnonzero((start >= at) & (end <= after))
+    return int(end[loose[-1]]) - at if len(loose) else 0
 
 
-def _zip(data, at):
-    end = at
-    while (end := data.find(b"PK\x05\x06", end + 1)) >= 0 and end + 22 <= len(data):
-        size, start, note = struct.unpack_from("<IIH", data, end + 12)
-        tail = end
-        if data[end - 20 : end - 16] == b"PK\x06\x07":
-            tail = at + struct.unpack_from("<Q", data, end - 12)[0]
-            if tail + 56 > end or data[tail : tail + 4] != b"PK\x06\x06":
-                continue
-            size, start = struct.unpack_from("<QQ", data, tail + 40)
-        if at + start + size == tail and data[at + start : at + start + 4] == b"PK\x01\x02" and end + 22 + note <= len(data):
-            return end + 22 + note - at
-    return 0
+def _zip(marks, at):
+    return marks.zips.get(at, at) - at
 
 
 def _gzip(data, at):
@@ -343,7 +374,9 @@ def _member(data, at):
         return 0
 
 
-VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "audio/flac": _flac, "application/ogg": _ogg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
+VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _wav, "audio/flac": _flac, "application/ogg": _ogg, "application/gzip": _gzip}
+#: Those that look at marks far behind the signature.
+VALID_BY_MARKS = {"application/pdf": _pdf, "application/zip": _zip}
 
 
 #: Formats whose parts begin like the whole.
@@ -352,12 +385,12 @@ CHAINED = ("application/ogg", "application/gzip")
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """Start, length and type of each confirmed format, in order; those inside a carved one are left out."""
-    found, past = [], 0
-    for last, (size, kind) in sorted((x for x in automaton().iter(data.decode("latin-1"))), key=lambda x: x[0] - x[1][0]):
+    found, past, marks = [], 0, Marks(data)
+    for last, (size, kind) in sorted((x for x in automaton().iter(data.decode("latin-1"))), key=lambda x: (x[0] - x[1][0], -x[1][0])):
         at = last + 1 - size
         if at < past or found and found[0][0] == 0 and kind == found[0][2] in CHAINED and at < found[0][1]:
             continue
-        if length := VALID[kind](data, at):
+        if length := VALID[kind](data, at) if kind in VALID else VALID_BY_MARKS[kind](marks, at):
             found.append((at, length, kind))
             past = at + length if at else 0  # what a whole-value format holds is looked at too
     return found
@@ -387,16 +420,16 @@ def media_columns(df: DataFrame, value: str, declared: str | None = None) -> Dat
     value: a binary column. embedded: offset, length, type, sha256 and bytes of each carved file.
     Columns of df with these names are replaced.
     """
-    own = ("media_type", "type_corrected", "embedded")
-    carried = [c for c in df.columns if c not in own]
+    own = ["media_type", "type_corrected", "embedded"]
+    kept = carried(df, own)
     kinds = "media_type string, type_corrected boolean, embedded array<struct<offset:bigint,length:bigint,type:string,sha256:string,content:binary>>"
-    schema = extended(df.select(*[F.col(f"`{c}`") for c in carried]).schema, kinds)
+    schema = extended(df.select(*quoted(kept)).schema, kinds)
     kind_of_embedded = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("sha256", pa.string()), ("content", pa.binary())]))
 
     def run(batches):
         for batch in batches:
-            values = batch.column(carried.index(value))
-            claims = batch.column(carried.index(declared)).to_pylist() if declared else [None] * len(values)
+            values = batch.column(kept.index(value))
+            claims = batch.column(kept.index(declared)).to_pylist() if declared else [None] * len(values)
             types, inner = [], []
             for v in values:
                 data = v.as_py() or b""
@@ -406,9 +439,9 @@ def media_columns(df: DataFrame, value: str, declared: str | None = None) -> Dat
                 types.append(found[0][2] if found and found[0][0] == 0 else UNKNOWN if claim is None or claim in MAGIC else claim)
                 inner.append([{"offset": a, "length": n, "type": k, "sha256": hashlib.sha256(data[a : a + n]).hexdigest(), "content": data[a : a + n]} for a, n, k in found if a])
             columns = [pa.array(types), pa.array([c is not None and c != t for c, t in zip(claims, types, strict=True)]), pa.array(inner, kind_of_embedded)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*carried, *own])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, *own])
 
-    return df.select(*[F.col(f"`{c}`") for c in carried]).mapInArrow(run, schema)
+    return df.select(*quoted(kept)).mapInArrow(batchwise(run), schema)
 
 
 def texts_as_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -417,11 +450,9 @@ def texts_as_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The feature names the sniffed type, the samples, how many distinct values they
     take, their mean, and the types embedded; equal texts give equal features.
     """
-    schema = f"{key} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"`{key}` {dict(df.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
-        import numpy as np
-
         for batch in batches:
             rows = []
             for v in batch.column(1):
@@ -438,6 +469,6 @@ def texts_as_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"audio/wav;samples={len(back)};values={int((counts > 0).sum())};mean_milli={mean};embedded={inner}"))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[x.split(" ")[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[key, *(x.split(" ")[0] for x in schema.split(", ")[1:])])
 
-    return df.select(F.col(key).cast("long").alias(key), text_of(text).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{key}`"), text_of(text).alias(unused("text", [key]))).mapInArrow(batchwise(run), schema)
