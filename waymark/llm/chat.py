@@ -8,10 +8,13 @@ Events are rows (conversation, sequence, message, kind, role, text):
 A message takes the role of its last event that has one, and its place from its
 first event. Events are folded in the order of sequence; ties go by kind, role
 and text, so repeated rows have a defined result. Null text counts as empty, null
-role as an empty role, and a null sequence comes first.
+role as an empty role, and a null sequence comes first. An empty log gives no
+conversations. Other columns of the log don't count, whatever their names.
 
 The log is dealt by conversation and sorted inside partitions; a conversation is
-read as a stream, message by message, and never held whole.
+read as a stream, message by message, and never held whole: its formatted text is
+made, and read back, in runs of turns of CHUNK characters or one turn. So a very long
+text costs memory of some six times its size, and a long conversation none.
 """
 
 from __future__ import annotations
@@ -25,9 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ._workers import batchwise
 
 #: Fixed values of the template: a turn opens with its role and closes with a mark.
 OPEN, CLOSE, ESCAPE = "### {}:\n", "\n</turn>\n", "\\"
+#: Characters of formatted turns that are read back together.
+CHUNK = 1 << 16
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System"}
 _CONTROL = re.compile(r"(\\*)(###|</turn>)")
 _ESCAPED = re.compile(r"\\(\\*)(###|</turn>)")
@@ -89,17 +98,17 @@ def fold(events: Iterator[tuple]) -> Iterator[tuple]:
         yield (*key, role, "".join(parts))
 
 
-def sorted_log(events: DataFrame) -> DataFrame:
+def sorted_log(events: DataFrame, place: str | None = None) -> DataFrame:
     """The log dealt by conversation, in order of each message's place and the sequence in it.
 
-    events: conv_id, message_id, seq, kind, role, text; place too, or else it is the message's first seq.
+    events: conv_id, message_id, seq, kind, role, text. place: a column to order the messages
+    by, or else it is the message's first seq.
     """
-    dealt = events.repartition("conv_id")
-    if "place" not in events.columns:
+    dealt = events.select("conv_id", (F.col(f"`{place}`") if place else F.lit(None)).alias("place"), "message_id", "seq", "kind", "role", "text").repartition("conv_id")
+    if place is None:
         message = W.partitionBy("conv_id", "message_id")
         dealt = dealt.withColumn("place", F.when(F.count(F.when(F.col("seq").isNull(), 1)).over(message) == 0, F.min("seq").over(message)))
-    order = [F.asc_nulls_first(c) for c in ("conv_id", "place", "message_id", "seq", "kind", "role", "text")]
-    return dealt.select("conv_id", "place", "message_id", "seq", "kind", "role", "text").sortWithinPartitions(*order)
+    return dealt.sortWithinPartitions(*[F.asc_nulls_first(c) for c in dealt.columns])
 
 
 def _stream(batches) -> Iterator[tuple]:
@@ -108,9 +117,11 @@ def _stream(batches) -> Iterator[tuple]:
         yield from zip(batch["conv_id"].to_pylist(), message, batch["kind"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True)
 
 
-def final_messages(events: DataFrame) -> DataFrame:
+def final_messages(events: DataFrame, place: str | None = None) -> DataFrame:
     """conv_id, turn (0, 1, ...), role, text and formatted of every final message of an event log."""
-    kind = dict(events.dtypes)["conv_id"]
+    schema = T.StructType.fromDDL(f"conv_id {dict(events.dtypes)['conv_id']}, turn int, role string, text string, formatted string")
+    kinds = [f.type for f in to_arrow_schema(schema)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
     def run(batches):
         rows, conv, turn = [], object(), 0
@@ -118,66 +129,91 @@ def final_messages(events: DataFrame) -> DataFrame:
             conv, turn = c, (turn + 1 if c == conv else 0)
             rows.append((c, turn, role, text, rendered(role, text)[0]))
             if len(rows) == 1000:
-                yield _batch(rows)
+                yield batch(rows)
                 rows = []
         if rows:
-            yield _batch(rows)
-
-    return sorted_log(events).mapInArrow(run, f"conv_id {kind}, turn int, role string, text string, formatted string")
-
-
-def _batch(rows):
-    conv, turn, role, text, formatted = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(conv), pa.array(turn, pa.int32()), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(formatted, pa.string())], names=["conv_id", "turn", "role", "text", "formatted"])
-
-
-def digests(events: DataFrame) -> DataFrame:
-    """One row per conversation of a log, read back from its formatted text turn by turn."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kind = dict(events.dtypes)["conv_id"]
-    kinds = [pa.int64() if kind == "bigint" else None, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield batch(rows)
+
+    return sorted_log(events, place).mapInArrow(batchwise(run), schema)
+
+
+class Digest:
+    """Figures of one conversation, from what is read back of its formatted text."""
+
+    def __init__(self):
+        self.n = self.chars = self.loss_chars = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.parts, self.masks, self.size = [], [], 0
+
+    def add(self, role: str, text: str) -> None:
+        whole, a, b = rendered(role, text)
+        if b > a:
+            self.masks.append((self.size + a, self.size + b))
+        self.parts.append(whole)
+        self.size += len(whole)
+        if self.size >= CHUNK:
+            self.read_back()
+
+    def read_back(self) -> None:
+        formatted = "".join(self.parts)
+        for role, text, _, _ in parsed(formatted):
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+        for a, b in self.masks:
+            masked = unescaped(formatted[a:b])
+            self.loss.update(masked.encode())
+            self.loss_chars += len(masked)
+        self.chars += len(formatted)
+        self.parts, self.masks, self.size = [], [], 0
+
+    def row(self) -> tuple:
+        self.read_back()
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+def digests(events: DataFrame, place: str | None = None) -> DataFrame:
+    """One row per conversation of a log, read back from its formatted text over the borders of turns."""
+    schema = T.StructType.fromDDL(f"conv_id {dict(events.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kinds = [f.type for f in to_arrow_schema(schema)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
     def run(batches):
-        rows, conv, n = [], None, 0
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        rows, conv, open_ = [], None, None
         for c, _, role, text in fold(_stream(batches)):
-            if n == 0 or c != conv:
-                if n:
-                    rows.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            if open_ is None or c != conv:
+                if open_:
+                    rows.append((conv, *open_.row()))
                 if len(rows) == 1000:
-                    yield batch()
+                    yield batch(rows)
                     rows = []
-                conv, n, turns, loss, loss_chars, chars = c, 0, hashlib.sha256(), hashlib.sha256(), 0, 0
-            whole, a, b = rendered(role, text)
-            ((back_role, back_text, _, _),) = parsed(whole)
-            n, chars = n + 1, chars + len(whole)
-            turns.update(f"{back_role}\n{back_text}\n".encode())
-            if back_role == "assistant":
-                masked = unescaped(whole[a:b])
-                loss.update(masked.encode())
-                loss_chars += len(masked)
-        if n:
-            rows.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                conv, open_ = c, Digest()
+            open_.add(role, text)
+        if open_:
+            rows.append((conv, *open_.row()))
         if rows:
-            yield batch()
+            yield batch(rows)
 
-    return sorted_log(events).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return sorted_log(events, place).mapInArrow(batchwise(run), schema)
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """Finished turns as a log: a draft that is regenerated, then the text in two deltas.
+    """Finished turns as a log, with a place for each: a draft that is regenerated, a wrong beginning that is edited, and the rest of the text.
 
-    turns: conv_id, turn, role, text. Rows of one turn are messages of their own,
-    in order of role and text; equal rows stay apart.
+    Behind each turn stands a message that is deleted. turns: conv_id, turn, role, text.
+    Rows of one turn are messages of their own, in order of role and text; equal rows
+    stay apart.
     """
     order = W.partitionBy("conv_id", "turn").orderBy(F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     plain = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     numbered = plain.repartition("conv_id").withColumn("message_id", F.row_number().over(order))
     half = "cast(char_length(text) / 2 as int)"
     steps = F.expr(f"""inline(array(
-        named_struct('seq', 0, 'kind', 'delta', 'text', substring(text, 1, 8)),
-        named_struct('seq', 1, 'kind', 'regenerate', 'text', ''),
-        named_struct('seq', 2, 'kind', 'delta', 'text', substring(text, 1, {half})),
-        named_struct('seq', 3, 'kind', 'delta', 'text', substring(text, {half} + 1))))""")
-    parts = numbered.select("conv_id", F.col("turn").alias("place"), "message_id", F.col("role").alias("by"), "text")
-    return parts.select("conv_id", "place", "message_id", F.coalesce("by", F.lit("")).alias("role"), steps)
+        named_struct('message_id', message_id, 'seq', 0, 'kind', 'delta', 'text', substring(text, 1, 8)),
+        named_struct('message_id', message_id, 'seq', 1, 'kind', 'regenerate', 'text', ''),
+        named_struct('message_id', message_id, 'seq', 2, 'kind', 'delta', 'text', 'wrong'),
+        named_struct('message_id', message_id, 'seq', 3, 'kind', 'edit', 'text', substring(text, 1, {half})),
+        named_struct('message_id', message_id, 'seq', 4, 'kind', 'delta', 'text', substring(text, {half} + 1)),
+        named_struct('message_id', -message_id, 'seq', 0, 'kind', 'delta', 'text', 'dropped'),
+        named_struct('message_id', -message_id, 'seq', 1, 'kind', 'delete', 'text', '')))""")
+    parts = numbered.select("conv_id", F.col("turn").alias("place"), "message_id", F.coalesce("role", F.lit("")).alias("role"), "text")
+    return parts.select("conv_id", "place", "role", steps)

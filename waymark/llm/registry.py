@@ -67,7 +67,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.events_of_turns(turns.unionByName(more)))
+    return chat.digests(chat.events_of_turns(turns.unionByName(more)), "place")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontaminate, op4_sentencepiece, op5_licenses, op6_lm_score, op7_language, op8_quality, op9_media, op10_chat)}
