@@ -26,7 +26,7 @@ WHERE o_orderstatus = 'O' AND contains(lower(c_name), 'customer') AND o_orderdat
 SELECT page.*, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS items
 FROM page JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def listing_page(spark, d):
-    """A filtered, ordered page, with each row's children nested."""
+    """A filtered, ordered page, with each row's children nested."""
     page = R.page(_listing(spark, d).select("o_orderkey", "o_orderdate", "o_totalprice", "c_name", "n_name"), [F.col("o_orderdate"), F.col("o_orderkey")], number=2)
     items = table(spark, d, "lineitem").join(F.broadcast(page.select(F.col("o_orderkey").alias("l_orderkey"))), "l_orderkey", "left_semi")
     nested = R.with_children(page, items, "o_orderkey", "l_orderkey", "items", ["l_linenumber", "l_returnflag"])

@@ -154,3 +154,10 @@ def b21_calendar_pages(spark, d):
     pages = pages.select("n_regionkey", F.lit("http://cal.example.com/SC/List.asp").alias("url"), _text(head, "<table>", body, "</table>", nav).alias("html"))
     out = readers.calendar_pages(pages, "n_regionkey", "html", "url", "cal.example.com", r"^/sc/list\d*\.asp$", r"^/show\?", r"calendario")
     return out.select("n_regionkey", F.array_join("next_urls", ",").alias("next_urls"), "error", F.col("events").cast("long").alias("events"))
+
+
+@query("""SELECT 0::BIGINT AS page_id, 'https://mock.example.com/0' AS url, 'One' AS title UNION ALL SELECT 1, 'https://mock.example.com/1', NULL""")
+def s21_mock_pages(spark, d):
+    """A source with given texts, read as any other."""
+    pages = readers.mock_pages(spark, ["<title>One</title>", "no title"])
+    return pages.select("page_id", "url", E.html_title("html").alias("title"))

@@ -55,7 +55,7 @@ def q2_claim(spark, d):
 CAST(CASE WHEN holder AND outcome = 'deferred' THEN greatest(attempt - 1, 0) ELSE attempt END AS INTEGER) AS new_attempt, CAST(CASE WHEN holder AND outcome = 'failed' AND attempt < 3 THEN least(1800, 30 * pow(2, attempt)) END AS INTEGER) AS retry_seconds, outcome IS NOT NULL AND NOT holder AS refused
 FROM (SELECT *, id % 7 <> 0 AND outcome IS NOT NULL AND status = 'running' AND lease_until >= TIMESTAMP '1995-06-01' AS holder FROM (SELECT *, ['completed','failed','deferred','heartbeat'][id // 2 % 4 + 1] AS outcome FROM ({TASKS})))""")
 def q3_transitions(spark, d):
-    """Reports change a task only while their lease is live."""
+    """Q3 Q4: reports change a task only while their lease is live."""
     t = _tasks(spark, d)
     outcome = F.element_at(F.array(*[F.lit(x) for x in ("completed", "failed", "deferred", "heartbeat")]), (F.expr("id div 2") % 4 + 1).cast("int"))
     reports = t.select("id", F.when(F.col("id") % 7 == 0, "stale").otherwise(F.col("token")).alias("token"), outcome.alias("outcome"))
@@ -234,7 +234,7 @@ def b23_rate_window(spark, d):
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'network' WHEN 'click' THEN 'timeout' ELSE 'unexpected' END AS code, event_type IN ('error', 'click') AS retryable, CAST(least(1800, 30 * pow(2, event_id % 8)) AS INTEGER) AS retry_seconds, CAST(least(15000, 1000 * pow(2, least(4, event_id % 8))) AS INTEGER) AS idle_ms FROM events""")
 def b24_error_class(spark, d):
-    """Errors by code, and delays."""
+    """Errors by code, and delays."""
     codes = spark.createDataFrame([("error", "network", True), ("click", "timeout", True)], "event_type string, code string, retryable boolean")
     rows = table(spark, d, "events").join(codes, "event_type", "left")
     return rows.select("event_id", F.coalesce("code", F.lit("unexpected")).alias("code"), F.coalesce("retryable", F.lit(False)).alias("retryable"), numbers.retry_delay(F.col("event_id") % 8).alias("retry_seconds"), numbers.idle_delay(F.col("event_id") % 8).alias("idle_ms"))

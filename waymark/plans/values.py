@@ -138,3 +138,11 @@ def r5_evidence_class(spark, d):
     k, none = F.col("c_custkey") % 4, F.lit(None).cast("string")
     values = F.when(k == 0, F.array(none, none)).when(k == 1, F.array(F.lit("2026-01-01"), none)).when(k == 2, F.array(F.lit("2026-01-01"), F.lit("2026-01-02"))).otherwise(F.array(F.lit("2026-01-01"), F.lit("2026-01-01")))
     return table(spark, d, "customer").select("c_custkey", M.evidence_class(values).alias("evidence"))
+
+
+@query("""SELECT c_custkey, least(greatest(c_acctbal, 0.0), 5000.0)::DOUBLE AS clamped, CASE WHEN c_custkey % 4 = 0 THEN c_custkey ELSE 20 END AS size FROM customer WHERE c_custkey > 0""")
+def x26_bounds(spark, d):
+    """Numbers held between bounds, and positive whole ones with a fallback."""
+    k = F.col("c_custkey")
+    given = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, "-3").when(k % 4 == 2, "many")
+    return table(spark, d, "customer").filter(k > 0).select("c_custkey", numbers.clamp("c_acctbal", 0.0, 5000.0).alias("clamped"), numbers.positive_or(given, 20).alias("size"))
