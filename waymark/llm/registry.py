@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, licenses, lm, media, pieces, quality, toxicity
+from . import chat, decontaminate, jaccard, language, licenses, lm, media, merkle, pieces, quality, toxicity
 from ._store import fold_of
 
 
@@ -70,7 +70,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.events_of_turns(turns.unionByName(more)), "place")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontaminate, op4_sentencepiece, op5_licenses, op6_lm_score, op7_language, op8_quality, op9_media, op10_chat)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontaminate, op4_sentencepiece, op5_licenses, op6_lm_score, op7_language, op8_quality, op9_media, op10_chat, op12_merkle)}
 
 SQL = {
     "op10_chat": r"""
@@ -86,5 +90,59 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length('### ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' WHEN 'system' THEN 'System' ELSE '"' || role || '"' END || ':' || chr(10))
     + length(regexp_replace(text, '(\\*)(###|</turn>)', '\1\1\\\2', 'g')) + 9) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
+""",
+    "op12_merkle": r"""
+WITH RECURSIVE crcs AS (
+  SELECT doc_id, xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS UBIGINT[])),
+      lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS UBIGINT)) ELSE x >> 1 END), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) AS crc
+  FROM documents WHERE doc_id IS NOT NULL
+), marked AS (
+  SELECT documents.*, crc IS NOT NULL AND crc % 7 = 0 AS hit FROM documents LEFT JOIN (SELECT DISTINCT * FROM crcs) c USING (doc_id)
+), hashed AS (
+  SELECT doc_id, lang, hit, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || body) AS leaf,
+    sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || body) AS changed
+  FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body FROM marked)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed
+), up AS (
+  SELECT lang, 0 AS level, place, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT lang, any_value(level) + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, place // 2
+), tops AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM up WHERE n = 1
+), forest AS (
+  SELECT 0 AS level, place, subroot AS node, count(*) OVER () AS n FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 1) // 2 FROM forest WHERE n > 1 GROUP BY place // 2
+), steps AS (
+  SELECT p.lang, p.place AS leaf_place, u.level, u.node, u.place < (p.place >> u.level) AS is_left
+  FROM placed p JOIN up u ON u.lang IS NOT DISTINCT FROM p.lang AND u.place = xor(p.place >> u.level, 1)
+), forest_steps AS (
+  SELECT t.lang, 1000 + f.level AS level, f.node, f.place < (t.place >> f.level) AS is_left FROM tops t JOIN forest f ON f.place = xor(t.place >> f.level, 1)
+), depths AS (
+  SELECT lang, max(level) AS depth FROM up GROUP BY lang
+), numbered AS (
+  SELECT p.lang, p.place AS leaf_place, k.level AS level, s.node, s.is_left
+  FROM placed p JOIN depths d ON d.lang IS NOT DISTINCT FROM p.lang, LATERAL (SELECT unnest(range(d.depth)) AS level) k
+  LEFT JOIN steps s ON s.lang IS NOT DISTINCT FROM p.lang AND s.leaf_place = p.place AND s.level = k.level
+  UNION ALL
+  SELECT p.lang, p.place, 1000 + k.level, f.node, f.is_left
+  FROM placed p, (SELECT unnest(range((SELECT max(level) FROM forest))) AS level) k
+  LEFT JOIN forest_steps f ON f.lang IS NOT DISTINCT FROM p.lang AND f.level = 1000 + k.level
+), paths AS (
+  SELECT lang, leaf_place, sha256(coalesce(string_agg(node, '' ORDER BY level), '')) AS proof, list({'node': node, 'is_left': is_left} ORDER BY level) AS path FROM numbered GROUP BY lang, leaf_place
+), whole AS (
+  SELECT p.*, subroot, (SELECT node FROM forest WHERE n = 1) AS root, coalesce(proof, sha256('')) AS proof_sha256, path
+  FROM placed p JOIN tops t ON t.lang IS NOT DISTINCT FROM p.lang LEFT JOIN paths s ON s.lang IS NOT DISTINCT FROM p.lang AND s.leaf_place = p.place
+), fold AS (
+  SELECT lang, place, 0 AS k, CASE WHEN hit THEN changed ELSE leaf END AS node, path FROM whole
+  UNION ALL
+  SELECT lang, place, k + 1, sha256(CASE WHEN path[k + 1].node IS NULL THEN node WHEN path[k + 1].is_left THEN path[k + 1].node || node ELSE node || path[k + 1].node END), path
+  FROM fold WHERE k < coalesce(len(path), 0)
+)
+SELECT w.doc_id, w.leaf, w.subroot, w.root, w.proof_sha256, f.node AS folded_root, f.node = w.root AS verified
+FROM whole w JOIN fold f ON f.lang IS NOT DISTINCT FROM w.lang AND f.place = w.place AND f.k = coalesce(len(w.path), 0)
 """,
 }
