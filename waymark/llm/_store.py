@@ -35,11 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*frames: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            deleted(df.sparkSession, folder)
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(name: str, columns) -> str:

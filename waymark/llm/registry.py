@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, licenses, lm, media, merkle, pieces, quality, toxicity
+from . import chat, decontaminate, jaccard, language, licenses, lm, media, merkle, pieces, quality, toxicity, warc
 from ._store import fold_of
 
 
@@ -74,7 +74,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontaminate, op4_sentencepiece, op5_licenses, op6_lm_score, op7_language, op8_quality, op9_media, op10_chat, op12_merkle)}
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontaminate, op4_sentencepiece, op5_licenses, op6_lm_score, op7_language, op8_quality, op9_media, op10_chat, op12_merkle, op13_warc)}
 
 SQL = {
     "op10_chat": r"""
@@ -144,5 +148,13 @@ WITH RECURSIVE crcs AS (
 )
 SELECT w.doc_id, w.leaf, w.subroot, w.root, w.proof_sha256, f.node AS folded_root, f.node = w.root AS verified
 FROM whole w JOIN fold f ON f.lang IS NOT DISTINCT FROM w.lang AND f.place = w.place AND f.k = coalesce(len(w.path), 0)
+""",
+    "op13_warc": """
+WITH bodies AS (SELECT page_id, url, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS size FROM pages),
+equal AS (SELECT body, max(page_id) AS first FROM bodies WHERE size >= 1000 GROUP BY body)
+SELECT page_id, size AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN first <> page_id OR (first IS NOT NULL AND page_id IS NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id OR (first IS NOT NULL AND page_id IS NULL) THEN first END AS refers_to
+FROM bodies LEFT JOIN equal USING (body)
 """,
 }
