@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, licenses, lm, media, merkle, pieces, quality, toxicity, warc
+from . import chat, decontaminate, jaccard, language, licenses, lm, media, merkle, pieces, quality, toxicity, warc, whitening
 from ._store import fold_of
 
 
@@ -70,6 +70,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.events_of_turns(turns.unionByName(more)), "place")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.train(vectors))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
 
@@ -78,7 +83,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontaminate, op4_sentencepiece, op5_licenses, op6_lm_score, op7_language, op8_quality, op9_media, op10_chat, op12_merkle, op13_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontaminate, op4_sentencepiece, op5_licenses, op6_lm_score, op7_language, op8_quality, op9_media, op10_chat, op11_whitening, op12_merkle, op13_warc)}
 
 SQL = {
     "op10_chat": r"""
