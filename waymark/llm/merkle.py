@@ -78,10 +78,10 @@ def manifest(rows: DataFrame, leaf: Column, group: str, key: str, carry: dict[st
     top = forest[-1].select("tree", "block", F.element_at(F.element_at("levels", -1), 1).alias("root"), _nothing().alias("above"))
     for level, blocks in enumerate(reversed(forest)):
         top = _nodes(blocks, top, ["root"], arity, depth)
-        top = top.select("tree", F.col("at").alias("block"), "root", "path", "item", "node").withColumnRenamed("path", "above")
-        top = top if level + 1 == len(forest) else top.drop("item", "node")
+        if level + 1 < len(forest):
+            top = top.select("tree", F.col("at").alias("block"), "root", F.col("path").alias("above"))
     # the nodes of the forest are the only blocks of the groups' last round
-    top = top.select(F.col("item").alias("tree"), F.lit(0).cast("long").alias("block"), F.col("node").alias("subroot"), "root", "above")
+    top = top.select(F.col("item").alias("tree"), F.lit(0).cast("long").alias("block"), F.col("node").alias("subroot"), "root", F.col("path").alias("above"))
     for level, blocks in enumerate(reversed(rounds)):
         top = _nodes(blocks, top, ["subroot", "root"], arity, depth)
         if level + 1 < len(rounds):

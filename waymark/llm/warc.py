@@ -179,7 +179,7 @@ def pairs(lines: list[str]) -> list[tuple[str, str]]:
     found: list[tuple[str, str]] = []
     for line in lines:
         if line[:1] in (" ", "\t") and found:
-            found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}")
+            found[-1] = (found[-1][0], f"{found[-1][1]} {line.strip()}".strip())
         elif ":" in line:
             name, _, value = line.partition(":")
             found.append((name.strip(), value.strip()))
