@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import normalize_date
-from ..functions.text import clean, fingerprint, name_words, slugify, strip_accents, word_similarity
+from ..functions.text import clean, fingerprint, name_words, slugify, strip_accents
 from ..functions.urls import absolute, comparable
 from .extract import country_in_location, country_of, looks_like_venue, normalized_warnings
-from .lineage import cut
+from .lineage import cut, dropped, stored
+from .ranges import placed
 from .relational import latest
+from .similar import best_similar
 
 #: Source priority in a merge; kept confidence; reasons that block publication by warning.
 PRIORITY = {"official": 100, "tickets": 80, "results": 50, "calendar": 10}
@@ -91,12 +93,12 @@ def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     each: (1) same source and id; (2) a common link and the day: ambiguous if there are
     several, and automatic only if nothing speaks against it; (3) any common address and
     the day; (4) the same fingerprint and day; (5) the same day and place with names at
-    least SIMILAR. The last three are for review and leave rejected records out. The first
-    rank with a hit decides.
+    least SIMILAR, which only records without any other hit are held against. The last three
+    are for review and leave rejected records out. The first rank with a hit decides.
     """
     names = ("source", "external_id", "date", "city", "state", "country", "status")
-    a = incoming.select(*[F.col(c).alias(f"a_{c}") for c in incoming.columns], name_words("name").alias("a_words"))
-    b = known.select(*[F.col(c).alias(f"b_{c}") for c in known.columns], name_words("name").alias("b_words"))
+    a = incoming.select(*[F.col(c).alias(f"a_{c}") for c in incoming.columns])
+    b = known.select(*[F.col(c).alias(f"b_{c}") for c in known.columns])
     open_ = b.filter("b_status != 'rejected'")
 
     def hit(joined: DataFrame, rank: int, score: Column, automatic: Column, reason: Column) -> DataFrame:
@@ -115,9 +117,13 @@ def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     link = hit(linked.withColumn("__why", why), 2, F.lit(1.0), F.col("__why").isNull(), F.coalesce("__why", F.lit("link_confirmed")))
     generic = hit(sharing(open_, "urls"), 3, F.lit(1.0), F.lit(False), F.lit("link_unconfirmed"))
     print_ = hit(a.join(open_, (F.col("a_fingerprint") == F.col("b_fingerprint")) & (F.col("a_date") == F.col("b_date"))), 4, F.lit(1.0), F.lit(False), F.lit("fingerprint_review"))
-    place = (F.col("a_date") == F.col("b_date")) & (F.lower("a_city") == F.lower("b_city")) & (F.col("a_state") == F.col("b_state")) & (F.col("a_country") == F.col("b_country"))
-    near = hit(a.join(open_, place), 5, word_similarity("a_words", "b_words"), F.lit(False), F.lit("similar_review")).filter(F.col("score") >= SIMILAR)
-    best = latest(same.unionByName(link).unionByName(generic).unionByName(print_).unionByName(near), ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")])
+    sure = cut(latest(same.unionByName(link).unionByName(generic).unionByName(print_), ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")]))
+    place = lambda df: df.withColumns({"words": name_words("name"), "__city": F.lower("city")})
+    left = place(incoming.join(sure.select("id"), "id", "left_anti"))
+    right = place(known.filter("status != 'rejected'")).withColumnRenamed("id", "match")
+    near = best_similar(left, right, "id", "match", "words", ["date", "__city", "state", "country"], SIMILAR)
+    near = near.select("id", "match", F.lit(5).alias("rank"), "score", F.lit(False).alias("automatic"), F.lit("similar_review").alias("reason"))
+    best = sure.unionByName(near)
     rows = incoming.select("id").join(best, "id", "left")
     return rows.select("id", "match", F.coalesce("rank", F.lit(9)).alias("rank"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("automatic", F.lit(False)).alias("automatic"), F.coalesce("reason", F.lit("none")).alias("reason"))
 
@@ -288,11 +294,26 @@ def _rank(source: Column, table: dict[str, int] = PRIORITY) -> Column:
 
 
 def weak_candidates(df: DataFrame, key: str, day: str, keys: list[Column]) -> DataFrame:
-    """key and weak: how many other records of the same day share any of the keys (a fingerprint, an address), which hints but proves nothing."""
-    tagged = [F.when(k.isNotNull() & F.col(day).isNotNull(), F.concat_ws("|", F.lit(str(i)), F.col(day).cast("string"), k.cast("string"))) for i, k in enumerate(keys)]
-    rows = df.select(F.col(key), F.explode(F.array_compact(F.array(*tagged))).alias("k"))
-    pairs = rows.join(rows.select(F.col(key).alias("other"), "k"), "k").filter(F.col(key) != F.col("other")).select(key, "other").distinct()
-    return df.select(key).distinct().join(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("weak")), key, "left").fillna({"weak": 0})
+    """key and weak: how many other records of the same day share any of the keys (a fingerprint, an address), which hints but proves nothing.
+
+    A record has one row; equal rows count once. Records aren't paired: how many share any key is the
+    sum of how many share each, less those that share each two, and so on over all
+    subsets of the keys, so a key that many records share is one count.
+    """
+    named = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(F.col(key).alias("id"), F.col(day).cast("string").alias("day"), *[k.cast("string").alias(n) for k, n in zip(keys, named, strict=True)]).distinct()
+    subsets = [[n for i, n in enumerate(named) if bits >> i & 1] for bits in range(1, 1 << len(named))]
+
+    def shared(names: list[str]) -> Column:
+        whole = F.col("day").isNotNull()
+        for n in names:
+            whole = whole & F.col(n).isNotNull()
+        return F.when(whole, F.struct(F.lit(1 if len(names) % 2 else -1).alias("sign"), F.to_json(F.struct("day", *names)).alias("value")))
+
+    each = rows.select("id", F.inline(F.array_compact(F.array(*[shared(s) for s in subsets]))))
+    many = each.groupBy("value").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
+    sums = each.join(many, "value").groupBy("id").agg(F.sum(F.col("sign") * F.col("others")).alias("weak"))
+    return df.select(F.col(key).alias("id")).distinct().join(sums, "id", "left").select(F.col("id").alias(key), F.coalesce("weak", F.lit(0)).cast("long").alias("weak"))
 
 
 def source_matches(stored: DataFrame, observed: DataFrame, references: DataFrame) -> DataFrame:
@@ -388,27 +409,32 @@ def record_diff(old: str, new: str, fields: list[str]) -> Column:
 def linked_groups(df: DataFrame, key: str, link: str, most: int = 3) -> DataFrame:
     """key, group (the least key of its component) and size; ambiguous beyond `most`. Records hang together by equal links.
 
-    Links join through the least key of each link, so a link that many records share
-    makes as many edges as records, not pairs. Rounds of minimum labels and pointer
-    jumps end when nothing changes; each round is checkpointed.
+    Keys of any type that has an order. Links join through the least key of each link, so a
+    link that many records share makes as many edges as records, not pairs. A round hangs
+    all greater neighbours of a node, then all its lesser ones, onto the least of them; when
+    a round changes no edge, every record hangs on the least key of its component. That takes
+    about the logarithm of the longest path. Each round is a table, which the next deletes; the last one stays
+    for the result to read.
     """
-    rows = df.filter(F.col(link).isNotNull()).select(key, link).distinct()
-    hubs = rows.groupBy(link).agg(F.min(key).alias("hub"))
-    edges = cut(rows.join(hubs, link).select(F.col(key).alias("a"), F.col("hub").alias("b")).distinct())
-    labels = df.select(F.col(key).alias("a")).distinct().withColumn("label", F.col("a"))
-    both = edges.union(edges.select("b", "a"))
-    before = None
+    rows = df.filter(F.col(link).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("a"), F.col(link).alias("link")).distinct()
+    hubs = rows.groupBy("link").agg(F.min("a").alias("b"))
+    edges = stored(rows.join(hubs, "link").filter("a != b").select("a", "b").distinct())
     while True:
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        step = labels.join(near, "a", "left").select("a", F.least("label", F.coalesce("l", "label")).alias("label"))
-        jump = step.select(F.col("a").alias("label"), F.col("label").alias("up"))
-        labels = cut(step.join(jump, "label", "left").select("a", F.coalesce("up", "label").alias("label")))
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == before:
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = stored(small.union(down).distinct())
+        same = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        dropped(edges)
+        edges = new
+        if same:
             break
-        before = now
-    size = F.count(F.lit(1)).over(W.partitionBy("label"))
-    return labels.select(F.col("a").alias(key), F.col("label").alias("group"), size.alias("size")).withColumn("ambiguous", F.col("size") > most)
+    labels = df.select(F.col(key).alias("a")).distinct().join(edges, "a", "left").select("a", F.coalesce("b", "a").alias("label"))
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    out = labels.filter("a is not null").join(sizes, "label").select(F.col("a").alias(key), F.col("label").alias("group"), "size")
+    return out.withColumn("ambiguous", F.col("size") > most)
 
 
 def group_merge(df: DataFrame, group: str, key: str, created: str, parts: list[str], linked: str | None = None, most: int = 3) -> DataFrame:
@@ -485,3 +511,31 @@ def manifest(tables: dict[str, tuple[DataFrame, list[str], DataFrame | None, str
     zero = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c)
     out = out if "orphans" in out.columns else out.withColumn("orphans", F.lit(0))
     return out.groupBy("table_name").agg(zero("rows"), F.max("sample_hash").alias("sample_hash"), zero("orphans"))
+
+
+def unique_slugs(df: DataFrame, key: str, base: str, taken: DataFrame | None = None) -> DataFrame:
+    """key and slug: the base itself for its first row by key, if it isn't taken, and for others the base with the least free numbers from 2 on.
+
+    taken: a table with a column `slug` of those that are in use. No base's numbers run into
+    another base's, as the last number tells them apart, so only bases and taken slugs are in their way:
+    with those of a base numbered as breaks, a row's number is its place among rows and
+    breaks together. Places come from ranges, so a base of any number of rows is spread.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(base).alias("base"))
+    used = rows.select(F.col("base").alias("slug")).distinct()
+    if taken is not None:
+        old = taken.select("slug").distinct()
+        first_free = used.join(old, "slug", "left_anti").select(F.col("slug").alias("base"), F.lit(1).alias("free"))
+        used = used.union(old).distinct()
+    else:
+        first_free = used.select(F.col("slug").alias("base"), F.lit(1).alias("free"))
+    numbered_slug = used.select(F.regexp_extract("slug", r"^(.+)-([1-9]\d{0,17})$", 1).alias("base"), F.regexp_extract("slug", r"^(.+)-([1-9]\d{0,17})$", 2).try_cast("long").alias("number"))
+    breaks = numbered_slug.filter("number >= 2").join(rows.select("base").distinct(), "base", "left_semi")
+    # the i-th break (from 0) stands behind number - 2 - i free numbers
+    breaks = placed(breaks, ["base"], ["number"]).select("base", (F.col("number") - 2 - F.col("place")).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(rows.schema["key"].dataType).alias("key"))
+    asked = placed(rows, ["base"], ["key"]).join(first_free, "base", "left")
+    asked = asked.select("base", (F.col("place") - F.coalesce("free", F.lit(0))).alias("at"), F.lit(1).alias("kind"), "key")
+    # a break counts for a row with at least as many rows before it as free numbers before the break
+    both = placed(asked.filter("at >= 0").union(breaks), ["base"], ["at", "kind", "key"])
+    later = both.filter("kind = 1").select("key", F.concat("base", F.lit("-"), (F.col("place") + 2).cast("string")).alias("slug"))
+    return asked.filter("at < 0").select("key", F.col("base").alias("slug")).union(later).withColumnRenamed("key", key)

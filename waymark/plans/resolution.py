@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..operators import relational as R
 from ..operators import resolve as M
+from ..operators import similar as S
 from . import query, table
 
 
@@ -56,8 +57,7 @@ SELECT a.p_partkey AS id, b.p_partkey AS match, round(len(list_intersect(a.t, b.
 def w2_best_match(spark, d):
     """The most similar record of each block, from a least similarity on."""
     p = table(spark, d, "part").select("p_partkey", text.name_words("p_name").alias("words"), "p_size")
-    pairs = p.toDF("id", "a", "p_size").join(p.toDF("match", "b", "p_size"), "p_size").filter("id != match")
-    return R.best_match(pairs.select("id", "match", text.word_similarity("a", "b").alias("score")), "id", "score", "match", 0.3)
+    return S.best_similar(p.withColumnRenamed("p_partkey", "id"), p.withColumnRenamed("p_partkey", "match"), "id", "match", "words", ["p_size"], 0.3, same=True)
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 AND l_quantity <= 25 THEN 'source_identity_conflict' WHEN l_linestatus = 'F' THEN 'restricted' WHEN l_discount > 0.08 THEN 'date_mismatch' WHEN l_returnflag = 'R' THEN 'location_conflict' WHEN l_tax > 0.06 THEN 'link_unconfirmed'
@@ -331,15 +331,18 @@ def r22_manifest(spark, d):
     return M.manifest({"customer": (t["customer"], ["c_custkey"], t["nation"], "c_nationkey", "n_nationkey"), "orders": (t["orders"], ["o_orderkey"], t["customer"], "o_custkey", "c_custkey"), "lineitem": (t["lineitem"], ["l_orderkey", "l_linenumber"], t["orders"], "l_orderkey", "o_orderkey")})
 
 
-@query(r"""SELECT p_partkey, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS slug FROM (SELECT p_partkey, base, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM (SELECT p_partkey, replace(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS base FROM part))""")
+@query(r"""WITH b AS (SELECT p_partkey AS id, replace(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' ', '-') || CASE WHEN p_partkey % 50 = 1 THEN '-' || (2 + p_size % 4) ELSE '' END AS base FROM part),
+t AS (SELECT DISTINCT replace(lower(p_type), ' ', '-') || CASE WHEN p_size % 3 = 0 THEN '' ELSE '-' || p_size END AS slug FROM part WHERE p_size < 8),
+used AS (SELECT slug FROM t UNION SELECT base FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) - CASE WHEN base IN (SELECT slug FROM t) THEN 0 ELSE 1 END AS m FROM b),
+free AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS m FROM (SELECT DISTINCT base FROM b) x, (SELECT unnest(range(2, (SELECT count(*) FROM b) + 60)) AS k) y WHERE base || '-' || k NOT IN (SELECT slug FROM used))
+SELECT id AS p_partkey, base || CASE WHEN n.m = 0 THEN '' ELSE '-' || k END AS slug FROM n LEFT JOIN free USING (base, m)""")
 def b27_unique_slug(spark, d):
-    """Slugs made unique by numbers."""
-    from pyspark.sql import Window
-
-    base = text.slugify("p_type")
-    n = F.row_number().over(Window.partitionBy("base").orderBy("p_partkey"))
-    rows = table(spark, d, "part").select("p_partkey", base.alias("base")).withColumn("n", n)
-    return rows.select("p_partkey", F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise("")).alias("slug"))
+    """Slugs made unique by the least free numbers, where some bases end in a number and some slugs are in use."""
+    p = table(spark, d, "part")
+    tail = lambda n: F.concat(F.lit("-"), n.cast("string"))
+    base = F.concat(text.slugify("p_type"), F.when(F.col("p_partkey") % 50 == 1, tail(F.col("p_size") % 4 + 2)).otherwise(""))
+    used = p.filter("p_size < 8").select(F.concat(text.slugify("p_type"), F.when(F.col("p_size") % 3 == 0, "").otherwise(tail(F.col("p_size")))).alias("slug"))
+    return M.unique_slugs(p.select("p_partkey", base.alias("base")), "p_partkey", "base", used)
 
 
 @query("""SELECT s_suppkey, coalesce(c.candidates, 0) AS candidates, coalesce(c.ambiguous, false) AS ambiguous FROM supplier LEFT JOIN (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, jsons, numbers, text, urls
 from ..operators import extract as E
+from ..operators import similar as S
 from ..sources import readers
 from . import query, table
 
@@ -150,9 +151,8 @@ WHERE len(a.t) > 0 AND len(b.t) > 0 AND round(len(list_intersect(a.t, b.t)) / le
 def x37_token_similarity(spark, d):
     """Similarity of names inside blocks."""
     p = table(spark, d, "part").select("p_partkey", text.name_words("p_name").alias("words"), "p_brand", "p_size")
-    a, b = p.toDF("a", "na", "p_brand", "p_size"), p.toDF("b", "nb", "p_brand", "p_size")
-    score = text.word_similarity("na", "nb")
-    return a.join(b, ["p_brand", "p_size"]).filter("a < b").select("a", "b", score.alias("score")).filter("score >= 0.3")
+    pairs = S.similar_pairs(p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b"), "a", "b", "words", ["p_brand", "p_size"], 0.3)
+    return pairs.filter("a < b")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS n, sha256(props) AS h FROM events")

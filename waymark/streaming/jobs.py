@@ -97,20 +97,6 @@ def exactly_once(path: str, keys: list[str], buckets: int = 16):
     return write
 
 
-def exactly_once(path: str, keys: list[str]):
-    """A foreachBatch writer that skips pages whose keys are stored, so a replayed batch adds nothing."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files):
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(path)
-
-    return write
-
-
 def run_available(frame: DataFrame, sink: str, checkpoint: str, mode: str = "append", name: str | None = None, for_each=None):
     """Runs a stream over all there is, then ends: a batch run with limits set by the source's options."""
     out = frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
