@@ -17,6 +17,7 @@ uncompressed one above spark.sql.files.maxPartitionBytes) is refused.
 Which payloads are stored once is found from their hashes alone, summed up before a shuffle.
 A payload that a third of all rows have is one row of that table; where it is small by
 its size on disk Spark sends it out, else it is joined, and Spark splits the large partition.
+Revisits meet their response at SPREAD places, of which each has a copy of it.
 
 Nulls: a payload counts as empty, a key or URI is left out of the records and comes back null.
 White space and control characters of a URI become %20. Rows that agree in key, URI and
@@ -46,6 +47,8 @@ from ._workers import batchwise
 LEAST = 1000
 #: Bytes of payloads, and records, that a worker gives on together.
 SLAB, ROWS = 1 << 22, 1 << 10
+#: Places that the revisits of one response are joined at.
+SPREAD = 32
 #: Fixed values of the format.
 VERSION, SEPARATOR = "WARC/1.1", "\r\n\r\n"
 REQUEST_TYPE, RESPONSE_TYPE, FIELDS_TYPE = "application/http;msgtype=request", "application/http;msgtype=response", "application/warc-fields"
@@ -265,8 +268,14 @@ def captures(records: DataFrame) -> DataFrame:
     rows = main.select("id", F.struct(*names).alias("main")).join(near.withColumnRenamed("capture", "id"), "id", "left")
     rows = rows.select("id", "main", F.coalesce("requests", none).alias("requests"), F.coalesce("metadata", none).alias("metadata"))
     whole = rows.filter(F.col("main.type") == "response").select("id", F.struct("main.*", F.flatten("metadata.fields").alias("about")).alias("original"))
-    whole = whole.groupBy(F.col("id").alias("refers_to")).agg(F.first("original").alias("original"))
-    return rows.withColumn("refers_to", F.col("main.refers_to")).join(whole, "refers_to", "left").select("main", "requests", "metadata", "original")
+    # only revisits look for an original; those of one original are spread over SPREAD places
+    again, rest = rows.filter(F.col("main.refers_to").isNotNull()), rows.filter(F.col("main.refers_to").isNull())
+    again = again.withColumns({"refers_to": F.col("main.refers_to"), "spread": F.pmod(F.xxhash64("id"), F.lit(SPREAD))})
+    named = again.select("refers_to").distinct()
+    found = whole.withColumnRenamed("id", "refers_to").join(named, "refers_to", "left_semi").groupBy("refers_to").agg(F.first("original").alias("original"))
+    found = found.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    again = again.join(found, ["refers_to", "spread"], "left").select("main", "requests", "metadata", "original")
+    return again.unionByName(rest.select("main", "requests", "metadata"), allowMissingColumns=True)
 
 
 def field(pairs: Column, name: str) -> Column:
