@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import ranges, resolve, similar
+from waymark.operators import parts, ranges, resolve, similar
 from waymark.streaming import jobs
 
 
@@ -158,3 +158,32 @@ def test_a_batch_that_failed_half_way_leaves_nothing(spark, tmp_path):
     rows = spark.read.parquet(path).collect()
     assert sorted(r["k"] for r in rows) == list(range(50))
     assert {r["v"] for r in rows if r["k"] < 20} == {"one"} and {r["v"] for r in rows if 20 <= r["k"] < 40} == {"two"}
+
+
+# --- parts with limits
+
+
+def parts_by_loop(rows, most_rows, most_bytes):
+    """part of each key of rows (group, key, size)."""
+    out, state = {}, {}
+    for g, k, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        part, n, total = state.get(g, (0, most_rows, 0))
+        part, n, total = (part + 1, 1, s or 0) if n + 1 > most_rows or total + (s or 0) > most_bytes else (part, n + 1, total + (s or 0))
+        state[g], out[k] = (part, n, total), part
+    return out
+
+
+@pytest.mark.parametrize(("most_rows", "most_bytes", "block"), [(3, 100, 7), (50, 60, 16), (10**6, 500, 16), (1, 0, 5), (9, 10**9, 4096)])
+def test_parts_equal_a_loop(spark, most_rows, most_bytes, block):
+    rng = random.Random(most_rows)
+    rows = [(rng.choice(["a"] * 8 + ["b", None]), k, rng.choice([0, None, 1, 7, 30, 200])) for k in range(400)] + [(f"g{k}", k, 5) for k in range(400, 430)]
+    df = spark.createDataFrame(rows, "g string, k long, size long").repartition(6)
+    out = parts.accumulated_parts(df, "g", ["k"], "size", most_rows, most_bytes, block)
+    assert out.columns == ["g", "k", "size", "part"]
+    assert {r["k"]: r["part"] for r in out.collect()} == parts_by_loop(rows, most_rows, most_bytes)
+
+
+def test_parts_of_nothing(spark):
+    assert parts.accumulated_parts(spark.createDataFrame([], "g string, k long, size long"), "g", ["k"], "size", 3, 10).count() == 0
+    with pytest.raises(ValueError, match="holds a row"):
+        parts.accumulated_parts(spark.createDataFrame([], "g string, k long, size long"), "g", ["k"], "size", 0, 10)

@@ -156,6 +156,23 @@ DECORATION = ("logo", "favicon", "icon", "avatar", "pixel", "tracking", "banner-
 
 
 def looks_like_decoration(url: Text) -> Column:
-    """An image that isn't of the event: a part of its path between marks names a logo, an icon, an advert or the like."""
-    words = "|".join(DECORATION)
-    return F.coalesce(_c(url).rlike(rf"(?i)(^|[/_-])({words})([/_.-])"), F.lit(False))
+    """An image that isn't of the event: a name in its address between marks (the last one may be a dot) is that of a logo, an icon, an advert or the like."""
+    # a name may hold a mark itself, so it is looked for as that many parts
+    parts = F.split(F.lower(_c(url)), "[/_-]")
+    marks = F.regexp_extract_all(F.lower(_c(url)), F.lit("[/_-]"), F.lit(0))
+
+    def at(k, name):
+        own = name.split("-")
+        last = F.get(parts, k + len(own) - 1)
+        out = (F.substring_index(last, ".", 1) == own[-1]) & (last.contains(".") | (k + len(own) < F.size(parts)))
+        for i, word in enumerate(own[:-1]):
+            out = out & (F.get(parts, k + i) == word) & (F.get(marks, k + i) == "-")
+        return F.coalesce(out, F.lit(False))
+
+    def any_at(k):
+        out = F.lit(False)
+        for name in DECORATION:
+            out = out | at(k, name)
+        return out
+
+    return F.coalesce(F.exists(F.sequence(F.lit(0), F.size(parts) - 1), any_at), F.lit(False))

@@ -189,9 +189,22 @@ def progress(groups: DataFrame, root: str, rows: str, expected: str, done: str)
     return out.withColumn("percent", coverage("__in", "rows")).drop("__in")
 
 
+#: Digits of a hash that are summed as one number: sums of so few bits hold 2^47 rows.
+LIMB = 4
+
+
 def content_hash(df: DataFrame, group: list[str], row_text: Column) -> DataFrame:
-    """A hash of each group's rows that doesn't depend on their order."""
-    return df.select(*group, F.sha2(row_text, 256).alias("__h")).groupBy(*group).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("__h")), "\n"), 256).alias("content_hash"))
+    """A hash of each group's rows, repeated ones included, that doesn't depend on their order.
+
+    Each row's SHA-256 is cut into limbs; limbs are summed place by place, and the hash is
+    that of the sums and the number of rows. Sums of parts of a group add up, so a group
+    of any size is summed before it is shuffled, and none is ever gathered.
+    """
+    digest = df.select(*group, F.sha2(row_text, 256).alias("__h"))
+    limbs = [F.conv(F.substring("__h", k, LIMB), 16, 10).cast("long") for k in range(1, 65, LIMB)]
+    sums = digest.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), *[F.sum(limb).alias(f"__{k}") for k, limb in enumerate(limbs)])
+    text = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit(0)).cast("string") for c in ("__n", *[f"__{k}" for k in range(len(limbs))])])
+    return sums.select(*group, F.sha2(text, 256).alias("content_hash"))
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20, most: int = 100) -> DataFrame:
@@ -299,30 +312,6 @@ def gaps(df: DataFrame, group: str, offset: str, size: str, digest: str) -> Data
     return df.select(group, offset, size, state.alias("state"))
 
 
-def accumulated_parts(df: DataFrame, group: str, order: list[str], size: str, most_rows: int, most_bytes: int) -> DataFrame:
-    """df with part: a new one begins when the next row would pass either limit.
-
-    A sum with resets is a loop, but no group is held: rows come sorted, in Arrow batches,
-    and only the open part's counts are kept.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField("part", T.IntegerType())])
-
-    def run(batches):
-        key, part, n, total = object(), 0, 0, 0
-        for batch in batches:
-            out = []
-            for g, s in zip(batch[group].tolist(), batch[size].tolist(), strict=True):
-                if g != key:
-                    key, part, n, total = g, 1, 0, 0
-                elif n + 1 > most_rows or total + s > most_bytes:
-                    part, n, total = part + 1, 0, 0
-                n, total = n + 1, total + s
-                out.append(part)
-            yield batch.assign(part=out)
-
-    return df.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
-
-
 def parts_by_rows(df: DataFrame, order: list[str], rows: int, group: list[str] | None = None) -> DataFrame:
     """df with part, so many rows in each."""
     n = F.row_number().over(W.partitionBy(*(group or [])).orderBy(*order))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..operators import parts as P
 from ..operators import relational as R
 from . import query, table
 
@@ -257,11 +258,16 @@ def a15_confidence(spark, d):
     return nested.filter(F.size(own) > 0).select("o_orderkey", F.round(F.least(mean, F.lit(0.95)), 4).alias("confidence"))
 
 
-@query("""SELECT l_orderkey, sha256(string_agg(h, chr(10) ORDER BY h)) AS content_hash FROM
-(SELECT l_orderkey, sha256(l_linenumber || '|' || l_partkey || '|' || l_returnflag) AS h FROM lineitem) GROUP BY 1""")
+SUMMED = " || ".join(f"',' || sum(CAST('0x' || substr(h, {k}, 4) AS INTEGER))" for k in range(1, 65, 4))
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, sha256(l_linenumber || '|' || l_partkey || '|' || l_returnflag) AS h FROM lineitem)
+SELECT l_orderkey, sha256(count(*) || {SUMMED}) AS content_hash FROM r GROUP BY 1 UNION ALL SELECT -1, sha256(count(*) || {SUMMED}) FROM r""")
 def a17_content_hash(spark, d):
-    """A hash of each group that doesn't depend on row order."""
-    return R.content_hash(table(spark, d, "lineitem"), ["l_orderkey"], F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag"))
+    """A hash of each group, and of all rows as one, that doesn't depend on row order."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    text = F.concat_ws("|", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), "l_returnflag")
+    return R.content_hash(rows, ["l_orderkey"], text).union(R.content_hash(rows.withColumn("l_orderkey", F.lit(-1).cast("long")), ["l_orderkey"], text))
 
 
 @query("""SELECT n_name, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers, coalesce(s.balance, 0) AS balance FROM nation
@@ -300,9 +306,9 @@ p AS (SELECT l_orderkey, l_linenumber, l_partkey, size, k, 1 AS part, 1 AS n, si
 UNION ALL SELECT i.l_orderkey, i.l_linenumber, i.l_partkey, i.size, i.k, CASE WHEN p.n + 1 > 3 OR p.total + i.size > 100 THEN p.part + 1 ELSE p.part END, CASE WHEN p.n + 1 > 3 OR p.total + i.size > 100 THEN 1 ELSE p.n + 1 END, CASE WHEN p.n + 1 > 3 OR p.total + i.size > 100 THEN i.size ELSE p.total + i.size END FROM p JOIN i ON i.l_orderkey = p.l_orderkey AND i.k = p.k + 1)
 SELECT l_orderkey, l_linenumber, l_partkey, size, part FROM p""")
 def w5_byte_parts(spark, d):
-    """Parts of at most 3 rows or 100 units, begun anew at each limit (sequential)."""
+    """Parts of at most 3 rows or 100 units, begun anew at each limit."""
     items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("size"))
-    return R.accumulated_parts(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "size", 3, 100).drop("l_suppkey")
+    return P.accumulated_parts(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "size", 3, 100).drop("l_suppkey")
 
 
 PAGES = "SELECT l_orderkey, l_linenumber * 10 - CASE WHEN l_linenumber % 4 = 0 THEN 3 ELSE 10 END AS off, CAST(10 AS INTEGER) AS rows_, l_returnflag || CAST(l_quantity AS BIGINT) % 3 AS digest FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)"

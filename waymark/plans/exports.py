@@ -10,6 +10,7 @@ from ..operators import relational as R
 from ..sources import sinks as K
 from ..sources import workbooks
 from . import query, table
+from .catalogue import SUMMED
 
 
 def _old_new(spark, d):
@@ -106,11 +107,14 @@ def k8_workbooks(spark, d):
     return files.mapInPandas(back, "n_name string, row_in_part long, key string, name string, balance double")
 
 
-@query("""SELECT l_returnflag, l_orderkey, l_linenumber, CAST((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) - 1) // 700 + 1 AS INTEGER) AS part FROM lineitem""")
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, l_partkey, length(l_orderkey::VARCHAR || l_linenumber || l_partkey) AS size, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+s AS (SELECT k, sum(size) OVER (ORDER BY k) - size AS before, sum(size) OVER (ORDER BY k) AS total FROM i), n AS (SELECT count(*) AS n FROM i),
+p AS (SELECT 1::BIGINT AS begin, 1 AS part UNION ALL SELECT nxt, part + 1 FROM (SELECT part, least(begin + 700, coalesce((SELECT min(k) FROM s WHERE total > q.before + 6000), CAST(1e15 AS BIGINT))) AS nxt FROM (SELECT begin, part, before FROM p JOIN s ON k = begin) q), n WHERE nxt <= n.n)
+SELECT l_orderkey, l_linenumber, l_partkey, part FROM i ASOF JOIN p ON i.k >= p.begin""")
 def k10_selection(spark, d):
-    """Parts of an export by rows and by bytes of text, refused whole beyond its bound."""
-    items = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
-    return K.selection_parts(items, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey"], ["l_orderkey", "l_linenumber", "l_partkey"], 700, 1 << 20, 1 << 40).drop("l_partkey")
+    """Parts of an export, all rows of one table, by rows and by bytes of text, refused whole beyond its bound."""
+    items = table(spark, d, "lineitem").select(F.lit("all").alias("selection"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return K.selection_parts(items, "selection", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], 700, 6000, 1 << 40).drop("selection", "l_suppkey")
 
 
 @query("""SELECT 'Customer' AS kind, c_custkey AS id, c_mktsegment AS a_segment, NULL::DOUBLE AS z_price FROM customer UNION ALL SELECT 'Part', p_partkey, NULL, p_retailprice FROM part""")
@@ -145,8 +149,8 @@ def k14_simple_export(spark, d):
     return K.export_columns(rows, workbooks.SIMPLE)
 
 
-@query("""WITH i AS (SELECT o_custkey, o_orderkey, o_orderstatus, substr(sha256(o_custkey || chr(31) || o_orderkey), 1, 32) AS row_id FROM orders WHERE o_custkey % 3 = 0),
-h AS (SELECT o_custkey, sha256(string_agg(x, chr(10) ORDER BY x)) AS content_hash FROM (SELECT o_custkey, sha256(o_orderkey || chr(31) || o_orderstatus) AS x FROM i) GROUP BY 1)
+@query(f"""WITH i AS (SELECT o_custkey, o_orderkey, o_orderstatus, substr(sha256(o_custkey || chr(31) || o_orderkey), 1, 32) AS row_id FROM orders WHERE o_custkey % 3 = 0),
+h AS (SELECT o_custkey, sha256(count(*) || {SUMMED}) AS content_hash FROM (SELECT o_custkey, sha256(o_orderkey || chr(31) || o_orderstatus) AS h FROM i) GROUP BY 1)
 SELECT o_custkey, o_orderkey, o_orderstatus, row_id, content_hash FROM i JOIN h USING (o_custkey) UNION ALL SELECT o_custkey, o_orderkey, lower(o_orderstatus), NULL, NULL FROM orders WHERE o_custkey % 3 > 0""")
 def k5_replaced_set(spark, d):
     """K5: whole result sets replaced, with deterministic ids and a content hash."""

@@ -76,7 +76,10 @@ def e10_rules(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.inline(E.rules(body))).select("s_suppkey", "category", "text")
 
 
-CASES = (("Corrida da Cidade", "corrida de rua", "road"), ("Corrida da Serra", "trail running", "trail"), ("X", "não é corrida de rua", "unknown"), ("X", "Veja também: trail running", "unknown"), ("X", "provas de rua e corridas de montanha", "mixed"), ("Trail da Serra", "", "trail"), ("Kids Run", "", "kids"), ("Caminhada da Paz", "", "walk"), ("Caminhada e corrida", "", "unknown"), ("X", "Não perca! Maratona de rua.", "road"), ("X", "Modalidade: road", "road"))
+CASES = (
+    ("Corrida da Cidade", "corrida de rua", "road"), ("Corrida da Serra", "trail running", "trail"), ("X", "não é corrida de rua", "unknown"), ("X", "Veja também: trail running", "unknown"), ("X", "provas de rua e corridas de montanha", "mixed"), ("Trail da Serra", "", "trail"), ("Kids Run", "", "kids"), ("Caminhada da Paz", "", "walk"), ("Caminhada e corrida", "", "unknown"), ("X", "Não perca! Maratona de rua.", "road"), ("X", "Modalidade: road", "road"),
+    ("X", "prova com asfalto", "unknown"), ("X", "maratona com rua", "unknown"), ("X", "corrida no montanha", "unknown"), ("X", "Percursos com trilhas, praias e dunas", "trail"), ("X", "corrida, de rua", "unknown"), ("Desafio", "Corrida de rua 5 km. Trail running 10 km.", "mixed"),
+    ("Circuito Run", "Largada na Rua das Flores, asfalto novo no estacionamento", "unknown"), ("Corrida de Verão", "Acesse Trilha do Líder e veja as trilhas do nosso menu", "unknown"), ("X", "Outras provas: corrida de rua", "unknown"), ("X", "nao " + "x" * 95 + " corrida de rua", "unknown"), ("X", "nao " + "x" * 97 + " corrida de rua", "road"), ("X", "maratona de asfalto", "unknown"), ("X", "percurso  em\tasfalto", "road"))
 
 
 @query(f"""SELECT event_id, [{', '.join(f"'{c[2]}'" for c in CASES)}][event_id % {len(CASES)} + 1] AS modality FROM events""")

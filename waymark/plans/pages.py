@@ -134,11 +134,18 @@ def e18_challenge(spark, d):
     return table(spark, d, "pages").select("page_id", E.is_challenge(page).alias("challenge"))
 
 
-@query(r"""SELECT page_id, '<ul><li>' || page_id || '</li></ul><p>b</p>c<br>d' AS safe FROM pages""")
+BROKEN = (
+    ("<p>ok</p><img src=x onerror=alert(1)", "<p>ok</p>"), ("<p title=\"a>b\" onclick=\"x()\">hi</p>", "<p>hi</p>"), ("<p title='a>b' x=it's>hi</P>", "<p>hi</P>"), ("1 < 2 <<script>x</script>img src=x onerror=y()>", "1 &lt; 2 &lt;img src=x onerror=y()>"),
+    ("<p-x a>t</p-x><h1 a=\"", "t"), ("a<!-- <p> -- > <b> -->c<script src=x", "ac"), ("<LI/onclick=x()>d<svg><p>e</svg >f", "<LI>df"),
+)
+
+
+@query(r"""SELECT page_id, '<ul><li>' || page_id || '</li></ul><p>b</p>c<br>d' || """ + f"[{', '.join(chr(39) + safe.replace(chr(39), chr(39) * 2) + chr(39) for _, safe in BROKEN)}][page_id % {len(BROKEN)} + 1] AS safe FROM pages")
 def e2_sanitized(spark, d):
-    """Only allowed tags, no attributes, no scripts, styles or comments."""
+    """Only allowed tags, no attributes, no scripts, styles or comments, whatever is quoted, left open or broken."""
     k = F.col("page_id").cast("string")
-    html = _text("<div class='a'><ul id=x><li onclick='y()'>", k, "</li></ul><script>z()</script><!-- note --><p style='c'>b</p><span>c</span><style>q</style><br clear=all>d</div>")
+    broken = F.element_at(F.array(*[F.lit(x) for x, _ in BROKEN]), (F.col("page_id") % len(BROKEN) + 1).cast("int"))
+    html = _text("<div class='a'><ul id=x><li onclick='y()'>", k, "</li></ul><script>z()</script><!-- note --><p style='c'>b</p><span>c</span><style>q</style><br clear=all>d</div>", broken)
     return table(spark, d, "pages").select("page_id", E.html_sanitized(html).alias("safe"))
 
 

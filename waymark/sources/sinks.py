@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import formula_guard
-from ..operators.relational import accumulated_parts, content_hash, with_children
+from ..operators.parts import accumulated_parts
+from ..operators.relational import content_hash, with_children
 from .workbooks import PART_BYTES, PART_ROWS, TOTAL_BYTES, packed
 
 
