@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import parts, ranges, resolve, similar
+from waymark.operators import parts, ranges, resolve, similar, stateful
 from waymark.streaming import jobs
 
 
@@ -187,3 +187,41 @@ def test_parts_of_nothing(spark):
     assert parts.accumulated_parts(spark.createDataFrame([], "g string, k long, size long"), "g", ["k"], "size", 3, 10).count() == 0
     with pytest.raises(ValueError, match="holds a row"):
         parts.accumulated_parts(spark.createDataFrame([], "g string, k long, size long"), "g", ["k"], "size", 0, 10)
+
+
+# --- gates and limiters over ranges of one key
+
+
+@pytest.mark.parametrize("gap", [1, 7, 61])
+def test_one_key_over_many_ranges(spark, gap):
+    """Requests at an even pace: where each range's first state is wrong until the one before is right."""
+    rng = random.Random(gap)
+    rows = [(rng.choice([None, 1, 1, 1]), i, 1_700_000_000 + i * gap + rng.choice([0, 0, 1]) * gap // 2) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k long, i long, s long").withColumn("at", F.col("s").cast("timestamp"))
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {r["i"]: (r["allowed"], r["retry_after"]) for r in stateful.sliding_limit(df, "k", "at", "i", 5, 60.0).collect()}
+        gate = {r["i"]: (r["decision"], r["retry"]) for r in stateful.request_gate(df, "k", "at", "i", 20, 30_000, F.col("i") % 100 == 99, F.col("at") + F.expr("interval 5 minutes"), F.col("i") % 100 == 50).withColumn("retry", F.unix_seconds("retry_at")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, states, held = {}, {}, {}
+    for k, i, s in sorted(rows, key=lambda r: (r[2], r[1])):
+        live = [h for h in held.get(k, []) if h > s - 60]
+        want[i] = (True, 0) if len(live) < 5 else (False, max(1, live[0] + 60 - s + 1))
+        held[k] = [*live, s] if want[i][0] else live
+    assert got == want
+    want = {}
+    for k, i, s in sorted(rows, key=lambda r: (r[2], r[1])):
+        hour, used, ready, until = states.get(k, (0, 0, 0, None))
+        if i % 100 == 50:
+            refused = until is not None and until > s
+            want[i], until = (("refused", until), until) if refused else (("resumed", None), None)
+        elif until is not None:
+            want[i] = ("blocked", until)
+        else:
+            hour, used = (s // 3600, 0) if s // 3600 > hour else (hour, used)
+            want[i] = ("budget", (hour + 1) * 3600) if used >= 20 else ("spacing", ready) if ready > s else ("allowed", None)
+            if want[i][0] == "allowed":
+                used, ready, until = used + 1, s + 30, s + 300 if i % 100 == 99 else None
+        states[k] = (hour, used, ready, until)
+    assert gate == want

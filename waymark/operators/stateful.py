@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, stored
 
 #: Lease and waiting time that lifts a task to the front; kinds that go first or last.
 LEASE_SECONDS, WAIT_MINUTES = 90, 15
@@ -77,61 +77,121 @@ def transitions(tasks: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
     return rows.select("id", status.alias("new_status"), attempt.alias("new_attempt"), F.when(holder & (F.col("outcome") == "failed") & ~last, wait).alias("retry_seconds"), (F.col("outcome").isNotNull() & ~holder).alias("refused"))
 
 
-def _in_order(df: DataFrame, key: str, at: str, order: str, decide, result: str, more: list[Column] = ()) -> DataFrame:
-    """Rows decided one after the other within each key: decide(key changed, seconds, *more) gives a row's results.
+def _in_order(df: DataFrame, key: str, at: str, order: str, gate, result: str, more: list[Column] = ()) -> DataFrame:
+    """Rows decided one after the other within each key: gate().step(seconds, *more) gives a row's results.
 
-    A decision hangs on all before it, so a key is worked through in order by one task;
-    rows come in Arrow batches, and only the state that `decide` keeps is held.
+    gate: a class whose `state` is a list of numbers that says all that later decisions hang on.
+    Rows are dealt by ranges of key and time, so one key may lie in many tasks. Each range is
+    run from an empty state first. Where a key goes on from the range before, and that one's
+    state turns out to be another than was taken, the range is run again, until none changes;
+    then the first range is right, and so each next one. Limits that forget settle in a few
+    rounds; in the worst case, a key whose every state hangs on its first request, it takes a round
+    for each of its ranges. The driver holds a state for each range, a task one batch.
     """
     kinds = dict(df.dtypes)
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {result}"
     names = [p.split(" ")[0] for p in result.split(", ")]
     rest_of = [f"__{i}" for i in range(len(more))]
-    rows = df.select(key, order, F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), *[c.alias(n) for c, n in zip(more, rest_of, strict=True)])
+    own = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # one form of a key in every batch
+    rows = df.select(key, order, own.alias("__key"), F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), *[c.alias(n) for c, n in zip(more, rest_of, strict=True)])
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(rows.repartitionByRange(ranges, "__key", "__at", order).withColumn("__range", F.spark_partition_id()))
+
+    def runs(begins: dict[int, list], ends_only: bool):
+        def run(batches):
+            place, last, at_work, ends = None, object(), gate(), {}
+            for batch in batches:
+                found = []
+                for r, k, s, *rest in zip(*[batch[c].tolist() for c in ("__range", "__key", "__at", *rest_of)], strict=True):
+                    if r != place:
+                        place, last = r, k
+                        at_work = gate(begins.get(r))
+                        ends[r] = [k, None, True]
+                    elif k != last:
+                        last, at_work = k, gate()
+                        ends[r][2] = False
+                    found.append(at_work.step(s, *[None if v != v else v for v in rest]))
+                    ends[r][1] = (k, at_work)
+                if not ends_only:
+                    yield pd.DataFrame({key: batch[key], order: batch[order], **dict(zip(names, zip(*found, strict=True), strict=True))})
+                else:
+                    # a range that has ended is told at once, so only the open one is held
+                    done = [r for r in ends if r != place]
+                    yield _told({r: ends.pop(r) for r in done})
+            if ends_only:
+                yield _told(ends)
+
+        wanted = dealt if not ends_only else dealt.filter(F.col("__range").isin(list(begins)))
+        spread = wanted.repartition(ranges, "__range").sortWithinPartitions("__range", "__key", "__at", order)
+        return spread.mapInPandas(run, _ENDS if ends_only else schema)
+
+    used: dict[int, list] = {r: [] for r in range(ranges)}
+    told: dict[int, tuple] = {}
+    stale = used
+    while stale:
+        told |= {r["r"]: (r["first"], r["last"], r["alone"], list(r["state"])) for r in runs(stale, True).collect()}  # a row for each range
+        stale, before = {}, None
+        for r in sorted(told):
+            first, last, alone, state = told[r]
+            wanted = before[1] if before and before[0] == first else []
+            if wanted != used[r]:
+                used[r] = wanted
+                if alone:  # the state behind any other range hangs on its last key alone
+                    stale[r] = wanted
+            before = (last, state)
+    return runs(used, False)
+
+
+_ENDS = "r int, first string, last string, alone boolean, state array<long>"
+
+
+def _told(ends: dict[int, list]) -> pd.DataFrame:
+    rows = [(r, first, last, alone, at_work.state) for r, (first, (last, at_work), alone) in ends.items()]
+    return pd.DataFrame(rows, columns=["r", "first", "last", "alone", "state"])
 
-    def run(batches):
-        step, last = decide(), object()
-        for batch in batches:
-            found = []
-            for k, s, *rest in zip(*[batch[c].tolist() for c in (key, "__at", *rest_of)], strict=True):
-                found.append(step(k != last, s, *rest))
-                last = k
-            yield pd.DataFrame({key: batch[key], order: batch[order], **dict(zip(names, zip(*found, strict=True), strict=True))})
 
-    return rows.repartition(key).sortWithinPartitions(key, "__at", order).mapInPandas(run, schema)
+HOUR = 3_600_000_000
 
 
-HOUR = 3_600_000_000
+class _Gate:
+    """An hourly budget, a least spacing in microseconds and a breaker. state: hour, used, when it is ready, whether it is shut, and until when."""
+
+    limit = spacing = 0
+
+    def __init__(self, state: list | None = None):
+        self.state = list(state or [0, 0, 0, 0, 0])
 
+    def step(self, now: int, close: bool, until: float | None, resume: bool) -> tuple[str, int | None]:
+        hour, used, ready, shut, shut_until = self.state
+        if resume and shut and shut_until > now:
+            return "refused", shut_until
+        if resume:
+            self.state = [hour, used, ready, 0, 0]
+            return "resumed", None
+        if shut:
+            return "blocked", shut_until or None
+        if hour < now // HOUR:
+            hour, used = now // HOUR, 0
+        if used >= self.limit:
+            return "budget", (hour + 1) * HOUR
+        if ready > now:
+            return "spacing", ready
+        self.state = [hour, used + 1, now + self.spacing, int(bool(close)), int(until or 0) if close else 0]
+        return "allowed", None
 
-def request_gate(df: DataFrame, key: str, at: str, order: str, limit: int, spacing_ms: int = 0, closes: Column | None = None) -> DataFrame:
+
+def request_gate(df: DataFrame, key: str, at: str, order: str, limit: int, spacing_ms: int = 0, closes: Column | None = None, blocked_until: Column | None = None, resumes: Column | None = None) -> DataFrame:
     """Each request's decision: allowed, budget (so many were allowed in the clock hour), spacing (too soon behind the last allowed one) or blocked; and when to try again.
 
     Only allowed requests count and move the gate. closes: an allowed request whose answer
-    shuts the gate for all behind it. retry_at: the hour's end, or the end of the spacing.
+    shuts the gate for all behind it, with a time that the source names, or none (blocked_until).
+    resumes: a row that is a person's wish to open the gate: resumed, or refused before that time.
+    retry_at: the hour's end, the end of the spacing, or the time that was named.
     """
-
-    def decide():
-        hour = used = ready = shut = 0
-
-        def step(new: bool, now: int, close: bool) -> tuple[str, int | None]:
-            nonlocal hour, used, ready, shut
-            if new:
-                hour, used, ready, shut = 0, 0, now, False
-            if shut:
-                return "blocked", None
-            if hour < now // HOUR:
-                hour, used = now // HOUR, 0
-            if used >= limit:
-                return "budget", (hour + 1) * HOUR
-            if ready > now:
-                return "spacing", ready
-            used, ready, shut = used + 1, now + spacing_ms * 1000, bool(close)
-            return "allowed", None
-
-        return step
-
-    out = _in_order(df, key, at, order, decide, "decision string, __retry long", [F.coalesce(closes, F.lit(False)) if closes is not None else F.lit(False)])
+    gate = type("Gate", (_Gate,), {"limit": limit, "spacing": spacing_ms * 1000})
+    flag = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    until = F.unix_micros(blocked_until.cast("timestamp")) if blocked_until is not None else F.lit(None).cast("long")
+    out = _in_order(df, key, at, order, gate, "decision string, __retry long", [flag(closes), until, flag(resumes)])
     return out.select(key, order, "decision", F.timestamp_micros("__retry").alias("retry_at"))
 
 
@@ -148,24 +208,29 @@ def sliding_limit(df: DataFrame, key: str, at: str, order: str, limit: int, seco
 
     retry_after: 0 for an allowed request, else whole seconds, one more than are left.
     """
-    span = int(seconds * 1_000_000)
+    window = type("Window", (_Window,), {"limit": limit, "span": int(seconds * 1_000_000)})
+    return _in_order(df, key, at, order, window, "allowed boolean, retry_after long")
+
+
+class _Window:
+    """The times of allowed requests that a window of `span` microseconds still holds."""
 
-    def decide():
-        held: deque = deque()
+    limit = span = 0
 
-        def step(new: bool, now: int) -> tuple[bool, int]:
-            if new:
-                held.clear()
-            while held and held[0] <= now - span:
-                held.popleft()
-            if len(held) < limit:
-                held.append(now)
-                return True, 0
-            return False, max(1, (held[0] + span - now) // 1_000_000 + 1)
+    def __init__(self, state: list | None = None):
+        self.held = deque(state or [])
 
-        return step
+    @property
+    def state(self) -> list:
+        return list(self.held)
 
-    return _in_order(df, key, at, order, decide, "allowed boolean, retry_after long")
+    def step(self, now: int) -> tuple[bool, int]:
+        while self.held and self.held[0] <= now - self.span:
+            self.held.popleft()
+        if len(self.held) < self.limit:
+            self.held.append(now)
+            return True, 0
+        return False, max(1, (self.held[0] + self.span - now) // 1_000_000 + 1)
 
 
 def ledger(pages: DataFrame, group: str, number: str, url: str, total: str, more: str) -> DataFrame:

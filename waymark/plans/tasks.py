@@ -62,16 +62,26 @@ def q3_transitions(spark, d):
     return Q.transitions(t, reports, F.lit("1995-06-01").cast("timestamp"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_id % 97 = 0 AS closes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-g AS (SELECT user_id, event_id, ts, n, date_trunc('hour', ts) AS win, 1 AS used, ts + INTERVAL 20 MINUTE AS ready, closes AS shut, 'allowed' AS decision, CAST(NULL AS TIMESTAMP) AS retry_at FROM e WHERE n = 1
-UNION ALL SELECT user_id, event_id, ts, n, win, CASE WHEN decision = 'allowed' THEN used + 1 ELSE used END, CASE WHEN decision = 'allowed' THEN ts + INTERVAL 20 MINUTE ELSE ready END, shut OR (decision = 'allowed' AND closes), decision,
-CASE decision WHEN 'budget' THEN win + INTERVAL 1 HOUR WHEN 'spacing' THEN ready END
-FROM (SELECT *, CASE WHEN shut THEN 'blocked' WHEN used >= 2 THEN 'budget' WHEN ready > ts THEN 'spacing' ELSE 'allowed' END AS decision
-FROM (SELECT e.user_id, e.event_id, e.ts, e.n, e.closes, g.ready, g.shut, CASE WHEN g.shut THEN g.win ELSE date_trunc('hour', e.ts) END AS win, CASE WHEN g.win < date_trunc('hour', e.ts) THEN 0 ELSE g.used END AS used FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)))
-SELECT user_id, event_id, decision, retry_at FROM g""")
+def _with_one_key(spark, d):
+    """Events by user, and all of them once more under one key."""
+    events = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return events.union(events.withColumn("user_id", F.lit(-1).cast("long")))
+
+
+BOTH = "(SELECT user_id, event_id, ts FROM events UNION ALL SELECT -1, event_id, ts FROM events)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_id % 7 = 0 AS closes, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 3 HOUR END AS til, event_id % 10 = 3 AS resumes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {BOTH}),
+g AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, TIMESTAMP '1970-01-01' AS win, 0 AS used, TIMESTAMP '1970-01-01' AS ready, false AS shut, CAST(NULL AS TIMESTAMP) AS til, '' AS decision, CAST(NULL AS TIMESTAMP) AS retry_at FROM e
+UNION ALL SELECT user_id, event_id, n, win, CASE WHEN decision = 'allowed' THEN used + 1 ELSE used END, CASE WHEN decision = 'allowed' THEN ts + INTERVAL 20 MINUTE ELSE ready END, CASE decision WHEN 'resumed' THEN false WHEN 'allowed' THEN closes ELSE shut END,
+CASE WHEN decision = 'resumed' THEN NULL WHEN decision = 'allowed' THEN CASE WHEN closes THEN next_til END ELSE til END, decision, CASE WHEN decision = 'budget' THEN win + INTERVAL 1 HOUR WHEN decision = 'spacing' THEN ready WHEN decision IN ('blocked', 'refused') THEN til END
+FROM (SELECT *, CASE WHEN resumes AND shut AND coalesce(til > ts, false) THEN 'refused' WHEN resumes THEN 'resumed' WHEN shut THEN 'blocked' WHEN used >= 2 THEN 'budget' WHEN ready > ts THEN 'spacing' ELSE 'allowed' END AS decision
+FROM (SELECT e.user_id, e.event_id, e.ts, e.n, e.closes, e.til AS next_til, e.resumes, g.ready, g.shut, g.til, greatest(g.win, date_trunc('hour', e.ts)) AS win, CASE WHEN g.win < date_trunc('hour', e.ts) THEN 0 ELSE g.used END AS used FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)))
+SELECT user_id, event_id, decision, retry_at FROM g WHERE n > 0""")
 def q5_request_gate(spark, d):
-    """Q5: an hourly budget, a least spacing and a circuit breaker; only allowed requests count (sequential)."""
-    out = Q.request_gate(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 1_200_000, F.col("event_id") % 97 == 0)
+    """Q5: an hourly budget, a least spacing, and a breaker that a person opens again, not before the time that the source named; only allowed requests count."""
+    k = F.col("event_id")
+    out = Q.request_gate(_with_one_key(spark, d), "user_id", "ts", "event_id", 2, 1_200_000, k % 7 == 0, F.when(k % 2 == 0, F.col("ts") + F.expr("interval 3 hours")), k % 10 == 3)
     return out.withColumn("retry_at", F.col("retry_at").cast("timestamp_ntz"))
 
 
@@ -83,14 +93,14 @@ def q6_client_quota(spark, d):
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", (F.col("n") > 3).alias("over_budget"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS mom, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS mom, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {BOTH}),
 g AS (SELECT user_id, event_id, n, [mom] AS held, true AS allowed, CAST(0 AS BIGINT) AS retry_after FROM e WHERE n = 1
 UNION ALL SELECT user_id, event_id, n, CASE WHEN len(live) < 2 THEN list_append(live, mom) ELSE live END, len(live) < 2, CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, (live[1] + 7200000000 - mom) // 1000000 + 1) END
 FROM (SELECT e.user_id, e.event_id, e.n, e.mom, list_filter(g.held, lambda x: x > e.mom - 7200000000) AS live FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1))
 SELECT user_id, event_id, allowed, retry_after FROM g""")
 def q7_sliding_window(spark, d):
-    """Q7: a sliding limiter whose refused requests don't count (sequential)."""
-    return Q.sliding_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 7200.0)
+    """Q7: a sliding limiter whose refused requests don't count."""
+    return Q.sliding_limit(_with_one_key(spark, d), "user_id", "ts", "event_id", 2, 7200.0)
 
 
 @query("""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
