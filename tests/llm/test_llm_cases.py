@@ -243,6 +243,32 @@ def test_cosine_as_brute_force():
             assert known.possible(text) and known.promising(pa.array(["some line\n" + text + ". And more"]))[0]
 
 
+def test_no_licensed_text_is_passed_over():
+    """Whole templates without the lines that are promising alone, parts of them, and wraps of 8 to 100 columns, against the scan of every text."""
+    import textwrap
+
+    from waymark.llm._license_texts import templates
+
+    known, rnd, cases = licenses.Templates(templates()), random.Random(1), []
+    for texts in templates().values():
+        for t in texts:
+            if len(t.split()) < 300:
+                continue
+            for width in rnd.sample((8, 12, 25, 40, 72, 100), 2):
+                lines = textwrap.wrap(t, width)
+                alone = known.promising(pa.array(lines))
+                cases.append("\n".join(x for x, good in zip(lines, alone, strict=True) if not good))
+                size = int(len(lines) * rnd.choice([0.2, 0.4, 0.6, 0.8]))
+                at = rnd.randrange(len(lines) - size)
+                cases.append("\n".join(lines[at : at + size]))
+            lines = t.split("\n")
+            cases += ["\n".join(lines[len(lines) // 10 :]), "the " * 50 + t[:2500].replace("\n", " ")]
+    cases += ["", "the", "of the\n\n\nof the", "\n", "a b c"]
+    passed = known.promising(pa.array(cases))
+    licensed = [known.scan(x)[1] is not None for x in cases]
+    assert sum(licensed) > 70 and not any(found and not good for found, good in zip(licensed, passed, strict=True))
+
+
 def test_texts_without_a_cue_word(spark):
     clauses = known_texts()
     rows = [(k, f"src/{k}.c", t) for k, t in enumerate(clauses)] + [(90, "src/90.c", "Just an ordinary text about the weather.\nIt rains; it pours."), (91, None, None), (92, "src/92.c", ""), (93, "src/93.c", "Mit. Und so weiter.\nMIT\n")]

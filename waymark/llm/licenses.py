@@ -3,7 +3,7 @@
 Texts and templates are sparse TF-IDF vectors over words and word pairs; weights come
 from the families of templates, so that versions of one licence don't make its words
 common. What of a vector no template has only adds to its length, so a candidate's
-cosine is at most the length of its known part over that of the whole. A file's
+cosine is at most what its known terms can add over that length. A file's
 header candidates are those of its sentences, of two words or more, for which that bound
 reaches LIKE, their lines, joined where they follow each other, and for each template, be it a notice, a
 standard header or a whole licence, the lines with the run of words that most of all
@@ -19,8 +19,9 @@ Null texts and texts without a candidate have no licence of their own; a null pa
 in no directory and inherits nothing. Among several licence files of a directory one
 named so counts first, then the most similar one, then the first by licence and path;
 of equally similar templates the first by name. Repeated rows get equal results, and an
-empty table gives none. The bound is taken in arrays over SLAB bytes of texts at a time,
-or over one very long text, in memory of some fifteen times its size. Extra columns pass
+empty table gives none. A text that no bound lets reach LIKE is passed over without looking at
+candidates; the bounds hold for every text (Templates.promising). They are taken in arrays over SLAB
+bytes of texts at a time, or over one very long text, in memory of some twenty times its size. Extra columns pass
 through unless they have the name of a result column, license_source and license_dir
 among them.
 """
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 from math import log, sqrt
 
 import numpy as np
@@ -85,30 +87,62 @@ class Templates:
         idf = np.array([self.idf[w] for w in known])
         return Lookup(h), (idf * idf)[order], (idf * np.array([self.most[w] for w in known]))[order]
 
+    def _bounds(self, unit: np.ndarray, units: int, words: np.ndarray, pairs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit of words its vector's square, and what its terms can add to the product with a template's at most."""
+        size, gain = np.zeros(units), np.zeros(units)
+        for (lookup, square, most), h, of in ((self.words, words, unit), (self.pairs, pairs[inside], unit[1:][inside])):
+            _, first, n = np.unique(h ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+            h, of, often = h[first], of[first], 1 + np.log(n)
+            at, place = lookup.find(h)
+            whole = np.full(len(h), self.other**2)
+            whole[at] = square[place]
+            size += np.bincount(of, often * often * whole, minlength=units)
+            gain += np.bincount(of[at], often[at] * most[place], minlength=units)
+        return size, gain
+
     def promising(self, column: pa.Array) -> np.ndarray:
-        """The texts that have a sentence whose cosine to some template could reach LIKE.
+        """The texts in which a sentence, or lines that blocks() may choose, could reach LIKE with some template.
 
-        A term counts as often as it occurs, so the bound holds where none occurs more
-        than twelve times in one sentence.
+        Of a sentence the bound is that of possible(). The runs of blocks() hold more pairs of
+        a template than others, so each lies where known pairs outnumber others in some
+        window; such places that touch make a stretch. A block of its lines can't add more
+        to a product than all of them together, and is no shorter than the shortest of them.
         """
         t = tokenize(column, ASCII)
-        if len(t.data) < 2 or not len(t.hash):
-            return np.zeros(len(column), bool)
-        ends = np.flatnonzero((t.data == 10) | np.append(np.isin(t.data[:-1], (46, 59)) & np.isin(t.data[1:], (32, 9, 13)), False))
-        cuts = np.union1d(ends, t.offsets)
-        unit = np.searchsorted(cuts, t.start, "right")
-        size, gain = np.zeros(len(cuts) + 1), np.zeros(len(cuts) + 1)
+        out = np.zeros(len(column), bool)
+        if len(t.data) < 2 or len(t.hash) < 2:
+            return out
+        text_of_word = np.searchsorted(t.offsets, t.start, "right") - 1
+        pairs, same_text = window_hashes(t.hash, (0, 1)), text_of_word[1:] == text_of_word[:-1]
+        breaks = t.data == 10
+        stops = np.append(np.isin(t.data[:-1], (46, 59)) & np.isin(t.data[1:], (32, 9, 13)), False)
+        line, unit = (np.searchsorted(np.union1d(np.flatnonzero(ends), t.offsets), t.start, "right") for ends in (breaks, breaks | stops))
         inside = unit[1:] == unit[:-1]
-        for (lookup, square, most), h, of in ((self.words, t.hash, unit), (self.pairs, window_hashes(t.hash, (0, 1))[inside], unit[1:][inside])):
-            at, place = lookup.find(h)
-            whole = np.full(len(h), self.other**2)
-            whole[at] = square[place]
-            size += np.bincount(of, whole, minlength=len(size))
-            gain += np.bincount(of[at], most[place], minlength=len(size))
+        size, gain = self._bounds(unit, int(unit.max()) + 1, t.hash, pairs, inside)
         paired = np.bincount(unit[1:][inside], minlength=len(size)) > 0  # one word alone is no evidence
-        good = np.flatnonzero(paired & (gain >= (LIKE - 1e-9) * np.sqrt(np.maximum(size, 1e-9))))
-        out = np.zeros(len(column), bool)
-        out[np.searchsorted(t.offsets, cuts[np.minimum(good, len(cuts)) - 1], "right") - 1] = len(good) > 0
+        out[text_of_word[np.isin(unit, np.flatnonzero(paired & (gain >= (LIKE - 1e-9) * np.sqrt(np.maximum(size, 1e-9)))))]] = True
+        # sums over windows: +1 for a known pair, -1 for others, and no window goes over two texts
+        at, place = self.pairs[0].find(pairs)
+        value = np.full(len(pairs), -1, np.int64)
+        value[at] = 1
+        value[~same_text] = -(1 << 32)
+        total = np.concatenate([[0], np.cumsum(value)])
+        before = total[1:] - np.minimum.accumulate(total[:-1])
+        behind = np.maximum.accumulate(total[:0:-1])[::-1] - total[:-1]
+        dense = np.flatnonzero(before + behind - value > 0)
+        if not len(dense):
+            return out
+        lines = int(line.max()) + 1
+        size, gain = self._bounds(line, lines, t.hash, pairs, line[1:] == line[:-1])
+        over = at[same_text[at] & (line[1:][at] != line[:-1][at])]  # pairs over the end of a line
+        gain += np.bincount(line[1:][over], self.pairs[2][place[np.isin(at, over)]], minlength=lines)
+        size[np.bincount(line, minlength=lines) == 0] = np.inf
+        heads = np.flatnonzero(np.diff(dense, prepend=-2) > 1)
+        low, high = line[dense[heads]], line[dense[np.append(heads[1:], len(dense)) - 1] + 1]
+        sums = np.concatenate([[0], np.cumsum(gain)])
+        least = np.minimum.reduceat(np.append(size, np.inf), np.ravel(np.column_stack([low, high + 1])))[::2]
+        good = sums[high + 1] - sums[low] >= (LIKE - 1e-6) * np.sqrt(np.maximum(least, 1e-9))
+        out[text_of_word[dense[heads[good]]]] = True
         return out
 
     def possible(self, text: str) -> bool:
@@ -177,6 +211,12 @@ class Templates:
         return best, name, span, len(span.split()) / max(1, len(text.split()))
 
 
+@lru_cache(maxsize=2)
+def prepared(templates: tuple) -> Templates:
+    """Templates, made once in a worker."""
+    return Templates({k: list(v) for k, v in templates})
+
+
 def headers(files: DataFrame, path: str = "path", text: str = "text", templates: dict[str, list[str]] | None = None) -> DataFrame:
     """files without the text, with license, similarity, header and is_license_file, from each file's own text."""
     own = ["license", "similarity", "header", "is_license_file"]
@@ -187,7 +227,7 @@ def headers(files: DataFrame, path: str = "path", text: str = "text", templates:
     none = (0.0, None, None, 0.0)
 
     def run(batches):
-        known = Templates(given)
+        known = prepared(tuple((k, tuple(v)) for k, v in given.items()))
         for batch in batches:
             column, found = batch.column(len(kept)), []
             for low, high in slabs(column, SLAB):
