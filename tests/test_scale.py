@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.operators import parts, ranges, resolve, similar, stateful
+from waymark.sources import sinks
 from waymark.streaming import jobs
 
 
@@ -225,3 +226,27 @@ def test_one_key_over_many_ranges(spark, gap):
                 used, ready, until = used + 1, s + 30, s + 300 if i % 100 == 99 else None
         states[k] = (hour, used, ready, until)
     assert gate == want
+
+
+# --- whole sets
+
+
+def test_a_set_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    frame = lambda rows: spark.createDataFrame(rows, "root long, name string, v string")
+    assert sinks.committed(spark, path) == 0
+    with pytest.raises(ValueError, match="no committed"):
+        sinks.read_committed(spark, path)
+    assert sinks.commit_sets(frame([(1, "a", "x"), (1, "b", "x"), (2, "c", "x")]), path, "root", ["name"], ["name", "v"]) == 1
+    broken = frame([(1, "d", "y")] * 50).repartition(8).withColumn("v", F.when(F.spark_partition_id() == 5, F.raise_error(F.lit("killed"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="killed"):
+        sinks.commit_sets(broken, path, "root", ["name"], ["name", "v"])
+    rows = lambda **k: sorted((r["root"], r["name"], r["v"]) for r in sinks.read_committed(spark, path, **k).collect())
+    assert rows() == [(1, "a", "x"), (1, "b", "x"), (2, "c", "x")] and sinks.committed(spark, path) == 1
+    assert sinks.commit_sets(frame([(1, "d", "y")]), path, "root", ["name"], ["name", "v"]) == 2
+    assert rows() == [(1, "d", "y"), (2, "c", "x")] and rows(version=1)[0] == (1, "a", "x")
+    # of two writers that read the same version the second is refused, and leaves nothing
+    with pytest.raises(ValueError, match="another writer"):
+        sinks.commit_whole(frame([(9, "z", "z")]), path, based_on=1)
+    assert rows() == [(1, "d", "y"), (2, "c", "x")]
+    assert sorted(n.split("-")[0] for n in os.listdir(path) if not n.startswith(".")) == ["_aside", "_commits", "rows", "rows"]

@@ -393,6 +393,41 @@ def frontier(start: DataFrame, edges: DataFrame, most: int | None = None) -> Dat
     return seen
 
 
+def identity_refused(incoming: DataFrame, aliases: DataFrame, key: str, slug: str, alias: str = "alias", old_slug: str = "old_slug") -> DataFrame:
+    """incoming with refused: what takes the id or the slug that an alias holds may not be written."""
+    ids = aliases.select(F.col(alias).alias("__id")).filter("__id is not null").distinct().withColumn("__a", F.lit(True))
+    slugs = aliases.select(F.col(old_slug).alias("__slug")).filter("__slug is not null").distinct().withColumn("__b", F.lit(True))
+    rows = incoming.join(ids, F.col(key) == F.col("__id"), "left").join(slugs, F.col(slug) == F.col("__slug"), "left")
+    return rows.withColumn("refused", F.when(F.coalesce("__a", "__b"), "event_alias_identity_reserved")).drop("__id", "__slug", "__a", "__b")
+
+
+def history_refused(deleted: DataFrame, checkpoints: DataFrame, tasks: DataFrame, now: Column, key: str = "id") -> DataFrame:
+    """deleted with refused: a task stays while a checkpoint of it has an open task, or is unfinished and hasn't run out.
+
+    checkpoints: root, active, status, expires; tasks: id, status.
+    """
+    open_ = tasks.filter(F.col("status").isin("queued", "running")).select(F.col("id").alias("active")).withColumn("__open", F.lit(True))
+    live = F.col("__open") | (F.col("status").isin("collecting", "ready") & (F.col("expires") > now))
+    held = checkpoints.join(open_, "active", "left").filter(F.coalesce(live, F.lit(False))).select(F.col("root").alias(key)).distinct().withColumn("__held", F.lit(True))
+    return deleted.join(held, key, "left").withColumn("refused", F.when(F.col("__held"), "checkpoint_in_use")).drop("__held")
+
+
+def campaign_guarded(tasks: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """tasks with refused and hold: a cancelled campaign takes no task, and one that is to pause holds the queued ones.
+
+    tasks: id, source, sync, run, status, held; campaigns: campaign, source, sync, run (either
+    may be null), status, pausing. Of several campaigns of a task the least counts.
+    """
+    c = campaigns.select(F.struct("campaign", F.col("status").alias("state"), "pausing").alias("__c"), F.col("source").alias("__source"), F.col("sync").alias("__sync"), F.col("run").alias("__run"))
+    by_sync = tasks.join(c, (F.col("source") == F.col("__source")) & (F.col("sync") == F.col("__sync")))
+    by_run = tasks.join(c, F.col("run") == F.col("__run"))
+    first = by_sync.select("id", "__c").union(by_run.select("id", "__c")).groupBy("id").agg(F.min("__c").alias("__c"))
+    rows = tasks.join(first, "id", "left")
+    refused = F.when(F.col("__c.state") == "cancelled", "campaign_cancelled")
+    hold = F.coalesce(refused.isNull() & F.col("__c.pausing") & (F.col("status") == "queued") & ~F.col("held"), F.lit(False))
+    return rows.withColumn("refused", refused).withColumn("hold", F.when(hold, "catalog_campaign_paused")).drop("__c")
+
+
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """How many rows break each rule: what triggers would refuse, asked before a write."""
     out = None

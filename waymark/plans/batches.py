@@ -9,6 +9,7 @@ from ..operators import batches as B
 from ..operators import extract as E
 from ..operators import relational as R
 from ..operators import resolve as M
+from ..sources import sinks as K
 from . import query, table
 
 
@@ -188,6 +189,19 @@ def b32_publication_changes(spark, d):
     return B.publication_changes(records, wishes, "c_custkey", M.publication_error(("SC",)))
 
 
+@query("""WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'pending_review' ELSE 'draft' END AS before, CASE WHEN o_totalprice > 250000 THEN 'hidden' WHEN o_orderpriority < '3' THEN 'published' ELSE 'rejected' END AS after, n_name, c_acctbal FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+d AS (SELECT 'u1' AS actor, 'publication_status' AS action, '2026-01-01' AS moment, o_orderkey::VARCHAR AS subject, '{"before":"' || before || '","after":"' || after || '"}' AS details FROM o WHERE after <> 'published' OR c_acctbal >= 0)
+SELECT actor, action, moment, subject, details, substr(sha256(actor || chr(31) || action || chr(31) || moment || chr(31) || subject || chr(31) || details), 1, 32) AS audit_id FROM d""")
+def b32_publication_audit(spark, d):
+    """The audit row of every wish to change what is public that the rules let through."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    state = F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "pending_review").otherwise("draft")
+    wanted = F.when(F.col("o_totalprice") > 250000, "hidden").when(F.col("o_orderpriority") < "3", "published").otherwise("rejected")
+    records = o.select("o_orderkey", F.col("c_name").alias("name"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("n_name").alias("city"), F.lit("SC").alias("state"), F.when(F.col("c_acctbal") < 0, "PT").otherwise("BR").alias("country"), F.lit("road").alias("modality"), F.lit(True).alias("has_reference"), state.alias("publication"))
+    changes = B.publication_changes(records, o.select("o_orderkey", wanted.alias("wanted")), "o_orderkey", M.publication_error(("SC",)))
+    return K.publication_audit(changes, "o_orderkey", F.lit("u1"), F.lit("2026-01-01")).withColumnRenamed("at", "moment")
+
+
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unsafe_url' WHEN p_partkey % 7 = 0 THEN 'too_many_redirects' WHEN p_partkey % 11 = 0 THEN 'body_too_large' END AS error FROM part""")
 def s23_fetches(spark, d):
     """Recorded fetches by the rules for addresses, redirects and length."""

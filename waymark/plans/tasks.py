@@ -235,6 +235,26 @@ def q20_violations(spark, d):
     return Q.violations({"orphan_order": orphans, "negative_balance": customer.filter("c_acctbal < 0"), "zero_quantity": table(spark, d, "lineitem").filter("l_quantity <= 0")})
 
 
+@query("""SELECT 'identity' AS rule, c_custkey AS id, CASE WHEN c_custkey IN (SELECT s_suppkey * 7 FROM supplier) OR c_name IN (SELECT 'Customer#' || lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier WHERE s_acctbal > 0) THEN 'event_alias_identity_reserved' END AS effect FROM customer
+UNION ALL SELECT 'history', o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM lineitem JOIN orders a ON a.o_orderkey = l_partkey WHERE l_orderkey = orders.o_orderkey AND a.o_orderstatus = 'O') OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = orders.o_orderkey AND l_returnflag = 'N' AND l_shipdate > TIMESTAMP '1997-06-01') THEN 'checkpoint_in_use' END FROM orders
+UNION ALL SELECT 'campaign', event_id, CASE state WHEN 'cancelled' THEN 'campaign_cancelled' WHEN 'pausing' THEN CASE WHEN event_type = 'click' THEN 'catalog_campaign_paused' END END FROM
+(SELECT event_id, event_type, min_by(CASE WHEN p_size % 5 = 0 THEN 'cancelled' WHEN p_size % 5 = 1 THEN 'pausing' ELSE 'running' END, p_partkey) AS state FROM events LEFT JOIN part ON (event_type = ['click', 'view', 'error'][p_partkey % 3 + 1] AND user_id = p_partkey AND p_partkey % 2 = 0) OR event_id = p_partkey * 3 GROUP BY 1, 2)""")
+def q20_refusals(spark, d):
+    """Q20: what the guards do to each row: identities that aliases hold, histories in use, tasks of a cancelled or pausing campaign."""
+    c, s, o, p, e = (table(spark, d, n) for n in ("customer", "supplier", "orders", "part", "events"))
+    aliases = s.select((F.col("s_suppkey") * 7).alias("alias"), F.when(F.col("s_acctbal") > 0, F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))).alias("old_slug"))
+    identity = Q.identity_refused(c.select("c_custkey", "c_name"), aliases, "c_custkey", "c_name").select(F.lit("identity").alias("rule"), F.col("c_custkey").alias("id"), F.col("refused").alias("effect"))
+    checkpoints = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("root"), F.col("l_partkey").alias("active"), F.when(F.col("l_returnflag") == "N", "ready").otherwise("done").alias("status"), F.col("l_shipdate").alias("expires"))
+    tasks = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("completed").alias("status"))
+    history = Q.history_refused(tasks.select("id"), checkpoints, tasks, F.lit("1997-06-01").cast("timestamp_ntz")).select(F.lit("history").alias("rule"), "id", F.col("refused").alias("effect"))
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(F.lit("click"), F.lit("view"), F.lit("error")), (k % 3 + 1).cast("int"))
+    campaigns = p.select(k.alias("campaign"), kind.alias("source"), F.when(k % 2 == 0, k).alias("sync"), (k * 3).alias("run"), F.when(F.col("p_size") % 5 == 0, "cancelled").otherwise("running").alias("status"), (F.col("p_size") % 5 == 1).alias("pausing"))
+    own = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.col("user_id").alias("sync"), F.col("event_id").alias("run"), F.when(F.col("event_type") == "click", "queued").otherwise("running").alias("status"), F.lit(False).alias("held"))
+    campaign = Q.campaign_guarded(own, campaigns).select(F.lit("campaign").alias("rule"), "id", F.coalesce("refused", "hold").alias("effect"))
+    return identity.union(history).union(campaign)
+
+
 @query("""SELECT user_id, CASE WHEN max(ts) >= TIMESTAMP '2024-01-20' THEN count(*) ELSE 0 END AS used_now, greatest(40 - CASE WHEN max(ts) >= TIMESTAMP '2024-01-20' THEN count(*) ELSE 0 END, 0) AS "left" FROM events GROUP BY 1""")
 def b23_rate_window(spark, d):
     """A budget as shown; an old window counts as unused."""

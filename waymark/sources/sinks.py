@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,6 +145,83 @@ def replaced_set(target: DataFrame, incoming: DataFrame, set_key: str, record: l
     return target.join(incoming.select(set_key).distinct(), set_key, "left_anti").unionByName(own, allowMissingColumns=True)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file context and path class for a path of any file system."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs
+    return fs, fs.FileContext.getFileContext(fs.Path(path).toUri() if "://" in path else fs.Path(path).makeQualified(fs.FileSystem.get(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), fs.Path("/")).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def committed(spark: SparkSession, path: str) -> int:
+    """The number of the last committed version of a table of versions; 0 if there is none."""
+    fs, _ = _files(spark, path)
+    log = fs.Path(f"{path}/_commits")
+    own = log.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in own.listStatus(log)] if own.exists(log) else []
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def read_committed(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of a committed version, the last one if none is named; what failed writers left is never seen."""
+    fs, _ = _files(spark, path)
+    number = committed(spark, path) if version is None else version
+    if not number:
+        raise ValueError(f"{path} has no committed version")
+    entry = fs.Path(f"{path}/_commits/{number}")
+    stream = entry.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(entry)
+    try:
+        folder = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return spark.read.parquet(f"{path}/{folder}")
+
+
+def commit_whole(df: DataFrame, path: str, based_on: int | None = None) -> int:
+    """Replaces a table whole, and returns the new version's number.
+
+    The rows go to a folder of their own; then one entry, written aside, is moved to the next
+    number, which fails if another writer has it. So readers see the old set or the new one,
+    a writer that is killed before leaves the old one, and of two writers one is refused.
+    based_on: the version that the rows were made from, the last one if none is named.
+    """
+    spark = df.sparkSession
+    after = committed(spark, path) if based_on is None else based_on
+    folder = f"rows-{uuid.uuid4().hex}"
+    fs, context = _files(spark, path)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        df.write.parquet(f"{path}/{folder}")
+        aside = fs.Path(f"{path}/_aside/{folder}")
+        out = aside.getFileSystem(hadoop).create(aside, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
+        entry = fs.Path(f"{path}/_commits/{after + 1}")
+        entry.getFileSystem(hadoop).mkdirs(entry.getParent())
+        if entry.getFileSystem(hadoop).exists(entry):
+            raise ValueError(f"version {after + 1} was committed by another writer")
+        options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(aside, entry, options)  # an entry that is there is never moved over
+    except Exception:
+        for left in (fs.Path(f"{path}/{folder}"), fs.Path(f"{path}/_aside/{folder}")):
+            left.getFileSystem(hadoop).delete(left, True)
+        raise
+    return after + 1
+
+
+def commit_sets(incoming: DataFrame, path: str, set_key: str, record: list[str], content: list[str]) -> int:
+    """Replaces the sets that come in, each whole, and returns the new version: replaced_set() of the last version, committed at once or not at all."""
+    spark = incoming.sparkSession
+    last = committed(spark, path)
+    own = replaced_set(read_committed(spark, path, last), incoming, set_key, record, content) if last else replaced_set(incoming.limit(0), incoming, set_key, record, content)
+    return commit_whole(own, path, last)
+
+
+def publication_audit(changes: DataFrame, key: str, actor: Column, at: Column) -> DataFrame:
+    """Audit rows of publication_changes(): one for each wish that wasn't refused, a wish for the state as it is too."""
+    done = changes.filter(F.col("refused").isNull()).withColumnRenamed("publication", "after")
+    return audit_rows(done, actor, F.lit("publication_status"), at, key, ["before", "after"])
+
+
 def audit_rows(df: DataFrame, actor: Column, action: Column, at: Column, subject: str, details: list[str]) -> DataFrame:
     """Rows for an append-only log: who did what to which record, when, and the details as JSON. Equal events have equal ids."""
     rows = df.select(actor.alias("actor"), action.alias("action"), at.alias("at"), F.col(subject).cast("string").alias("subject"), F.to_json(F.struct(*details)).alias("details"))
