@@ -28,8 +28,8 @@ from ._store import carried, extended, fold_of, quoted, text_of, unused
 from ._tokens import BY_SPACE, slabs, tokenize
 from ._workers import batchwise, rows_kept
 
-#: Labelled rows to fit on, and passages of each of them; tokens of a passage; sizes of codes and of the attention; score from which a text is good.
-SAMPLE, BAG, PASSAGE, CODE, GATE, GOOD = 8000, 64, 48, 16, 8, 0.7
+#: Labelled rows to fit on; tokens of a passage; sizes of codes and of the attention; score from which a text is good.
+SAMPLE, PASSAGE, CODE, GATE, GOOD = 8000, 48, 16, 8, 0.7
 #: Bytes looked at on their own, and those that stand for a group.
 MARKS = b"!#$%&*|@,.-_/<>{}()[]=+\\:;\"'?~^"
 #: Texts encoded at a time, in bytes.
@@ -158,8 +158,9 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 30, b
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, keep=None) -> Model | float:
     """A model from at most `sample` labelled documents, or a constant score if they don't have both labels.
 
-    Of a document with more than BAG passages, BAG evenly spaced ones are fitted on, so
-    that what the driver gets is bounded. Scores are made from all passages.
+    All passages of these documents are fitted on. The driver gets WIDTH numbers of four
+    bytes for each, some six tenths of the sampled texts' size; a caller with very long
+    texts lowers `sample`.
     """
     rows = labelled(docs, labels, label, sample, keep=keep)
 
@@ -168,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             for low, high in slabs(batch.column(0), SLAB):
                 part = batch.slice(low, high - low)
                 x, first = encode(part.column(0))
-                spaced = [r[np.linspace(0, len(r) - 1, min(BAG, len(r))).round().astype(np.int64)] for r in np.split(x, first[1:-1])]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.astype(np.float32).tobytes() for r in spaced], pa.binary())], names=["label", "bag"])
+                bags = np.split(x.astype(np.float32), first[1:-1])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in bags], pa.binary())], names=["label", "bag"])
 
     found = rows.mapInArrow(batchwise(run), "label int, bag binary").toArrow()
     y = (found["label"].to_numpy() > 0).astype(float)
