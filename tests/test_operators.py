@@ -209,6 +209,21 @@ def test_sqlite_source(spark, tmp_path):
     datasource.register(spark)
     df = spark.read.format("waymark_sqlite").schema("id int, name string").option("path", path).option("table", "t").option("columns", "id, name").option("partitions", "3").load()
     assert df.count() == 100 and df.agg(F.sum("id")).first()[0] == 4950 and df.rdd.getNumPartitions() == 3
+    with sqlite3.connect(path) as db:
+        db.execute("INSERT INTO t (rowid, id, name) VALUES (1000000000, 1000, NULL)")
+    tests = ["id = 5", "id > 90", "id >= 10 and id < 20", "name = 'n7'", "name > 'n9'", "id in (1, 2, 1000)", "name is null", "name is not null and id <= 3", "name like 'n1%'", "id % 2 = 0", "name in ('n1', 'x')", "not id = 5"]
+    rows = [(i, f"n{i}") for i in range(100)] + [(1000, None)]
+    same = spark.createDataFrame(rows, "id int, name string")
+    for test in tests:
+        assert sorted(map(str, df.filter(test).collect())) == sorted(map(str, same.filter(test).collect())), test
+    some = df.filter("id > 90")
+    sizes = [len(p) for p in some.rdd.glom().collect()]
+    assert sum(sizes) == 10 and len(sizes) == 3 and max(sizes) <= 4  # a gap of rowids doesn't count, nor what is filtered out
+    reader = datasource.SqliteReader({"path": path, "table": "t", "columns": "id, name"})
+    from pyspark.sql.datasource import EqualTo, StringContains
+
+    assert list(reader.pushFilters([EqualTo(("id",), 5), StringContains(("name",), "x")])) == [StringContains(("name",), "x")]
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [(5, "n5")]
 
 
 def test_sinks(spark, tmp_path):

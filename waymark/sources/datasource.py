@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual
 
 
 class Range(InputPartition):
@@ -12,31 +12,68 @@ class Range(InputPartition):
         self.low, self.high = low, high
 
 
+#: Filters that SQLite is asked, by how they are written there.
+COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+
 class SqliteReader(DataSourceReader):
-    """Reads rowid ranges, one for each partition, in read-only mode."""
+    """Reads rowid ranges of equally many rows, one for each partition, in read-only mode; simple filters are asked of SQLite."""
 
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options["table"]
         self.columns = [c.strip() for c in options["columns"].split(",")]
         self.parts = int(options.get("partitions", 4))
+        self.tests: list[tuple[str, list]] = []
         for name in (self.table, *self.columns):
             if not name.replace("_", "").isalnum():
                 raise ValueError(f"not a plain name: {name!r}")
 
+    def pushFilters(self, filters):
+        """Takes comparisons of one column with numbers or texts, and tests for null; gives the others back."""
+        for f in filters:
+            if (test := self._test(f)) is None:
+                yield f
+            else:
+                self.tests.append(test)
+
+    def _test(self, f) -> tuple[str, list] | None:
+        if len(f.attribute if hasattr(f, "attribute") else ()) != 1 or f.attribute[0] not in self.columns:
+            return None
+        column = f.attribute[0]
+        if isinstance(f, (IsNull, IsNotNull)):
+            return f"{column} IS {'NOT ' * isinstance(f, IsNotNull)}NULL", []
+        values = list(f.value) if isinstance(f, In) else [f.value]
+        # a text is compared as text, by bytes, and a number as a number, as Spark does
+        texts = all(isinstance(v, str) for v in values)
+        if not texts and not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in values):
+            return None
+        own = f"CAST({column} AS TEXT)" if texts else column
+        if isinstance(f, In):
+            return f"{own} IN ({', '.join('?' * len(values))})", values
+        return (f"{own} {COMPARED[type(f)]} ?", values) if type(f) in COMPARED else None
+
+    def _rows(self, db, what: str, low: int | None = None, high: int | None = None):
+        tests = [*self.tests, *([("rowid >= ? AND rowid < ?", [low, high])] if low is not None else [])]
+        where = " AND ".join(f"({t})" for t, _ in tests)
+        return db.execute(f"SELECT {what} FROM {self.table}" + (f" WHERE {where}" if where else ""), [v for _, values in tests for v in values])
+
     def _open(self):
         return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
 
     def partitions(self):
+        """Ranges between quantiles of the rowids that pass the filters: gaps and filters don't make partitions uneven."""
         with self._open() as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {self.table}").fetchone()
-        if low is None:
+            ranked = f"rowid AS id, ntile({self.parts}) OVER (ORDER BY rowid) AS n"
+            inner = " AND ".join(f"({t})" for t, _ in self.tests)
+            query = f"SELECT min(id) FROM (SELECT {ranked} FROM {self.table}{f' WHERE {inner}' if inner else ''}) GROUP BY n ORDER BY 1"
+            lows = [r[0] for r in db.execute(query, [v for _, values in self.tests for v in values])]
+        if not lows:
             return [Range(0, 0)]
-        step = -(-(high - low + 1) // self.parts)
-        return [Range(x, min(x + step, high + 1)) for x in range(low, high + 1, step)]
+        return [Range(a, b) for a, b in zip(lows, [*lows[1:], (1 << 63) - 1], strict=True)]
 
     def read(self, partition):
         with self._open() as db:
-            yield from db.execute(f"SELECT {', '.join(self.columns)} FROM {self.table} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+            yield from self._rows(db, ", ".join(self.columns), partition.low, partition.high)
 
 
 class SqliteSource(DataSource):
@@ -105,5 +142,6 @@ class AdapterSource(DataSource):
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
     spark.dataSource.register(AdapterSource)
