@@ -60,6 +60,40 @@ def discovered(pages: DataFrame, url: str, day: str, name: str, low: str | None
     return last.withColumn("undated", F.col(day).isNull()).withColumn("sort_name", normalize_key(name))
 
 
+def discovery_ends(pages: DataFrame, catalogue: str, page: str, url: str, total: str, more: str, most: int = 500) -> DataFrame:
+    """For each catalogue read page by page: how many pages count, how many addresses were seen, the last total that it named, and warnings on how it ended.
+
+    pages: a row for each listed address, or one with a null address for a page without any, with
+    what the page says of a total and of more pages (either may be null). Reading ends at the
+    first page that brings nothing new, that is empty or says that there is no more, that reaches the
+    one total named so far, or that is the last one allowed. A catalogue has `most` pages
+    that count at most, so its pages are one short window; its addresses are counted before.
+    """
+    own = pages.filter(F.col(page) <= most)
+    first = own.filter(F.col(url).isNotNull()).groupBy(catalogue, url).agg(F.min(page).alias(page)).groupBy(catalogue, page).agg(F.count(F.lit(1)).alias("new"))
+    named = own.filter(F.col(total).isNotNull()).groupBy(catalogue, total).agg(F.min(page).alias(page)).groupBy(catalogue, page).agg(F.count(F.lit(1)).alias("__totals"))
+    each = own.groupBy(catalogue, page).agg(F.count(url).alias("listed"), F.max(total).alias("__total"), F.max(more).alias("__more"))
+    rows = each.join(first, [catalogue, page], "left").join(named, [catalogue, page], "left").fillna({"new": 0, "__totals": 0})
+    so_far = W.partitionBy(catalogue).orderBy(page).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("*", F.sum("new").over(so_far).alias("observed"), F.sum("__totals").over(so_far).alias("totals"), F.last("__total", True).over(so_far).alias("advertised"))
+    ended = (F.col("listed") == 0) | (F.col("__more") == F.lit(False))
+    stop = (
+        F.when((F.col("listed") > 0) & (F.col("new") == 0), "not_advancing")
+        .when(F.coalesce(ended, F.lit(False)), "end")
+        .when((F.col("totals") == 1) & (F.col("advertised") == F.col("observed")), "total")
+        .when(F.col(page) == most, "limit")
+    )
+    at = rows.withColumn("stop", stop).groupBy(catalogue).agg(F.min(F.when(F.col("stop").isNotNull(), F.col(page))).alias("__at"), F.max(page).alias("__last"))
+    last = rows.withColumn("stop", stop).join(at, catalogue).filter(F.col(page) == F.coalesce("__at", "__last"))
+    off = F.coalesce(F.col("advertised") != F.col("observed"), F.lit(False))
+    how = F.when(F.col("totals") > 1, "catalog_total_changed").when(off, "catalog_total_mismatch").when(F.col("advertised").isNull() & F.coalesce("__more", F.lit(True)), "catalog_end_unconfirmed")
+    warnings = F.array_compact(F.array(
+        F.when(F.col("stop") == "not_advancing", "catalog_pagination_not_advancing"), F.when(F.col("stop") == "end", how), F.when((F.col("stop") == "end") & F.col("__more"), "catalog_empty_page_with_more"),
+        F.when((F.col("stop") == "total") & F.col("__more"), "catalog_pagination_conflict"), F.when(F.col("stop") == "limit", "catalog_page_limit"),
+    ))
+    return last.select(catalogue, F.col(page).alias("pages"), "observed", "advertised", warnings.alias("warnings"))
+
+
 def enriched(records: DataFrame, fetched: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """records with what was fetched for them in their gaps, their external id from the address if they had none, and whether anything came."""
     new = fetched.select(key, *[F.col(f).alias(f"__{f}") for f in fields])

@@ -82,6 +82,26 @@ def b7_discovered(spark, d):
     return B.discovered(p, "url", "day", "name", "1994-01-01", "1997-12-31")
 
 
+@query("""WITH p AS (SELECT l_orderkey AS c, l_linenumber AS page, CASE WHEN l_orderkey % 13 = 1 AND l_linenumber > 4 THEN NULL WHEN l_orderkey % 13 = 2 AND l_linenumber > 3 THEN 'u1' ELSE 'u' || least(l_linenumber, l_partkey % 9) || '-' || l_linenumber % 5 END AS url,
+CASE WHEN l_orderkey % 5 = 0 THEN 3 WHEN l_orderkey % 5 = 1 THEN CASE WHEN l_linenumber < 3 THEN 8 ELSE 9 END WHEN l_orderkey % 5 = 2 THEN 4 END AS total, CASE WHEN l_orderkey % 3 = 0 THEN l_linenumber < 5 WHEN l_orderkey % 3 = 1 THEN true END AS more FROM lineitem WHERE l_linenumber <= 6),
+f AS (SELECT c, page, count(*) AS fresh FROM (SELECT c, url, min(page) AS page FROM p WHERE url IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2), t AS (SELECT c, page, count(*) AS n FROM (SELECT c, total, min(page) AS page FROM p WHERE total IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2),
+e AS (SELECT c, page, count(url) AS listed, max(total) AS total, bool_or(more) AS more FROM p GROUP BY 1, 2),
+r AS (SELECT e.*, coalesce(fresh, 0) AS fresh, sum(coalesce(fresh, 0)) OVER w AS observed, sum(coalesce(n, 0)) OVER w AS totals, last_value(total IGNORE NULLS) OVER w AS advertised FROM e LEFT JOIN f USING (c, page) LEFT JOIN t USING (c, page) WINDOW w AS (PARTITION BY c ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, CASE WHEN listed > 0 AND fresh = 0 THEN 'stuck' WHEN listed = 0 OR NOT coalesce(more, true) THEN 'end' WHEN totals = 1 AND advertised = observed THEN 'total' WHEN page = 6 THEN 'limit' END AS stop FROM r),
+x AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY c ORDER BY stop IS NULL, CASE WHEN stop IS NULL THEN -page ELSE page END) = 1)
+SELECT c AS l_orderkey, page AS pages, observed::BIGINT AS observed, advertised, array_to_string(list_filter([CASE WHEN stop = 'stuck' THEN 'catalog_pagination_not_advancing' END, CASE WHEN stop = 'end' THEN CASE WHEN totals > 1 THEN 'catalog_total_changed' WHEN advertised <> observed THEN 'catalog_total_mismatch' WHEN coalesce(more, true) AND advertised IS NULL THEN 'catalog_end_unconfirmed' END END,
+CASE WHEN stop = 'end' AND more THEN 'catalog_empty_page_with_more' END, CASE WHEN stop = 'total' AND more THEN 'catalog_pagination_conflict' END, CASE WHEN stop = 'limit' THEN 'catalog_page_limit' END], lambda w: w IS NOT NULL), ',') AS warnings FROM x""")
+def b7_discovery_ends(spark, d):
+    """Where the reading of each catalogue ends, and the six codes of how."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    tag = F.concat(F.lit("u"), F.least(n.cast("long"), F.col("l_partkey") % 9).cast("string"), F.lit("-"), (n % 5).cast("string"))
+    url = F.when((k % 13 == 1) & (n > 4), F.lit(None)).when((k % 13 == 2) & (n > 3), "u1").otherwise(tag)
+    total = F.when(k % 5 == 0, 3).when(k % 5 == 1, F.when(n < 3, 8).otherwise(9)).when(k % 5 == 2, 4)
+    more = F.when(k % 3 == 0, n < 5).when(k % 3 == 1, F.lit(True))
+    pages = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", url.alias("url"), total.alias("total"), more.alias("more"))
+    return B.discovery_ends(pages, "l_orderkey", "l_linenumber", "url", "total", "more", 6).withColumn("warnings", F.array_join("warnings", ","))
+
+
 @query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'x' || s_suppkey WHEN 1 THEN s_suppkey::VARCHAR ELSE '7' END AS external_id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'fetched' END AS name, CASE WHEN s_suppkey % 5 > 0 THEN 'Garuva' END AS city, (s_suppkey % 2 = 1 OR s_suppkey % 5 > 0) AS enriched FROM supplier""")
 def b8_enriched(spark, d):
     """Records with fetched metadata in their gaps, and ids out of their addresses."""
