@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_key
 from ..functions.urls import is_safe, part
 from .relational import by_any_key
+from .resolve import record_diff
 
 #: States that a job's record is not resumed from, and answers that close a gate.
 SETTLED = ("completed", "skipped")
@@ -45,6 +46,27 @@ def with_cache(rows: DataFrame, cache: DataFrame, keys: list[str], answer: str,
     return rows.join(last, keys, "left").withColumn("needs_model", F.col("cached").isNull())
 
 
+def extracted(rows: DataFrame, cache: DataFrame, keys: list[str], answers: DataFrame, key: str, fields: list[str], required: bool = False) -> DataFrame:
+    """Each record's extraction by a model, with what was answered before, and without it what its source says: job, the fields, warnings, held and changes.
+
+    rows: key, the cache's keys, own (a struct of the fields that the source's own rules found) and
+    current (one of the stored record, or null). cache: see with_cache. answers: key and
+    answer of the records that a model was asked about; null if it failed. job: skipped_cached,
+    success, validation_failed (no JSON object) or provider_failed. Empty fields of an answer
+    are filled from the source, and all are without a valid one, which holds the record back if a
+    model is required. changes: field, from and to against the stored record.
+    """
+    both = with_cache(rows, cache, keys, "answer", "ts").join(answers.select(key, F.col("answer").alias("__told")), key, "left")
+    told = F.coalesce("cached", "__told")
+    valid = F.coalesce(F.get_json_object(told, "$").startswith("{"), F.lit(False))
+    job = F.when(F.col("cached").isNotNull() & valid, "skipped_cached").when(valid, "success").when(told.isNotNull(), "validation_failed").otherwise("provider_failed")
+    value = lambda f: F.coalesce(F.when(valid, F.nullif(F.trim(F.get_json_object(told, f"$.{f}")), F.lit(""))), F.col(f"own.{f}"))
+    out = both.withColumns({"__job": job, "__new": F.struct(*[value(f).alias(f) for f in fields])})
+    failed = ~F.col("__job").isin("skipped_cached", "success")
+    warnings = F.when(failed, F.array(F.lit("ai_curation_failed"))).otherwise(F.array().cast("array<string>"))
+    return out.select(key, F.col("__job").alias("job"), *[F.col(f"__new.{f}").alias(f) for f in fields], warnings.alias("warnings"), (failed & F.lit(required)).alias("held"), record_diff("current", "__new", fields).alias("changes"))
+
+
 def up_to_date(rows: DataFrame, records: DataFrame, keys: list[Column], record_keys: list[Column], row_id: str, record_id: str, version: str) -> DataFrame:
     """row_id of those rows whose record, found by any key, was curated by this version already."""
     done = records.filter(F.col("curated_at").isNotNull() & (F.col("curation_version") == version) & (F.coalesce(F.col("curation_status"), F.lit("not_curated")) != "not_curated"))

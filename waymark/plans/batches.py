@@ -38,6 +38,23 @@ def b3_model_cache(spark, d):
     return B.with_cache(rows, e, ["u", "e"], "answer", "ts").select("o_orderkey", "cached", "needs_model")
 
 
+@query("""WITH c AS (SELECT user_id % 200 AS u, max_by('{"name": "' || event_type || '"}', (ts, '{"name": "' || event_type || '"}')) AS cached FROM events WHERE value > 40 AND event_id % 5 > 0 GROUP BY 1),
+t AS (SELECT *, coalesce(cached, CASE p_partkey % 4 WHEN 0 THEN '{"name": "' || p_brand || '", "city": "' || CASE WHEN p_size > 25 THEN p_type ELSE ' ' END || '"}' WHEN 1 THEN 'sorry, ' || p_name WHEN 2 THEN '{"city": "' || p_type || '"}' END) AS told FROM part LEFT JOIN c ON u = p_partkey % 300),
+v AS (SELECT *, told IS NOT NULL AND json_valid(told) AS valid FROM t),
+f AS (SELECT *, CASE WHEN cached IS NOT NULL AND valid THEN 'skipped_cached' WHEN valid THEN 'success' WHEN told IS NOT NULL THEN 'validation_failed' ELSE 'provider_failed' END AS job, coalesce(CASE WHEN valid THEN nullif(trim(json_extract_string(told, '$.name')), '') END, p_name) AS name, coalesce(CASE WHEN valid THEN nullif(trim(json_extract_string(told, '$.city')), '') END, CASE WHEN p_size % 2 = 0 THEN 'Garuva' END) AS city FROM v)
+SELECT p_partkey, job, name, city, job IN ('validation_failed', 'provider_failed') AS held, array_to_string(list_filter([CASE WHEN name IS DISTINCT FROM p_brand THEN 'name' END, CASE WHEN city IS DISTINCT FROM 'Garuva' THEN 'city' END], lambda x: x IS NOT NULL), ',') AS changed FROM f""")
+def b3_extraction(spark, d):
+    """A model's answer, an older one of the same content, or the source's own fields, and what that changes in the stored record."""
+    k = F.col("p_partkey")
+    e = table(spark, d, "events").select((F.col("user_id") % 200).alias("u"), F.to_json(F.struct(F.col("event_type").alias("name"))).alias("answer"), "ts", F.when(F.col("value") > 40, "success").otherwise("failed").alias("status"), (F.col("event_id") % 5 == 0).alias("dry_run"))
+    e = e.withColumn("answer", F.replace("answer", F.lit('":"'), F.lit('": "')))
+    p = table(spark, d, "part")
+    rows = p.select("p_partkey", (k % 300).alias("u"), F.struct(F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "Garuva").alias("city")).alias("own"), F.struct(F.col("p_brand").alias("name"), F.lit("Garuva").alias("city")).alias("current"))
+    told = F.when(k % 4 == 0, F.to_json(F.struct(F.col("p_brand").alias("name"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(" ").alias("city")))).when(k % 4 == 1, F.concat(F.lit("sorry, "), "p_name")).when(k % 4 == 2, F.to_json(F.struct(F.col("p_type").alias("city"))))
+    out = B.extracted(rows, e, ["u"], p.select("p_partkey", told.alias("answer")), "p_partkey", ["name", "city"], required=True)
+    return out.select("p_partkey", "job", "name", "city", "held", F.array_join("changes.field", ",").alias("changed"))
+
+
 def _sometimes(text: str, attempt: int) -> str:
     """A model that has no answer for one text of four, and only at the second time for another."""
     n = int(text)
