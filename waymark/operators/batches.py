@@ -39,6 +39,50 @@ def run_summary(outcomes: DataFrame, run: str, taken: str = "taken") -> DataFram
     return rows.withColumn("status", status).withColumn("next_offset", F.col("__offset") + F.col("processed")).drop("__offset")
 
 
+#: Candidates that one step of a run works on.
+STEP = 25
+
+
+def import_step(candidates: DataFrame, checks: DataFrame, limit: int = STEP) -> DataFrame:
+    """The candidates of import runs after one step of each: the first `limit` pending ones by age, with status, action, match and error; and whether they were taken.
+
+    candidates: run, id, created, status. checks: id, status (success, manual_review,
+    provider_failed or validation_failed), reasons, event (what it was saved as), prior (what its reference stood for
+    before) and own (whether that record is of the candidate's source). One without a
+    check failed by itself; one whose source is blocked stays pending.
+    """
+    first = W.partitionBy("run").orderBy("created", "id")
+    pending = candidates.filter("status = 'pending'").withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= max(1, min(limit, STEP))).select("id")
+    c = checks.select("id", F.struct("status", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), "event", "prior", "own").alias("c"))
+    rows = candidates.join(pending.withColumn("taken", F.lit(True)), "id", "left").join(c, "id", "left")
+    taken, why = F.coalesce("taken", F.lit(False)), F.col("c.reasons")
+    blocked = F.coalesce(F.array_contains(why, "source_access_blocked"), F.lit(False))
+    failed = F.col("c.status").isNull() | F.col("c.status").isin("provider_failed", "validation_failed")
+    status = F.when(~taken | blocked, F.col("status")).when(failed, "failed").otherwise("processed")
+    action = (
+        F.when(~taken | blocked, None)
+        .when(failed, "review")
+        .when(F.array_contains(why, "unchanged_content"), "skip")
+        .when(F.col("c.event").isNull(), "review")
+        .when(F.col("c.prior").isNotNull(), "update")
+        .when(F.coalesce(F.col("c.own"), F.lit(False)), "create")
+        .otherwise("link")
+    )
+    error = F.when(taken & ~blocked & failed, F.when(F.col("c").isNull(), "source_processing_failed").otherwise(F.coalesce(F.nullif(F.array_join(why, ", "), F.lit("")), "c.status")))
+    match = F.when(taken & ~blocked & ~failed, F.coalesce("c.event", "c.prior"))
+    return rows.select("run", "id", status.alias("status"), action.alias("action"), match.alias("match"), error.alias("error"), (taken & ~blocked).alias("taken"), (F.col("c.status") == "success").alias("succeeded"), (F.col("c.status") == "manual_review").alias("reviewed"))
+
+
+def import_runs(stepped: DataFrame) -> DataFrame:
+    """Each run behind a step: what is done, failed and left, what this step published, sent to review and left unchanged, and the run's status."""
+    own = F.col("taken")
+    sums = stepped.groupBy("run").agg(
+        F.count_if(F.col("status") == "pending").alias("remaining"), F.count_if(F.col("status").isin("processed", "failed")).alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(own & F.col("succeeded") & F.col("match").isNotNull()).alias("published"), F.count_if(own & F.col("reviewed")).alias("manual_review"), F.count_if(own & (F.col("action") == "skip")).alias("unchanged"),
+    )
+    return sums.withColumn("status", F.when(F.col("remaining") > 0, "ready").when(F.col("failed") > 0, "partial_success").otherwise("success"))
+
+
 def with_cache(rows: DataFrame, cache: DataFrame, keys: list[str], answer: str, at: str) -> DataFrame:
     """rows with cached (the newest successful answer of an equal key, dry runs left out) and needs_model."""
     good = cache.filter((F.col("status") == "success") & ~F.col("dry_run"))

@@ -30,6 +30,38 @@ def b2_run_summary(spark, d):
     return B.run_summary(table(spark, d, "orders").select("o_custkey", F.lit(5).alias("offset"), (F.col("o_orderpriority") != "5-LOW").alias("taken"), result.alias("result")), "o_custkey")
 
 
+STEPPED = """c AS (SELECT o_custkey % 40 AS run, o_orderkey AS id, o_orderdate AS created, CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'P' THEN 'failed' ELSE 'pending' END AS status, o_orderkey % 9 AS k, o_totalprice FROM orders),
+t AS (SELECT *, status = 'pending' AND row_number() OVER (PARTITION BY run, status ORDER BY created, id) <= 25 AND k <> 7 AS taken, k IN (0, 4, 5) AS bad, CASE WHEN k IN (1, 2, 3) THEN id * 10 END AS event, CASE WHEN k IN (2, 6) THEN id * 10 + 1 END AS prior FROM c),
+s AS (SELECT run, id, CASE WHEN NOT taken THEN status WHEN bad THEN 'failed' ELSE 'processed' END AS status, CASE WHEN NOT taken THEN NULL WHEN bad THEN 'review' WHEN k = 6 THEN 'skip' WHEN event IS NULL THEN 'review' WHEN prior IS NOT NULL THEN 'update' WHEN o_totalprice > 150000 THEN 'create' ELSE 'link' END AS action,
+CASE WHEN taken AND NOT bad THEN coalesce(event, prior) END AS match, CASE WHEN taken AND bad THEN CASE k WHEN 0 THEN 'source_processing_failed' WHEN 4 THEN 'timeout, gone' ELSE 'validation_failed' END END AS error, taken, k FROM t)"""
+
+
+def _stepped(spark, d):
+    """Orders as candidates of forty runs, of which some were done before, with checks of nearly all."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey") % 9
+    state = F.when(F.col("o_orderstatus") == "F", "processed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
+    candidates = o.select((F.col("o_custkey") % 40).alias("run"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created"), state.alias("status"))
+    texts = lambda *x: F.array(*[F.lit(t) for t in x])
+    status = F.when(k.isin(1, 2, 6, 7), "success").when(k == 4, "provider_failed").when(k == 5, "validation_failed").otherwise("manual_review")
+    reasons = F.when(k == 4, texts("timeout", "gone")).when(k == 6, texts("unchanged_content")).when(k == 7, texts("source_access_blocked"))
+    own = F.col("o_orderkey")
+    checks = o.filter(k != 0).select(own.alias("id"), status.alias("status"), reasons.alias("reasons"), F.when(k.isin(1, 2, 3), own * 10).alias("event"), F.when(k.isin(2, 6), own * 10 + 1).alias("prior"), (F.col("o_totalprice") > 150000).alias("own"))
+    return B.import_step(candidates, checks)
+
+
+@query(f"WITH {STEPPED} SELECT run, id, status, action, match, error FROM s")
+def b2_import_step(spark, d):
+    """B2: the candidates of runs after a step of 25 each."""
+    return _stepped(spark, d).select("run", "id", "status", "action", "match", "error")
+
+
+@query(f"""WITH {STEPPED}, r AS (SELECT run, count(*) FILTER (status = 'pending') AS remaining, count(*) FILTER (status <> 'pending') AS processed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (taken AND k IN (1, 2, 6) AND match IS NOT NULL) AS published, count(*) FILTER (taken AND k IN (3, 8)) AS manual_review, count(*) FILTER (taken AND action = 'skip') AS unchanged FROM s GROUP BY 1)
+SELECT *, CASE WHEN remaining > 0 THEN 'ready' WHEN failed > 0 THEN 'partial_success' ELSE 'success' END AS status FROM r""")
+def b2_import_runs(spark, d):
+    """B2: import runs behind a step."""
+    return B.import_runs(_stepped(spark, d))
+
+
 @query("""SELECT o_orderkey, c.cached, c.cached IS NULL AS needs_model FROM orders LEFT JOIN (SELECT user_id % 100 AS u, event_type AS e, max_by(event_id::VARCHAR, (ts, event_id::VARCHAR)) AS cached FROM events WHERE value > 40 AND event_id % 5 > 0 GROUP BY 1, 2) c ON o_custkey % 100 = c.u AND c.e = CASE WHEN o_orderstatus = 'F' THEN 'click' ELSE 'view' END""")
 def b3_model_cache(spark, d):
     """What a model was asked before, by key; only the rest needs it."""
