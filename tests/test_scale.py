@@ -250,3 +250,23 @@ def test_a_set_is_replaced_whole_or_not_at_all(spark, tmp_path):
         sinks.commit_whole(frame([(9, "z", "z")]), path, based_on=1)
     assert rows() == [(1, "d", "y"), (2, "c", "x")]
     assert sorted(n.split("-")[0] for n in os.listdir(path) if not n.startswith(".")) == ["_aside", "_commits", "rows", "rows"]
+
+
+def test_controls_equal_a_fold(spark):
+    rng = random.Random(8)
+    states = {r: rng.choice(["ready", "paused", "ready", "completed", "cancelled"]) for r in range(12)}
+    rows = [(rng.randrange(12), 1_700_000_000 + rng.randrange(30), rng.randrange(14), rng.choice(["pause", "resume", "pause", "resume", "cancel"])) for _ in range(300)]
+    want, now, first = [], dict(states), {}
+    for run, at, command, action in sorted(rows):
+        if (run, command) in first:
+            effect = "replayed" if first[run, command] == action else "key_conflict"
+        else:
+            first[run, command] = action
+            effect = "refused" if now[run] in ("cancelled", "completed") else "applied"
+        if effect == "applied":
+            now[run] = {"pause": "paused", "cancel": "cancelled"}.get(action, "ready")
+        want.append((run, at, command, action, effect, now[run]))
+    runs = spark.createDataFrame(list(states.items()), "run long, state string")
+    commands = spark.createDataFrame(rows, "run long, s long, command_id long, action string").withColumn("at", F.col("s").cast("timestamp")).drop("s")
+    out = [(r["run"], int(r["at"].timestamp()), r["command_id"], r["action"], r["effect"], r["state"]) for r in stateful.controlled(runs, commands).collect()]
+    assert sorted(out) == sorted(want)

@@ -239,7 +239,7 @@ def ledger(pages: DataFrame, group: str, number: str, url: str, total: str, more
     pages: a row for each listed url; a page without any has one row with a null url.
     """
     first = pages.groupBy(group, url).agg(F.min(number).alias("__first"))
-    own = pages.groupBy(group, number).agg(F.count(url).alias("raw"), F.count_distinct(url).alias("unique_"), F.max(total).alias("__total"), F.max(more).alias("__more"), F.sha2(F.array_join(F.array_sort(F.collect_set(url)), "\n"), 256).alias("hash"))
+    own = pages.groupBy(group, number).agg(F.count(url).alias("raw"), F.max(total).alias("__total"), F.max(more).alias("__more"))
     fresh = first.filter(F.col(url).isNotNull()).groupBy(group, F.col("__first").alias(number)).agg(F.count(F.lit(1)).alias("new"))
     page = own.join(fresh, [group, number], "left").fillna({"new": 0})
     whole = page.groupBy(group).agg(
@@ -304,26 +304,23 @@ def controlled(runs: DataFrame, commands: DataFrame, key: str = "run") -> DataFr
     """Every command with its effect (applied, replayed, key_conflict or refused) and the run's state behind it.
 
     runs: key and state. commands: key, at, command_id, action (pause, resume or cancel).
-    Commands of a run are folded in order of at and command_id; one whose id came before
-    does nothing if it asks for the same, and is refused else. A run that has ended takes
-    no more commands. The few commands of one run are an array, so the fold is one
-    expression.
+    Commands of a run count in order of at and command_id; one whose id came before does
+    nothing if it asks for the same, and is refused else. A run that has ended takes no more
+    commands: what counts is the first cancel of each run, which is added up before the shuffle,
+    and the last command applied so far, for which a run's commands are read once, in order.
     """
-    own = commands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "command_id", "action"))).alias("__all"))
-    first = F.transform("__all", lambda c: F.get(F.filter("__all", lambda o: o["command_id"] == c["command_id"]), F.lit(0))["action"])
-    seen = F.transform("__all", lambda c, i: F.exists(F.slice("__all", F.lit(1), i), lambda o: o["command_id"] == c["command_id"]))
-    steps = F.arrays_zip(F.col("__all").alias("c"), first.alias("first"), seen.alias("seen"))
-
-    def fold(done, s):
-        state = F.get(done, F.size(done) - 1)["state"]
-        action = s["c"]["action"]
-        effect = F.when(s["seen"] & (s["first"] == action), "replayed").when(s["seen"], "key_conflict").when(state.isin("cancelled", "completed"), "refused").otherwise("applied")
-        next_ = F.when(effect != "applied", state).when(action == "pause", "paused").when(action == "cancel", "cancelled").otherwise("ready")
-        return F.concat(done, F.array(F.struct(s["c"]["at"].cast("timestamp").alias("at"), s["c"]["command_id"].alias("command_id"), action.alias("action"), effect.alias("effect"), next_.alias("state"))))
-
-    start = F.array(F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast(dict(commands.dtypes)["command_id"]).alias("command_id"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("effect"), F.col("state").alias("state")))
-    rows = runs.select(key, "state").join(own, key)
-    return rows.select(key, F.inline(F.filter(F.aggregate(steps, start, fold), lambda s: s["effect"].isNotNull())))
+    place = F.struct("at", "command_id", "action")
+    by_id = W.partitionBy(key, "command_id").orderBy("at", "action")
+    rows = commands.select(key, F.col("at").cast("timestamp").alias("at"), "command_id", "action").join(runs.select(key, F.col("state").alias("__state")), key)
+    rows = rows.withColumns({"__nth": F.row_number().over(by_id), "__first": F.first("action").over(by_id)})
+    ended = F.col("__state").isin("cancelled", "completed")
+    cancel = rows.filter((F.col("__nth") == 1) & (F.col("action") == "cancel") & ~ended).groupBy(key).agg(F.min(place).alias("__cancel"))
+    late = F.coalesce(place > F.col("__cancel"), F.lit(False))
+    effect = F.when((F.col("__nth") > 1) & (F.col("__first") == F.col("action")), "replayed").when(F.col("__nth") > 1, "key_conflict").when(ended | late, "refused").otherwise("applied")
+    rows = rows.join(cancel, key, "left").withColumn("effect", effect)
+    next_ = F.when(F.col("effect") == "applied", F.when(F.col("action") == "pause", "paused").when(F.col("action") == "cancel", "cancelled").otherwise("ready"))
+    so_far = W.partitionBy(key).orderBy("at", "command_id", "action", "__nth").rowsBetween(W.unboundedPreceding, 0)
+    return rows.select(key, "at", "command_id", "action", "effect", F.coalesce(F.last(next_, True).over(so_far), "__state").alias("state"))
 
 
 def run_limited(tasks: DataFrame, group: str, order: list[Column], most: int, seconds: str, budget: float) -> DataFrame:

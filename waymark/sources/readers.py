@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import explicit_date, month_name_date, normalize_date
+from ..functions.dates import month_name_date, normalize_date
 from ..functions.numbers import first_integer
 from ..functions.text import Text, clean, normalize_key, parts_hash
 from ..functions.urls import absolute, canonical, host, is_plain, part
@@ -340,11 +340,6 @@ def decoded(raw: Column, declared: Column) -> Column:
     return F.when(F.lower(declared).isin("iso-8859-1", "latin-1", "latin1"), latin).when(F.is_valid_utf8(as_text), as_text).otherwise(western)
 
 
-def explicit_days(df: DataFrame, key: str, label: str) -> DataFrame:
-    """Labels that are one whole day."""
-    return df.select(key, label, explicit_date(label).alias("day"))
-
-
 def ordered_scan(df: DataFrame, order: list[Column]) -> Iterator[Row]:
     """The rows in order, one partition at a time on the driver: what a server-side cursor gives a program."""
     yield from df.orderBy(*order).toLocalIterator(prefetchPartitions=True)
