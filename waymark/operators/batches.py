@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
 from ..functions.urls import is_safe, part
-from .relational import by_any_key
+from .relational import by_any_key, page
 from .resolve import record_diff
 
 #: States that a job's record is not resumed from, and answers that close a gate.
@@ -272,6 +272,59 @@ def publication_changes(records: DataFrame, wishes: DataFrame, key: str, error:
     return rows.select(key, F.col("publication").alias("before"), new.alias("publication"), refused.alias("refused"), (new != F.col("publication")).alias("changed"))
 
 
+#: Bounds of what a campaign may ask for, and states in which it has ended.
+REASON, KEY, BATCHES, PREFIXES = (3, 500), 100, (1, 25), (25, 10_000)
+CAMPAIGN_ENDED = ("completed", "completed_with_failures", "cancelled")
+
+
+def campaign_starts(requests: DataFrame, campaigns: DataFrame, order: str, states: Iterable[str]) -> DataFrame:
+    """Each wish to start a campaign with its outcome: order, id, request_hash and outcome.
+
+    requests: actor, key, reason, states (an array), batch, prefix, and their order. campaigns: id, request_hash,
+    status. A wish out of bounds is campaign_request_invalid. An actor's key that is known already brings
+    the same campaign back (replayed), or an idempotency_conflict if it asks for something else. While any
+    campaign runs, others are refused (campaign_active), so of several new ones the first is started.
+    """
+    size, reason = F.size("states"), F.trim(F.coalesce("reason", F.lit("")))
+    fits = (
+        (F.coalesce("actor", F.lit("")) != "")
+        & F.length(F.coalesce("key", F.lit(""))).between(1, KEY)
+        & (F.length(reason) >= REASON[0])
+        & (F.length("reason") <= REASON[1])
+        & size.between(1, 27)
+        & (F.size(F.array_distinct("states")) == size)
+        & (F.size(F.array_except("states", F.array(*[F.lit(x) for x in states]))) == 0)
+        & F.col("batch").between(*BATCHES)
+        & F.col("prefix").between(*PREFIXES)
+    )
+    digest = F.sha2(F.concat_ws("|", reason, F.array_join(F.array_sort("states"), ","), F.col("batch").cast("string"), F.col("prefix").cast("string")), 256)
+    name = F.concat(F.lit("campaign_"), F.substring(F.sha2(F.concat_ws("|", "actor", "key"), 256), 1, 32))
+    asked = requests.select(F.col(order), F.coalesce(fits, F.lit(False)).alias("fits"), name.alias("id"), digest.alias("request_hash"))
+    known = campaigns.select("id", F.col("request_hash").alias("__known"))
+    rows = asked.join(known, "id", "left")
+    running = campaigns.agg(F.count_if(~F.col("status").isin(*CAMPAIGN_ENDED)).alias("__running"))
+    first = rows.filter(F.col("fits") & F.col("__known").isNull()).agg(F.min(F.struct(order, "id", "request_hash")).alias("__new"))
+    rows = rows.crossJoin(running.crossJoin(first))  # one row
+    begun = F.when(F.col("__running") == 0, F.col("__new"))
+    behind = (F.col("id") == begun["id"]) & (F.col(order) > begun[order])
+    before = F.coalesce("__known", F.when(behind, begun["request_hash"]))
+    outcome = (
+        F.when(~F.col("fits"), "campaign_request_invalid")
+        .when(before == F.col("request_hash"), "replayed")
+        .when(before.isNotNull(), "idempotency_conflict")
+        .when(F.col(order) == begun[order], "started")
+        .otherwise("campaign_active")
+    )
+    return rows.select(order, "id", "request_hash", outcome.alias("outcome"))
+
+
+def campaign_page(campaigns: DataFrame, number: int = 1, size: int = 10) -> DataFrame:
+    """A page of campaigns, the newest first, with the total and whether each still runs."""
+    total = campaigns.agg(F.count(F.lit(1)).alias("total"))
+    rows = page(campaigns, [F.desc("created"), F.desc("id")], number, size)
+    return rows.withColumn("active", ~F.col("status").isin(*CAMPAIGN_ENDED)).crossJoin(total)
+
+
 def retries(tasks: DataFrame, wishes: DataFrame, actor: str) -> DataFrame:
     """The new tasks that wishes (id, key) make of failed ones without a successor: retry_of, kind, payload and a scoped key, so that the same wish makes one task."""
     failed = tasks.filter(F.col("status").isin("failed", "cancelled")).join(tasks.select(F.col("retry_of").alias("id")).filter("id is not null"), "id", "left_anti")

@@ -240,6 +240,41 @@ def b26_failed_leaves(spark, d):
     return B.retries(tasks, wishes.union(wishes), "admin").select(F.col("retry_of").alias("event_id"))
 
 
+CODES = ("SC", "SP", "PR", "RS", "RJ")
+
+
+def _wishes(spark, d):
+    """Customers' wishes: some out of bounds, some of a known actor's key, some the same again."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    states = F.when(k % 11 == 0, F.array(F.lit("XX"))).when(k % 11 == 1, F.array(F.lit("SC"), F.lit("SC"))).when(k % 2 == 0, F.array(F.lit("SP"), F.lit("SC"))).otherwise(F.array(F.lit("SC"), F.lit("SP")))
+    batch = F.when(k % 13 == 0, 26).otherwise(k % 2 + 5)
+    return table(spark, d, "customer").select("c_custkey", F.concat(F.lit("u"), n.cast("string")).alias("actor"), F.concat(F.lit("k"), (k % 7).cast("string")).alias("key"), F.when(k % 17 == 0, " x ").otherwise(F.col("c_mktsegment")).alias("reason"), states.alias("states"), batch.cast("int").alias("batch"), F.lit(250).alias("prefix"))
+
+
+WISHES = """w AS (SELECT c_custkey, 'u' || c_nationkey AS actor, 'k' || c_custkey % 7 AS key, CASE WHEN c_custkey % 17 = 0 THEN 'x' ELSE c_mktsegment END AS reason, c_custkey % 11 > 1 AND c_custkey % 13 > 0 AND c_custkey % 17 > 0 AS fits, CASE WHEN c_custkey % 11 = 0 THEN 'XX' WHEN c_custkey % 11 = 1 THEN 'SC,SC' ELSE 'SC,SP' END AS states, CASE WHEN c_custkey % 13 = 0 THEN 26 ELSE c_custkey % 2 + 5 END AS batch FROM customer),
+h AS (SELECT c_custkey, fits, 'campaign_' || substr(sha256(actor || '|' || key), 1, 32) AS id, sha256(reason || '|' || states || '|' || batch || '|250') AS request_hash FROM w),
+s AS (SELECT id, request_hash AS known FROM h WHERE c_custkey IN (SELECT min(c_custkey) FROM w WHERE fits AND length(actor) = 2 GROUP BY actor, key)),
+n AS (SELECT min({'o': c_custkey, 'id': h.id, 'hash': h.request_hash}) AS first FROM h LEFT JOIN s USING (id) WHERE fits AND known IS NULL)"""
+
+
+@query(f"""WITH {WISHES} SELECT c_custkey, h.id, request_hash, CASE WHEN NOT fits THEN 'campaign_request_invalid' WHEN coalesce(known, CASE WHEN h.id = first.id AND c_custkey > first.o THEN first.hash END) = request_hash THEN 'replayed' WHEN known IS NOT NULL OR (h.id = first.id AND c_custkey > first.o) THEN 'idempotency_conflict' WHEN c_custkey = first.o THEN 'started' ELSE 'campaign_active' END AS outcome FROM h LEFT JOIN s USING (id), n""")
+def b26_campaign_starts(spark, d):
+    """What becomes of each wish to start a campaign, where some campaigns are known and have ended."""
+    wishes = _wishes(spark, d)
+    none = spark.createDataFrame([], "id string, request_hash string, status string")
+    every = B.campaign_starts(wishes, none, "c_custkey", CODES)
+    owned = wishes.filter(F.length("actor") == 2).join(every.filter("outcome != 'campaign_request_invalid'"), "c_custkey")
+    stored = owned.groupBy("id").agg(F.min_by("request_hash", "c_custkey").alias("request_hash"))
+    return B.campaign_starts(wishes, stored.withColumn("status", F.lit("cancelled")), "c_custkey", CODES)
+
+
+@query("""SELECT o_orderkey AS id, o_orderdate AS created, o_orderstatus <> 'F' AS active, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10 OFFSET 20""")
+def b26_campaign_page(spark, d):
+    """The third page of campaigns, the newest first."""
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"))
+    return B.campaign_page(c, 3).drop("status")
+
+
 @query("""SELECT event_id AS retry_of, sha256('["retry","admin","' || event_id || '","k' || event_id % 3 || '"]') AS scoped_key FROM events WHERE event_id % 2 = 0""")
 def b33_scoped_keys(spark, d):
     """One key for one wish of one person about one task."""
