@@ -10,7 +10,7 @@ from ..functions.dates import normalize_date
 from ..functions.text import clean, fingerprint, name_words, slugify, strip_accents
 from ..functions.urls import absolute, comparable
 from .extract import country_in_location, country_of, looks_like_venue, normalized_warnings
-from .lineage import cut, dropped, stored
+from .lineage import dropped, stored
 from .ranges import placed
 from .relational import latest
 from .similar import best_similar
@@ -117,7 +117,7 @@ def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     link = hit(linked.withColumn("__why", why), 2, F.lit(1.0), F.col("__why").isNull(), F.coalesce("__why", F.lit("link_confirmed")))
     generic = hit(sharing(open_, "urls"), 3, F.lit(1.0), F.lit(False), F.lit("link_unconfirmed"))
     print_ = hit(a.join(open_, (F.col("a_fingerprint") == F.col("b_fingerprint")) & (F.col("a_date") == F.col("b_date"))), 4, F.lit(1.0), F.lit(False), F.lit("fingerprint_review"))
-    sure = cut(latest(same.unionByName(link).unionByName(generic).unionByName(print_), ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")]))
+    sure = stored(latest(same.unionByName(link).unionByName(generic).unionByName(print_), ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")]))
     place = lambda df: df.withColumns({"words": name_words("name"), "__city": F.lower("city")})
     left = place(incoming.join(sure.select("id"), "id", "left_anti"))
     right = place(known.filter("status != 'rejected'")).withColumnRenamed("id", "match")
