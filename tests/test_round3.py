@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from waymark.functions import text
 from waymark.operators import extract as E
 
 
@@ -13,3 +14,7 @@ def test_title_keeps_entities_that_are_not_markup(spark):
     page = F.lit("<title>a &quot;b&quot; &lt;c&gt; &amp; d</title>")
     assert value(spark, E.html_title(page, E.MARKUP)) == "a &quot;b&quot; <c> & d"
     assert value(spark, E.html_title(page)) == 'a "b" <c> & d'
+
+
+def test_stop_words_beside_letters_beyond_ascii(spark):
+    assert value(spark, text.name_text(F.lit("dasßtzie eßa Corrida da Sé e2"))) == "tzie a corrida se e2"

@@ -69,7 +69,8 @@ def title_header(x: Text) -> Column:
 
 def name_text(x: Text) -> Column:
     """A name's words without accents and stop words."""
-    stop = r"\b(" + "|".join(NAME_STOP_WORDS) + r")\b"
+    # the bounds of words are spelled out: what Java's \b takes for a letter differs by release
+    stop = "(?<![0-9A-Za-z_])(" + "|".join(NAME_STOP_WORDS) + ")(?![0-9A-Za-z_])"
     bare = F.regexp_replace(F.lower(strip_accents(_c(x))), stop, " ")
     return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
