@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -207,6 +210,44 @@ def content_hash(df: DataFrame, group: list[str], row_text: Column) -> DataFrame
     return sums.select(*group, F.sha2(text, 256).alias("content_hash"))
 
 
+def set_hash(df: DataFrame, group: str, row_text: Column) -> DataFrame:
+    """The SHA-256 over the sorted SHA-256 of each set's rows, repeated ones included, whatever their order.
+
+    A set's hashes stand in order in one task and run through its digest batch by batch, so a set of
+    any size is hashed whole in bounded memory.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    rows = df.select(F.col(group).alias("g"), F.sha2(row_text, 256).alias("h")).repartition("g").sortWithinPartitions("g", "h")
+
+    def run(batches):
+        last, digest = None, None
+        for batch in batches:
+            groups, hashes = batch.column(0), batch.column(1).to_pylist()
+            ends = [k + 1 for k in pc.indices_nonzero(_changed(groups)).to_pylist()] + [len(hashes)]
+            keys, values, begin = [], [], 0
+            for end in ends if hashes else []:
+                key = groups.slice(begin, 1)
+                if digest is None or not key.equals(last):
+                    if digest is not None:
+                        keys.append(last)
+                        values.append(digest.hexdigest())
+                    last, digest, mark = key, hashlib.sha256(), ""
+                digest.update((mark + "\n".join(hashes[begin:end])).encode())
+                mark, begin = "\n", end
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(values)], names=["g", "content_hash"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([last, pa.array([digest.hexdigest()])], names=["g", "content_hash"])
+
+    return rows.mapInArrow(run, f"g {kind}, content_hash string").withColumnRenamed("g", group)
+
+
+def _changed(values: pa.Array) -> pa.Array:
+    """For each value but the last, whether the next one is another; null equals null."""
+    a, b = values.slice(0, max(len(values) - 1, 0)), values.slice(1)
+    return pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20, most: int = 100) -> DataFrame:
     """A page of rows in a total order; the size is bounded."""
     size = max(1, min(size, most))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import formula_guard
 from ..operators.parts import accumulated_parts
-from ..operators.relational import content_hash, with_children
+from ..operators.relational import set_hash, with_children
 from .workbooks import PART_BYTES, PART_ROWS, TOTAL_BYTES, packed
 
 
@@ -141,7 +141,7 @@ def replaced_set(target: DataFrame, incoming: DataFrame, set_key: str, record: l
     """target with the sets that come in replaced whole; rows get a deterministic id, and all of a set its content hash, whatever their order."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content])
     own = with_row_ids(incoming, [set_key, *record])
-    own = own.join(content_hash(own, [set_key], text), set_key)
+    own = own.join(set_hash(own, set_key, text), set_key)
     return target.join(incoming.select(set_key).distinct(), set_key, "left_anti").unionByName(own, allowMissingColumns=True)
 
 
