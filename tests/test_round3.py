@@ -28,3 +28,27 @@ def test_set_hash_covers_every_row_hash(spark):
     rows = spark.createDataFrame([(g, v) for g, values in sets.items() for v in values], "g long, v string").repartition(5)
     own = lambda values: hashlib.sha256("\n".join(sorted(hashlib.sha256(v.encode()).hexdigest() for v in values)).encode()).hexdigest()
     assert {r["g"]: r["content_hash"] for r in R.set_hash(rows, "g", F.col("v")).collect()} == {g: own(v) for g, v in sets.items()}
+
+
+def test_quality_model_is_fitted_on_long_texts_from_a_file(spark, monkeypatch):
+    """Bags of more than one piece, batches of more than one run, and no table of them on the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from waymark.llm import quality
+
+    def refused(self):
+        raise AssertionError("the sample came to the driver whole")
+
+    monkeypatch.setattr(DataFrame, "toArrow", refused)
+    monkeypatch.setattr(DataFrame, "collect", refused)
+    monkeypatch.setattr(quality, "ROWS", 500)
+    words = {1: "The river runs past the old mill and the town. ", 0: "buy NOW $$$ !!! click $$$ "}
+    rows = [(i, words[i % 2] * (2 if i % 5 else 900), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality.train(docs.repartition(3), labels)
+    again = quality.train(docs.repartition(7), labels)
+    assert all(abs(model.params[k] - again.params[k]).max() < 1e-6 for k in model.params)
+    monkeypatch.undo()
+    scores = [(r["doc_id"] % 2, r["score"]) for r in quality.score(docs, model).collect()]
+    assert min(s for good, s in scores if good) > max(s for good, s in scores if not good)

@@ -16,6 +16,9 @@ column.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import Adam, labelled, sigmoid
-from ._store import carried, extended, fold_of, quoted, text_of, unused
+from ._store import carried, dropped, extended, fold_of, quoted, text_of, unused, written
 from ._tokens import BY_SPACE, slabs, tokenize
 from ._workers import batchwise, rows_kept
 
@@ -32,8 +35,9 @@ from ._workers import batchwise, rows_kept
 SAMPLE, PASSAGE, CODE, GATE, GOOD = 8000, 48, 16, 8, 0.7
 #: Bytes looked at on their own, and those that stand for a group.
 MARKS = b"!#$%&*|@,.-_/<>{}()[]=+\\:;\"'?~^"
-#: Texts encoded at a time, in bytes.
-SLAB = 1 << 19
+#: Texts encoded at a time, in bytes; passages fitted at a time; passages of a piece.
+SLAB, ROWS, PIECE = 1 << 19, 1 << 15, 64
+
 
 
 def _classes() -> np.ndarray:
@@ -138,29 +142,48 @@ def gradients(p: dict, x: np.ndarray, first: np.ndarray, label: np.ndarray) -> d
     return {"W": x.T @ dx, "b": dx.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (v * u).T @ de, "c": f["z"].T @ g, "d": np.array([g.sum()])}
 
 
-def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, epochs: int = 30, batch: int = 128, ridge: float = 1e-5) -> dict[str, np.ndarray]:
+class Bags(NamedTuple):
+    """Bags of passages in an array or file: bag k is the pieces first[k] to first[k + 1], a piece the rows of x from `begin` on, `size` of them."""
+
+    x: np.ndarray
+    first: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages of some bags one after the other, and where each bag's begin."""
+        pieces = np.concatenate([np.arange(self.first[k], self.first[k + 1]) for k in own])
+        ends = np.cumsum(self.size[pieces])
+        rows = np.arange(int(ends[-1])) + np.repeat(self.begin[pieces] - (ends - self.size[pieces]), self.size[pieces])
+        return self.x[rows], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(self.first[own + 1] - self.first[own])])]
+
+
+def fit(bags: Bags, label: np.ndarray, centre: np.ndarray, scale: np.ndarray, epochs: int = 30, batch: int = 128, ridge: float = 1e-5) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(7)
-    p = {"W": draw.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], CODE)), "b": np.zeros(CODE), "V": draw.normal(0, 0.3, (CODE, GATE)), "U": draw.normal(0, 0.3, (CODE, GATE)), "w": draw.normal(0, 0.3, GATE), "c": draw.normal(0, 0.3, CODE), "d": np.zeros(1)}
+    p = {"W": draw.normal(0, 1 / np.sqrt(len(centre)), (len(centre), CODE)), "b": np.zeros(CODE), "V": draw.normal(0, 0.3, (CODE, GATE)), "U": draw.normal(0, 0.3, (CODE, GATE)), "w": draw.normal(0, 0.3, GATE), "c": draw.normal(0, 0.3, CODE), "d": np.zeros(1)}
+    sizes = np.add.reduceat(bags.size, bags.first[:-1])
     best = Adam(p, 0.01)
     for epoch in range(epochs):
         best.rate = 0.01 * (1 - epoch / epochs) + 0.0005
         order = draw.permutation(len(label))
         for k in range(0, len(order), batch):
-            own = order[k : k + batch]
-            sizes = first[own + 1] - first[own]
-            ends = np.cumsum(sizes)
-            rows = np.arange(int(ends[-1])) + np.repeat(first[own] - (ends - sizes), sizes)
-            g = gradients(p, x[rows], np.concatenate([[0], ends]), label[own])
-            best.step({k: v + ridge * p[k] for k, v in g.items()})
+            own, total = order[k : k + batch], {}
+            # a batch's gradients are summed over runs of about ROWS passages, or of one longer bag
+            for part in np.split(own, np.flatnonzero(np.diff(np.cumsum(sizes[own]) // ROWS)) + 1):
+                x, first = bags.of(part)
+                g = gradients(p, (x - centre) / scale, first, label[part])
+                total = {n: v * (len(part) / len(own)) + total.get(n, 0) for n, v in g.items()}
+            best.step({n: v + ridge * p[n] for n, v in total.items()})
     return p
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, keep=None) -> Model | float:
     """A model from at most `sample` labelled documents, or a constant score if they don't have both labels.
 
-    All passages of these documents are fitted on. The driver gets WIDTH numbers of four
-    bytes for each, some six tenths of the sampled texts' size; a caller with very long
-    texts lowers `sample`.
+    All passages of these documents are fitted on. Their figures, WIDTH numbers of four bytes
+    for each passage, some six tenths of the sampled texts' size, come in pieces of PIECE passages
+    into a temporary file of the driver, from which a batch is read at a time. So the driver
+    holds some passages, and a few numbers for each piece, not the sample; at least the longest text's.
     """
     rows = labelled(docs, labels, label, sample, keep=keep)
 
@@ -169,20 +192,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
             for low, high in slabs(batch.column(0), SLAB):
                 part = batch.slice(low, high - low)
                 x, first = encode(part.column(0))
-                bags = np.split(x.astype(np.float32), first[1:-1])
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in bags], pa.binary())], names=["label", "bag"])
-
-    found = rows.mapInArrow(batchwise(run), "label int, bag binary").toArrow()
-    y = (found["label"].to_numpy() > 0).astype(float)
-    if len(y) == 0 or y.min() == y.max():
-        return float(y.mean()) if len(y) else 1.0
-    raw = found["bag"].to_pylist()
-    order = sorted(range(len(y)), key=lambda k: (y[k], raw[k]))  # the order in which rows arrive doesn't count
-    y, bags = y[order], [np.frombuffer(raw[k], np.float32).reshape(-1, WIDTH) for k in order]
-    x = np.concatenate(bags).astype(float)
-    centre, scale = x.mean(0), x.std(0) + 1e-3
-    first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    return Model(fit((x - centre) / scale, first, y), centre, scale)
+                for y, bag in zip(part.column(1).to_pylist(), np.split(x.astype(np.float32), first[1:-1]), strict=True):
+                    raw, own = bag.tobytes(), os.urandom(16)
+                    said = (int(y > 0), hashlib.sha256(raw).digest(), own)
+                    pieces = [bag[k : k + PIECE].tobytes() for k in range(0, len(bag), PIECE)]
+                    # few enough at a time for any long text
+                    for k in range(0, len(pieces), PIECE):
+                        some = pieces[k : k + PIECE]
+                        yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(some)) for v in said], pa.array(range(k, k + len(some)), pa.int32()), pa.array(some, pa.binary())], names=["label", "hash", "own", "piece", "bag"])
+
+    found = written(rows.mapInArrow(batchwise(run), "label long, hash binary, own binary, piece int, bag binary"), "bags")
+    try:
+        with tempfile.TemporaryFile() as file:
+            at, total, square, bags = 0, np.zeros(WIDTH), np.zeros(WIDTH), {}
+            for r in found.toLocalIterator():
+                x = np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(float)
+                bags.setdefault(bytes(r["own"]), (r["label"], bytes(r["hash"]), []))[2].append((r["piece"], at, len(x)))
+                file.write(r["bag"])
+                at, total, square = at + len(x), total + x.sum(0), square + (x * x).sum(0)
+            bags = sorted((y, h, sorted(pieces)) for y, h, pieces in bags.values())  # the order in which rows arrive doesn't count
+            y = np.array([b[0] for b in bags], float)
+            if len(y) == 0 or y.min() == y.max():
+                return float(y.mean()) if len(y) else 1.0
+            file.flush()
+            centre = total / at
+            scale = np.sqrt(np.maximum(square / at - centre * centre, 0)) + 1e-3
+            first = np.concatenate([[0], np.cumsum([len(b[2]) for b in bags])])
+            begin, size = (np.array([p[k] for b in bags for p in b[2]]) for k in (1, 2))
+            return Model(fit(Bags(np.memmap(file, np.float32, "r", shape=(at, WIDTH)), first, begin, size), y, centre, scale), centre, scale)
+    finally:
+        dropped(found)
 
 
 def _scored(column: pa.Array, model: Model | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
