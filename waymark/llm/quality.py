@@ -204,22 +204,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     found = written(rows.mapInArrow(batchwise(run), "label long, hash binary, own binary, piece int, bag binary"), "bags")
     try:
         with tempfile.TemporaryFile() as file:
-            at, total, square, bags = 0, np.zeros(WIDTH), np.zeros(WIDTH), {}
+            at, bags = 0, {}
             for r in found.toLocalIterator():
-                x = np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH).astype(float)
-                bags.setdefault(bytes(r["own"]), (r["label"], bytes(r["hash"]), []))[2].append((r["piece"], at, len(x)))
+                n = len(r["bag"]) // (4 * WIDTH)
+                bags.setdefault(bytes(r["own"]), (r["label"], bytes(r["hash"]), []))[2].append((r["piece"], at, n))
                 file.write(r["bag"])
-                at, total, square = at + len(x), total + x.sum(0), square + (x * x).sum(0)
+                at += n
             bags = sorted((y, h, sorted(pieces)) for y, h, pieces in bags.values())  # the order in which rows arrive doesn't count
             y = np.array([b[0] for b in bags], float)
             if len(y) == 0 or y.min() == y.max():
                 return float(y.mean()) if len(y) else 1.0
             file.flush()
-            centre = total / at
-            scale = np.sqrt(np.maximum(square / at - centre * centre, 0)) + 1e-3
             first = np.concatenate([[0], np.cumsum([len(b[2]) for b in bags])])
             begin, size = (np.array([p[k] for b in bags for p in b[2]]) for k in (1, 2))
-            return Model(fit(Bags(np.memmap(file, np.float32, "r", shape=(at, WIDTH)), first, begin, size), y, centre, scale), centre, scale)
+            x = np.memmap(file, np.float32, "r", shape=(at, WIDTH))
+            centre = sum(x[b : b + n].sum(0, dtype=float) for b, n in zip(begin, size, strict=True)) / at
+            scale = np.sqrt(sum(((x[b : b + n] - centre) ** 2).sum(0) for b, n in zip(begin, size, strict=True)) / at) + 1e-3
+            return Model(fit(Bags(x, first, begin, size), y, centre, scale), centre, scale)
     finally:
         dropped(found)
 
