@@ -52,3 +52,14 @@ def test_quality_model_is_fitted_on_long_texts_from_a_file(spark, monkeypatch):
     scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
     assert min(s for k, s in scores.items() if k % 2) > max(s for k, s in scores.items() if not k % 2)
     assert max(abs(scores[r["doc_id"]] - r["score"]) for r in quality.score(docs, again).collect()) < 0.01
+
+
+def test_variants_are_counted_and_not_paired(spark):
+    left = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, ["z"]), (4, None), (1, ["c"])], "l long, v array<string>")
+    right = spark.createDataFrame([(10, "a"), (10, "b"), (11, "a"), (11, "a"), (12, "c"), (13, None), (9, "b")], "r long, w string")
+    got = {r["l"]: (r["candidates"], r["first_candidate"], r["ambiguous"]) for r in R.by_variants(left, right, "l", F.col("v"), "r", "w").collect()}
+    assert got == {1: (4, 9, True), 2: (1, 12, False)}
+    many = lambda n: spark.range(n).select((F.col("id") % 2 + 1).cast("string").alias("w"), "id")
+    rows = R.by_variants(many(3000).select(F.col("id").alias("l"), F.array("w").alias("v")), many(3000).select(F.col("id").alias("r"), "w"), "l", F.col("v"), "r", "w")
+    joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert rows.count() == 3000 and rows.filter("candidates = 1500").count() == 3000 and joins

@@ -124,10 +124,19 @@ def by_any_key(left: DataFrame, right: DataFrame, left_keys: list[Column], right
 
 
 def by_variants(left: DataFrame, right: DataFrame, left_id: str, left_variants: Column, right_id: str, right_value: str) -> DataFrame:
-    """For each left row, how many right rows have one of its variants, and the least of them; ambiguous if several."""
-    a = left.select(left_id, F.explode(left_variants).alias("__value"))
-    hits = a.join(right.select(right_id, F.col(right_value).alias("__value")), "__value").select(left_id, right_id).distinct()
-    return hits.groupBy(left_id).agg(F.count(F.lit(1)).alias("candidates"), F.min(right_id).alias("first_candidate"), (F.count(F.lit(1)) > 1).alias("ambiguous"))
+    """For each left row, how many right rows have one of its variants, and the least of them; ambiguous if several.
+
+    Rows aren't paired: right ids of one value are a count and a least id of that value, and the counts
+    of a left row's distinct variants add up. Only right ids of several values are met one by one, as they count once.
+    """
+    a = left.select(left_id, F.explode(left_variants).alias("__value")).distinct()
+    ids = right.select(F.col(right_id).alias("__id"), F.col(right_value).alias("__value")).distinct()
+    own = ids.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.min("__value").alias("__value"))
+    many = own.filter("__n > 1").select(F.col("__id").alias("__of"))
+    met = a.join(ids.join(many, F.col("__id").eqNullSafe(F.col("__of")), "left_semi"), "__value").select(left_id, "__id").distinct()
+    values = own.filter("__n = 1").groupBy("__value").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__id"))
+    hits = a.join(values, "__value").select(left_id, "__n", "__id").union(met.select(left_id, F.lit(1).cast("long"), "__id"))
+    return hits.groupBy(left_id).agg(F.sum("__n").alias("candidates"), F.min("__id").alias("first_candidate"), (F.sum("__n") > 1).alias("ambiguous"))
 
 
 def resolve_alias(df: DataFrame, aliases: DataFrame, key: str, old: str = "alias", new: str = "canonical") -> DataFrame:
