@@ -63,3 +63,13 @@ def test_variants_are_counted_and_not_paired(spark):
     rows = R.by_variants(many(3000).select(F.col("id").alias("l"), F.array("w").alias("v")), many(3000).select(F.col("id").alias("r"), "w"), "l", F.col("v"), "r", "w")
     joins = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     assert rows.count() == 3000 and rows.filter("candidates = 1500").count() == 3000 and joins
+
+
+def test_any_key_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
+    left = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, None, 7), (3, "b", 8), (4, None, None)], "l long, x string, y long")
+    right = spark.createDataFrame([(1, "a", 5), (2, "b", 7), (2, "b", 8), (3, "c", 5)], "r long, x string, y long")
+    keys = [F.col("x"), F.col("y")]
+    out = R.by_any_key(left, right, keys, keys, "l", "r")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1), (1, 3), (2, 1), (3, 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join Inner")]

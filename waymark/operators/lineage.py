@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(df: DataFrame) -> str:
@@ -38,3 +38,13 @@ def dropped(*frames: DataFrame) -> None:
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tasks_for(spark: SparkSession) -> int:
+    """Tasks that work is dealt over that is large for its input: some for each core."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over tasks, for work that costs far more than reading its rows: a small file, or a row group of millions of narrow rows, is one task."""
+    return df.repartition(tasks_for(df.sparkSession))

@@ -17,7 +17,7 @@ from ..functions.dates import duration_ms
 from ..functions.jsons import has_any
 from ..functions.numbers import coverage
 from ..functions.text import clean
-from .lineage import cut
+from .lineage import cut, tasks_for
 
 
 def matching(df: DataFrame, *, equal: dict | None = None, contains: dict | None = None, between: dict | None = None, any_of: dict | None = None, text: str | None = None, columns: Iterable[str] = ()) -> DataFrame:
@@ -115,12 +115,28 @@ def having_none(parents: DataFrame, children: DataFrame, key: str, child_key: st
     return parents.join(own.select(F.col(child_key).alias(key)), key, "left_anti")
 
 
+#: Parts that the left rows of one key are dealt to.
+SALTS = 8
+
+
 def by_any_key(left: DataFrame, right: DataFrame, left_keys: list[Column], right_keys: list[Column], left_id: str, right_id: str) -> DataFrame:
-    """Distinct (left_id, right_id) that agree in any key: an OR join as one equi-join over tagged keys."""
-    tagged = lambda keys: F.explode(F.array(*[F.when(k.isNotNull(), F.concat_ws(":", F.lit(str(i)), k.cast("string"))) for i, k in enumerate(keys)]))
-    a = left.select(left_id, tagged(left_keys).alias("__key"))
-    b = right.select(right_id, tagged(right_keys).alias("__key"))
-    return a.join(b, "__key").select(left_id, right_id).distinct()
+    """Distinct (left_id, right_id) that agree in any key: an OR join as one equi-join over tagged keys.
+
+    A pair is made at the least key that both ids have, so pairs are never shuffled to make them distinct.
+    Keys are dealt over a fixed number of tasks, and the left rows of each over SALTS of them.
+    """
+    tags = lambda keys: F.array_compact(F.array(*[F.when(k.isNotNull(), F.concat_ws(":", F.lit(str(i)), k.cast("string"))) for i, k in enumerate(keys)]))
+    n = tasks_for(left.sparkSession)
+
+    def side(df: DataFrame, own: str, keys: list[Column], p: str, salt: Column) -> DataFrame:
+        ids = df.select(F.col(own).alias(f"__{p}"), tags(keys).alias("t")).groupBy(f"__{p}").agg(F.array_distinct(F.flatten(F.collect_list("t"))).alias(f"__{p}_all"))
+        each = ids.select(f"__{p}", f"__{p}_all", F.explode(f"__{p}_all").alias("__key"))
+        return each.withColumn("__salt", salt).repartition(n, "__key", "__salt")
+
+    a = side(left, left_id, left_keys, "a", F.pmod(F.xxhash64("__a"), F.lit(SALTS)).cast("int"))
+    b = side(right, right_id, right_keys, "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    first = F.array_min(F.array_intersect("__a_all", "__b_all")) == F.col("__key")
+    return a.join(b, ["__key", "__salt"]).filter(first).select(F.col("__a").alias(left_id), F.col("__b").alias(right_id))
 
 
 def by_variants(left: DataFrame, right: DataFrame, left_id: str, left_variants: Column, right_id: str, right_value: str) -> DataFrame:
