@@ -73,3 +73,10 @@ def test_any_key_pairs_are_made_once_without_a_shuffle_of_pairs(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1), (1, 3), (2, 1), (3, 2)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join Inner")]
+
+
+def test_parts_of_one_group_are_spread(spark):
+    rows = spark.range(5000).select(F.lit("g").alias("g"), "id").repartition(3)
+    out = R.parts_by_rows(rows, ["id"], 7, ["g"])
+    assert all(r["part"] == r["id"] // 7 + 1 for r in out.collect())
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -18,6 +18,7 @@ from ..functions.jsons import has_any
 from ..functions.numbers import coverage
 from ..functions.text import clean
 from .lineage import cut, tasks_for
+from .ranges import placed
 
 
 def matching(df: DataFrame, *, equal: dict | None = None, contains: dict | None = None, between: dict | None = None, any_of: dict | None = None, text: str | None = None, columns: Iterable[str] = ()) -> DataFrame:
@@ -379,9 +380,8 @@ def gaps(df: DataFrame, group: str, offset: str, size: str, digest: str) -> Data
 
 
 def parts_by_rows(df: DataFrame, order: list[str], rows: int, group: list[str] | None = None) -> DataFrame:
-    """df with part, so many rows in each."""
-    n = F.row_number().over(W.partitionBy(*(group or [])).orderBy(*order))
-    return df.withColumn("part", (F.floor((n - 1) / rows) + 1).cast("int"))
+    """df with part, so many rows in each. Places come from ranges, so a group of any size is spread."""
+    return placed(df, group or [], order, name="__place").withColumn("part", (F.floor(F.col("__place") / rows) + 1).cast("int")).drop("__place")
 
 
 def unpivoted(df: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
