@@ -80,3 +80,13 @@ def test_parts_of_one_group_are_spread(spark):
     out = R.parts_by_rows(rows, ["id"], 7, ["g"])
     assert all(r["part"] == r["id"] // 7 + 1 for r in out.collect())
     assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_costly_rows_of_one_row_group_are_dealt_over_tasks(spark):
+    from waymark import plans
+
+    plans.load()
+    for name in ("e5_distances", "e6_prices", "e7_kit", "s13_event_page"):
+        assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16, name
+    plan = plans.QUERIES["s5_calendar"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan[plan.index("ArrowEval") :]

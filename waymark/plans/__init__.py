@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -26,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table dealt evenly over tasks, for queries whose work for a row costs far more than reading it."""
+    return spread(table(spark, sf_dir, name))
+
+
 def load() -> None:
     """Imports all modules that register queries."""
     from . import batches, catalogue, exports, extraction, pages, resolution, tasks, texts, values  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import jsons
 from ..operators import extract as E
 from ..operators import resolve as M
-from . import query, table
+from . import dealt, query, table
 
 #: A sentence that says nothing, longer than any context that is looked at.
 FILLER = " Este texto serve apenas para separar as frases umas das outras e nada diz sobre o evento em si mesmo, nem antes nem depois, por mais que se leia."
@@ -26,7 +26,7 @@ def e5_distances(spark, d):
     """E5: distances of a route; radius and delivery don't count."""
     n = F.col("p_size")
     body = _text("Percursos de ", n.cast("string"), " km, ", (n % 7).cast("string"), ",5km e ", n.cast("string"), "K.", FILLER, " Entrega em um raio de 33 km.", FILLER, " Ultra de 160 milhas.")
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(E.distances(body), lambda k: k.cast("string")), ",").alias("km"))
+    return dealt(spark, d, "part").select("p_partkey", F.array_join(F.transform(E.distances(body), lambda k: k.cast("string")), ",").alias("km"))
 
 
 @query("""SELECT p_partkey, '2º lote' AS name, (p_size + 20.9)::DOUBLE AS value, 'open' AS status, true AS current FROM part
@@ -36,14 +36,14 @@ def e6_prices(spark, d):
     n = F.col("p_size").cast("string")
     last = F.when(F.col("p_partkey") % 2 == 0, F.lit(" Valor: R$ 5,00")).otherwise(_text(" Valor: R$ 1.0", F.lpad(n, 2, "0"), ",00"))
     body = _text("Inscrições abertas, 2º lote R$ ", (F.col("p_size") + 20).cast("string"), ",90.", FILLER, " Taxa de retirada de kit R$ 15,00.", FILLER, " A partir de R$ 1.0", F.lpad(n, 2, "0"), ",00.", FILLER, last)
-    return table(spark, d, "part").select("p_partkey", F.inline(E.prices(body))).select("p_partkey", "name", F.round("value", 2).alias("value"), "status", "current")
+    return dealt(spark, d, "part").select("p_partkey", F.inline(E.prices(body))).select("p_partkey", "name", F.round("value", 2).alias("value"), "status", "current")
 
 
 @query("""SELECT c_custkey, ['Medalha para concluintes,Chip de cronometragem', 'Camiseta', '', 'Numero de peito'][c_custkey % 4 + 1] AS items FROM customer""")
 def e7_kit(spark, d):
     """What belongs to a kit, from its own section before any other."""
     body = _one_of(F.col("c_custkey") % 4, "O que te espera: chip e medalhas. Modalidades: 5 km. Cerveja ao final", "Leve o kit com camiseta. Retirada no dia, com chip", "Nada de especial", "Número de peito para todos")
-    return table(spark, d, "customer").select("c_custkey", F.array_join(E.kit_items(body), ",").alias("items"))
+    return dealt(spark, d, "customer").select("c_custkey", F.array_join(E.kit_items(body), ",").alias("items"))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 4 <> 3 AS found, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderkey % 4 = 1 END AS same_day, CASE WHEN o_orderkey % 4 < 2 THEN lpad(CAST(o_orderkey % 12 + 1 AS VARCHAR), 2, '0') || ':00' END AS opens, CASE WHEN o_orderkey % 4 < 2 THEN '18:00' END AS closes, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderkey % 4 = 2 END AS by_others FROM orders""")
@@ -52,7 +52,7 @@ def e8_kit_pickup(spark, d):
     k, hours = F.col("o_orderkey") % 4, _text(" entre ", (F.col("o_orderkey") % 12 + 1).cast("string"), "h e 18h")
     body = F.when(k == 0, _text("Texto. Retirada de kit", hours, " na loja.")).when(k == 1, _text("RETIRADA DE KIT no dia da prova", hours)).when(k == 2, _text("Retirada de kit por terceiros com formulário")).otherwise("Sem kit")
     p = E.kit_pickup(body)
-    return table(spark, d, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", F.col("p").isNotNull().alias("found"), "p.same_day", F.col("p.start").alias("opens"), F.col("p.end").alias("closes"), "p.by_others")
+    return dealt(spark, d, "orders").select("o_orderkey", p.alias("p")).select("o_orderkey", F.col("p").isNotNull().alias("found"), "p.same_day", F.col("p.start").alias("opens"), F.col("p.end").alias("closes"), "p.by_others")
 
 
 @query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, lpad(CAST(o_orderkey % 10 + 1 AS VARCHAR), 2, '0') || ':30' AS at_ FROM orders)
