@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as E
 from ..sources import readers
-from . import query, table
+from . import dealt, query, table
 
 
 def _text(*parts):
@@ -37,7 +37,7 @@ def s5_calendar(spark, d):
     link = lambda n: f"<tr><td><a href='/show?id={n}'>Run {n}</a></td></tr>"
     day = F.lpad((F.col("c_custkey") % 27 + 1).cast("string"), 2, "0")
     html = _text("<table><tr><th>Calendar</th></tr><tr><td>", day, "/08/2026</td></tr>", link(1), link(2), "<tr><td>01/09/2026</td></tr><tr><td>Garuva</td></tr>", link(3), "</table>")
-    out = readers.calendar_rows(table(spark, d, "customer").select("c_custkey", html.alias("html")), "c_custkey", "html", r"^/show\?")
+    out = readers.calendar_rows(dealt(spark, d, "customer").select("c_custkey", html.alias("html")), "c_custkey", "html", r"^/show\?")
     n = F.row_number().over(readers.W.partitionBy("c_custkey").orderBy("row"))
     return out.withColumn("n", n).select("c_custkey", "n", "title", "date", "href")
 
@@ -109,7 +109,7 @@ def s13_event_page(spark, d):
     finishers = F.when(k % 3 == 0, "").otherwise(_text("<b>", F.format_string("1.%03d", n), " concluintes</b>"))
     card = lambda name, f, m: _text(f"<div class='modality' data-name='{name}'><h4>{name}</h4><span class='total' data-gender='F'>Feminino ", f, "</span><span class='total' data-gender='M'>Masculino ", m, "</span></div>")
     html = _text("<h1>", F.col("p_name"), "</h1><span class='day'>", day, "</span><span class='month'>AGO</span><span class='year'>2026</span><p class='place'>Garuva - SC</p>", finishers, card("5K", n.cast("string"), (n + 1).cast("string")), card("10K", F.lit("0"), F.lit("2")), "<table data-url='https://x.example.com/results/", k.cast("string"), "'><tr><th>Pos.</th><th> Nome </th></tr></table>")
-    out = readers.event_page(table(spark, d, "part").select("p_partkey", html.alias("html")), "html", ["p_partkey"])
+    out = readers.event_page(dealt(spark, d, "part").select("p_partkey", html.alias("html")), "html", ["p_partkey"])
     one = F.transform("modalities", lambda m: F.concat(m["name"], F.lit(":"), F.array_join(F.transform(m["totals"], lambda t: F.concat(t["gender"], F.lit("="), t["total"].cast("string"))), ",")))
     return out.select("p_partkey", "name", "day", "city", "state", "finishers", F.array_join(one, ";").alias("modalities"), "endpoint", F.array_join("headers", "|").alias("headers"))
 
