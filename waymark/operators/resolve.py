@@ -94,7 +94,9 @@ def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     several, and automatic only if nothing speaks against it; (3) any common address and
     the day; (4) the same fingerprint and day; (5) the same day and place with names at
     least SIMILAR, which only records without any other hit are held against. The last three
-    are for review and leave rejected records out. The first rank with a hit decides.
+    are for review and leave rejected records out. The first rank with a hit decides. As only
+    the first known record of a rank counts, and whether a link has others, the known side is
+    reduced to its least and greatest id for each key before it is joined.
     """
     names = ("source", "external_id", "date", "city", "state", "country", "status")
     a = incoming.select(*[F.col(c).alias(f"a_{c}") for c in incoming.columns])
@@ -104,19 +106,31 @@ def match_cascade(incoming: DataFrame, known: DataFrame) -> DataFrame:
     def hit(joined: DataFrame, rank: int, score: Column, automatic: Column, reason: Column) -> DataFrame:
         return joined.select(F.col("a_id").alias("id"), F.col("b_id").alias("match"), F.lit(rank).alias("rank"), score.alias("score"), automatic.alias("automatic"), reason.alias("reason"))
 
+    def offered(right: DataFrame, *keys: Column) -> DataFrame:
+        """The least and the greatest id of the known records of each key: no more is asked of a key than which one is first, and whether there are others."""
+        rows = right.select("b_id", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+        return rows.groupBy(*rows.columns[1:]).agg(F.min("b_id").alias("b_id"), F.max("b_id").alias("__last"))
+
+    def met(left: DataFrame, right: DataFrame, *keys: tuple[Column, Column]) -> DataFrame:
+        """a_id with the first known record of equal keys, and the last one. Pairs are never rows."""
+        rows = left.select("a_id", *[k.alias(f"__k{i}") for i, (k, _) in enumerate(keys)])
+        return rows.join(offered(right, *[k for _, k in keys]), rows.columns[1:]).select("a_id", "b_id", "__last")
+
     def sharing(right: DataFrame, column: str) -> DataFrame:
-        """Pairs with a common element and the same day, each once."""
-        left_keys = a.select("a_id", "a_date", F.explode(F.array_distinct(f"a_{column}")).alias("key")).filter("a_date is not null")
-        right_keys = right.select("b_id", F.col("b_date").alias("a_date"), F.explode(F.array_distinct(f"b_{column}")).alias("key"))
-        return left_keys.join(right_keys, ["key", "a_date"]).select("a_id", "b_id").distinct()
+        """The first and the last known record that has a common element and the same day."""
+        left_keys = a.select("a_id", "a_date", F.explode(F.array_distinct(f"a_{column}")).alias("key"))
+        right_keys = right.select("b_id", "b_date", F.explode(F.array_distinct(f"b_{column}")).alias("b_key"))
+        return met(left_keys, right_keys, (F.col("key"), F.col("b_key")), (F.col("a_date"), F.col("b_date"))).groupBy("a_id").agg(F.min("b_id").alias("b_id"), F.max("__last").alias("__last"))
 
-    same = hit(a.join(b, (F.col("a_source") == F.col("b_source")) & (F.col("a_external_id") == F.col("b_external_id"))), 1, F.lit(1.0), F.lit(True), F.lit("same_source"))
+    same = hit(met(a, b, (F.col("a_source"), F.col("b_source")), (F.col("a_external_id"), F.col("b_external_id"))), 1, F.lit(1.0), F.lit(True), F.lit("same_source"))
     side = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in names])
-    linked = sharing(b, "links").withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("a_id"))).join(a, "a_id").join(b, "b_id")
-    why = F.when(F.col("__n") > 1, "link_ambiguous").otherwise(cross_source_reason(side("a"), side("b"), F.lit(True), F.col("b_observed")))
-    link = hit(linked.withColumn("__why", why), 2, F.lit(1.0), F.col("__why").isNull(), F.coalesce("__why", F.lit("link_confirmed")))
+    linked = sharing(b, "links")
+    several = hit(linked.filter("b_id != __last"), 2, F.lit(1.0), F.lit(False), F.lit("link_ambiguous"))
+    why = cross_source_reason(side("a"), side("b"), F.lit(True), F.col("b_observed"))
+    single = linked.filter("b_id = __last").select("a_id", "b_id").join(a, "a_id").join(b, "b_id").withColumn("__why", why)
+    link = several.unionByName(hit(single, 2, F.lit(1.0), F.col("__why").isNull(), F.coalesce("__why", F.lit("link_confirmed"))))
     generic = hit(sharing(open_, "urls"), 3, F.lit(1.0), F.lit(False), F.lit("link_unconfirmed"))
-    print_ = hit(a.join(open_, (F.col("a_fingerprint") == F.col("b_fingerprint")) & (F.col("a_date") == F.col("b_date"))), 4, F.lit(1.0), F.lit(False), F.lit("fingerprint_review"))
+    print_ = hit(met(a, open_, (F.col("a_fingerprint"), F.col("b_fingerprint")), (F.col("a_date"), F.col("b_date"))), 4, F.lit(1.0), F.lit(False), F.lit("fingerprint_review"))
     sure = stored(latest(same.unionByName(link).unionByName(generic).unionByName(print_), ["id"], [F.asc("rank"), F.desc("score"), F.asc("match")]))
     place = lambda df: df.withColumns({"words": name_words("name"), "__city": F.lower("city")})
     left = place(incoming.join(sure.select("id"), "id", "left_anti"))
