@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from waymark import plans
 from waymark.operators import resolve as M
 
+plans.load()
+
 
 def test_cascade_makes_no_pairs_of_records_that_share_a_key(spark, monkeypatch):
     """300 records on each side that agree in source and id, link, address and fingerprint: 90,000 pairs of each rank."""
@@ -23,3 +26,8 @@ def test_cascade_makes_no_pairs_of_records_that_share_a_key(spark, monkeypatch):
     assert hits[0] <= 4 * 300
     one = {r["id"]: (r["match"], r["rank"], r["automatic"], r["reason"]) for r in M.match_cascade(records(2, 1), records(1, 1000)).collect()}
     assert one == {1: (1000, 2, False, "observation_unconfirmed"), 2: (1000, 1, True, "same_source")}
+
+
+def test_curated_rows_are_dealt_over_tasks(spark):
+    for name in ("b5_curated",):
+        assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16, name
