@@ -28,6 +28,6 @@ def test_cascade_makes_no_pairs_of_records_that_share_a_key(spark, monkeypatch):
     assert one == {1: (1000, 2, False, "observation_unconfirmed"), 2: (1000, 1, True, "same_source")}
 
 
-def test_curated_rows_are_dealt_over_tasks(spark):
-    for name in ("b5_curated",):
+def test_curated_and_extracted_rows_are_dealt_over_tasks(spark):
+    for name in ("b5_curated", "e16_source_extraction"):
         assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16, name

@@ -106,7 +106,7 @@ def e16_source_extraction(spark, d):
     """The fields of a source's JSON record and of its text, with warnings and confidences; each source names its own paths."""
     k = F.col("p_partkey")
     record = F.to_json(F.struct(F.col("p_brand").alias("nome"), F.when(k % 2 == 0, "16/08/2026").alias("dia"), F.when(k % 3 > 0, "Garuva, SC, Brasil").alias("local"), F.when(k % 5 > 0, "https://x.example.com/1").alias("uri"), F.when(k % 4 == 0, "Cancelado").alias("status")))
-    rows = table(spark, d, "part").select("p_partkey", record.alias("record"), F.lit("Um trail run de 12 km.").alias("body"))
+    rows = dealt(spark, d, "part").select("p_partkey", record.alias("record"), F.lit("Um trail run de 12 km.").alias("body"))
     out = E.source_extraction(rows, "record", "body", ["p_partkey"], E.Fields(name=("$.title", "$.nome"), day=("$.dia",), address=("$.local",)))
     return out.select("p_partkey", F.col("name.value").alias("name"), F.col("date.value").alias("date"), F.col("city.value").alias("city"), F.col("city.confidence").alias("city_sure"), F.array_join("warnings", ",").alias("warnings"), "confidence", "status", "modality", F.size("distances").alias("distances"))
 
