@@ -31,3 +31,15 @@ def test_cascade_makes_no_pairs_of_records_that_share_a_key(spark, monkeypatch):
 def test_curated_and_extracted_rows_are_dealt_over_tasks(spark):
     for name in ("b5_curated", "e16_source_extraction"):
         assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16, name
+
+
+def test_places_are_folded_once_a_row(spark):
+    place = "struct<date:string,city:string,state:string,country:string>"
+    pairs = [
+        (("2026-08-16", " SÃO  josé", "SC", "BR"), ("2026-08-16T10", "sao jose", "sc", "br"), None), (("2026-08-16", "a", None, "BR"), ("2026-08-16", "a", "sc", "br"), "location_unconfirmed"), (("2026-08-16", "a", None, "BR"), ("2026-08-16", "b", "sc", "br"), "location_conflict"),
+        (("", "a", "SC", "BR"), ("2026-08-16", "b", "sc", "br"), "date_unconfirmed"), ((None, "a", "SC", "BR"), ("2026-08-16", "b", "sc", "br"), "date_unconfirmed"), (("2026-08-17", "a", "SC", "BR"), ("2026-08-16", "b", "sc", "br"), "date_mismatch"), (("2026-08-16", "  ", "SC", "BR"), ("2026-08-16", "b", "sc", "br"), "location_unconfirmed"),
+        (None, ("2026-08-16", "b", "sc", "br"), "date_unconfirmed"), (("2026-08-16", "Garuva ", "SC", "BR"), ("2026-08-16", "GARUVA", "sc", "br"), None),
+    ]
+    seen = spark.createDataFrame(pairs, f"a {place}, b {place}, want string").select("want", M.location_evidence("a", "b").alias("got"))
+    assert all(r["got"] == r["want"] for r in seen.collect())
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 6  # three fields of two sides

@@ -14,6 +14,11 @@ def _c(x: Text) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x computed once a row, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _latin() -> tuple[str, str]:
     """Accented Latin letters and their bare forms, from Unicode's decompositions."""
     pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250))]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import normalize_date
-from ..functions.text import clean, fingerprint, name_words, slugify, strip_accents
+from ..functions.text import clean, fingerprint, name_words, once, slugify, strip_accents
 from ..functions.urls import absolute, comparable
 from .extract import country_in_location, country_of, looks_like_venue, normalized_warnings
 from .lineage import dropped, stored
@@ -34,7 +34,12 @@ FIELDS = ("name", "date", "city", "state", "country", "modality", "registration_
 
 def folded(x: Column) -> Column:
     """For comparing places: no accents, lower case, single spaces; null if empty."""
-    return F.nullif(F.lower(strip_accents(clean(x))), F.lit(""))
+    return F.nullif(_folded(x), F.lit(""))
+
+
+def _folded(x: Column) -> Column:
+    """As folded, but empty if it is; what is ASCII with single spaces already has only its case to lose."""
+    return F.when(x.rlike("[^ -~]|^ |  | $"), F.lower(strip_accents(clean(x)))).otherwise(F.coalesce(F.lower(x), F.lit("")))
 
 
 def _side(x: Column | str) -> Column:
@@ -44,18 +49,24 @@ def _side(x: Column | str) -> Column:
 def location_evidence(left: Column | str, right: Column | str) -> Column:
     """Why two records (structs with date, city, state, country) aren't shown to be at one place and day; null if they are."""
     one, other = _side(left), _side(right)
-    a, b = one["date"].cast("string"), other["date"].cast("string")
-    conflict, missing = F.lit(False), F.lit(False)
-    for field in ("city", "state", "country"):
-        x, y = folded(one[field]), folded(other[field])
-        missing = missing | x.isNull() | y.isNull()
-        conflict = conflict | F.coalesce(x != y, F.lit(False))
-    return (
-        F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), "date_unconfirmed")
-        .when(F.substring(a, 1, 10) != F.substring(b, 1, 10), "date_mismatch")
-        .when(conflict, "location_conflict")
-        .when(missing, "location_unconfirmed")
-    )
+    fields = ("date", "city", "state", "country")
+    compared = [F.substring(side["date"].cast("string"), 1, 10) if f == "date" else _folded(side[f].cast("string")) for f in fields for side in (one, other)]
+
+    def reason(v: Column) -> Column:
+        pairs = [(F.get(v, F.lit(2 * k)), F.get(v, F.lit(2 * k + 1))) for k in range(len(fields))]
+        (a, b), places = pairs[0], pairs[1:]
+        conflict, missing = F.lit(False), F.lit(False)
+        for x, y in places:
+            missing = missing | (x == "") | (y == "")
+            conflict = conflict | ((x != "") & (y != "") & (x != y))
+        return (
+            F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), "date_unconfirmed")
+            .when(a != b, "date_mismatch")
+            .when(conflict, "location_conflict")
+            .when(missing, "location_unconfirmed")
+        )
+
+    return once(F.array(*compared), reason)
 
 
 def observation_reason(record: Column | str, observed: Column) -> Column:
