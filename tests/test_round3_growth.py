@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from waymark import plans
+from waymark.functions import numbers
 from waymark.operators import resolve as M
 
 plans.load()
@@ -33,6 +34,16 @@ def test_curated_and_extracted_rows_are_dealt_over_tasks(spark):
         assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 16, name
 
 
+def test_price_is_searched_for_once_a_row(spark):
+    """The search stands once in the plan, not once for each use of what was found."""
+    cases = {"R$ 1.499,90": 1499.9, "BRL 1,234.567": 1234.567, "1.499": 1499.0, "12,5": 12.5, "1.499,": 1499.0, "5,": 5.0, "a 7 x 8": 7.0, "1.2.3": 12.3, ".5": 5.0, "": None, None: None, "1.234.56": 1234.56}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "x string, want double")
+    got = rows.select("x", "want", numbers.normalize_price("x").alias("got"))
+    assert all(r["got"] == r["want"] for r in got.collect())
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract") == 1
+
+
 def test_places_are_folded_once_a_row(spark):
     place = "struct<date:string,city:string,state:string,country:string>"
     pairs = [

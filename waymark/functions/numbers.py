@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import Text, _c, clean
+from .text import Text, _c, clean, once
 
 EARTH_KM = 6371.0
 
 
 def normalize_price(x: Text) -> Column:
     """A price's number: the last of comma and dot is the decimal mark if both occur, or if 1 or 2 digits follow it."""
-    token = F.regexp_extract(clean(x), r"(\d[\d.,]*)", 1)
-    comma, dot = F.instr(F.reverse(token), ","), F.instr(F.reverse(token), ".")
-    last = F.when((comma > 0) & ((dot == 0) | (comma < dot)), ",").when(dot > 0, ".")
-    whole = F.regexp_replace(token, "[.,]", "")
-    digits = F.when(last == ",", comma).otherwise(dot) - 1
-    decimal = last.isNotNull() & (((comma > 0) & (dot > 0)) | digits.between(1, 2))
-    point = F.length(whole) - digits
-    joined = F.when(decimal, F.concat(F.substring(whole, F.lit(1), point), F.lit("."), F.substring(whole, point + 1, F.length(whole)))).otherwise(whole)
-    return F.when(token != "", joined.try_cast("double"))
+    token = F.regexp_extract(_c(x).cast("string"), r"(\d[\d.,]*)", 1)
+
+    def number(t: Column) -> Column:
+        comma, dot = F.instr(F.reverse(t), ","), F.instr(F.reverse(t), ".")
+        whole = F.translate(t, ".,", "")
+        # the later mark is the nearer one from behind; 0 if there is none
+        return once(F.struct(comma.alias("comma"), dot.alias("dot"), whole.alias("whole")), pointed)
+
+    def pointed(v: Column) -> Column:
+        both = (v["comma"] > 0) & (v["dot"] > 0)
+        digits = F.when(both, F.least(v["comma"], v["dot"])).otherwise(F.greatest(v["comma"], v["dot"])) - 1
+        point = F.length(v["whole"]) - digits
+        return F.when(both | digits.between(1, 2), F.concat(F.substring(v["whole"], F.lit(1), point), F.lit("."), F.substring(v["whole"], point + 1, F.length(v["whole"])))).otherwise(v["whole"])
+
+    return once(token, lambda t: F.when(t != "", number(t).try_cast("double")))
 
 
 def normalize_distance(x: Text) -> Column:
