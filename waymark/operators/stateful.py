@@ -238,10 +238,12 @@ def ledger(pages: DataFrame, group: str, number: str, url: str, total: str, more
 
     pages: a row for each listed url; a page without any has one row with a null url.
     """
-    first = pages.groupBy(group, url).agg(F.min(number).alias("__first"))
-    own = pages.groupBy(group, number).agg(F.count(url).alias("raw"), F.max(total).alias("__total"), F.max(more).alias("__more"))
-    fresh = first.filter(F.col(url).isNotNull()).groupBy(group, F.col("__first").alias(number)).agg(F.count(F.lit(1)).alias("new"))
-    page = own.join(fresh, [group, number], "left").fillna({"new": 0})
+    known = F.col(url).isNotNull()
+    first = pages.filter(known & F.col(group).isNotNull()).groupBy(group, url).agg(F.min(number).alias(number)).filter(F.col(number).isNotNull())
+    # what a page lists and what it was the first to list meet in one sum, so nothing is sorted for a join
+    listed = pages.select(group, number, known.cast("long").alias("raw"), F.col(total).alias("__total"), F.col(more).alias("__more"), F.lit(0).cast("long").alias("new"))
+    fresh = first.select(group, number, F.lit(0).cast("long").alias("raw"), F.lit(1).cast("long").alias("new"))
+    page = listed.unionByName(fresh, allowMissingColumns=True).groupBy(group, number).agg(F.sum("raw").alias("raw"), F.sum("new").alias("new"), F.max("__total").alias("__total"), F.max("__more").alias("__more"))
     whole = page.groupBy(group).agg(
         F.count(F.lit(1)).alias("pages"), F.sum("raw").alias("raw"), F.sum("new").alias("distinct_rows"), F.count_distinct("__total").alias("totals"),
         F.max_by("__total", number).alias("last_total"), F.max_by("__more", number).alias("last_more"), F.max_by("raw", number).alias("last_raw"),
