@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from waymark import plans
 from waymark.functions import numbers
+from waymark.operators import lineage, parts, ranges
 from waymark.operators import resolve as M
 
 plans.load()
@@ -54,3 +55,20 @@ def test_places_are_folded_once_a_row(spark):
     seen = spark.createDataFrame(pairs, f"a {place}, b {place}, want string").select("want", M.location_evidence("a", "b").alias("got"))
     assert all(r["got"] == r["want"] for r in seen.collect())
     assert seen._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 6  # three fields of two sides
+
+
+def test_parts_of_small_groups_take_no_pointers(spark, monkeypatch):
+    """Groups that lie in one range are done by one pass; only those on a border go by pointers."""
+    whole, asked = parts._by_pointers, []
+    monkeypatch.setattr(parts, "_by_pointers", lambda rows, *rest: asked.append(rows.count()) or whole(rows, *rest))
+    rows = spark.range(4000).select(F.floor(F.col("id") / 5).alias("g"), "id", F.lit(30).alias("size"))
+    got = parts.accumulated_parts(rows, "g", ["id"], "size", 3, 70).collect()
+    assert len(got) == 4000 and all(r["part"] == r["id"] % 5 // 2 + 1 for r in got)
+    assert sum(asked) <= 5 * 4
+
+
+def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_HELD", 100)
+    out = ranges.placed(spark.range(2000).select("id", F.lit(1).alias("v")), [], ["id"], {"total": "v"}).collect()
+    assert sorted((r["id"], r["place"], r["total"]) for r in out) == [(i, i, i + 1) for i in range(2000)]
+    assert lineage.tasks_over(spark.range(2000)) == 20 and lineage.tasks_over(spark.range(10)) == 4

@@ -45,6 +45,15 @@ def tasks_for(spark: SparkSession) -> int:
     return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of a task that sorts or holds what it works on.
+ROWS_HELD = 1 << 18
+
+
+def tasks_over(df: DataFrame, rows: int | None = None) -> int:
+    """Tasks for work that holds its rows: as many more as the rows are, so that a task's memory doesn't grow with the input. Counts df if rows isn't given."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(df.count() if rows is None else rows) // ROWS_HELD))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt evenly over tasks, for work that costs far more than reading its rows: a small file, or a row group of millions of narrow rows, is one task."""
     return df.repartition(tasks_for(df.sparkSession))
