@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..operators import parts as P
 from ..operators import relational as R
+from ..operators.lineage import tasks_over
 from . import query, table
 
 #: The date up to which orders count as past.
@@ -382,7 +383,8 @@ SELECT l_orderkey, name, value, currency, begins, ends, CASE WHEN bool_or(cur) O
 def d6_lot_merge(spark, d):
     """Lots of several lists merged by their five parts, with one current at least."""
     lot = F.struct(F.col("l_returnflag").alias("name"), F.round("l_discount", 2).alias("value"), F.lit("BRL").alias("currency"), F.when(F.col("l_tax") > 0.04, "2026-01-01").alias("begins"), F.when(F.col("l_linestatus") == "F", "2026-02-01").alias("ends"), (F.col("l_quantity") > 45).alias("current"))
-    nested = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", lot.alias("lot")))), lambda x: x["lot"]).alias("lots"))
+    items = table(spark, d, "lineitem")
+    nested = items.repartition(tasks_over(items), "l_orderkey").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", lot.alias("lot")))), lambda x: x["lot"]).alias("lots"))
     rest = F.greatest(F.size("lots") - 4, F.lit(0))
     split = nested.select("l_orderkey", F.slice("lots", 1, 2).alias("a"), F.slice("lots", 3, 2).alias("b"), F.slice("lots", F.lit(5), rest).alias("c"))
     return R.merged_lots(split, "l_orderkey", ["a", "b", "c"], ["name", "value", "currency", "begins", "ends"])
