@@ -99,7 +99,7 @@ def _by_pointers(rows: DataFrame, order: list[str], most_rows: int, most_bytes:
     # how many rows' sums fit under a row's limit: its place among the sums, less the limits before it
     sums = slim.select(F.col("total").alias("value"), F.lit(0).alias("kind"), "place", F.lit(None).cast("binary").alias("g"))
     limits = slim.select((F.col("total") - F.col("size") + most_bytes).alias("value"), F.lit(1).alias("kind"), "place", "g")
-    among = placed(sums.union(limits), [], ["value", "kind", "place"], name="among", rows=2 * n_rows).filter("kind = 1").join(spans, "g")
+    among = placed(sums.union(limits), [], ["value", "kind", "place"], name="among", rows=2 * n_rows).filter("kind = 1").join(F.broadcast(spans), "g")
     next_ = F.greatest(F.col("place") + 1, F.least(F.col("place") + most_rows, F.col("among") - F.col("place"), "end"))
     ends = stored(among.select("g", "place", next_.alias("next"), F.floor(F.col("place") / block).alias("block")))
 
@@ -131,9 +131,9 @@ def _by_pointers(rows: DataFrame, order: list[str], most_rows: int, most_bytes:
 
     local = stored(ends.join(stored(entered), "block", "left").repartition(tasks, "block").groupBy("block").applyInPandas(walk, "g binary, block long, place long, begun long"))
     before = placed(local.groupBy("block").agg(F.max("begun").alias("here")), [], ["block"], {"so_far": "here"}).select("block", (F.col("so_far") - F.col("here")).alias("before"))
-    numbered = stored(local.join(before, "block").select("g", "place", (F.col("before") + F.col("begun")).alias("all")))
+    numbered = stored(local.join(F.broadcast(before), "block").select("g", "place", (F.col("before") + F.col("begun")).alias("all")))
     ahead = numbered.join(spans.select(F.col("start").alias("place")), "place", "left_semi").select("g", (F.col("all") - 1).alias("ahead"))
-    own = numbered.join(ahead, "g").select("place", (F.col("all") - F.col("ahead")).cast("int").alias("part"))
+    own = numbered.join(F.broadcast(ahead), "g").select("place", (F.col("all") - F.col("ahead")).cast("int").alias("part"))
     out = stored(rows.repartition(tasks, "place").join(own.repartition(tasks, "place"), "place").select(*columns, "part"))
     dropped(rows, spans, ends, exits, entries, found, steps, local, numbered)
     return out

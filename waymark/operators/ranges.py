@@ -28,7 +28,9 @@ def placed(df: DataFrame, group: list[str], order: list, sums: dict[str, str] |
     dealt = stored(dealt.withColumn("__range", F.shiftright("__at", 33)))
     totals = dealt.groupBy(*group, "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"__of_{n}") for n, c in sums.items()])
     before = W.partitionBy(*[F.col(g) for g in group]).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    # a table, so that its size is known: one of few rows is broadcast, and the dealt rows aren't shuffled for it
     begins = totals.select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__range").alias("__of"), (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first")).alias("__shift"), *[F.coalesce(F.sum(f"__of_{n}").over(before), F.lit(0)).alias(f"__to_{n}") for n in sums])
+    begins = stored(begins)
     near = W.partitionBy("__range", *group).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
     summed = dealt.repartition(ranges, "__range").withColumns({f"__in_{n}": F.coalesce(F.sum(c).over(near), F.lit(0)) for n, c in sums.items()}) if sums else dealt
     on = summed["__range"] == begins["__of"]
