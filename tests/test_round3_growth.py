@@ -6,6 +6,7 @@ from waymark import plans
 from waymark.functions import numbers
 from waymark.operators import lineage, parts, ranges
 from waymark.operators import resolve as M
+from waymark.operators import stateful as Q
 
 plans.load()
 
@@ -72,3 +73,25 @@ def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
     out = ranges.placed(spark.range(2000).select("id", F.lit(1).alias("v")), [], ["id"], {"total": "v"}).collect()
     assert sorted((r["id"], r["place"], r["total"]) for r in out) == [(i, i, i + 1) for i in range(2000)]
     assert lineage.tasks_over(spark.range(2000)) == 20 and lineage.tasks_over(spark.range(10)) == 4
+
+
+def test_a_key_that_never_forgets_takes_few_rounds(spark):
+    """Requests at an even pace, so each decision hangs on the first request: the state goes through 40 ranges, not a round for each."""
+    k = F.col("id")
+    rows = spark.range(8000).select((k % 101 == 0).cast("int").alias("key"), k.alias("i"), F.timestamp_seconds(1_700_000_000 + k).alias("at"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.sparkContext.setJobGroup("limit", "limit")
+    try:
+        got = {r["i"]: (r["allowed"], r["retry_after"]) for r in Q.sliding_limit(rows, "key", "at", "i", 2, 600.5).collect()}
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("limit"))
+        spark.sparkContext._jsc.clearJobGroup()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want, held = {}, {0: [], 1: []}
+    for i in range(8000):
+        live = held[i % 101 == 0] = [h for h in held[i % 101 == 0] if h > i - 600.5]
+        want[i] = (True, 0) if len(live) < 2 else (False, max(1, int(live[0] + 600.5 - i) + 1))
+        if want[i][0]:
+            live.append(i)
+    assert got == want
+    assert jobs < 40

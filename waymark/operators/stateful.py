@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .lineage import cut, stored
+from .lineage import cut, stored, tasks_over
 
 #: Lease and waiting time that lifts a task to the front; kinds that go first or last.
 LEASE_SECONDS, WAIT_MINUTES = 90, 15
@@ -78,76 +83,122 @@ def transitions(tasks: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
 
 
 def _in_order(df: DataFrame, key: str, at: str, order: str, gate, result: str, more: list[Column] = ()) -> DataFrame:
-    """Rows decided one after the other within each key: gate().step(seconds, *more) gives a row's results.
+    """Rows decided one after the other within each key: gate().run(times, *more) passes a key's next rows, gate.shown gives their results.
 
     gate: a class whose `state` is a list of numbers that says all that later decisions hang on.
-    Rows are dealt by ranges of key and time, so one key may lie in many tasks. Each range is
-    run from an empty state first. Where a key goes on from the range before, and that one's
-    state turns out to be another than was taken, the range is run again, until none changes;
-    then the first range is right, and so each next one. Limits that forget settle in a few
-    rounds; in the worst case, a key whose every state hangs on its first request, it takes a round
-    for each of its ranges. The driver holds a state for each range, a task one batch.
+    Rows are dealt by ranges of key and time, so one key may lie in many tasks; there are as many more
+    ranges as rows. They are sorted once and kept in blocks, a row for each batch. Each range is run from an
+    empty state first. Where a key goes on from the range before, and that one's state turns out to be
+    another than was taken, the range is run again, until none changes; then the first range is
+    right, and so each next one. Limits that forget settle in a few rounds, which take all such
+    ranges at once. Where a round settles less than half of them, as when a key's every state hangs on its
+    first request, the next ones take the state from range to range instead: a task for each key,
+    over WALKED ranges from its first open one. So a range is run a few times, however many a key has.
+    The driver holds a state for each range, a task the blocks of its ranges.
     """
-    kinds = dict(df.dtypes)
-    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {result}"
-    names = [p.split(" ")[0] for p in result.split(", ")]
+    out = StructType([df.schema[key], df.schema[order], *StructType.fromDDL(result)])
+    types = [ARROW[f.dataType.typeName()] for f in out.fields[2:]]
     rest_of = [f"__{i}" for i in range(len(more))]
     own = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # one form of a key in every batch
     rows = df.select(key, order, own.alias("__key"), F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), *[c.alias(n) for c, n in zip(more, rest_of, strict=True)])
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(rows.repartitionByRange(ranges, "__key", "__at", order).withColumn("__range", F.spark_partition_id()))
+    spark, ranges, by = df.sparkSession, tasks_over(df), ["__key", "__at", order]
+    kept = [f for f in rows.schema.fields if f.name != "__key"]
+    packed = StructType([*StructType.fromDDL(_BLOCK), *[StructField(f.name, ArrayType(f.dataType)) for f in kept]])
+
+    def pack(batches):
+        last, block = None, 0
+        for batch in batches:
+            if n := batch.num_rows:
+                keys = batch.column("__key")
+                first, before, last = keys[0].as_py(), last, keys[n - 1].as_py()
+                begins = (np.flatnonzero(pc.not_equal(keys[1:], keys[:-1])) + 1).tolist()
+                begins = [0, *begins] if block and first != before else begins
+                told = [[batch.column("__range")[0].as_py()], [block], [first], [last], [begins]]
+                told = [pa.array(v, t) for v, t in zip(told, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())), strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*told, *lists], names=packed.names)
+                block += 1
+
+    dealt = rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__range", F.spark_partition_id())
+    dealt = stored(dealt.mapInArrow(pack, packed))
 
     def runs(begins: dict[int, list], ends_only: bool):
         def run(batches):
-            place, last, at_work, ends = None, object(), gate(), {}
+            place, at_work = None, gate()
             for batch in batches:
-                found = []
-                for r, k, s, *rest in zip(*[batch[c].tolist() for c in ("__range", "__key", "__at", *rest_of)], strict=True):
-                    if r != place:
-                        place, last = r, k
-                        at_work = gate(begins.get(r))
-                        ends[r] = [k, None, True]
-                    elif k != last:
-                        last, at_work = k, gate()
-                        ends[r][2] = False
-                    found.append(at_work.step(s, *[None if v != v else v for v in rest]))
-                    ends[r][1] = (k, at_work)
-                if not ends_only:
-                    yield pd.DataFrame({key: batch[key], order: batch[order], **dict(zip(names, zip(*found, strict=True), strict=True))})
-                else:
-                    # a range that has ended is told at once, so only the open one is held
-                    done = [r for r in ends if r != place]
-                    yield _told({r: ends.pop(r) for r in done})
-            if ends_only:
-                yield _told(ends)
-
-        wanted = dealt if not ends_only else dealt.filter(F.col("__range").isin(list(begins)))
-        spread = wanted.repartition(ranges, "__range").sortWithinPartitions("__range", "__key", "__at", order)
-        return spread.mapInPandas(run, _ENDS if ends_only else schema)
+                ends = {}
+                for i in range(batch.num_rows):
+                    r, first, last, fresh = (batch.column(c)[i].as_py() for c in ("__range", "__first", "__last", "__begins"))
+                    times = batch.column("__at")[i].values.to_numpy(zero_copy_only=False).tolist()
+                    rest, found = [batch.column(c)[i].values.to_pylist() for c in rest_of], []
+                    if r != place and r in begins:  # any other range goes on from the one before, which is of the same key
+                        at_work = gate(begins[r])
+                    place = r
+                    for lo, hi in pairwise([0, *[f for f in fresh if f], len(times)]):
+                        at_work = gate() if lo or 0 in fresh[:1] else at_work
+                        found += at_work.run(times[lo:hi], *[c[lo:hi] for c in rest])
+                    if ends_only:
+                        before = ends.get(r, {"first": first, "alone": True})
+                        ends[r] = {"r": r, "block": batch.column("__block")[i].as_py(), "first": before["first"], "last": last, "alone": before["alone"] and not fresh, "state": at_work.state}
+                    else:
+                        shown = [pa.array(v, t) for v, t in zip(gate.shown(times, found), types, strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column(key)[i].values, batch.column(order)[i].values, *shown], names=out.names)
+                if ends_only:
+                    yield pa.RecordBatch.from_pylist(list(ends.values()), ENDS)
+
+        return run
+
+    def ends_of(walks: list[list[int]], begins: dict[int, list]) -> dict[int, tuple]:
+        """How ranges end: those of a walk in one task, each from where the one before ended."""
+        steps = spark.createDataFrame([(r, walk[0]) for walk in walks for r in walk], "__range int, __walk int")
+        near = dealt.filter(F.col("__range").between(min(w[0] for w in walks), max(w[-1] for w in walks)))  # reads no other files
+        wanted = near.drop(key, order).join(F.broadcast(steps), "__range")
+        spread = wanted.repartition(min(ranges, len(walks)), "__walk").sortWithinPartitions("__range", "__block")
+        found: dict[int, tuple] = {}
+        # a row for each range, or for each batch of one
+        for e in sorted(spread.mapInArrow(runs(begins, True), _ENDS).collect(), key=lambda e: (e["r"], e["block"])):
+            first, _, alone, _ = found.get(e["r"], (e["first"], None, True, None))
+            found[e["r"]] = (first, e["last"], alone and e["alone"], list(e["state"]))
+        return found
 
-    used: dict[int, list] = {r: [] for r in range(ranges)}
     told: dict[int, tuple] = {}
-    stale = used
-    while stale:
-        told |= {r["r"]: (r["first"], r["last"], r["alone"], list(r["state"])) for r in runs(stale, True).collect()}  # a row for each range
-        stale, before = {}, None
+    used: dict[int, list] = {r: [] for r in range(ranges)}
+    walks, begins, were_open, forgets = [[r] for r in used], used, 2 * ranges + 1, True
+    while walks:
+        ended = ends_of(walks, begins)
+        for walk in walks:
+            used |= {after: ended[r][3] for r, after in pairwise(walk)}
+        told |= ended
+        stale, chains, before, walked = {}, [], None, False
         for r in sorted(told):
             first, last, alone, state = told[r]
-            wanted = before[1] if before and before[0] == first else []
-            if wanted != used[r]:
-                used[r] = wanted
-                if alone:  # the state behind any other range hangs on its last key alone
-                    stale[r] = wanted
+            goes_on = before is not None and before[0] == first
+            walked = walked and goes_on and alone
+            wanted = before[1] if goes_on else []
+            if wanted == used[r] or not alone:
+                used[r] = wanted  # the state behind a range of several keys hangs on its last key alone
+            else:
+                stale[r] = wanted
+            if walked and len(chains[-1]) < WALKED:
+                chains[-1].append(r)  # settled or not: what is taken through may unsettle it
+            elif r in stale and not walked:
+                walked = True
+                chains.append([r])
             before = (last, state)
-    return runs(used, False)
-
-
-_ENDS = "r int, first string, last string, alone boolean, state array<long>"
+        forgets = forgets and 2 * len(stale) < were_open
+        walks = [[r] for r in stale] if forgets else chains
+        begins, were_open = {w[0]: stale[w[0]] for w in walks}, len(stale)
+        used |= begins
+    return dealt.repartition(ranges, "__range").sortWithinPartitions("__range", "__block").mapInArrow(runs(used, False), out)
 
 
-def _told(ends: dict[int, list]) -> pd.DataFrame:
-    rows = [(r, first, last, alone, at_work.state) for r, (first, (last, at_work), alone) in ends.items()]
-    return pd.DataFrame(rows, columns=["r", "first", "last", "alone", "state"])
+#: Ranges of one key that a task takes the state through, one after the other.
+WALKED = 16
+ARROW = {"boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}
+#: A block's range, its place there, its first and last key, and the rows that begin a key (the first one too, if it isn't the range's).
+_BLOCK = "__range int, __block int, __first string, __last string, __begins array<int>"
+_ENDS = "r int, block int, first string, last string, alone boolean, state array<long>"
+ENDS = pa.schema([("r", pa.int32()), ("block", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("alone", pa.bool_()), ("state", pa.list_(pa.int64()))])
 
 
 HOUR = 3_600_000_000
@@ -161,6 +212,13 @@ class _Gate:
     def __init__(self, state: list | None = None):
         self.state = list(state or [0, 0, 0, 0, 0])
 
+    def run(self, times: list[int], *more: list) -> list[tuple[str, int | None]]:
+        return [self.step(*row) for row in zip(times, *more, strict=True)]
+
+    @staticmethod
+    def shown(times: list[int], found: list) -> list:
+        return list(zip(*found, strict=True)) or [[], []]
+
     def step(self, now: int, close: bool, until: float | None, resume: bool) -> tuple[str, int | None]:
         hour, used, ready, shut, shut_until = self.state
         if resume and shut and shut_until > now:
@@ -212,6 +270,9 @@ def sliding_limit(df: DataFrame, key: str, at: str, order: str, limit: int, seco
     return _in_order(df, key, at, order, window, "allowed boolean, retry_after long")
 
 
+ALLOWED = -(1 << 63)
+
+
 class _Window:
     """The times of allowed requests that a window of `span` microseconds still holds."""
 
@@ -224,13 +285,31 @@ class _Window:
     def state(self) -> list:
         return list(self.held)
 
-    def step(self, now: int) -> tuple[bool, int]:
-        while self.held and self.held[0] <= now - self.span:
-            self.held.popleft()
-        if len(self.held) < self.limit:
-            self.held.append(now)
-            return True, 0
-        return False, max(1, (self.held[0] + self.span - now) // 1_000_000 + 1)
+    def run(self, times: list[int]) -> list[int]:
+        """For each row ALLOWED, or the time from which one is again: up to there, all are refused at once."""
+        held, found, i, n = self.held, [], 0, len(times)
+        while i < n:
+            now = times[i]
+            while held and held[0] <= now - self.span:
+                held.popleft()
+            if len(held) < self.limit:
+                held.append(now)
+                found.append(ALLOWED)
+                i += 1
+            else:
+                free = held[0] + self.span
+                after = max(i + 1, bisect_left(times, free, i))
+                found += [free] * (after - i)
+                i = after
+        return found
+
+    @staticmethod
+    def shown(times: list[int], found: list[int]) -> list:
+        """allowed and retry_after."""
+        free = np.array(found, "int64")
+        allowed = free == ALLOWED
+        left = np.where(allowed, 0, free) - np.array(times, "int64")
+        return [allowed, np.where(allowed, 0, np.maximum(1, left // 1_000_000 + 1))]
 
 
 def ledger(pages: DataFrame, group: str, number: str, url: str, total: str, more: str) -> DataFrame:
