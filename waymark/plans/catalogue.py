@@ -382,9 +382,12 @@ one AS (SELECT l_orderkey, name, value, currency, begins, ends, bool_or(cur) AS
 SELECT l_orderkey, name, value, currency, begins, ends, CASE WHEN bool_or(cur) OVER (PARTITION BY l_orderkey) THEN cur ELSE row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) = 1 END AS current FROM one""")
 def d6_lot_merge(spark, d):
     """Lots of several lists merged by their five parts, with one current at least."""
-    lot = F.struct(F.col("l_returnflag").alias("name"), F.round("l_discount", 2).alias("value"), F.lit("BRL").alias("currency"), F.when(F.col("l_tax") > 0.04, "2026-01-01").alias("begins"), F.when(F.col("l_linestatus") == "F", "2026-02-01").alias("ends"), (F.col("l_quantity") > 45).alias("current"))
+    cents = F.col("l_discount") * 100  # the product is rounded, not the decimal digits, as in SQL: 0.285 gives 0.28
+    value = F.when(F.abs(cents) < float("inf"), F.round(cents) / 100).otherwise(F.col("l_discount"))
+    lot = F.struct(F.col("l_returnflag").alias("name"), value.alias("value"), F.lit("BRL").alias("currency"), F.when(F.col("l_tax") > 0.04, "2026-01-01").alias("begins"), F.when(F.col("l_linestatus") == "F", "2026-02-01").alias("ends"), (F.col("l_quantity") > 45).alias("current"))
+    place = [c for k in ("l_linenumber", "l_partkey", "l_quantity") for c in (F.col(k).isNull().alias(f"no_{k}"), F.col(k))]  # nulls last
     items = table(spark, d, "lineitem")
-    nested = items.repartition(tasks_over(items), "l_orderkey").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", lot.alias("lot")))), lambda x: x["lot"]).alias("lots"))
+    nested = items.repartition(tasks_over(items), "l_orderkey").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(*place, lot.alias("lot")))), lambda x: x["lot"]).alias("lots"))
     rest = F.greatest(F.size("lots") - 4, F.lit(0))
     split = nested.select("l_orderkey", F.slice("lots", 1, 2).alias("a"), F.slice("lots", 3, 2).alias("b"), F.slice("lots", F.lit(5), rest).alias("c"))
     return R.merged_lots(split, "l_orderkey", ["a", "b", "c"], ["name", "value", "currency", "begins", "ends"])
