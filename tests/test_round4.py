@@ -28,3 +28,19 @@ def test_lots_stand_in_the_order_of_sql(spark, tmp_path):
     got = sorted(tuple(cell(r[c]) for c in names) for r in plans.QUERIES["d6_lot_merge"](spark, str(tmp_path)).collect())
     assert got == want
     assert [r[0] for r in got if r[-1] == "True" and r[1] == "N"] == ["1", "2", "3"]
+
+
+def test_quality_sample_comes_to_the_driver_in_small_partitions(spark, monkeypatch):
+    """90 pieces of one file's partition, of which the driver gets about ten at a time."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from waymark.llm import quality
+
+    sent, whole = [], DataFrame.toLocalIterator
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *rest: sent.extend(len(p) for p in self.rdd.glom().collect()) or whole(self, *rest))
+    monkeypatch.setattr(quality, "SENT", 10, raising=False)
+    monkeypatch.setattr(quality, "PIECE", 2)
+    rows = [(i, "a plain word of text " * 39, i % 2) for i in range(30)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    quality.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    assert sum(sent) == 90 and max(sent) <= 20

@@ -35,8 +35,8 @@ from ._workers import batchwise, rows_kept
 SAMPLE, PASSAGE, CODE, GATE, GOOD = 8000, 48, 16, 8, 0.7
 #: Bytes looked at on their own, and those that stand for a group.
 MARKS = b"!#$%&*|@,.-_/<>{}()[]=+\\:;\"'?~^"
-#: Texts encoded at a time, in bytes; passages fitted at a time; passages of a piece.
-SLAB, ROWS, PIECE = 1 << 19, 1 << 15, 64
+#: Texts encoded at a time, in bytes; passages fitted at a time; passages of a piece; pieces that the driver gets at a time.
+SLAB, ROWS, PIECE, SENT = 1 << 19, 1 << 15, 64, 1 << 10
 
 
 
@@ -205,7 +205,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     try:
         with tempfile.TemporaryFile() as file:
             at, bags = 0, {}
-            for r in found.toLocalIterator():
+            # a partition comes at a time, and one of the file may hold the whole sample
+            for r in found.repartition(max(1, -(-found.count() // SENT))).toLocalIterator():
                 n = len(r["bag"]) // (4 * WIDTH)
                 bags.setdefault(bytes(r["own"]), (r["label"], bytes(r["hash"]), []))[2].append((r["piece"], at, n))
                 file.write(r["bag"])
